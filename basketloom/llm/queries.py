@@ -7,11 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_model, quality_rules
+from . import decontaminate, language, mixing, quality_model, quality_rules, toxicity, warc
 from .holdout import is_fold
 from .store import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.train(documents, labels, ~is_fold(F.col("doc_id"), 5, 0))
+    return toxicity.score(documents, lexicon).select("doc_id", is_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "total", "density")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language.train(documents, ~is_fold(F.col("doc_id"), 4, 2))
+    return language.predict(documents, model).select("doc_id", is_fold(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(folder, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(table(spark, sf_dir, "documents"))
 
@@ -27,6 +48,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
+    "op3_language": op3_language,
+    "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op10_quality_classifier": op10_quality_classifier,
