@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality_model, quality_rules, shingle_join, substring_dedup, toxicity, warc
+from . import decontaminate, language, lm_score, mixing, quality_model, quality_rules, shingle_join, substring_dedup, toxicity, warc
 from .holdout import is_fold
 from .store import table
 
@@ -45,6 +45,13 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.component_ids(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model, counts = lm_score.train(documents, ~is_fold(F.col("doc_id"), 7, 2))
+    scored = lm_score.score(documents, model, counts)
+    return scored.select("doc_id", is_fold(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_shingle_join": op7_shingle_join,
+    "op8_lm_score": op8_lm_score,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
