@@ -127,18 +127,19 @@ def train(documents: DataFrame, labels: DataFrame, keep: Column, per_class: int
     return fit_trees(rows[:, 1:].astype(np.float32), rows[:, 0].astype(float), **options)
 
 
-def score(documents: DataFrame, model: Trees, *extra: str) -> DataFrame:
-    """``doc_id``, the columns ``extra``, and ``score`` of every document."""
+def score(documents: DataFrame, model: Trees, *extra: str, name: str = "score") -> DataFrame:
+    """``doc_id``, the columns ``extra``, and the score (as column ``name``) of every document."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kept = list(dict.fromkeys(["doc_id", *extra]))
-    return documents.select(*dict.fromkeys([*kept, "text"])).mapInArrow(_scorer(shared, kept), ", ".join(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in kept) + ", score double")
+    fields = [f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in kept]
+    return documents.select(*dict.fromkeys([*kept, "text"])).mapInArrow(_scorer(shared, kept, name), ", ".join([*fields, f"`{name}` double"]))
 
 
-def _scorer(shared, kept: list[str]) -> Callable:
+def _scorer(shared, kept: list[str], name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for lo, hi, b in blocks(column_of(batch, "text")):
-                yield pa.RecordBatch.from_arrays([*(column_of(batch, k).slice(lo, hi - lo) for k in kept), pa.array(model.score(features(b)))], names=[*kept, "score"])
+                yield pa.RecordBatch.from_arrays([*(column_of(batch, k).slice(lo, hi - lo) for k in kept), pa.array(model.score(features(b)))], names=[*kept, name])
 
     return run
