@@ -62,32 +62,32 @@ def words_of(b: Block) -> np.ndarray:
     return b.span_hash(start, end, data=LOWER[b.data])
 
 
-def walk(windows: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embeddings of equally long windows (one row each): three times as long, padded with 0."""
+def walk(windows: np.ndarray, steps: int) -> np.ndarray:
+    """First ``steps`` symbols of REPEATS CGK embeddings of equally long windows: windows x embeddings x steps."""
     n, size = windows.shape
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], 1)
-    out = np.zeros((n, 3 * size), np.uint64)
-    for j in range(3 * size):
-        w = padded[rows, at]
-        out[:, j] = w
-        step = mix(w ^ U64((seed * 0x9E3779B97F4A7C15 + j * 0xC2B2AE3D27D4EB4F) & (2**64 - 1))) & U64(1)
-        at = np.minimum(at + step.astype(np.int64), size)
+    at = np.zeros((n, REPEATS), np.int64)
+    base = (np.arange(n) * (size + 1))[:, None]
+    padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], 1).ravel()
+    seeds = mix(np.arange(1, REPEATS + 1, dtype=np.uint64))
+    out = np.empty((steps, n, REPEATS), np.uint64)
+    for j in range(steps):
+        out[j] = w = padded[base + at]
+        # One bit of a keyed hash of (embedding, walk position, word) decides whether the walk goes on.
+        h = (w ^ (seeds + U64(j * 0xC2B2AE3D27D4EB4F & (2**64 - 1)))) * U64(0x9E3779B97F4A7C15)
+        at += (h >> U64(61) & U64(1)).astype(np.int64) & (at < size)
     return out
 
 
 def keys(windows: np.ndarray) -> np.ndarray:
     """REPEATS keys of each window: hashes of the embedding at sampled positions, one embedding for each."""
     n, size = windows.shape
-    out = np.zeros((n, REPEATS), np.uint64)
-    for t in range(REPEATS):
-        picks = np.random.Generator(np.random.PCG64([t, size])).choice(int(1.5 * size), SAMPLED, replace=True)
-        e = walk(windows, t + 1)[:, picks]
-        h = np.full(n, t, np.uint64)
-        for k in range(SAMPLED):
-            h = mix(h * U64(31) + e[:, k])
-        out[:, t] = h
-    return out
+    steps = max(1, int(1.5 * size))  # by then an average walk is three quarters through; later symbols are padding too often
+    picks = np.stack([np.random.Generator(np.random.PCG64([t, size])).choice(steps, SAMPLED, replace=True) for t in range(REPEATS)])
+    e, t = walk(windows, steps), np.arange(REPEATS)
+    h = np.broadcast_to(t.astype(np.uint64), (n, REPEATS))
+    for k in range(SAMPLED):
+        h = mix(h * U64(31) + e[picks[:, k], :, t].T)
+    return h
 
 
 def expected_recall(size: int, edits: int, trials: int = 400, seed: int = 5) -> float:
