@@ -1,0 +1 @@
+"""Column functions over genes and baskets."""

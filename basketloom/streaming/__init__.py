@@ -1,0 +1 @@
+"""Baskets and events as streams."""
