@@ -184,7 +184,7 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def search(b: Block, index: Index) -> list[tuple[int, int, int, int, int]]:
     """(text, item number, edits, first word, word after the last) of all matches in a block."""
-    if not len(b.ws):
+    if not len(b.ws) or not index.words:
         return []
     w = words_of(b)
     starts: dict[int, list[np.ndarray]] = {}
