@@ -75,4 +75,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || chr(31) || md5(coalesce(text, ''))), 1, 15) AS h
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+c AS (
+  SELECT *, CAST((place - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS ceiling, source_size * 3.0::DOUBLE / CAST((place - 1) % 3 + 1 AS DOUBLE) AS ratio FROM s),
+l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(ceiling) OVER w, 0.0::DOUBLE)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0.0::DOUBLE)) AS level
+  FROM c WINDOW w AS (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT level AS final FROM l WHERE level <= ratio ORDER BY ratio, place LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN final IS NULL THEN ceiling ELSE least(ceiling, final * weight) END AS target FROM l LEFT JOIN f ON true),
+b AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS passes FROM t),
+r AS (SELECT *, target - passes * source_size AS rest FROM b),
+hs AS (SELECT source, h, sum(size) AS words FROM d GROUP BY source, h),
+hc AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY h) AS upto FROM hs),
+e AS (
+  SELECT r.source, min(h) AS edge, arg_min(words, h) AS words, arg_min(upto - words, h) AS before
+  FROM hc JOIN r ON hc.source IS NOT DISTINCT FROM r.source WHERE upto > rest GROUP BY r.source),
+m AS (
+  SELECT d.doc_id, d.source, d.size, r.source_size, r.target,
+         passes + CASE WHEN edge IS NULL OR h < edge OR (h = edge AND words > 0 AND 2 * (rest - before) >= words) THEN 1 ELSE 0 END AS repeats
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, source, size, source_size, target, CAST(repeats AS BIGINT) AS repeats, CAST(size * repeats AS BIGINT) AS taken FROM m
+""",
+    "op4_warc": """
+WITH p AS (SELECT page_id, url, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS best FROM p WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN best <> page_id THEN best END AS refers_to, url
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest
+""",
+    "op7_shingle_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS s FROM w),
+g AS (SELECT doc_id, unnest(s) AS g FROM sets),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+edge AS (SELECT a AS u, b AS v FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS u, doc_id AS r FROM n UNION SELECT edge.v, reach.r FROM reach JOIN edge ON edge.u = reach.u)
+SELECT n.doc_id, n.n AS n_shingles, min(r) AS component_id FROM n JOIN reach ON reach.u = n.doc_id GROUP BY n.doc_id, n.n
+""",
+    "op9_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, ws FROM w WHERE len(ws) >= 35),
+txt AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS t FROM win),
+again AS (SELECT t FROM txt GROUP BY t HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM txt SEMI JOIN again USING (t)),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.j) AS t FROM word ANTI JOIN gone ON gone.doc_id = word.doc_id AND gone.j = word.j GROUP BY 1),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id LEFT JOIN lost ON lost.doc_id = w.doc_id
+""",
+}
