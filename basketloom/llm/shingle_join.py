@@ -4,7 +4,7 @@ The overlap of all pairs is the product of the document by n-gram incidence matr
 taken in blocks of n-gram columns, and size-derived bounds rule pairs out before their overlap is complete:
 
 *   Equal sets are one row of the matrix (a class); only one of its documents takes part.
-*   Columns are put in one order (frequent n-grams last).  A pair that reaches the threshold shares an n-gram
+*   Columns are put in one order (frequent n-grams last, by two levels of frequency).  A pair that reaches the threshold shares an n-gram
     among the first ``n - ceil(0.75 n) + 1`` of each of its documents, and from the first shared one on both
     have enough n-grams left.  Pairs without such an entry, or too different in size, are dropped.
 *   Products are summed to full overlap counts only for the pairs left, and compared exactly.
@@ -15,9 +15,10 @@ several components give pairs, and only pairs across components: again with one
 left.  No pair of documents in different components stays untested, so no link between groups is lost, and a
 group of copies costs in proportion to its size.
 
-A bounded set of frequent n-grams (from a sample of classes) sets the order, and bounded sieves keep entries
-that no other document has from being shuffled.  Both only save work; any content of theirs gives the same
-result.  N-grams and classes are told apart by 64-bit hashes.
+All n-grams of all classes are counted once, sent as differences of sorted 40-bit hashes.  Bounded sieves of
+those found at least 2, ``OFTEN`` and ``VERY_OFTEN`` times keep entries that no other document has from being
+shuffled, and set the order.  They only save work: any content of theirs gives the same result.  N-grams and
+classes are told apart by 64-bit hashes.
 
 Nulls, empty tables and odd rows: texts that are null or wordless have no n-grams and link with nothing; fewer
 than five words form one n-gram.  Rows without id, or with repeated ids, take part like others; the smallest
@@ -39,9 +40,9 @@ from .store import written
 from .textblocks import Block, U64, blocks, column_of, gram_fits, gram_hashes, mix, powers
 
 N = 5
-#: n-grams found in this many sampled classes count as frequent; one class in SAMPLE_RATE is looked at; at most so many.
-FREQUENT, SAMPLE_RATE, MOST_FREQUENT = 6, 16, 500_000
-#: About so many prefix entries meet in one task that looks for repeated ones.
+#: N-grams of so many classes come later in the order, and last.
+OFTEN, VERY_OFTEN = 4, 32
+#: About so many entries meet in one task that counts them.
 PART_ENTRIES = 2_000_000
 
 
@@ -58,7 +59,9 @@ def shingles(b: Block) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum(words * up[: len(words)], out=sums[1:])
         whole = mix((sums[b.wo[short + 1]] - sums[b.wo[short]]) * down[b.wo[short]] + b.n_words[short].astype(np.uint64))
         hashes, owner = np.concatenate([hashes, whole]), np.concatenate([owner, short])
-    order = np.lexsort((hashes, owner))
+    order = np.argsort(hashes)
+    # Then stably by text: a radix sort as long as the texts of a block number at most 65536.
+    order = order[np.argsort(owner[order].astype(np.uint16 if b.n <= 1 << 16 else np.int64), kind="stable")]
     hashes, owner = hashes[order], owner[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
@@ -77,19 +80,28 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - (3 * n + 3) // 4 + 1
 
 
-def prefixes(hashes: np.ndarray, offs: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, n-gram) of the prefix of each set, in the order (frequent, hash)."""
+def levels(hashes: np.ndarray, sieves: list[np.ndarray]) -> np.ndarray:
+    """How many of the sieves of frequent n-grams hold each."""
+    out = np.zeros(len(hashes), np.uint8)
+    for s in sieves:
+        out += sieve.may_hold(s, hashes >> U64(24))
+    return out
+
+
+def prefixes(hashes: np.ndarray, offs: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, n-gram) of the prefix of each set, in the order (level, hash); and where each prefix ends in that order."""
     n = np.diff(offs)
     row = np.repeat(np.arange(len(n)), n)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        late = frequent[at] == hashes
-        if late.any():
-            order = np.argsort(row * 2 + late, kind="stable")
-            hashes = hashes[order]
+    if level.any():
+        order = np.argsort(row * 4 + level, kind="stable")
+        hashes, level = hashes[order], level[order]
     place = np.arange(len(hashes)) - offs[row]
     take = place < prefix_size(n)[row]
-    return row[take], place[take], hashes[take]
+    ends = np.zeros(len(n), np.uint64)
+    full = np.flatnonzero(n > 0)
+    at = offs[full] + prefix_size(n[full]) - 1
+    ends[full] = hashes[at] >> U64(3) | level[at].astype(np.uint64) << U64(61)
+    return row[take], place[take], hashes[take], ends
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -101,13 +113,9 @@ def _signatures(kept: list[str]) -> Callable:
         for batch in batches:
             for lo, hi, b in blocks(column_of(batch, "text")):
                 hashes, offs = shingles(b)
-                ids, n = class_ids(hashes, offs), np.diff(offs)
-                take = (ids % U64(SAMPLE_RATE) == 0) & (n > 0)
-                size = np.where(take, n, 0)
-                inside = np.repeat(offs[:-1] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), _signed(hashes[inside]))
-                cid = pa.array(ids.view(np.int64), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([*(column_of(batch, k).slice(lo, hi - lo) for k in kept), cid, pa.array(n.astype(np.int64)), lists], names=[*kept, "cid", "n", "sample"])
+                n = np.diff(offs)
+                cid = pa.array(class_ids(hashes, offs).view(np.int64), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([*(column_of(batch, k).slice(lo, hi - lo) for k in kept), cid, pa.array(n.astype(np.int64))], names=[*kept, "cid", "n"])
 
     return run
 
@@ -133,29 +141,40 @@ def _subset(hashes: np.ndarray, offs: np.ndarray, take: np.ndarray) -> tuple[np.
     return hashes[np.repeat(take, n)], np.append(0, np.cumsum(n[take]))
 
 
+def _coded(tokens: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte by byte position: the high bytes are nearly all zero and compress away."""
+    return np.diff(tokens, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T[:6].tobytes()
+
+
+def _decoded(raw: memoryview) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :6] = planes.T
+    return np.cumsum(out.reshape(-1).view(np.uint64))
+
+
 def _entries(shared, parts: int) -> Callable:
-    """Prefix n-grams of a task, by part of the hash range: sorted and as differences."""
+    """N-grams of a task, by part of the hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, examples, _ = shared.value
-        once, held, size = _Once(sieve.unpacked(examples)), [], 0
+        once, held, size = _Once(shared.value), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            tokens = np.sort(np.concatenate(held) >> U64(24))  # 40 bits tell enough apart for a sieve
+            tokens = np.sort(np.concatenate(held) >> U64(24))
             cuts = np.searchsorted(tokens, np.arange(parts + 1, dtype=np.uint64) * U64(-(-(1 << 40) // parts)))
             for p in range(parts):
                 if cuts[p] < cuts[p + 1]:
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.diff(tokens[cuts[p] : cuts[p + 1]], prepend=U64(0)).tobytes()], pa.binary())], names=["part", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_coded(tokens[cuts[p] : cuts[p + 1]])], pa.binary())], names=["part", "tokens"])
 
         for batch in batches:
             for lo, hi, b in blocks(column_of(batch, "text")):
                 hashes, offs = shingles(b)
                 take = once(column_of(batch, "tag").slice(lo, hi - lo), class_ids(hashes, offs), np.diff(offs))
-                held.append(prefixes(*_subset(hashes, offs, take), frequent)[2])
+                held.append(_subset(hashes, offs, take)[0])
                 size += len(held[-1])
-            if size > 2_000_000:
-                yield from flush()
-                held, size = [], 0
+                if size > 2_500_000:
+                    yield from flush()
+                    held, size = [], 0
         if size:
             yield from flush()
 
@@ -163,12 +182,12 @@ def _entries(shared, parts: int) -> Callable:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-grams that stand in several entries.  A task has all entries of its parts, part by part."""
+    """N-grams that stand in several entries, and how often.  A task has all entries of its parts, part by part."""
 
     def found(tokens: list[np.ndarray]) -> pa.RecordBatch:
-        t = np.sort(np.concatenate(tokens))
-        again = np.unique(t[1:][t[1:] == t[:-1]])
-        return pa.RecordBatch.from_arrays([_signed(again)], names=["token"])
+        kinds, counts = np.unique(np.concatenate(tokens), return_counts=True)
+        again = counts > 1
+        return pa.RecordBatch.from_arrays([_signed(kinds[again]), pa.array(counts[again].astype(np.int32))], names=["token", "n"])
 
     part, held = None, []
     for batch in batches:
@@ -177,15 +196,15 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield found(held)
                 held = []
             part = p
-            held.append(np.cumsum(np.frombuffer(raw.as_buffer(), np.uint64)))
+            held.append(_decoded(raw.as_buffer()))
     if held:
         yield found(held)
 
 
 def _postings(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, examples, repeated = shared.value
-        once, repeated = _Once(sieve.unpacked(examples)), sieve.unpacked(repeated)
+        examples, repeated, *frequent = shared.value
+        once = _Once(examples)
         for batch in batches:
             for lo, hi, b in blocks(column_of(batch, "text")):
                 hashes, offs = shingles(b)
@@ -193,14 +212,14 @@ def _postings(shared) -> Callable:
                 take = once(column_of(batch, "tag").slice(lo, hi - lo), ids, np.diff(offs))
                 ids = ids[take]
                 hashes, offs = _subset(hashes, offs, take)
-                row, place, token = prefixes(hashes, offs, frequent)
+                row, place, token, ends = prefixes(hashes, offs, levels(hashes, frequent))
                 live = sieve.may_hold(repeated, token >> U64(24))
                 row, place, token = row[live], place[live], token[live]
                 n = np.diff(offs)
                 shared_share = np.bincount(row, minlength=len(n)) * 1000 // np.maximum(prefix_size(n), 1)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(token), _signed(ids[row]), pa.array(n[row].astype(np.int32)), pa.array((n[row] - place).astype(np.int32)), pa.array(shared_share[row].astype(np.int32))],
-                    names=["token", "cid", "n", "left", "central"],
+                    [_signed(token), _signed(ids[row]), pa.array(n[row].astype(np.int32)), pa.array((n[row] - place).astype(np.int32)), pa.array(shared_share[row].astype(np.int32)), _signed(ends[row])],
+                    names=["token", "cid", "n", "left", "central", "ends"],
                 )
 
     return run
@@ -210,19 +229,50 @@ def _packed(shared) -> Callable:
     """Whole sets of the wanted classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples, wanted = map(sieve.unpacked, shared.value)
-        once = _Once(examples)
+        examples, wanted = shared.value
         for batch in batches:
             for lo, hi, b in blocks(column_of(batch, "text")):
                 hashes, offs = shingles(b)
                 ids = class_ids(hashes, offs)
-                take = once(column_of(batch, "tag").slice(lo, hi - lo), ids, np.diff(offs)) & sieve.may_hold(wanted, ids)
-                at = np.flatnonzero(take)
-                yield pa.RecordBatch.from_arrays([_signed(ids[at]), pa.array([hashes[offs[k] : offs[k + 1]].tobytes() for k in at], pa.binary())], names=["cid", "grams"])
+                tags = column_of(batch, "tag").slice(lo, hi - lo)
+                at = np.flatnonzero(sieve.may_hold(wanted, ids) & (np.diff(offs) > 0) & sieve.may_hold(examples, tags.to_numpy(zero_copy_only=False).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([_signed(ids[at]), tags.take(pa.array(at)), pa.array([hashes[offs[k] : offs[k + 1]].tobytes() for k in at], pa.binary())], names=["cid", "tag", "grams"])
 
     return run
 
 
+#: What an entry of a column is for the products across components; and about so many entries make a block.
+_SIDE, BLOCK_ENTRIES = ("cid", "n", "ends", "comp", "size"), 1000
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a class with those of its blocks that may reach the threshold; rows come sorted by (cid, cut)."""
+
+    def pairs(x: tuple, held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        cid, n, ends, comp, size = x
+        y, y_n, y_ends, y_comp, y_size = (np.concatenate(c) for c in zip(*held))
+        take = ((y_size > size) | (y_size == size) & (y_comp > comp)) & (4 * np.minimum(y_n, n) >= 3 * np.maximum(y_n, n))
+        y, at, shared = np.unique(y[take], return_index=True, return_counts=True)
+        y_n, y_ends = y_n[take][at], y_ends[take][at]
+        past, y_past = n - prefix_size(np.int64(n)), y_n - prefix_size(y_n)
+        rest = np.where(y_ends > ends, past, np.where(y_ends < ends, y_past, np.maximum(past, y_past)))
+        y = y[7 * (shared + rest) >= 3 * (n + y_n)]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(y, cid)), pa.array(np.maximum(y, cid))], names=["a", "b"])
+
+    key, x, held = None, None, []
+    for batch in batches:
+        own = list(zip(*(column_of(batch, c).to_pylist() for c in (*_SIDE, "cut"))))
+        lists = [column_of(batch, f"y_{c}") for c in _SIDE]
+        for k, row in enumerate(own):
+            if (row[0], row[-1]) != key and held:
+                yield pairs(x, held)
+                held = []
+            key, x = (row[0], row[-1]), row[:-1]
+            held.append([c[k].values.to_numpy(zero_copy_only=False) for c in lists])
+    if held:
+        yield pairs(x, held)
+
+
 def reaches(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sorted sets overlap by 75 % of their union or more."""
     if len(x) > len(y):
@@ -246,7 +296,21 @@ def _within_bounds(x: str, y: str) -> Column:
 
 
 def _ordered(x: str, y: str) -> list[Column]:
-    return [F.least(F.col(f"{x}.cid"), F.col(f"{y}.cid")).alias("a"), F.greatest(F.col(f"{x}.cid"), F.col(f"{y}.cid")).alias("b")]
+    """a and b, the classes in order, with their sizes and prefix ends."""
+    side = lambda k: F.struct(*(F.col(f"{k}.{c}").alias(c) for c in ("cid", "n", "ends")))
+    a, b = F.least(side(x), side(y)), F.greatest(side(x), side(y))
+    return [q[c].alias(name + tail) for q, name in ((a, "a"), (b, "b")) for c, tail in (("cid", ""), ("n", "_n"), ("ends", "_ends"))]
+
+
+def _may_reach(shared: str) -> Column:
+    """Size-derived bound on pairs whose prefixes share so many n-grams.
+
+    An n-gram that both sets have but not both prefixes lies past the prefix that ends first, so the overlap is at
+    most the shared ones plus what that set has past its prefix.
+    """
+    past = lambda n: F.floor((3 * F.col(n) + 3) / 4) - 1
+    rest = F.when(F.col("a_ends") < F.col("b_ends"), past("a_n")).when(F.col("a_ends") > F.col("b_ends"), past("b_n")).otherwise(F.greatest(past("a_n"), past("b_n")))
+    return 7 * (F.col(shared) + rest) >= 3 * (F.col("a_n") + F.col("b_n"))
 
 
 class Join:
@@ -260,40 +324,41 @@ class Join:
         self.texts = documents.select(text.alias("text"), tag).filter("text != ''")
         fields = ", ".join(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in columns)
         self.signatures = written(
-            documents.select(*columns, tag, text.alias("text")).mapInArrow(_signatures([*columns, "tag"]), f"{fields}, tag long, cid long, n long, sample array<long>"),
+            documents.select(*columns, tag, text.alias("text")).mapInArrow(_signatures([*columns, "tag"]), f"{fields}, tag long, cid long, n long"),
             "signatures",
         )
         examples = self.signatures.filter("cid is not null").groupBy("cid").agg(F.min("tag").alias("tag"), F.max("n").alias("n"))
         self.examples = written(examples, "examples")
         totals = self.examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         self.classes, self.entries = totals
-        self.example_sieve = sieve.packed(sieve.build(self.examples, "tag", self.classes))
-
-    def frequent(self) -> np.ndarray:
-        rows = self.signatures.filter(F.size("sample") > 0).select("cid", "sample").dropDuplicates(["cid"])
-        counts = rows.select(F.explode("sample").alias("token")).groupBy("token").count().filter(F.col("count") >= FREQUENT)
-        top = counts.orderBy(F.col("count").desc(), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"]
-        return np.sort(top.to_numpy(np.int64).view(np.uint64))
+        self.example_sieve = sieve.build(self.examples, "tag", self.classes)
 
     def postings(self) -> DataFrame:
-        """(token, cid, n, left, central): prefix entries that some other document may have too."""
-        spark, frequent = self.spark, self.frequent()
-        parts = max(16, int(self.entries) // (4 * PART_ENTRIES))
-        shared = spark.sparkContext.broadcast((frequent, self.example_sieve, None))
-        entries = self.texts.mapInArrow(_entries(shared, parts), "part int, tokens binary")
-        again = written(entries.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_repeated, "token long"), "repeated")
-        shared = spark.sparkContext.broadcast((frequent, self.example_sieve, sieve.packed(sieve.build(again, "token", again.count()))))
-        return written(self.texts.mapInArrow(_postings(shared), "token long, cid long, n int, left int, central int"), "postings")
+        """Prefix entries that some other document may have too: (token, cid, n, left, central, ends).
+
+        ``n`` is the set's size, ``left`` how many n-grams it has from this one on, ``central`` the share of its
+        prefix that others may have, ``ends`` where its prefix ends in the order of columns.
+        """
+        send = self.spark.sparkContext.broadcast
+        parts = max(16, int(self.entries) // PART_ENTRIES)
+        entries = self.texts.mapInArrow(_entries(send(self.example_sieve), parts), "part int, tokens binary")
+        again = written(entries.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_repeated, "token long, n int"), "repeated")
+        sieves = []
+        for least in (2, OFTEN, VERY_OFTEN):
+            rows = again.filter(F.col("n") >= least)
+            sieves.append(sieve.build(rows, "token", rows.count()))
+        return written(self.texts.mapInArrow(_postings(send((self.example_sieve, *sieves))), "token long, cid long, n int, left int, central int, ends long"), "postings")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of pairs (a, b) of classes, by their full overlap."""
-        pairs = written(pairs.distinct(), "pairs")
+        pairs = written(pairs.select("a", "b"), "pairs")
         both = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-        both = written(both, "wanted")
-        wanted = sieve.packed(sieve.build(both, "cid", both.count()))
+        both = written(both.join(self.examples, "cid").select("cid", "tag"), "wanted")
+        wanted = sieve.build(both, "cid", both.count())
         shared = self.spark.sparkContext.broadcast((self.example_sieve, wanted))
-        sets = self.texts.mapInArrow(_packed(shared), "cid long, grams binary")
-        sets = written(sets.dropDuplicates(["cid"]), "sets")
+        # Rows alike may give a class more than once here; then its pairs repeat, which does no harm.
+        sets = self.texts.mapInArrow(_packed(shared), "cid long, tag long, grams binary")
+        sets = written(sets.join(both, ["cid", "tag"], "left_semi").drop("tag"), "sets")
         one = pairs.join(sets.select(F.col("cid").alias("b"), F.col("grams").alias("grams_b")), "b")
         two = one.join(sets.select(F.col("cid").alias("a"), F.col("grams").alias("grams_a")), "a")
         return written(two.mapInArrow(_verify, "a long, b long, linked boolean"), "verified")
@@ -301,22 +366,35 @@ class Join:
     def labels(self) -> DataFrame:
         """(node, comp) of the classes that have links."""
         rows = self.postings()
-        # Each column's most central document against the others.
-        heads = rows.groupBy("token").agg(F.max(F.struct("central", "n", "cid", "left")).alias("head"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo != hi").select("token", "head.*")
+        # Each column's most central document against the others; overlaps within the prefixes are then summed for these pairs.
+        heads = rows.groupBy("token").agg(F.max(F.struct("central", "n", "cid", "left", "ends")).alias("head"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo != hi").select("token", "head.*")
         heads = written(heads, "heads")
-        pairs = rows.alias("x").join(heads.alias("y"), "token").filter((F.col("x.cid") != F.col("y.cid")) & _within_bounds("x", "y")).select(*_ordered("x", "y"))
-        tested = self.verified(pairs)
-        for last in (False, True):
-            labels = components(tested.filter("linked"))
-            rows = self._open(rows, labels)
-            if last:
-                pairs = rows.alias("x").join(rows.alias("y"), "token").filter((F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp")) & _within_bounds("x", "y"))
-            else:
-                heads = written(rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("cid").alias("rank"), "cid", "n", "left", "comp")).alias("head")).select("token", "head.*"), "heads")
-                pairs = rows.alias("x").join(heads.alias("y"), "token").filter((F.col("x.comp") != F.col("y.comp")) & _within_bounds("x", "y"))
-            fresh = written(pairs.select(*_ordered("x", "y")).distinct(), "pairs").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            tested = tested.unionByName(self.verified(fresh))
-        return components(tested.filter("linked"))
+        pairs = rows.alias("x").join(heads.alias("y"), "token").filter((F.col("x.cid") != F.col("y.cid")) & _within_bounds("x", "y")).select(*_ordered("x", "y")).distinct()
+        pairs = written(pairs, "candidates")
+        entries = rows.select("cid", "token")
+        met = pairs.select("a", "b").join(entries.withColumnRenamed("cid", "b"), "b").join(entries.withColumnRenamed("cid", "a"), ["a", "token"])
+        shared = written(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "shared")
+        first = self.verified(pairs.join(shared, ["a", "b"]).filter(_may_reach("shared")))
+        rest = self._across(self._open(rows, components(first.filter("linked")))).join(first.select("a", "b"), ["a", "b"], "left_anti")
+        return components(first.unionByName(self.verified(rest)).filter("linked"))
+
+    def _across(self, rows: DataFrame) -> DataFrame:
+        """(a, b) of classes in different components whose overlap within their prefixes lets them reach the threshold.
+
+        Each column is kept as blocks of entries, cut by the hash of the class.  An entry meets the blocks of its
+        column that hold larger components, and the products of one class with one cut are summed in one task, so
+        a small component against a group of any size makes rows by its own size.
+        """
+        sizes = written(rows.groupBy("comp").agg(F.count_distinct("cid").alias("size")), "sizes")
+        rows = written(rows.join(sizes, "comp"), "sized")
+        longest = rows.groupBy("token").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+        cut = F.pmod(F.xxhash64("cid"), F.lit(1 + int(longest) // BLOCK_ENTRIES)).cast("int").alias("cut")
+        lists = [F.col(f"y.{c}").cast("array<long>").alias(f"y_{c}") for c in _SIDE]
+        held = rows.groupBy("token", cut).agg(F.collect_list(F.struct(*_SIDE)).alias("y"), F.max(F.struct("size", "comp")).alias("largest"))
+        held = written(held.select("token", "cut", "largest", *lists), "blocks")
+        met = rows.select("token", *_SIDE).join(held, "token").filter(F.struct("size", "comp") < F.col("largest")).drop("token", "largest")
+        dealt = met.repartition("cid", "cut").sortWithinPartitions("cid", "cut")
+        return written(dealt.mapInArrow(_products, "a long, b long"), "rest")
 
     def _open(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
         """Entries of the columns that still hold several components, with the component of each."""
@@ -328,7 +406,7 @@ class Join:
     def groups(self) -> DataFrame:
         """The signatures with ``comp``, a label of the group (null without n-grams)."""
         labels = self.labels()
-        rows = self.signatures.drop("sample").join(labels.select(F.col("node").alias("cid"), "comp"), "cid", "left")
+        rows = self.signatures.join(labels.select(F.col("node").alias("cid"), "comp"), "cid", "left")
         return written(rows.withColumn("comp", F.coalesce("comp", "cid")), "groups")
 
 

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parts of the array, and the least and most bits of it (2 to 64 MB at the most).
-PARTS, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 27
+#: Parts of the array, and the least and most bits of it (32 MB at the most).
+PARTS, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 28
 
 
 def _filler(key: str, bits: int) -> Callable:
@@ -38,30 +38,22 @@ def slots(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def build(rows: DataFrame, key: str, n: int) -> np.ndarray:
-    """Boolean array for the keys (a long column without nulls) of ``rows``; ``n`` is about their number.
+    """Bits (eight to a byte) of the keys (a long column without nulls) of ``rows``; ``n`` is about their number.
 
     The rows are dealt by part of the array, so each part is made by one task and comes to the driver once.
     """
     bits = LEAST_BITS
-    while bits < 16 * n and bits < MOST_BITS:
+    while bits < 24 * n and bits < MOST_BITS:
         bits *= 2
     width = bits // PARTS
     part: Column = F.floor(F.col(key).bitwiseAND(F.lit(bits - 1)) / F.lit(width)).cast("int")
-    found = rows.select(key).distinct().repartition(PARTS, part).mapInArrow(_filler(key, bits), "part int, bits binary").collect()
-    out = np.zeros(bits, bool)
+    found = rows.select(key).repartition(PARTS, part).mapInArrow(_filler(key, bits), "part int, bits binary").collect()
+    out = np.zeros(bits // 8, np.uint8)
     for r in found:
-        out[r["part"] * width : (r["part"] + 1) * width] |= np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+        out[r["part"] * width // 8 : (r["part"] + 1) * width // 8] |= np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def packed(array: np.ndarray) -> tuple[bytes, int]:
-    """Small form for a broadcast."""
-    return np.packbits(array).tobytes(), len(array)
-
-
-def unpacked(form: tuple[bytes, int]) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(form[0], np.uint8), count=form[1]).astype(bool)
-
-
 def may_hold(array: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return array[slots(keys.view(np.int64), len(array))]
+    at = slots(keys.view(np.int64), 8 * len(array))
+    return (array[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)

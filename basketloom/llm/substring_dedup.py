@@ -101,7 +101,7 @@ def _listed(shared) -> Callable:
     """Phrases that the sieves let through; with their windows where the anchor has several phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, several = map(sieve.unpacked, shared.value)
+        repeated, several = shared.value
         for batch in batches:
             keys = column_of(batch, "text_key")
             for lo, _, b in blocks(column_of(batch, "text")):
@@ -139,7 +139,7 @@ def repeats(documents: DataFrame) -> DataFrame:
     seen = counted.groupBy("anchor").agg(F.sum("n").alias("n"), (F.min("phrase") != F.max("phrase")).alias("several"))
     anchors = written(seen.filter("n > 1").select("anchor", "several"), "anchors")
     sizes = anchors.agg(F.count(F.lit(1)), F.count_if("several")).first()
-    sieves = spark.sparkContext.broadcast((sieve.packed(sieve.build(anchors, "anchor", sizes[0])), sieve.packed(sieve.build(anchors.filter("several"), "anchor", sizes[1]))))
+    sieves = spark.sparkContext.broadcast((sieve.build(anchors, "anchor", sizes[0]), sieve.build(anchors.filter("several"), "anchor", sizes[1])))
     # Texts alike give phrases alike: a phrase stands once for each text here, with the number of its rows.
     keyed = texts.withColumn("text_key", text_key(F.col("text")))
     listed = written(
