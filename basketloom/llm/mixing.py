@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import scratch, written
 
 #: Hexadecimal digits of the hash that one round of refinement resolves, and the rounds.
 DIGITS, ROUNDS = 3, 5
@@ -61,6 +61,11 @@ def plan(rows: DataFrame, most: float = 3.0) -> DataFrame:
 
     A document belongs to the partial pass if its ``h`` is below ``edge``, as text.
     """
+    with scratch(rows.sparkSession) as keep:
+        return keep(written(_plan(rows, most), "plan"))
+
+
+def _plan(rows: DataFrame, most: float) -> DataFrame:
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
     by_source = by_source.withColumn("position", (F.row_number().over(place) - 1).cast("long"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import sieve
 from .components import components
-from .store import written
+from .store import scratch, written
 from .textblocks import Block, U64, blocks, column_of, gram_fits, gram_hashes, mix, powers
 
 N = 5
@@ -410,9 +410,14 @@ class Join:
         return written(rows.withColumn("comp", F.coalesce("comp", "cid")), "groups")
 
 
+def _groups(documents: DataFrame) -> DataFrame:
+    with scratch(documents.sparkSession) as keep:
+        return keep(Join(documents).groups())
+
+
 def component_ids(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    rows = Join(documents).groups()
+    rows = _groups(documents)
     least = written(rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
     out = rows.join(least, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
@@ -423,7 +428,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
 
     Of rows alike in id and text one stays; documents without n-grams all stay.
     """
-    rows = Join(documents).groups()
+    rows = _groups(documents)
     chosen = written(rows.filter("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")).alias("first")).select(F.col("first.tag").alias("_tag")), "chosen")
     text = F.coalesce(F.col("text"), F.lit(""))
     tagged = documents.withColumn("_tag", F.xxhash64(F.col("doc_id"), text)).withColumn("_empty", ~text.rlike(r"[^\x20\x09-\x0D]"))

@@ -8,6 +8,8 @@ A written table cuts the lineage: when executors are lost, later stages read it
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,18 +26,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/basketloom/{uuid.uuid4().hex}/{name}"
 
 
+#: Paths of the tables written within each open ``scratch``, the innermost last.
+_open: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as a fresh scan."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _open:
+        _open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at its end, the tables written meanwhile, but for those that the given function was called with.
+
+    Kept tables belong to the scratch around this one, if there is any.  Nothing that still reads a deleted table
+    may be returned.
+    """
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.table_path)
+        return df
+
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        for path in _open.pop():
+            if path not in kept:
+                remove(spark, path)
+        if _open:
+            _open[-1].extend(kept)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path written by :func:`new_path` or :func:`written`, when no plan needs it any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    """Delete a path in the shared folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sieve
-from .store import written
+from .store import scratch, written
 from .textblocks import Block, U64, blocks, column_of, gram_fits, gram_hashes, mix, powers
 
 WINDOW, SEED = 35, 8
@@ -133,6 +133,11 @@ def repeats(documents: DataFrame) -> DataFrame:
     ``cuts`` lists structs (first, n_windows, mask): bit ``i`` of the mask says that the window at word
     ``first + i`` is repeated.
     """
+    with scratch(documents.sparkSession) as keep:
+        return keep(_repeats(documents))
+
+
+def _repeats(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     texts = documents.select("text").filter(F.octet_length("text") >= 2 * WINDOW - 1)
     counted = texts.mapInArrow(_counted, "anchor long, phrase long, n long")

@@ -24,8 +24,10 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .holdout import attach, labelled_sample
+from .store import scratch, written
 from .textblocks import column_of
 
 #: Labelled documents of each class that the lexicon and the curve are fitted on, at most.
@@ -198,10 +200,11 @@ def _signals(automaton_of: Callable[[], ahocorasick.Automaton], kept: list[str])
 
 def train(documents: DataFrame, labels: DataFrame, keep: Column, per_class: int = PER_CLASS) -> Lexicon:
     """A lexicon from the labelled rows that pass ``keep`` (a bounded sample of them)."""
-    from pyspark.sql import functions as F
+    with scratch(documents.sparkSession):
+        return _train(documents, labels, keep, per_class)
 
-    from .store import written
 
+def _train(documents: DataFrame, labels: DataFrame, keep: Column, per_class: int) -> Lexicon:
     sample = written(attach(documents, labelled_sample(labels, "toxic", keep, per_class), "text"), "sample")
     counts = sample.select("y", "text").mapInArrow(_proposals, "token string, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     proposed = counts.filter((F.col("n1") >= 3) & (F.col("n1") > 8 * F.col("n0"))).orderBy((F.col("n1") - 8 * F.col("n0")).desc(), "token").limit(CANDIDATES)
@@ -219,8 +222,6 @@ def train(documents: DataFrame, labels: DataFrame, keep: Column, per_class: int
 
 def score(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, the three signals and ``score`` of every document."""
-    from pyspark.sql import functions as F
-
     kind = documents.schema["doc_id"].dataType.simpleString()
     shared = documents.sparkSession.sparkContext.broadcast(lexicon)
     out = documents.select("doc_id", "text").mapInArrow(_signals(lambda: shared.value.automaton(), ["doc_id"]), f"doc_id {kind}, total double, largest double, density double")

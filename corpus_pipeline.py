@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketloom.llm import decontaminate, mixing, quality_model, shingle_join, substring_dedup
-from basketloom.llm.store import table, written
+from basketloom.llm.store import remove, scratch, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -67,5 +67,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            after = keep(written(stage(spark, docs, sf_dir), name))
+        if hasattr(docs, "table_path"):
+            remove(spark, docs.table_path)
+        docs = after
     return docs
