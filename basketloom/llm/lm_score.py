@@ -1,22 +1,23 @@
 """Language-model scores by a weighted backoff automaton.
 
-Counts.  All training texts are counted: every word and the end of every text.  The base model gives a token
-``(c + 1) / (N + V + 1)``; it is also the lowest order of the backoff model.  Pairs are counted wherever both
-words are among the ``CORE`` most frequent ones, and kept from ``LEAST_PAIR`` on, the ``PAIRS`` most frequent.
+Counts.  All training texts are counted: every word, the end of every text, and every pair of neighbours.  The
+base model gives a token ``(c + 1) / (N + V + 1)``; it is also the lowest order of the backoff model.
 
-Automaton.  State 0 is the empty history, the others are core words with kept pairs.  A state has an arc for
-each kept pair, with the discounted estimate, and a failure arc to state 0 whose weight hands out what the
+Automaton.  State 0 is the empty history, the others are the words with successors.  A state has an arc for each
+pair that was counted, with the discounted estimate, and a failure arc to state 0 whose weight hands out what the
 discounts left (so each state's probabilities sum to one).  Reading a text from left to right, each token
 follows its arc, or the failure arc and then the arc of state 0, and leads to its own state (the end of a text
 is the history of the first word).  The next state hangs on the token alone, so the traversal of a block is a
 handful of array lookups.
 
-The ``HEAD`` most frequent words are broadcast, a bounded table.  The many rare words are not: their occurrences
-are joined to the count table, so every count of every word is used whatever the vocabulary.
+The ``HEAD`` most frequent words and the ``ARCS`` most frequent pairs of them are broadcast, bounded tables.
+Everything else is looked up without a bound: tokens without a broadcast arc travel, packed, to the part of the
+pair table that their history is dealt to (and by the word too, for frequent histories), rare words are joined
+to the count table.  So every count of every word and pair is used whatever the size of the corpus.
 
 Nulls, empty tables and odd rows: a null text counts as empty, which is scored as its end alone.  Rows without
 id are scored, never learned from.  Without training texts N and V are 0 and every token has log10 probability
-0.  Repeated rows are counted and scored each.  Words are told apart by 64-bit hashes.  Other columns are not
+0.  Repeated rows are counted and scored each.  Words and pairs are told apart by 64-bit hashes (rare words by 63).  Other columns are not
 looked at.
 """
 
@@ -34,11 +35,17 @@ from pyspark.sql import functions as F
 from .store import scratch, written
 from .textblocks import Block, U64, blocks, column_of, mix
 
-HEAD, CORE, PAIRS = 1 << 20, 1 << 17, 1 << 20
-LEAST_PAIR, DISCOUNT = 3, 0.75
+#: Sizes of the broadcast tables, at most.  What is not in them is looked up by shuffles, with the same result.
+HEAD, ARCS = 1 << 20, 1 << 20
+#: Pairs below this count are not considered for the broadcast arcs.
+LEAST_ARC, DISCOUNT = 3, 0.75
+#: Training tokens for each part of the pair table.
+PART_TOKENS = 1_500_000
 END = mix(np.array([0xE0F], np.uint64))[0]
 #: Distinct keys that a task holds before it passes its partial counts on.
 HELD = 1_500_000
+#: Pairs that a task holds before it packs them, and pairs in a row of the pair table.
+PACKED, ROW_PAIRS = 500_000, 1 << 16
 
 
 class Lookup:
@@ -115,23 +122,148 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from held.taken(True)
 
 
+RARE = U64(1 << 63)
+
+
+def codes_of(find: Lookup, keys: np.ndarray) -> np.ndarray:
+    """Places of head words, and the hashes of the others with the highest bit set (negative)."""
+    at = find(keys)
+    return np.where(at >= 0, at.astype(np.int64), (keys | RARE).view(np.int64))
+
+
+def before(codes: np.ndarray, offs: np.ndarray, end: int) -> np.ndarray:
+    """The history of each token: the token before it, or ``end`` at the beginning of a text."""
+    out = np.empty_like(codes)
+    out[1:] = codes[:-1]
+    out[offs[:-1]] = end
+    return out
+
+
+def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(h.view(np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15) + w.view(np.uint64))
+
+
+def parts_of(h: np.ndarray, w: np.ndarray, spread: np.ndarray, parts: int) -> np.ndarray:
+    """Part of the pair table: by the history, for frequent ones (``spread``, of head places) by the word too."""
+    wide = np.zeros(len(h), bool)
+    head = h >= 0
+    wide[head] = spread[h[head]]
+    return (mix(np.where(wide, pair_keys(h, w), mix(h.view(np.uint64) + U64(1)))) % U64(parts)).astype(np.int32)
+
+
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """The integers, first all lowest bytes, then all next (small numbers compress well so), compressed."""
+    planes = np.ascontiguousarray(values, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(planes).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
+
+
+def unpacked(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    raw = (_ZSTD.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True) for b in column.to_pylist())
+    found = [np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel() for b in raw]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def dealt(parts: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """(part, packed columns) of each part that has entries."""
+    order = np.argsort(parts, kind="stable")
+    columns = tuple(c[order] for c in columns)
+    parts = parts[order]
+    edges = np.append(np.flatnonzero(np.append(True, parts[1:] != parts[:-1])), len(parts)) if len(parts) else [0]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        yield int(parts[lo]), [packed(c[lo:hi]) for c in columns]
+
+
+def summed(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and their summed counts."""
+    if not len(h):
+        return h, w, n
+    keys = pair_keys(h, w)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return h[order[first]], w[order[first]], np.add.reduceat(n[order], first)
+
+
+PAIR_TABLE = "part int, h binary, w binary, n binary"
+
+
 def _pairs(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, held = Lookup(shared.value), _Counts()
+        words, spread, parts = shared.value
+        find = Lookup(words)
+        end = codes_of(find, np.array([END]))[0]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            h, w = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            h, w, n = summed(h, w, np.ones(len(h), np.int64))
+            rows = [(part, *x) for part, x in dealt(parts_of(h, w, spread, parts), h, w, n)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["part", "h", "w", "n"])
+
+        size = 0
         for batch in batches:
             for _, _, b in blocks(column_of(batch, "text")):
-                ids = find(tokens(b)[0]).astype(np.int64)
-                history = np.append(find(np.array([END])), ids[:-1]).astype(np.int64)  # END precedes the first word
-                both = (ids >= 0) & (history >= 0)
-                held.add(((history[both] << 32) | ids[both]).view(np.uint64))
-                yield from held.taken(False)
-        yield from held.taken(True)
+                keys, offs = tokens(b)
+                w = codes_of(find, keys)
+                held.append((before(w, offs, end), w))
+                size += len(w)
+                if size > PACKED:
+                    yield from passed_on()
+                    size = 0
+        if held:
+            yield from passed_on()
 
     return run
 
 
+def _merged(group: pa.Table) -> pa.Table:
+    h, w, n = summed(*(unpacked(group.column(k)) for k in ("h", "w", "n")))
+    part = group.column("part")[0].as_py()
+    rows = [[packed(x[k : k + ROW_PAIRS]) for x in (h, w, n)] for k in range(0, len(h), ROW_PAIRS)]
+    return pa.table([pa.array([part] * len(rows), pa.int32()), *(pa.array(list(x), pa.binary()) for x in zip(*rows))], names=["part", "h", "w", "n"])
+
+
+def _of_pairs(run: Callable) -> Callable:
+    """Columns that ``run`` gives for the arrays h, w and n of each part."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                columns = run(*(unpacked(column_of(batch, c).slice(k, 1)) for c in ("h", "w", "n")))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+    return each
+
+
+def _histories(shared) -> Callable:
+    """Distinct successors of each history, and the base probability of those in the head."""
+
+    def run(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+        base = np.where(w >= 0, shared.value[np.maximum(w, 0)], 0.0) if len(shared.value) else np.zeros(len(w))
+        kinds, at = np.unique(h, return_inverse=True)
+        return {"h": kinds, "followers": np.bincount(at, minlength=len(kinds)), "covered": np.bincount(at, base, len(kinds))}
+
+    return _of_pairs(run)
+
+
+def _rare_followers(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    return {"h": h[w < 0], "code": w[w < 0]}
+
+
+def _frequent(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    at = (h >= 0) & (w >= 0) & (n >= LEAST_ARC)
+    return {"key": (h[at] << 32) | w[at], "n": n[at]}
+
+
 def most_frequent(counts: DataFrame, most: int, least: int = 1) -> DataFrame:
-    """Rows of the highest counts ``n``, at most ``most`` of them: a threshold from a bounded histogram, no sort."""
+    """Rows of the highest counts ``n``, at most ``most`` of them: a threshold from a bounded histogram, no sort.
+
+    It chooses what is broadcast; callers look up the rest elsewhere.
+    """
     level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
     rows = counts.filter(F.col("n") >= least)
     kept, floor = 0, 1 << 20
@@ -153,8 +285,9 @@ class Automaton:
     arcs: np.ndarray  # sorted (state << 32 | head word)
     weights: np.ndarray  # log10 probability of each arc
     total: float  # log10 (N + V + 1)
-    start: int  # state at the beginning of a text
     tokens: int
+    spread: np.ndarray  # head words whose pairs are dealt by both words
+    parts: int  # parts of the pair table
 
 
 def _arrays(df: DataFrame, *columns: str) -> list[np.ndarray]:
@@ -163,14 +296,22 @@ def _arrays(df: DataFrame, *columns: str) -> list[np.ndarray]:
 
 
 def train(documents: DataFrame, keep: Column) -> tuple[Automaton, DataFrame]:
-    """The automaton and the table (key, n) of all counts, from the documents that pass ``keep``."""
-    with scratch(documents.sparkSession) as hold:
-        model, counts = _train(documents, keep)
-        return model, hold(counts)
+    """The automaton and the table (code, n, failure) of the rare words, from the documents that pass ``keep``.
+
+    The table's attribute ``pairs`` is the table of all pairs.
+    """
+    spark = documents.sparkSession
+    with scratch(spark) as hold:
+        model, rare = _train(documents, keep)
+        hold(rare.pairs)
+        hold(rare)
+    spark.sparkContext._jvm.System.gc()  # shuffle files go when the driver collects the plans of their stages
+    return model, rare
 
 
 def _train(documents: DataFrame, keep: Column) -> tuple[Automaton, DataFrame]:
     spark = documents.sparkSession
+    share = spark.sparkContext.broadcast
     texts = documents.filter(keep & F.col("doc_id").isNotNull()).select("text")
     counts = written(texts.mapInArrow(_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
     n_tokens, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -179,77 +320,139 @@ def _train(documents: DataFrame, keep: Column) -> tuple[Automaton, DataFrame]:
     key, n = _arrays(most_frequent(counts, HEAD), "key", "n")
     order = np.argsort(key.view(np.uint64))
     words, n = key.view(np.uint64)[order], n[order]
-    core = np.sort(np.argsort(-n, kind="stable")[:CORE])  # places in the head
-    pairs = texts.mapInArrow(_pairs(spark.sparkContext.broadcast(words[core])), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    pair, times = _arrays(most_frequent(written(pairs.filter(F.col("n") >= LEAST_PAIR), "pairs"), PAIRS, LEAST_PAIR), "key", "n")
+    parts = 16 + n_tokens // PART_TOKENS
+    spread = n > n_tokens / (8 * parts)
+    pairs = texts.mapInArrow(_pairs(share((words, spread, parts))), PAIR_TABLE)
+    pairs = written(pairs.groupBy("part").applyInArrow(_merged, PAIR_TABLE), "pairs")
+
+    rare = counts.filter(F.col("n") < int(n.min())) if len(n) else counts  # the head takes all words of a count or none
+    rare = rare.select(F.col("key").bitwiseOR(F.lit(-(1 << 63))).alias("code"), "n")
+    followers = pairs.mapInArrow(_of_pairs(_rare_followers), "h long, code long").join(rare, "code")
+    covered = followers.groupBy("h").agg(F.lit(0).cast("long").alias("followers"), F.sum((F.col("n") + 1) / 10**total).alias("covered"))
+    histories = pairs.mapInArrow(_histories(share((n + 1) / 10**total)), "h long, followers long, covered double").unionByName(covered)
+    histories = written(histories.groupBy("h").agg(F.sum("followers").alias("followers"), F.sum("covered").alias("covered")), "histories")
+
+    at, followers, covered = (c.to_numpy() for c in histories.filter("h >= 0").toArrow().columns) if len(words) else [np.zeros(0, np.int64)] * 3
+    failure = np.zeros(len(words) + 1)
+    failure[at + 1] = np.log10(np.maximum(DISCOUNT * followers / n[at], 1e-12) / np.maximum(1 - covered, 1e-12))
+    left = F.log10(F.greatest(DISCOUNT * F.col("followers") / F.col("n"), F.lit(1e-12)) / F.greatest(1 - F.col("covered"), F.lit(1e-12)))
+    rare = written(rare.join(histories.withColumnRenamed("h", "code"), "code", "left").select("code", "n", left.alias("failure")), "rare")
+    rare.pairs = pairs
+
+    pair, times = _arrays(most_frequent(written(pairs.mapInArrow(_of_pairs(_frequent), "key long, n long"), "frequent"), ARCS, LEAST_ARC), "key", "n")
     order = np.argsort(pair)
     pair, times = pair[order], times[order]
+    weights = np.log10((times - DISCOUNT) / n[pair >> 32])
+    return Automaton(words, np.log10(n + 1.0), np.arange(1, len(words) + 1, dtype=np.int32), failure, pair + (1 << 32), weights, total, int(n_tokens), spread, int(parts)), rare
 
-    history, word = core[pair >> 32], core[pair & 0xFFFFFFFF]
-    states, at = np.unique(history, return_inverse=True)
-    state = np.zeros(len(words), np.int32)
-    state[states] = np.arange(1, len(states) + 1)
-    p = (times - DISCOUNT) / n[history]
-    spent = np.bincount(at, p, len(states))
-    covered = np.bincount(at, (n[word] + 1) / 10**total, len(states))
-    failure = np.append(0.0, np.log10(np.maximum(1 - spent, 1e-12) / np.maximum(1 - covered, 1e-12)))
-    arcs = (state[history].astype(np.int64) << 32) | word
-    order = np.argsort(arcs)
-    end = Lookup(words)(np.array([END]))[0]
-    return Automaton(words, np.log10(n + 1.0), state, failure, arcs[order], np.log10(p[order]), total, int(state[end]) if end >= 0 else 0, int(n_tokens)), counts
-
-
-def traverse(model: Automaton, find: Lookup, keys: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Head place, log10 base numerator and log10 score of every token (without rare words' counts)."""
-    at = find(keys)
-    known = at >= 0
-    own = np.where(known, model.state[at], 0) if len(model.words) else np.zeros(len(keys), np.int32)
-    state = np.empty(len(keys), np.int64)
-    state[1:] = own[:-1]
-    state[offs[:-1]] = model.start
-    base = np.where(known, model.unigram[at], 0.0) if len(model.words) else np.zeros(len(keys))
-    score = base - model.total + model.failure[state]
-    may = np.flatnonzero(known & (state > 0))
+
+def traverse(model: Automaton, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log10 base numerator (without rare words' counts) of every token, log10 score of those with a broadcast arc, and which those are."""
+    base = np.where(w >= 0, model.unigram[np.maximum(w, 0)], 0.0) if len(model.words) else np.zeros(len(w))
+    score, done = np.zeros(len(w)), np.zeros(len(w), bool)
+    may = np.flatnonzero((h >= 0) & (w >= 0))
     if len(may) and len(model.arcs):
-        want = (state[may] << 32) | at[may]
+        want = (model.state[h[may]].astype(np.int64) << 32) | w[may]
         place = np.minimum(np.searchsorted(model.arcs, want), len(model.arcs) - 1)
         hit = model.arcs[place] == want
-        score[may[hit]] = model.weights[place[hit]]
-    return at, base, score
+        score[may[hit]], done[may[hit]] = model.weights[place[hit]], True
+    return base, score, done
+
+
+#: What the lookup of a part hands back: a document as it came in, sums for a row, or a rare word that a row asks for.
+DOCUMENT, SUM, WORD_UNSEEN, WORD_SEEN, HISTORY_SEEN, HISTORY_UNSEEN = range(6)
 
 
 def _scorer(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         find = Lookup(model.words)
+        end = codes_of(find, np.array([END]))[0]
+        held: list[tuple[np.ndarray, ...]] = []
+        names = ["part", "doc_id", "row", "n_tokens", "n_head", "base", "model", "h", "w", "rows"]
+
+        def passed_on(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            h, w, row = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            out = [(part, *x) for part, x in dealt(parts_of(h, w, model.spread, model.parts), h, w, row)]
+            none = [pa.nulls(len(out), t) for t in (kind, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *none, *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3))], names=names)
+
+        size, kind = 0, None
         for batch in batches:
-            ids = column_of(batch, "doc_id")
+            ids, rows = column_of(batch, "doc_id"), column_of(batch, "row").to_numpy()
+            kind = ids.type
             for lo, hi, b in blocks(column_of(batch, "text")):
                 keys, offs = tokens(b)
-                at, base, score = traverse(model, find, keys, offs)
-                rare = at < 0
-                n = np.diff(offs)
-                n_rare = np.add.reduceat(rare, offs[:-1], dtype=np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rare)).astype(np.int32)), pa.array(keys[rare].view(np.int64)))
+                w = codes_of(find, keys)
+                h = before(w, offs, end)
+                base, score, done = traverse(model, h, w)
+                score = np.where(done, score, base - model.total)
+                n, row = np.diff(offs), rows[lo:hi]
+                todo = ~done
+                held.append((h[todo], w[todo], np.repeat(row, n)[todo]))
+                size += int(todo.sum())
+                sums = [np.add.reduceat(x, offs[:-1]) for x in ((w >= 0).astype(np.int64), base, score)]
+                part = -1 - row % model.parts
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(n - n_rare), pa.array(np.add.reduceat(base, offs[:-1]) - n * model.total), pa.array(np.add.reduceat(score, offs[:-1])), lists],
-                    names=["doc_id", "n_tokens", "n_head", "base", "model", "rare"],
+                    [pa.array(part.astype(np.int32)), ids.slice(lo, hi - lo), pa.array(row), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1] - n * model.total), pa.array(sums[2]), *[pa.nulls(hi - lo, pa.binary())] * 3],
+                    names=names,
                 )
+                if size > PACKED:
+                    yield from passed_on(kind)
+                    size = 0
+        if held:
+            yield from passed_on(kind)
 
     return run
 
 
-def score(documents: DataFrame, model: Automaton, counts: DataFrame) -> DataFrame:
+def _looked_up(shared) -> Callable:
+    def run(group: pa.Table) -> pa.Table:
+        names = ["doc_id", "row", "n_tokens", "n_head", "base", "model", "kind", "code"]
+        if group.column("part")[0].as_py() < 0:
+            return pa.table([*(group.column(k) for k in names[:6]), pa.array(np.full(len(group), DOCUMENT, np.int32)), pa.nulls(len(group), pa.int64())], names=names)
+        model = shared.value
+        pairs, asks = group.filter(group.column("n").is_valid()), group.filter(group.column("n").is_null())
+        ph, pw, pn = (unpacked(pairs.column(k)) for k in ("h", "w", "n"))
+        h, w, row = (unpacked(asks.column(k)) for k in ("h", "w", "rows"))
+        keys = pair_keys(ph, pw)
+        order = np.argsort(keys)
+        at = Lookup(keys[order])(pair_keys(h, w))
+        seen = at >= 0
+        times = np.where(seen, pn[order][at], 0) if len(pn) else np.zeros(len(h), np.int64)
+        head_h, head_w = h >= 0, w >= 0
+        numerator = np.zeros(len(h))
+        numerator[head_w] = model.unigram[w[head_w]]
+        value = np.where(seen, np.log10(np.maximum(times, 1) - DISCOUNT) - numerator + model.total, 0.0)
+        value[head_h & seen] -= np.log10(np.rint(10 ** model.unigram[h[head_h & seen]]) - 1)
+        value[head_h & ~seen] += model.failure[h[head_h & ~seen] + 1]
+        kinds, place = np.unique(row, return_inverse=True)
+        asked = [(WORD_UNSEEN, ~head_w & ~seen, w), (WORD_SEEN, ~head_w & seen, w), (HISTORY_SEEN, ~head_h & seen, h), (HISTORY_UNSEEN, ~head_h & ~seen, h)]
+        rows = np.concatenate([kinds, *(row[m] for _, m, _ in asked)])
+        kind = np.concatenate([np.full(len(kinds), SUM), *(np.full(m.sum(), k) for k, m, _ in asked)]).astype(np.int32)
+        code = np.concatenate([np.zeros(len(kinds), np.int64), *(x[m] for _, m, x in asked)])
+        sums = np.append(np.bincount(place, value, len(kinds)), np.zeros(len(rows) - len(kinds)))
+        none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.float64())]
+        return pa.table([pa.nulls(len(rows), group.schema.field("doc_id").type), pa.array(rows), *none, pa.array(sums), pa.array(kind), pa.array(code)], names=names)
+
+    return run
+
+
+def score(documents: DataFrame, model: Automaton, rare: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark = documents.sparkSession
+    shared = documents.sparkSession.sparkContext.broadcast(model)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select("doc_id", "text").mapInArrow(_scorer(spark.sparkContext.broadcast(model)), f"doc_id {kind}, n_tokens long, n_head long, base double, model double, rare array<long>")
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    rare = rows.select("row", F.explode("rare").alias("key"))
-    found = rare.join(counts, "key").groupBy("row").agg(F.count(F.lit(1)).alias("n_found"), F.sum(F.log10(F.col("n") + 1.0)).alias("gain"))
-    out = rows.drop("rare").join(written(found, "found"), "row", "left")
-    gain = F.coalesce("gain", F.lit(0.0))
-    return out.select(
-        "doc_id", "n_tokens", (F.col("n_head") + F.coalesce("n_found", F.lit(0))).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + gain).alias("base_score"), (F.col("model") + gain).alias("score"),
+    sums = f"doc_id {kind}, row long, n_tokens long, n_head long, base double, model double"
+    rows = documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    rows = rows.mapInArrow(_scorer(shared), f"part int, {sums}, h binary, w binary, rows binary")
+    found = rows.unionByName(rare.pairs, allowMissingColumns=True).groupBy("part").applyInArrow(_looked_up(shared), f"{sums}, kind int, code long")
+    found = written(found, "found")
+    k, gain = F.col("kind"), F.log10(F.col("n") + 1.0)
+    asks = found.filter(k > SUM).select("row", "kind", "code").join(rare, "code").select(
+        "row", F.when(k <= WORD_SEEN, 1).otherwise(0).cast("long").alias("n_head"), F.when(k <= WORD_SEEN, gain).alias("base"),
+        F.when(k == WORD_UNSEEN, gain).when(k == HISTORY_SEEN, -F.log10("n")).when(k == HISTORY_UNSEEN, F.col("failure")).alias("model"),
     )
+    out = found.filter(k <= SUM).drop("kind", "code").unionByName(asks, allowMissingColumns=True)
+    out = out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_head", "base", "model")))
+    return out.select("doc_id", "n_tokens", F.col("n_head").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))

@@ -145,6 +145,35 @@ def test_lm_scores(spark):
         assert score < 0
 
 
+@pytest.mark.parametrize("head, arcs", [(1 << 20, 1 << 20), (1 << 20, 8), (12, 1 << 20), (12, 3), (0, 0)])
+def test_lm_scores_use_every_pair(spark, monkeypatch, head, arcs):
+    """Scores against backoff over plain counters of all words and pairs, whatever is broadcast."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lm_score, "HEAD", head)
+    monkeypatch.setattr(lm_score, "ARCS", arcs)
+    monkeypatch.setattr(lm_score, "PART_TOKENS", 100)
+    rng = random.Random(11)
+    rows = [(k, " ".join(f"v{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randint(0, 40)))) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model, rare = lm_score.train(df, F.col("doc_id") % 4 != 0)
+    got = {r.doc_id: r.score for r in lm_score.score(df, model, rare).collect()}
+    held = {i: [None, *t.split(), None] for i, t in rows}
+    c = Counter(w for i, t in held.items() if i % 4 for w in t[1:])
+    pairs = Counter(p for i, t in held.items() if i % 4 for p in zip(t, t[1:]))
+    room = sum(c.values()) + len(c) + 1
+    after = {}
+    for h, w in pairs:
+        after.setdefault(h, []).append(w)
+    failure = {h: 0.75 * len(ws) / c[h] / (1 - sum(c[w] + 1 for w in ws) / room) for h, ws in after.items()}
+    for i, t in held.items():
+        wanted = sum(math.log10((pairs[h, w] - 0.75) / c[h] if (h, w) in pairs else failure.get(h, 1) * (c[w] + 1) / room) for h, w in zip(t, t[1:]))
+        assert abs(got[i] - wanted) < 1e-6
+    assert len(got) == 80 and min(pairs.values()) == 1
+
+
 def test_automaton_sums_to_one(spark):
     """From every state the arcs and the failure arc share out all probability."""
     text = "the cat sat on the mat the cat ran the dog sat on the cat"
