@@ -9,7 +9,8 @@ language with the shortest code wins.
 Since the statistics are frozen, the escapes can be followed once for every context and byte, and the trees
 of all languages unfolded into one table of code lengths.  Bytes are first mapped to ``SYMBOLS`` classes
 (ASCII lower-cased, the most frequent bytes of the training texts, one class for the rest), which bounds the
-table: SYMBOLS**4 entries for each language.
+table: SYMBOLS**4 entries for each language.  Every language named in the training documents is learned; their
+tables are shared and compared in passes of ``LANGUAGES`` at most.
 
 Nulls, empty tables and odd rows: a text that is null or holds no letter gets ``und`` with score 0.  Rows
 without id or language are never learned from.  Without any training text every row is ``und``.  Equal code
@@ -20,16 +21,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import scratch, written
 from .textblocks import LOWER, SPACE, blocks, column_of
 
 SYMBOLS = 48
-#: Training documents of each language, and bytes of them, at most; languages that are learned, at most.
+#: Training documents of each language, and bytes of them, at most; languages whose tables are held at once, at most.
 PER_LANGUAGE, TRAIN_BYTES, LANGUAGES = 400, 2_000_000, 16
 #: Code lengths are kept as 16-bit integers of this many steps to a bit.
 STEPS = 1024
@@ -83,11 +87,15 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
     return bits.reshape(-1)
 
 
-def fit(texts: list[tuple[str, str]]) -> Model:
-    """Trees of the languages of (language, text) pairs."""
+def byte_counts(texts: list[tuple[str, str]]) -> np.ndarray:
+    return np.bincount(np.frombuffer("".join(t for _, t in texts).encode(), np.uint8), minlength=256)
+
+
+def fit(texts: list[tuple[str, str]], classes: np.ndarray | None = None) -> Model:
+    """Trees of the languages of (language, text) pairs; languages that are compared must share ``classes``."""
     languages = sorted({lang for lang, _ in texts})
     raw = {lang: [t.encode() for k, t in texts if k == lang and t] for lang in languages}
-    classes = byte_classes(np.bincount(np.frombuffer(b"".join(b for part in raw.values() for b in part), np.uint8), minlength=256))
+    classes = byte_classes(byte_counts(texts)) if classes is None else classes
     table = np.zeros((SYMBOLS**4, len(languages)), np.uint16)
     for k, lang in enumerate(languages):
         counts = np.zeros(SYMBOLS**4, np.int32)
@@ -109,42 +117,61 @@ def lengths(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(documents: DataFrame, keep: Column, per_language: int = PER_LANGUAGE, most_bytes: int = TRAIN_BYTES) -> Model:
-    """Trees from a bounded sample of the documents that pass ``keep`` and name a language.
+def train(documents: DataFrame, keep: Column, per_language: int = PER_LANGUAGE, most_bytes: int = TRAIN_BYTES) -> list[Broadcast]:
+    """Shared trees of all languages, in groups, from a bounded sample of the documents that pass ``keep`` and name a language.
 
     Of each language the ``per_language`` documents with the smallest hashes of their ids are taken whole, as
     long as they make up at most ``most_bytes``.
     """
-    known = documents.filter(keep & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
-    rows: list[tuple[str, str]] = []
-    if counts:
-        # A threshold on the hash leaves about the wanted number of rows of each language, without a sort.
-        share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.3 * per_language / r["count"]))) for r in counts), F.lit(0.0))
-        unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-        picked = known.filter(unit < share).select("doc_id", "lang", "text")
-        place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-        picked = picked.withColumn("place", F.row_number().over(place)).withColumn("upto", F.sum(F.octet_length("text")).over(place))
-        got = picked.filter((F.col("place") <= per_language) & ((F.col("place") == 1) | (F.col("upto") <= most_bytes))).select("lang", "doc_id", "text").collect()
-        rows = [(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["lang"], r["doc_id"], r["text"]))]
-    return fit(rows)
-
-
-def predict(documents: DataFrame, model: Model) -> DataFrame:
+    with scratch(documents.sparkSession):
+        return _train(documents, keep, per_language, most_bytes)
+
+
+def _train(documents: DataFrame, keep: Column, per_language: int, most_bytes: int) -> list[Broadcast]:
+    known = documents.filter(keep & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    # A threshold on the hash leaves about the wanted number of rows of each language, without a sort.
+    shares = known.groupBy("lang").agg(F.least(F.lit(1.0), 1.3 * per_language / F.count(F.lit(1))).alias("share"))
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    picked = known.join(F.broadcast(shares), "lang").filter(unit < F.col("share"))
+    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    picked = picked.withColumn("place", F.row_number().over(place)).withColumn("upto", F.sum(F.octet_length("text")).over(place))
+    picked = picked.filter((F.col("place") <= per_language) & ((F.col("place") == 1) | (F.col("upto") <= most_bytes))).select("lang", "doc_id", "text")
+    picked = written(picked, "picked")
+    languages = sorted(r["lang"] for r in picked.select("lang").distinct().collect())
+    groups = [languages[k : k + LANGUAGES] for k in range(0, len(languages), LANGUAGES)]
+
+    def texts(group: list[str]) -> list[tuple[str, str]]:
+        got = picked.filter(F.col("lang").isin(group)).collect()
+        return [(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["lang"], r["doc_id"], r["text"]))]
+
+    classes = byte_classes(sum((byte_counts(texts(g)) for g in groups), np.zeros(256, np.int64)))
+    return [documents.sparkSession.sparkContext.broadcast(fit(texts(g), classes)) for g in groups or [[]]]
+
+
+def predict(documents: DataFrame, models: list[Broadcast]) -> DataFrame:
     """doc_id, ``lang_pred``, ``score`` and ``bits_per_byte`` of every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
-    return rows.mapInArrow(_predictor(shared), f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
-
-
-def _predictor(shared) -> Callable:
+    if len(models) == 1:
+        return rows.mapInArrow(_predictor(models[0], ("doc_id",)), f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    passes = [rows.mapInArrow(_predictor(m, ("doc_id", "row")), f"doc_id {kind}, row long, lang_pred string, score double, bits_per_byte double") for m in models]
+    # The best of each pass; its score is the inverse of the pass's sum of probabilities over the best one.
+    found = reduce(DataFrame.unionByName, passes).join(rows.select("row", F.octet_length("text").alias("size")), "row")
+    bits = F.round(F.col("bits_per_byte") * F.greatest("size", F.lit(1)) * STEPS) / STEPS
+    found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.collect_list(F.struct(F.coalesce(bits, F.lit(0.0)).alias("bits"), "lang_pred", "score", "bits_per_byte")).alias("x"))
+    found = found.withColumn("best", F.array_min("x"))
+    ratio = F.aggregate("x", F.lit(0.0), lambda s, x: s + F.when(x["score"] > 0, F.pow(F.lit(2.0), F.col("best.bits") - x["bits"]) / x["score"]).otherwise(0.0))
+    return found.select("doc_id", "best.lang_pred", F.when(ratio > 0, 1 / ratio).otherwise(0.0).alias("score"), "best.bits_per_byte")
+
+
+def _predictor(shared: Broadcast, kept: tuple[str, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
             lettered = column_of(batch, "lettered").to_numpy(zero_copy_only=False)
-            ids = column_of(batch, "doc_id")
+            ids = [column_of(batch, k) for k in kept]
             for lo, hi, b in blocks(column_of(batch, "text"), 1 << 20):
                 known = lettered[lo:hi] & bool(model.languages)
                 if model.languages:
@@ -157,6 +184,6 @@ def _predictor(shared) -> Callable:
                 else:
                     best, sure, rate = np.zeros(b.n, int), np.zeros(b.n), np.zeros(b.n)
                 pred = names[np.where(known, best, len(names) - 1)]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(pred, pa.string()), pa.array(np.where(known, sure, 0.0)), pa.array(np.where(known, rate, 0.0))], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in ids), pa.array(pred, pa.string()), pa.array(np.where(known, sure, 0.0)), pa.array(np.where(known, rate, 0.0))], names=[*kept, "lang_pred", "score", "bits_per_byte"])
 
     return run

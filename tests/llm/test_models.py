@@ -187,6 +187,25 @@ def test_language_predictions(spark):
     assert sum(got[k] == ("en", "fr")[k % 2] for k in got) / 200 > 0.98
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """Languages beyond those of one pass, with the results of a single pass over all."""
+    rng = random.Random(4)
+    names = [f"l{k}" for k in range(7)]
+    words = {n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(12)] for n in names}
+    rows = [(k, " ".join(rng.choice(words[n]) for _ in range(20)), n) for k in range(210) for n in [names[min(k % 13, 6)]]] + [(900, "123 456", "l1"), (901, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    whole = {r.doc_id: r for r in language.predict(df, language.train(df, F.col("doc_id") % 4 != 2)).collect()}
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    models = language.train(df, F.col("doc_id") % 4 != 2)
+    assert [m.value.languages for m in models] == [names[:3], names[3:6], names[6:]]
+    got = {r.doc_id: r for r in language.predict(df, models).collect()}
+    assert len(got) == len(rows)
+    for k, _, n in rows:
+        a, b = got[k], whole[k]
+        assert a.lang_pred == b.lang_pred == (n if k < 900 else "und")
+        assert abs(a.score - b.score) < 1e-9 and abs(a.bits_per_byte - b.bits_per_byte) < 1e-9
+
+
 def test_awkward_languages(spark):
     df = awkward(spark)
     got = [(r.text, p.lang_pred, p.score) for r, p in zip(df.collect(), language.predict(df, language.train(df, F.lit(True))).collect())]
