@@ -247,28 +247,28 @@ def modules_maximal(spark, sf_dir):
     return rounded(_text(modules.find_modules(_weak_edges(spark, sf_dir)), "genes"), "strictest_pval")
 
 
-def _triangles(spark, sf_dir):
-    return modules.find_modules(_weak_edges(spark, sf_dir)).filter(F.size("genes") == 3)
+def _modules(spark, sf_dir):
+    return modules.find_modules(_weak_edges(spark, sf_dir))
 
 
 @query
 def triangle_modules(spark, sf_dir):
-    return rounded(_text(_triangles(spark, sf_dir), "genes"), "strictest_pval")
+    return rounded(_text(_modules(spark, sf_dir).filter(F.size("genes") == 3), "genes"), "strictest_pval")
 
 
 @query
 def module_occurrences(spark, sf_dir):
-    return _text(modules.occurrences(order_baskets(spark, sf_dir), _triangles(spark, sf_dir)), "genes").select("genes", "occurences")
+    return _text(modules.occurrences(order_baskets(spark, sf_dir), _modules(spark, sf_dir)), "genes").select("genes", "occurences")
 
 
 @query
 def filtered_modules(spark, sf_dir):
-    found = modules.occurrences(order_baskets(spark, sf_dir), _triangles(spark, sf_dir))
+    found = modules.occurrences(order_baskets(spark, sf_dir), _modules(spark, sf_dir))
     return rounded(_text(modules.filter_infrequent(found, 2), "genes"), "strictest_pval").select("module_id", "genes", "strictest_pval", "occurences")
 
 
 def _known_modules(spark, sf_dir):
-    return modules.with_ids(_triangles(spark, sf_dir))
+    return modules.with_ids(_modules(spark, sf_dir))
 
 
 @query

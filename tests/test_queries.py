@@ -35,5 +35,24 @@ def test_query(spark, con, name):
     assert rows_of(ours) == rows_of(theirs)
 
 
+def test_modules_of_any_size(spark, monkeypatch):
+    """A module of four genes is counted, filtered, numbered and detected like one of three."""
+    from itertools import combinations
+
+    from basketloom.plans import queries
+
+    edges = [(a, b, 0.01) for a, b in combinations("abcd", 2)] + [("c", "e", 0.05), ("d", "e", 0.05)]
+    baskets = [("1", "abcd"), ("2", "dxcba"), ("3", "abc"), ("4", "cde"), ("5", "abcde"), ("6", "ce")]
+    monkeypatch.setattr(queries, "_weak_edges", lambda *_: spark.createDataFrame(edges, "g1 string, g2 string, pval double"))
+    monkeypatch.setattr(queries, "order_baskets", lambda *_: spark.createDataFrame([(i, list(g)) for i, g in baskets], "bgc_id string, genes array<string>"))
+    wanted = ["abcd", "cde"]  # by p-value
+    held = {m: [i for i, g in baskets if set(m) <= set(g)] for m in wanted}
+    run = lambda name: [tuple(r) for r in QUERIES[name](spark, "").collect()]
+    assert sorted(run("module_occurrences")) == [(",".join(m), len(held[m])) for m in wanted]
+    assert sorted(run("filtered_modules")) == [(k + 1, ",".join(m), p, len(held[m])) for k, (m, p) in enumerate(zip(wanted, (0.01, 0.05)))]
+    assert sorted(run("detected_modules")) == sorted((i, ",".join(m)) for m in wanted for i in held[m])
+    assert sorted(run("detected_module_ids")) == [("1", "1"), ("2", "1"), ("3", ""), ("4", "2"), ("5", "1,2"), ("6", "")]
+
+
 def test_every_query_has_a_name():
     assert set(ORACLES) <= set(QUERIES)
