@@ -120,8 +120,8 @@ def lengths(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def train(documents: DataFrame, keep: Column, per_language: int = PER_LANGUAGE, most_bytes: int = TRAIN_BYTES) -> list[Broadcast]:
     """Shared trees of all languages, in groups, from a bounded sample of the documents that pass ``keep`` and name a language.
 
-    Of each language the ``per_language`` documents with the smallest hashes of their ids are taken whole, as
-    long as they make up at most ``most_bytes``.
+    Of each language the ``per_language`` documents with the smallest hashes of their ids are taken, as long
+    as they make up at most ``most_bytes``; of a text over an eighth of that only the beginning is learned from.
     """
     with scratch(documents.sparkSession):
         return _train(documents, keep, per_language, most_bytes)
@@ -133,6 +133,8 @@ def _train(documents: DataFrame, keep: Column, per_language: int, most_bytes: in
     shares = known.groupBy("lang").agg(F.least(F.lit(1.0), 1.3 * per_language / F.count(F.lit(1))).alias("share"))
     unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
     picked = known.join(F.broadcast(shares), "lang").filter(unit < F.col("share"))
+    # A character has four bytes at most, so no text takes more than an eighth of the bound.
+    picked = picked.withColumn("text", F.when(F.octet_length("text") > most_bytes // 8, F.substring("text", 1, most_bytes // 32)).otherwise(F.col("text")))
     place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     picked = picked.withColumn("place", F.row_number().over(place)).withColumn("upto", F.sum(F.octet_length("text")).over(place))
     picked = picked.filter((F.col("place") <= per_language) & ((F.col("place") == 1) | (F.col("upto") <= most_bytes))).select("lang", "doc_id", "text")

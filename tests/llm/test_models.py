@@ -206,6 +206,17 @@ def test_every_language_is_learned(spark, monkeypatch):
         assert abs(a.score - b.score) < 1e-9 and abs(a.bits_per_byte - b.bits_per_byte) < 1e-9
 
 
+def test_a_long_text_does_not_shut_out_others(spark):
+    rng = random.Random(6)
+    words = {n: ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(12)] for n in ("l0", "l1")}
+    rows = [(k, " ".join(rng.choice(words[f"l{k % 2}"]) for _ in range(20)), f"l{k % 2}") for k in range(60)]
+    first = spark.range(0, 60, 2).orderBy(F.xxhash64("id")).first().id
+    rows[first] = (first, "zzzz " * 4000, "l0")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r.lang_pred for r in language.predict(df, language.train(df, F.lit(True), most_bytes=8000)).collect()}
+    assert all(got[k] == n for k, _, n in rows)
+
+
 def test_awkward_languages(spark):
     df = awkward(spark)
     got = [(r.text, p.lang_pred, p.score) for r, p in zip(df.collect(), language.predict(df, language.train(df, F.lit(True))).collect())]
