@@ -11,14 +11,18 @@ taken in blocks of n-gram columns, and size-derived bounds rule pairs out before
 
 What is wanted are groups, so a column does not give all its pairs at once.  It first gives those of its most
 central document with the others; once their links are joined to components, only columns that still hold
-several components give pairs, and only pairs across components: again with one document, then all that are
-left.  No pair of documents in different components stays untested, so no link between groups is lost, and a
-group of copies costs in proportion to its size.
+several components give pairs, and only pairs across components.  No pair of documents in different components
+stays untested, so no link between groups is lost, and a group of copies costs in proportion to its size.
+
+Products across components are taken block by block.  Columns that share their first document lie in the same
+block, so that the many n-grams which two documents share are summed where they are found and a pair is shuffled
+about once.  A column of more than ``BLOCK_ENTRIES`` is cut by its own length, each two of its cuts in a block.
 
 All n-grams of all classes are counted once, sent as differences of sorted 40-bit hashes.  Bounded sieves of
 those found at least 2, ``OFTEN`` and ``VERY_OFTEN`` times keep entries that no other document has from being
-shuffled, and set the order.  They only save work: any content of theirs gives the same result.  N-grams and
-classes are told apart by 64-bit hashes.
+shuffled, and set the order.  They only save work: any content of theirs gives the same result.  Beyond some ten
+million shared n-grams they let more and more through, and every entry of a prefix (a quarter of the n-grams) is
+shuffled: linear in the input still.  N-grams and classes are told apart by 64-bit hashes.
 
 Nulls, empty tables and odd rows: texts that are null or wordless have no n-grams and link with nothing; fewer
 than five words form one n-gram.  Rows without id, or with repeated ids, take part like others; the smallest
@@ -36,7 +40,8 @@ from pyspark.sql import functions as F
 
 from . import sieve
 from .components import components
-from .store import scratch, written
+from .sieve import Sieve
+from .store import free_name, scratch, written
 from .textblocks import Block, U64, blocks, column_of, gram_fits, gram_hashes, mix, powers
 
 N = 5
@@ -123,8 +128,8 @@ def _signatures(kept: list[str]) -> Callable:
 class _Once:
     """Texts of a task that speak for their class: may be its example, and the first of it here."""
 
-    def __init__(self, examples: np.ndarray):
-        self.examples, self.seen = examples, set()
+    def __init__(self, examples: Sieve):
+        self.examples, self.seen = examples.load(), set()
 
     def __call__(self, tags: pa.Array, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         take = sieve.may_hold(self.examples, tags.to_numpy(zero_copy_only=False).astype(np.int64)) & (n > 0)
@@ -153,11 +158,11 @@ def _decoded(raw: memoryview) -> np.ndarray:
     return np.cumsum(out.reshape(-1).view(np.uint64))
 
 
-def _entries(shared, parts: int) -> Callable:
+def _entries(examples: Sieve, parts: int) -> Callable:
     """N-grams of a task, by part of the hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, held, size = _Once(shared.value), [], 0
+        once, held, size = _Once(examples), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             tokens = np.sort(np.concatenate(held) >> U64(24))
@@ -201,10 +206,10 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(held)
 
 
-def _postings(shared) -> Callable:
+def _postings(examples: Sieve, counted: list[Sieve]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples, repeated, *frequent = shared.value
         once = _Once(examples)
+        repeated, *frequent = (s.load() for s in counted)
         for batch in batches:
             for lo, hi, b in blocks(column_of(batch, "text")):
                 hashes, offs = shingles(b)
@@ -225,11 +230,11 @@ def _postings(shared) -> Callable:
     return run
 
 
-def _packed(shared) -> Callable:
+def _packed(chosen: Sieve, classes: Sieve) -> Callable:
     """Whole sets of the wanted classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples, wanted = shared.value
+        examples, wanted = chosen.load(), classes.load()
         for batch in batches:
             for lo, hi, b in blocks(column_of(batch, "text")):
                 hashes, offs = shingles(b)
@@ -241,36 +246,83 @@ def _packed(shared) -> Callable:
     return run
 
 
-#: What an entry of a column is for the products across components; and about so many entries make a block.
-_SIDE, BLOCK_ENTRIES = ("cid", "n", "ends", "comp", "size"), 1000
-
-
-def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a class with those of its blocks that may reach the threshold; rows come sorted by (cid, cut)."""
+#: About so many entries of a column make a cut; the columns of a block are spread over tasks by one in so many entries.
+BLOCK_ENTRIES, SPREAD = 2048, 64
+#: Products of entries that are worked out at once, and pairs that a task holds before it passes them on.
+_AT_ONCE, _HELD = 1 << 20, 1 << 20
+
+
+class _Pairs:
+    """Pairs of classes and how many columns of a task they share."""
+
+    names = ("a", "b", "a_n", "b_n", "a_ends", "b_ends", "shared", "near")
+    schema = "a long, b long, a_n int, b_n int, a_ends long, b_ends long, shared long, near boolean"
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, columns: tuple[np.ndarray, ...]) -> None:
+        self.parts.append(columns)
+        self.size += len(columns[0])
+
+    def merge(self) -> None:
+        if not self.parts:
+            return
+        a, b, *rest, shared, near = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.argsort(mix(a.view(np.uint64)) + b.view(np.uint64))
+        a, b, shared, near = a[order], b[order], shared[order], near[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+        sums = (np.add.reduceat(shared, first), np.logical_or.reduceat(near, first)) if len(first) else (shared, near)
+        self.parts = [(a[first], b[first], *(c[order[first]] for c in rest), *sums)]
+        self.size = len(first)
+
+    def taken(self, last: bool) -> Iterator[pa.RecordBatch]:
+        if not last and self.size <= _HELD:
+            return
+        self.merge()
+        if self.parts and (last or self.size > _HELD // 2):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in self.parts[0]], names=list(self.names))
+            self.parts, self.size = [], 0
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs across components within the columns of each block; rows come sorted by (block, token)."""
+    names = ("block", "token", "own", "within", "cid", "n", "left", "ends", "comp")
+    held, rest = _Pairs(), None
+
+    def products(x: dict[str, np.ndarray], new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(new):
+            return
+        stop = np.append(new[1:], len(x["cid"]))
+        others = np.repeat(stop, stop - new) - 1 - np.arange(len(x["cid"]))
+        upto = np.cumsum(others)
+        lo = 0
+        while lo < len(others):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - others[lo] + _AT_ONCE, side="right")))
+            n = others[lo:hi]
+            i = np.repeat(np.arange(lo, hi), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            lo = hi
+            size, other = x["n"][i], x["n"][j]
+            take = (x["comp"][i] != x["comp"][j]) & (x["within"][i] | (x["own"][i] != x["own"][j])) & (4 * np.minimum(size, other) >= 3 * np.maximum(size, other))
+            i, j = i[take], j[take]
+            i, j = np.where(x["cid"][i] < x["cid"][j], i, j), np.where(x["cid"][i] < x["cid"][j], j, i)
+            near = 7 * np.minimum(x["left"][i], x["left"][j]) >= 3 * (x["n"][i] + x["n"][j])
+            held.add((x["cid"][i], x["cid"][j], x["n"][i], x["n"][j], x["ends"][i], x["ends"][j], np.ones(len(i), np.int64), near))
+            yield from held.taken(False)
 
-    def pairs(x: tuple, held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        cid, n, ends, comp, size = x
-        y, y_n, y_ends, y_comp, y_size = (np.concatenate(c) for c in zip(*held))
-        take = ((y_size > size) | (y_size == size) & (y_comp > comp)) & (4 * np.minimum(y_n, n) >= 3 * np.maximum(y_n, n))
-        y, at, shared = np.unique(y[take], return_index=True, return_counts=True)
-        y_n, y_ends = y_n[take][at], y_ends[take][at]
-        past, y_past = n - prefix_size(np.int64(n)), y_n - prefix_size(y_n)
-        rest = np.where(y_ends > ends, past, np.where(y_ends < ends, y_past, np.maximum(past, y_past)))
-        y = y[7 * (shared + rest) >= 3 * (n + y_n)]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(y, cid)), pa.array(np.maximum(y, cid))], names=["a", "b"])
-
-    key, x, held = None, None, []
     for batch in batches:
-        own = list(zip(*(column_of(batch, c).to_pylist() for c in (*_SIDE, "cut"))))
-        lists = [column_of(batch, f"y_{c}") for c in _SIDE]
-        for k, row in enumerate(own):
-            if (row[0], row[-1]) != key and held:
-                yield pairs(x, held)
-                held = []
-            key, x = (row[0], row[-1]), row[:-1]
-            held.append([c[k].values.to_numpy(zero_copy_only=False) for c in lists])
-    if held:
-        yield pairs(x, held)
+        x = {c: column_of(batch, c).to_numpy(zero_copy_only=False) for c in names}
+        if rest is not None:
+            x = {c: np.concatenate([rest[c], x[c]]) for c in names}
+        new = np.flatnonzero(np.append(True, (x["token"][1:] != x["token"][:-1]) | (x["block"][1:] != x["block"][:-1]))) if len(x["token"]) else np.zeros(1, np.int64)
+        whole = new[-1]  # the last column may go on in the next batch
+        yield from products({c: v[:whole] for c, v in x.items()}, new[:-1])
+        rest = {c: v[whole:] for c, v in x.items()}
+    if rest is not None and len(rest["cid"]):
+        yield from products(rest, np.zeros(1, np.int64))
+    yield from held.taken(True)
 
 
 def reaches(x: np.ndarray, y: np.ndarray) -> bool:
@@ -339,15 +391,14 @@ class Join:
         ``n`` is the set's size, ``left`` how many n-grams it has from this one on, ``central`` the share of its
         prefix that others may have, ``ends`` where its prefix ends in the order of columns.
         """
-        send = self.spark.sparkContext.broadcast
         parts = max(16, int(self.entries) // PART_ENTRIES)
-        entries = self.texts.mapInArrow(_entries(send(self.example_sieve), parts), "part int, tokens binary")
+        entries = self.texts.mapInArrow(_entries(self.example_sieve, parts), "part int, tokens binary")
         again = written(entries.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_repeated, "token long, n int"), "repeated")
         sieves = []
         for least in (2, OFTEN, VERY_OFTEN):
             rows = again.filter(F.col("n") >= least)
             sieves.append(sieve.build(rows, "token", rows.count()))
-        return written(self.texts.mapInArrow(_postings(send((self.example_sieve, *sieves))), "token long, cid long, n int, left int, central int, ends long"), "postings")
+        return written(self.texts.mapInArrow(_postings(self.example_sieve, sieves), "token long, cid long, n int, left int, central int, ends long"), "postings")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of pairs (a, b) of classes, by their full overlap."""
@@ -355,9 +406,8 @@ class Join:
         both = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
         both = written(both.join(self.examples, "cid").select("cid", "tag"), "wanted")
         wanted = sieve.build(both, "cid", both.count())
-        shared = self.spark.sparkContext.broadcast((self.example_sieve, wanted))
         # Rows alike may give a class more than once here; then its pairs repeat, which does no harm.
-        sets = self.texts.mapInArrow(_packed(shared), "cid long, tag long, grams binary")
+        sets = self.texts.mapInArrow(_packed(self.example_sieve, wanted), "cid long, tag long, grams binary")
         sets = written(sets.join(both, ["cid", "tag"], "left_semi").drop("tag"), "sets")
         one = pairs.join(sets.select(F.col("cid").alias("b"), F.col("grams").alias("grams_b")), "b")
         two = one.join(sets.select(F.col("cid").alias("a"), F.col("grams").alias("grams_a")), "a")
@@ -379,29 +429,26 @@ class Join:
         return components(first.unionByName(self.verified(rest)).filter("linked"))
 
     def _across(self, rows: DataFrame) -> DataFrame:
-        """(a, b) of classes in different components whose overlap within their prefixes lets them reach the threshold.
-
-        Each column is kept as blocks of entries, cut by the hash of the class.  An entry meets the blocks of its
-        column that hold larger components, and the products of one class with one cut are summed in one task, so
-        a small component against a group of any size makes rows by its own size.
-        """
-        sizes = written(rows.groupBy("comp").agg(F.count_distinct("cid").alias("size")), "sizes")
-        rows = written(rows.join(sizes, "comp"), "sized")
-        longest = rows.groupBy("token").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-        cut = F.pmod(F.xxhash64("cid"), F.lit(1 + int(longest) // BLOCK_ENTRIES)).cast("int").alias("cut")
-        lists = [F.col(f"y.{c}").cast("array<long>").alias(f"y_{c}") for c in _SIDE]
-        held = rows.groupBy("token", cut).agg(F.collect_list(F.struct(*_SIDE)).alias("y"), F.max(F.struct("size", "comp")).alias("largest"))
-        held = written(held.select("token", "cut", "largest", *lists), "blocks")
-        met = rows.select("token", *_SIDE).join(held, "token").filter(F.struct("size", "comp") < F.col("largest")).drop("token", "largest")
-        dealt = met.repartition("cid", "cut").sortWithinPartitions("cid", "cut")
-        return written(dealt.mapInArrow(_products, "a long, b long"), "rest")
+        """(a, b) of classes in different components whose overlap within their prefixes lets them reach the threshold."""
+        cuts = (1 + F.floor(F.col("m") / BLOCK_ENTRIES)).cast("int")
+        rows = rows.withColumn("cuts", cuts).withColumn("own", F.pmod(F.xxhash64("cid"), "cuts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        spread = F.pmod(F.xxhash64("token"), 1 + F.floor(F.col("m") / SPREAD))
+        block = F.xxhash64("lead", spread, F.least("own", "other"), F.greatest("own", "other"))
+        met = rows.select(block.alias("block"), "token", "own", (F.col("own") == F.col("other")).alias("within"), "cid", "n", "left", "ends", "comp")
+        found = met.repartition("block").sortWithinPartitions("block", "token").mapInArrow(_met, _Pairs.schema)
+        sums = found.groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("a_n", "b_n", "a_ends", "b_ends", "near")), F.sum("shared").alias("shared"))
+        return written(sums.filter("near").filter(_may_reach("shared")).select("a", "b"), "rest")
 
     def _open(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """Entries of the columns that still hold several components, with the component of each."""
-        named = rows.drop("comp").join(labels.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        """Entries of the columns that still hold several components, with the component of each, the column's length and first class."""
+        named = rows.select("token", "cid", "n", "left", "ends").join(labels.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         named = written(named, "named")
-        several = written(named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token"), "several")
-        return written(named.join(several, "token"), "open")
+        several = named.groupBy("token").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.min("cid").alias("lead"), F.min("n").alias("least"), F.max("n").alias("most")
+        )
+        # Two entries of sizes too far apart have no product.
+        several = several.filter("lo != hi AND (m > 2 OR 4 * least >= 3 * most)").select("token", "m", "lead")
+        return written(named.join(written(several, "several"), "token"), "open")
 
     def groups(self) -> DataFrame:
         """The signatures with ``comp``, a label of the group (null without n-grams)."""
@@ -426,11 +473,13 @@ def component_ids(documents: DataFrame) -> DataFrame:
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents, all columns as they were, with one of each group: that with the smallest id.
 
-    Of rows alike in id and text one stays; documents without n-grams all stay.
+    Of rows alike in id and text one stays; documents without n-grams all stay.  Columns may bear any name.
     """
     rows = _groups(documents)
-    chosen = written(rows.filter("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")).alias("first")).select(F.col("first.tag").alias("_tag")), "chosen")
+    tag, empty = (free_name(documents.columns, c) for c in ("tag", "wordless"))
+    chosen = rows.filter("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")).alias("first"))
+    chosen = written(chosen.select(F.col("first.tag").alias(tag)), "chosen")
     text = F.coalesce(F.col("text"), F.lit(""))
-    tagged = documents.withColumn("_tag", F.xxhash64(F.col("doc_id"), text)).withColumn("_empty", ~text.rlike(r"[^\x20\x09-\x0D]"))
-    stay = tagged.filter(~F.col("_empty")).join(chosen, "_tag", "left_semi").dropDuplicates(["_tag"])
-    return stay.unionByName(tagged.filter("_empty")).drop("_tag", "_empty")
+    tagged = documents.withColumn(tag, F.xxhash64(F.col("doc_id"), text)).withColumn(empty, ~text.rlike(r"[^\x20\x09-\x0D]"))
+    stay = tagged.filter(~F.col(empty)).join(chosen, tag, "left_semi").dropDuplicates([tag])
+    return stay.unionByName(tagged.filter(F.col(empty))).drop(tag, empty)

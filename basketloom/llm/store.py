@@ -1,24 +1,35 @@
 """Tables and files that one operator writes and later jobs of it read.
 
 Everything goes below the folder that the session names in ``spark.checkpoint.dir``, which driver and
-executors share.  Only when that setting is absent (tests, notebooks) is a folder of our own chosen.
+executors share.  Where that setting is absent a folder of our own is chosen on a local master (tests,
+notebooks); on a cluster its absence is an error, since executors do not see each other's folders.
 A written table cuts the lineage: when executors are lost, later stages read it again from there.
 """
 
 from __future__ import annotations
 
+import threading
+import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK = "file:///tmp/basketloom-shared"
+_LOCAL = "file:///tmp/basketloom-shared"
+#: Seconds between two requests to free what no plan needs any more.
+TIDY_EVERY = 4.0
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, as a URI or path that Spark can write to."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _FALLBACK).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _LOCAL
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -26,28 +37,56 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/basketloom/{uuid.uuid4().hex}/{name}"
 
 
-#: Paths of the tables written within each open ``scratch``, the innermost last.
-_open: list[list[str]] = []
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a path in the shared folder, and the path within it."""
+    return pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
+
+
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores after it until no column bears it (Spark does not tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+class _Session(threading.local):
+    """Of each thread: paths of the tables written within each open ``scratch``, the innermost last; and when it last tidied."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+        self.tidied = 0.0
+
+
+_session = _Session()
+
+
+def tidy(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and broadcasts of plans that are done; it learns of them when the driver collects garbage."""
+    if time.monotonic() - _session.tidied > TIDY_EVERY:
+        spark.sparkContext._jvm.System.gc()
+        _session.tidied = time.monotonic()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as a fresh scan."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    if _open:
-        _open[-1].append(path)
+    if _session.open:
+        _session.open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
+    tidy(spark)
     return out
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes, at its end, the tables written meanwhile, but for those that the given function was called with.
+    """Deletes, at its end, the tables written meanwhile in this thread, but for those that the given function was called with.
 
-    Kept tables belong to the scratch around this one, if there is any.  Nothing that still reads a deleted table
-    may be returned.
+    Kept tables belong to the scratch around this one, if there is any; the tables that a returned plan reads stay
+    until the user removes the folder or calls ``remove``.  Nothing that still reads a deleted table may be returned.
     """
     kept: list[str] = []
 
@@ -55,15 +94,15 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(df.table_path)
         return df
 
-    _open.append([])
+    _session.open.append([])
     try:
         yield keep
     finally:
-        for path in _open.pop():
+        for path in _session.open.pop():
             if path not in kept:
                 remove(spark, path)
-        if _open:
-            _open[-1].extend(kept)
+        if _session.open:
+            _session.open[-1].extend(kept)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sieve
+from .sieve import Sieve
 from .store import scratch, written
 from .textblocks import Block, U64, blocks, column_of, gram_fits, gram_hashes, mix, powers
 
@@ -97,11 +98,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_signed(a[at]), _signed(f[at]), pa.array(np.diff(np.append(at, len(a))))], names=["anchor", "phrase", "n"])
 
 
-def _listed(shared) -> Callable:
+def _listed(sieves: tuple[Sieve, Sieve]) -> Callable:
     """Phrases that the sieves let through; with their windows where the anchor has several phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, several = shared.value
+        repeated, several = (s.load() for s in sieves)
         for batch in batches:
             keys = column_of(batch, "text_key")
             for lo, _, b in blocks(column_of(batch, "text")):
@@ -138,13 +139,12 @@ def repeats(documents: DataFrame) -> DataFrame:
 
 
 def _repeats(documents: DataFrame) -> DataFrame:
-    spark = documents.sparkSession
     texts = documents.select("text").filter(F.octet_length("text") >= 2 * WINDOW - 1)
     counted = texts.mapInArrow(_counted, "anchor long, phrase long, n long")
     seen = counted.groupBy("anchor").agg(F.sum("n").alias("n"), (F.min("phrase") != F.max("phrase")).alias("several"))
     anchors = written(seen.filter("n > 1").select("anchor", "several"), "anchors")
     sizes = anchors.agg(F.count(F.lit(1)), F.count_if("several")).first()
-    sieves = spark.sparkContext.broadcast((sieve.build(anchors, "anchor", sizes[0]), sieve.build(anchors.filter("several"), "anchor", sizes[1])))
+    sieves = sieve.build(anchors, "anchor", sizes[0]), sieve.build(anchors.filter("several"), "anchor", sizes[1])
     # Texts alike give phrases alike: a phrase stands once for each text here, with the number of its rows.
     keyed = texts.withColumn("text_key", text_key(F.col("text")))
     listed = written(

@@ -25,11 +25,10 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import new_path, written
+from .store import filesystem, new_path, written
 from .textblocks import column_of
 
 LEAST_BYTES = 1000
@@ -88,13 +87,9 @@ def parse(raw: bytes) -> dict:
     }
 
 
-def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 def _writer(folder: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = _filesystem(folder)
+        files, base = filesystem(folder)
         name, out, at = f"{uuid.uuid4().hex}.warc.gz", None, 0
         schema = ("page_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to", "file", "offset", "length")
         try:
@@ -155,7 +150,7 @@ def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, span: int = SPAN) -
 
 def _reader(folder: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = _filesystem(folder)
+        files, base = filesystem(folder)
         for batch in batches:
             wanted = sorted(zip(*(column_of(batch, k).to_pylist() for k in ("file", "offset", "length"))))
             by_file: dict[str, list[tuple[int, int]]] = {}

@@ -256,7 +256,7 @@ def test_coalesced_ranges():
 
 def test_sieve(spark):
     keys = np.random.default_rng(3).integers(-(2**62), 2**62, 5000)
-    made = sieve.build(spark.createDataFrame([(int(k),) for k in keys], "k long"), "k", 5000)
+    made = sieve.build(spark.createDataFrame([(int(k),) for k in keys], "k long"), "k", 5000).load()
     assert sieve.may_hold(made, keys).all()
     assert sieve.may_hold(made, np.random.default_rng(4).integers(-(2**62), 2**62, 20_000)).mean() < 0.1
 

@@ -54,8 +54,11 @@ def test_words_of_blocks():
     assert len(set(h.values())) == 3
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components(spark, seed):
+@pytest.mark.parametrize("seed, block, spread", [(1, 2048, 64), (2, 2048, 64), (3, 3, 2), (4, 5, 1)])
+def test_components(spark, monkeypatch, seed, block, spread):
+    """Whatever length of column is cut, and however columns are spread."""
+    monkeypatch.setattr(shingle_join, "BLOCK_ENTRIES", block)
+    monkeypatch.setattr(shingle_join, "SPREAD", spread)
     rows, df = random_documents(spark, seed)
     got = [tuple(r) for r in shingle_join.component_ids(df).collect()]
     assert sorted(got) == sorted(components(rows))
@@ -75,6 +78,33 @@ def test_long_chain_and_large_groups(spark):
     assert got == sorted(components(rows))
 
 
+def test_pairs_of_blocks(monkeypatch):
+    """Products of the columns of blocks against plain loops, in batches of any size."""
+    monkeypatch.setattr(shingle_join, "_AT_ONCE", 20)
+    monkeypatch.setattr(shingle_join, "_HELD", 30)
+    rng = random.Random(8)
+    rows = sorted((rng.randint(0, 2), rng.randint(0, 9), rng.randint(0, 2), False, cid, 10 + cid % 5, 4 + cid % 7, cid, cid % 4) for cid in range(60) for _ in range(3))
+    rows = [(*r[:3], r[0] != 1, *r[4:]) for r in sorted({(r[0], r[1], r[4]): r for r in rows}.values())]
+    names = ["block", "token", "own", "within", "cid", "n", "left", "ends", "comp"]
+    wanted = {}
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            if x[:2] == y[:2] and x[8] != y[8] and (x[3] or x[2] != y[2]) and 4 * min(x[5], y[5]) >= 3 * max(x[5], y[5]):
+                key = min(x[4], y[4]), max(x[4], y[4])
+                shared, near = wanted.get(key, (0, False))
+                wanted[key] = shared + 1, near or 7 * min(x[6], y[6]) >= 3 * (x[5] + y[5])
+    for size in (1, 7, 1000):
+        kinds = [np.int64] * 3 + [bool] + [np.int64] * 5
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c, k)) for c, k in zip(zip(*rows[lo : lo + size]), kinds)], names=names) for lo in range(0, len(rows), size)]
+        got = {}
+        for b in shingle_join._met(iter(batches)):
+            for r in b.to_pylist():
+                shared, near = got.get((r["a"], r["b"]), (0, False))
+                got[r["a"], r["b"]] = shared + r["shared"], near or r["near"]
+        assert got == wanted and len(wanted) > 50
+    assert list(shingle_join._met(iter([]))) == []
+
+
 def test_prefixes_meet():
     """Sets at the threshold share a prefix entry whatever n-grams count as frequent."""
     rng = np.random.default_rng(4)
