@@ -1,458 +1,320 @@
 """Language-model scores by a weighted backoff automaton.
 
-Counts.  All training texts are counted: every word, the end of every text, and every pair of neighbours.  The
-base model gives a token ``(c + 1) / (N + V + 1)``; it is also the lowest order of the backoff model.
-
-Automaton.  State 0 is the empty history, the others are the words with successors.  A state has an arc for each
-pair that was counted, with the discounted estimate, and a failure arc to state 0 whose weight hands out what the
-discounts left (so each state's probabilities sum to one).  Reading a text from left to right, each token
-follows its arc, or the failure arc and then the arc of state 0, and leads to its own state (the end of a text
-is the history of the first word).  The next state hangs on the token alone, so the traversal of a block is a
-handful of array lookups.
-
-The ``HEAD`` most frequent words and the ``ARCS`` most frequent pairs of them are broadcast, bounded tables.
-Everything else is looked up without a bound: tokens without a broadcast arc travel, packed, to the part of the
-pair table that their history is dealt to (and by the word too, for frequent histories), rare words are joined
-to the count table.  So every count of every word and pair is used whatever the size of the corpus.
+Model.  All training texts are counted: every word, the end of every text, and every two and three tokens in a row.
+The base model gives a token ``(c + 1) / (N + V + 1)``.  Estimates after a history are smoothed towards those after
+the shorter history as if ``STRENGTH`` further tokens had been seen there (a Dirichlet prior):
+``p(w | u v) = (c(u v w) + STRENGTH p(w | v)) / (c(u v) + STRENGTH)``, likewise ``p(w | v)`` from the base model.
+
+Automaton.  A state is a history: two tokens, one token, or none.  A state has an arc for each token that was seen
+after it, with the smoothed estimate, leading to the longest history that is a state; and a failure arc to the
+history without its older token, whose weight hands on what the arcs leave: ``STRENGTH / (c + STRENGTH)``.  Reading
+a text from left to right, each token takes its arc or follows failure arcs until there is one, and log10
+probabilities add up.  The end of a text is the history of its first word.
+
+Scale.  The automaton of the whole corpus is never held in one place.  Documents are encoded in blocks of about
+``BLOCK_TOKENS`` tokens.  Each block sends every n-gram that its texts hold, once, with its training count, to the
+part of the key range that the n-gram's hash falls in; parts add up the counts of all blocks and answer each block.
+A block then has all counts that its texts can touch: its slice of the automaton.  It is built as sorted arrays and
+the block's texts are read through it, in pieces side by side, each piece starting in the state where the one
+before it ends.  Every count of every n-gram is used whatever the size of the corpus; a frequent word or pair
+costs one entry for each block; nothing is broadcast but two numbers.
 
 Nulls, empty tables and odd rows: a null text counts as empty, which is scored as its end alone.  Rows without
 id are scored, never learned from.  Without training texts N and V are 0 and every token has log10 probability
-0.  Repeated rows are counted and scored each.  Words and pairs are told apart by 64-bit hashes (rare words by 63).  Other columns are not
-looked at.
+0.  Repeated rows are counted and scored each.  Words are told apart by 63-bit hashes, longer n-grams by 56-bit
+ones.  Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import scratch, written
 from .textblocks import Block, U64, blocks, column_of, mix
 
-#: Sizes of the broadcast tables, at most.  What is not in them is looked up by shuffles, with the same result.
-HEAD, ARCS = 1 << 20, 1 << 20
-#: Pairs below this count are not considered for the broadcast arcs.
-LEAST_ARC, DISCOUNT = 3, 0.75
-#: Training tokens for each part of the pair table.
-PART_TOKENS = 1_500_000
+#: Tokens whose weight the estimate after the shorter history has.
+STRENGTH = 4.0
+#: Tokens of a block (a longer text is a block of its own), and tokens for each part of the key range.
+BLOCK_TOKENS, PART_TOKENS = 700_000, 2_000_000
+#: Tokens that are read one after the other; a text is cut into pieces of so many.
+PIECE = 192
+#: Bits of the keys of one, two and three tokens.
+BITS = (63, 56, 56)
 END = mix(np.array([0xE0F], np.uint64))[0]
-#: Distinct keys that a task holds before it passes its partial counts on.
-HELD = 1_500_000
-#: Pairs that a task holds before it packs them, and pairs in a row of the pair table.
-PACKED, ROW_PAIRS = 500_000, 1 << 16
-
-
-class Lookup:
-    """Places of 64-bit keys (hashes, so evenly spread) in a sorted array, or -1."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.bits = max(4, int(len(keys)).bit_length() + 1)
-        self.starts = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << U64(64 - self.bits)).astype(np.int32)
-
-    def __call__(self, wanted: np.ndarray) -> np.ndarray:
-        out = np.full(len(wanted), -1, np.int32)
-        if not len(self.keys):
-            return out
-        at = self.starts[(wanted >> U64(64 - self.bits)).astype(np.int64)]
-        todo = np.arange(len(wanted))
-        while len(todo):
-            inside = at < len(self.keys)
-            todo, at = todo[inside], at[inside]
-            have, want = self.keys[at], wanted[todo]
-            hit = have == want
-            out[todo[hit]] = at[hit]
-            more = have < want
-            todo, at = todo[more], at[more] + 1
-        return out
-
-
-def tokens(b: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of each text, each text followed by END, and the offsets of the texts."""
-    offs = b.wo + np.arange(b.n + 1)
-    out = np.full(offs[-1], END, np.uint64)
-    out[np.arange(len(b.ws)) + b.word_doc()] = b.word_hashes(lower=True)
-    return out, offs
-
-
-class _Counts:
-    """Counts of keys within a task, passed on when there are many."""
-
-    def __init__(self):
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.parts: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray) -> None:
-        self.parts.append(keys)
-        self.size += len(keys)
-        if self.size > HELD:
-            self._merge()
-
-    def _merge(self) -> None:
-        new, counts = np.unique(np.concatenate(self.parts), return_counts=True) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        keys = np.concatenate([self.keys, new])
-        counts = np.concatenate([self.counts, counts])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
-        self.parts, self.size = [], 0
-
-    def taken(self, last: bool) -> Iterator[pa.RecordBatch]:
-        if last:
-            self._merge()
-        if len(self.keys) > (0 if last else HELD):
-            yield pa.RecordBatch.from_arrays([pa.array(self.keys.view(np.int64)), pa.array(self.counts)], names=["key", "n"])
-            self.keys, self.counts = self.keys[:0], self.counts[:0]
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = _Counts()
-    for batch in batches:
-        for _, _, b in blocks(column_of(batch, "text")):
-            held.add(tokens(b)[0])
-            yield from held.taken(False)
-    yield from held.taken(True)
 
-
-RARE = U64(1 << 63)
-
-
-def codes_of(find: Lookup, keys: np.ndarray) -> np.ndarray:
-    """Places of head words, and the hashes of the others with the highest bit set (negative)."""
-    at = find(keys)
-    return np.where(at >= 0, at.astype(np.int64), (keys | RARE).view(np.int64))
+_ZSTD = pa.Codec("zstd", 1)
 
 
-def before(codes: np.ndarray, offs: np.ndarray, end: int) -> np.ndarray:
-    """The history of each token: the token before it, or ``end`` at the beginning of a text."""
-    out = np.empty_like(codes)
-    out[1:] = codes[:-1]
-    out[offs[:-1]] = end
-    return out
+def packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 on: first all lowest bytes, then all next (small numbers compress well so), compressed."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return len(planes).to_bytes(8, "little") + bytes([width]) + _ZSTD.compress(planes, asbytes=True)
 
 
-def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(mix(h.view(np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15) + w.view(np.uint64))
+def unpacked(raw: bytes) -> np.ndarray:
+    width = raw[8]
+    planes = np.frombuffer(_ZSTD.decompress(raw[9:], int.from_bytes(raw[:8], "little"), asbytes=True), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view(np.uint64)
 
 
-def parts_of(h: np.ndarray, w: np.ndarray, spread: np.ndarray, parts: int) -> np.ndarray:
-    """Part of the pair table: by the history, for frequent ones (``spread``, of head places) by the word too."""
-    wide = np.zeros(len(h), bool)
-    head = h >= 0
-    wide[head] = spread[h[head]]
-    return (mix(np.where(wide, pair_keys(h, w), mix(h.view(np.uint64) + U64(1)))) % U64(parts)).astype(np.int32)
+def tokens(b: Block) -> np.ndarray:
+    """63-bit hashes of the lower-cased words of each text, each text followed by its end."""
+    out = np.full(len(b.ws) + b.n, END, np.uint64)
+    out[np.arange(len(b.ws)) + b.word_doc()] = b.word_hashes(lower=True)
+    return out >> U64(1)
 
 
-_ZSTD = pa.Codec("zstd", 1)
+def distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys (of 63 bits at most), and how often each stands where ``train`` holds."""
+    ranked = np.sort(keys << U64(1) | train.astype(np.uint64))
+    kinds = ranked >> U64(1)
+    first = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1])) if len(kinds) else np.zeros(0, np.int64)
+    return kinds[first], np.add.reduceat(ranked & U64(1), first) if len(first) else kinds
 
 
-def packed(values: np.ndarray) -> bytes:
-    """The integers, first all lowest bytes, then all next (small numbers compress well so), compressed."""
-    planes = np.ascontiguousarray(values, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
-    return len(planes).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
+class Encoded:
+    """Texts of a block as places of their tokens in ``words``; ``sizes`` counts each text's tokens."""
 
+    def __init__(self, words: np.ndarray, codes: np.ndarray, sizes: np.ndarray):
+        self.words, self.codes, self.sizes = words, codes, sizes
+        self.offs = np.append(0, np.cumsum(sizes))
+        self.first = self.offs[:-1]
+        self.end = int(np.searchsorted(words, END >> U64(1)))
+        self.before = np.empty_like(codes)
+        self.before[1:] = codes[:-1]
+        self.before[self.first] = self.end
+        #: Tokens with two tokens before them, the end of the text before counted as one.
+        self.inner = np.ones(len(codes), bool)
+        self.inner[self.first] = False
+        self.inner = np.flatnonzero(self.inner)
 
-def unpacked(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    raw = (_ZSTD.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True) for b in column.to_pylist())
-    found = [np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel() for b in raw]
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+    def keys(self) -> list[np.ndarray]:
+        """Keys of the n-grams that end at each token (the longest: at each of ``inner``)."""
+        one = self.words[self.codes]
+        two = mix(mix(self.words[self.before] + U64(1)) * U64(0x9E3779B97F4A7C15) + one)
+        three = mix(mix(two[self.inner - 1] + U64(2)) * U64(0xC2B2AE3D27D4EB4F) + one[self.inner])
+        return [one, two >> U64(64 - BITS[1]), three >> U64(64 - BITS[2])]
 
+    def grams(self, train: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Distinct keys and training counts of each order; ``train`` marks the texts to learn from."""
+        learn = np.repeat(train, self.sizes)
+        for k, keys in enumerate(self.keys()):
+            yield distinct(keys, learn[self.inner] if k == 2 else learn)
 
-def dealt(parts: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    """(part, packed columns) of each part that has entries."""
-    order = np.argsort(parts, kind="stable")
-    columns = tuple(c[order] for c in columns)
-    parts = parts[order]
-    edges = np.append(np.flatnonzero(np.append(True, parts[1:] != parts[:-1])), len(parts)) if len(parts) else [0]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        yield int(parts[lo]), [packed(c[lo:hi]) for c in columns]
 
+def bounds(order: int, parts: int) -> np.ndarray:
+    return np.array([(p << BITS[order]) // parts for p in range(parts + 1)], np.uint64)
 
-def summed(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs and their summed counts."""
-    if not len(h):
-        return h, w, n
-    keys = pair_keys(h, w)
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return h[order[first]], w[order[first]], np.add.reduceat(n[order], first)
 
+_BLOCK = "block long, train binary, sizes binary, words binary, codes binary, n_train long, n_tokens long"
 
-PAIR_TABLE = "part int, h binary, w binary, n binary"
 
+def _encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    size, number = 0, TaskContext.get().partitionId() << 32
 
-def _pairs(shared) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, spread, parts = shared.value
-        find = Lookup(words)
-        end = codes_of(find, np.array([END]))[0]
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def passed_on() -> Iterator[pa.RecordBatch]:
-            h, w = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            h, w, n = summed(h, w, np.ones(len(h), np.int64))
-            rows = [(part, *x) for part, x in dealt(parts_of(h, w, spread, parts), h, w, n)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["part", "h", "w", "n"])
-
-        size = 0
-        for batch in batches:
-            for _, _, b in blocks(column_of(batch, "text")):
-                keys, offs = tokens(b)
-                w = codes_of(find, keys)
-                held.append((before(w, offs, end), w))
-                size += len(w)
-                if size > PACKED:
-                    yield from passed_on()
-                    size = 0
-        if held:
-            yield from passed_on()
+    def taken() -> pa.RecordBatch:
+        ids, train, sizes, hashes = zip(*held)
+        train, sizes = np.concatenate(train), np.concatenate(sizes)
+        words, codes = np.unique(np.concatenate(hashes), return_inverse=True)
+        ids = pa.concat_arrays(ids)
+        ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        binary = [pa.array([x], pa.binary()) for x in (packed(train), packed(sizes), packed(np.diff(words, prepend=U64(0))), packed(codes))]
+        counts = [pa.array([int(x)], pa.int64()) for x in (sizes[train].sum(), sizes.sum())]
+        return pa.RecordBatch.from_arrays([ids, pa.array([number], pa.int64()), *binary, *counts], names=["ids", "block", "train", "sizes", "words", "codes", "n_train", "n_tokens"])
 
-    return run
+    for batch in batches:
+        ids, train = column_of(batch, "doc_id"), column_of(batch, "train").to_numpy(zero_copy_only=False)
+        for lo, hi, b in blocks(column_of(batch, "text")):
+            new = len(b.ws) + b.n
+            if held and size + new > BLOCK_TOKENS:
+                yield taken()
+                held, size, number = [], 0, number + 1
+            held.append((ids.slice(lo, hi - lo), train[lo:hi], b.n_words + 1, tokens(b)))
+            size += new
+    if held:
+        yield taken()
 
 
-def _merged(group: pa.Table) -> pa.Table:
-    h, w, n = summed(*(unpacked(group.column(k)) for k in ("h", "w", "n")))
-    part = group.column("part")[0].as_py()
-    rows = [[packed(x[k : k + ROW_PAIRS]) for x in (h, w, n)] for k in range(0, len(h), ROW_PAIRS)]
-    return pa.table([pa.array([part] * len(rows), pa.int32()), *(pa.array(list(x), pa.binary()) for x in zip(*rows))], names=["part", "h", "w", "n"])
+def _read(row: dict) -> tuple[Encoded, np.ndarray]:
+    words = np.cumsum(unpacked(row["words"]), dtype=np.uint64)
+    return Encoded(words, unpacked(row["codes"]).astype(np.int64), unpacked(row["sizes"]).astype(np.int64)), unpacked(row["train"]).astype(bool)
 
 
-def _of_pairs(run: Callable) -> Callable:
-    """Columns that ``run`` gives for the arrays h, w and n of each part."""
+def _asker(parts: int) -> Callable:
+    """Of each block the n-grams of each part, with their training counts."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = [bounds(k, parts) for k in range(3)]
         for batch in batches:
             for k in range(batch.num_rows):
-                columns = run(*(unpacked(column_of(batch, c).slice(k, 1)) for c in ("h", "w", "n")))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
-
-    return each
-
+                row = {c: column_of(batch, c)[k].as_py() for c in ("block", "train", "sizes", "words", "codes")}
+                texts, train = _read(row)
+                out = []
+                for order, (keys, counts) in enumerate(texts.grams(train)):
+                    cuts = np.searchsorted(keys, edges[order])
+                    for p in np.flatnonzero(cuts[1:] > cuts[:-1]):
+                        mine = slice(cuts[p], cuts[p + 1])
+                        out.append((order * parts + int(p), packed(np.diff(keys[mine], prepend=edges[order][p])), packed(counts[mine])))
+                part, keys, counts = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([row["block"]] * len(out), pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["part", "block", "keys", "counts"])
 
-def _histories(shared) -> Callable:
-    """Distinct successors of each history, and the base probability of those in the head."""
-
-    def run(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-        base = np.where(w >= 0, shared.value[np.maximum(w, 0)], 0.0) if len(shared.value) else np.zeros(len(w))
-        kinds, at = np.unique(h, return_inverse=True)
-        return {"h": kinds, "followers": np.bincount(at, minlength=len(kinds)), "covered": np.bincount(at, base, len(kinds))}
-
-    return _of_pairs(run)
+    return run
 
 
-def _rare_followers(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-    return {"h": h[w < 0], "code": w[w < 0]}
+def _answerer(parts: int) -> Callable:
+    """Of each part the summed counts that each block asks for, in its order; ``kinds`` counts the words that were learned."""
 
+    def run(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        order, p = divmod(part, parts)
+        low = (p << BITS[order]) // parts
+        keys = [U64(low) + np.cumsum(unpacked(x), dtype=np.uint64) for x in group.column("keys").to_pylist()]
+        sizes = [len(x) for x in keys]
+        keys, counts = np.concatenate(keys), np.concatenate([unpacked(x) for x in group.column("counts").to_pylist()])
+        ranks = np.argsort(keys)
+        keys = keys[ranks]
+        new = np.append(True, keys[1:] != keys[:-1])
+        sums = np.add.reduceat(counts[ranks], np.flatnonzero(new))
+        counts[ranks] = sums[np.cumsum(new) - 1]
+        kinds = np.zeros(len(sizes), np.int64)
+        kinds[0] = int((sums > 0).sum()) if order == 0 else 0
+        answers = [packed(x) for x in np.split(counts, np.cumsum(sizes)[:-1])]
+        return pa.table([group.column("block"), group.column("part"), pa.array(answers, pa.binary()), pa.array(kinds)], names=["block", "part", "counts", "kinds"])
 
-def _frequent(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-    at = (h >= 0) & (w >= 0) & (n >= LEAST_ARC)
-    return {"key": (h[at] << 32) | w[at], "n": n[at]}
+    return run
 
 
-def most_frequent(counts: DataFrame, most: int, least: int = 1) -> DataFrame:
-    """Rows of the highest counts ``n``, at most ``most`` of them: a threshold from a bounded histogram, no sort.
+class Slice:
+    """The part of the automaton that the texts of a block can touch.
 
-    It chooses what is broadcast; callers look up the rest elsewhere.
+    State 0 is the empty history, states 1 to D the D words, and the further ones the pairs.  ``arcs`` holds
+    (state x D + word) of all states but 0, sorted, with ``weight`` and ``to``; state 0 has an arc for each word, with
+    ``base`` and ``after``.  ``back`` and ``failure`` are the goal and weight of each state's failure arc.
     """
-    level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
-    rows = counts.filter(F.col("n") >= least)
-    kept, floor = 0, 1 << 20
-    for r in sorted(rows.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # about 1000 levels at most
-        if kept + r["count"] > most:
-            break
-        kept, floor = kept + r["count"], r["level"]
-    return rows.filter(level >= floor)
-
-
-@dataclass
-class Automaton:
-    """``words``: sorted hashes of the head; ``unigram``: log10 (c + 1); ``state``: of each head word."""
-
-    words: np.ndarray
-    unigram: np.ndarray
-    state: np.ndarray
-    failure: np.ndarray  # log10 weight of each state's failure arc
-    arcs: np.ndarray  # sorted (state << 32 | head word)
-    weights: np.ndarray  # log10 probability of each arc
-    total: float  # log10 (N + V + 1)
-    tokens: int
-    spread: np.ndarray  # head words whose pairs are dealt by both words
-    parts: int  # parts of the pair table
-
-
-def _arrays(df: DataFrame, *columns: str) -> list[np.ndarray]:
-    found = df.select(*columns).toArrow()  # bounded tables; Arrow holds them without a Python object for each value
-    return [found.column(c).to_numpy().astype(np.int64, copy=False) for c in columns]
 
-
-def train(documents: DataFrame, keep: Column) -> tuple[Automaton, DataFrame]:
-    """The automaton and the table (code, n, failure) of the rare words, from the documents that pass ``keep``.
-
-    The table's attribute ``pairs`` is the table of all pairs.
-    """
-    spark = documents.sparkSession
-    with scratch(spark) as hold:
-        model, rare = _train(documents, keep)
-        hold(rare.pairs)
-        hold(rare)
-    spark.sparkContext._jvm.System.gc()  # shuffle files go when the driver collects the plans of their stages
-    return model, rare
-
-
-def _train(documents: DataFrame, keep: Column) -> tuple[Automaton, DataFrame]:
-    spark = documents.sparkSession
-    share = spark.sparkContext.broadcast
-    texts = documents.filter(keep & F.col("doc_id").isNotNull()).select("text")
-    counts = written(texts.mapInArrow(_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
-    n_tokens, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    total = math.log10(n_tokens + n_types + 1)
-
-    key, n = _arrays(most_frequent(counts, HEAD), "key", "n")
-    order = np.argsort(key.view(np.uint64))
-    words, n = key.view(np.uint64)[order], n[order]
-    parts = 16 + n_tokens // PART_TOKENS
-    spread = n > n_tokens / (8 * parts)
-    pairs = texts.mapInArrow(_pairs(share((words, spread, parts))), PAIR_TABLE)
-    pairs = written(pairs.groupBy("part").applyInArrow(_merged, PAIR_TABLE), "pairs")
-
-    rare = counts.filter(F.col("n") < int(n.min())) if len(n) else counts  # the head takes all words of a count or none
-    rare = rare.select(F.col("key").bitwiseOR(F.lit(-(1 << 63))).alias("code"), "n")
-    followers = pairs.mapInArrow(_of_pairs(_rare_followers), "h long, code long").join(rare, "code")
-    covered = followers.groupBy("h").agg(F.lit(0).cast("long").alias("followers"), F.sum((F.col("n") + 1) / 10**total).alias("covered"))
-    histories = pairs.mapInArrow(_histories(share((n + 1) / 10**total)), "h long, followers long, covered double").unionByName(covered)
-    histories = written(histories.groupBy("h").agg(F.sum("followers").alias("followers"), F.sum("covered").alias("covered")), "histories")
-
-    at, followers, covered = (c.to_numpy() for c in histories.filter("h >= 0").toArrow().columns) if len(words) else [np.zeros(0, np.int64)] * 3
-    failure = np.zeros(len(words) + 1)
-    failure[at + 1] = np.log10(np.maximum(DISCOUNT * followers / n[at], 1e-12) / np.maximum(1 - covered, 1e-12))
-    left = F.log10(F.greatest(DISCOUNT * F.col("followers") / F.col("n"), F.lit(1e-12)) / F.greatest(1 - F.col("covered"), F.lit(1e-12)))
-    rare = written(rare.join(histories.withColumnRenamed("h", "code"), "code", "left").select("code", "n", left.alias("failure")), "rare")
-    rare.pairs = pairs
-
-    pair, times = _arrays(most_frequent(written(pairs.mapInArrow(_of_pairs(_frequent), "key long, n long"), "frequent"), ARCS, LEAST_ARC), "key", "n")
-    order = np.argsort(pair)
-    pair, times = pair[order], times[order]
-    weights = np.log10((times - DISCOUNT) / n[pair >> 32])
-    return Automaton(words, np.log10(n + 1.0), np.arange(1, len(words) + 1, dtype=np.int32), failure, pair + (1 << 32), weights, total, int(n_tokens), spread, int(parts)), rare
-
-
-def traverse(model: Automaton, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log10 base numerator (without rare words' counts) of every token, log10 score of those with a broadcast arc, and which those are."""
-    base = np.where(w >= 0, model.unigram[np.maximum(w, 0)], 0.0) if len(model.words) else np.zeros(len(w))
-    score, done = np.zeros(len(w)), np.zeros(len(w), bool)
-    may = np.flatnonzero((h >= 0) & (w >= 0))
-    if len(may) and len(model.arcs):
-        want = (model.state[h[may]].astype(np.int64) << 32) | w[may]
-        place = np.minimum(np.searchsorted(model.arcs, want), len(model.arcs) - 1)
-        hit = model.arcs[place] == want
-        score[may[hit]], done[may[hit]] = model.weights[place[hit]], True
-    return base, score, done
-
-
-#: What the lookup of a part hands back: a document as it came in, sums for a row, or a rare word that a row asks for.
-DOCUMENT, SUM, WORD_UNSEEN, WORD_SEEN, HISTORY_SEEN, HISTORY_UNSEEN = range(6)
-
-
-def _scorer(shared) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        find = Lookup(model.words)
-        end = codes_of(find, np.array([END]))[0]
-        held: list[tuple[np.ndarray, ...]] = []
-        names = ["part", "doc_id", "row", "n_tokens", "n_head", "base", "model", "h", "w", "rows"]
-
-        def passed_on(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-            h, w, row = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            out = [(part, *x) for part, x in dealt(parts_of(h, w, model.spread, model.parts), h, w, row)]
-            none = [pa.nulls(len(out), t) for t in (kind, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *none, *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3))], names=names)
-
-        size, kind = 0, None
-        for batch in batches:
-            ids, rows = column_of(batch, "doc_id"), column_of(batch, "row").to_numpy()
-            kind = ids.type
-            for lo, hi, b in blocks(column_of(batch, "text")):
-                keys, offs = tokens(b)
-                w = codes_of(find, keys)
-                h = before(w, offs, end)
-                base, score, done = traverse(model, h, w)
-                score = np.where(done, score, base - model.total)
-                n, row = np.diff(offs), rows[lo:hi]
-                todo = ~done
-                held.append((h[todo], w[todo], np.repeat(row, n)[todo]))
-                size += int(todo.sum())
-                sums = [np.add.reduceat(x, offs[:-1]) for x in ((w >= 0).astype(np.int64), base, score)]
-                part = -1 - row % model.parts
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part.astype(np.int32)), ids.slice(lo, hi - lo), pa.array(row), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1] - n * model.total), pa.array(sums[2]), *[pa.nulls(hi - lo, pa.binary())] * 3],
-                    names=names,
-                )
-                if size > PACKED:
-                    yield from passed_on(kind)
-                    size = 0
-        if held:
-            yield from passed_on(kind)
+    def __init__(self, texts: Encoded, counts: list[np.ndarray], room: float, strength: float = STRENGTH):
+        one, two, three = (c.astype(np.float64) for c in counts)
+        keys = texts.keys()
+        d = len(texts.words)
+        pair = np.searchsorted(distinct(keys[1], np.zeros(len(keys[1]), bool))[0], keys[1])
+        triple = np.searchsorted(distinct(keys[2], np.zeros(len(keys[2]), bool))[0], keys[2])
+        older, newer = np.zeros(len(two), np.int64), np.zeros(len(two), np.int64)
+        older[pair], newer[pair] = texts.before, texts.codes
+        history, last = np.zeros(len(three), np.int64), np.zeros(len(three), np.int64)
+        history[triple], last[triple] = pair[texts.inner - 1], pair[texts.inner]
+
+        p1 = (one + 1) / room
+        p2 = (two + strength * p1[newer]) / (one[older] + strength)
+        p3 = (three + strength * p2[last]) / (two[history] + strength)
+        self.after = np.where(one > 0, 1 + np.arange(d), 0)
+        self.base = np.log10(p1)
+        # The state after each pair, and after each token of the texts; nothing goes on past the end of a text.
+        state = np.where((two > 0) & (newer != texts.end), 1 + d + np.arange(len(two)), self.after[newer])
+        self.reached = state[pair]
+        twos, threes = np.flatnonzero(two > 0), np.flatnonzero(three > 0)
+        arcs = np.concatenate([(1 + older[twos]) * d + newer[twos], (1 + d + history[threes]) * d + newer[last[threes]]])
+        order = np.argsort(arcs)
+        self.arcs = arcs[order]
+        self.weight = np.log10(np.concatenate([p2[twos], p3[threes]]))[order]
+        self.to = np.concatenate([state[twos], state[last[threes]]])[order]
+        self.back = np.concatenate([[0], np.zeros(d, np.int64), 1 + newer])
+        self.failure = np.log10(strength / (np.concatenate([[0], one, two]) + strength))
+        self.words = d
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, next state) of one token from each state."""
+        gain, goal = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        todo = np.arange(len(state))
+        while len(todo):
+            root = state == 0
+            at, now = todo[root], word[root]
+            gain[at] += self.base[now]
+            goal[at] = self.after[now]
+            todo, state, word = todo[~root], state[~root], word[~root]
+            if not len(todo):
+                break
+            wanted = state * self.words + word
+            place = np.searchsorted(self.arcs, wanted)
+            place[place == len(self.arcs)] = 0
+            hit = self.arcs[place] == wanted if len(self.arcs) else np.zeros(len(todo), bool)
+            at, place = todo[hit], place[hit]
+            gain[at] += self.weight[place]
+            goal[at] = self.to[place]
+            todo, state, word = todo[~hit], state[~hit], word[~hit]
+            gain[todo] += self.failure[state]
+            state = self.back[state]
+        return gain, goal
+
+    def read(self, texts: Encoded) -> np.ndarray:
+        """Log10 probability of each text, its pieces read side by side from left to right."""
+        n = -(-texts.sizes // PIECE)
+        text = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        start = texts.offs[text] + place * PIECE
+        size = np.minimum(texts.offs[text + 1] - start, PIECE)
+        state = np.where(place > 0, self.reached[start - 1], self.after[texts.end])
+        order = np.argsort(-size, kind="stable")
+        start, state, active = start[order], state[order], -size[order]
+        sums = np.zeros(len(start))
+        for k in range(PIECE):
+            on = int(np.searchsorted(active, -k))  # pieces of more than k tokens
+            if not on:
+                break
+            gain, state[:on] = self.step(state[:on], texts.codes[start[:on] + k])
+            sums[:on] += gain
+        return np.bincount(text[order], sums, len(n))
+
+
+def _reader(n_tokens: int, n_types: int, strength: float, kind: pa.DataType) -> Callable:
+    def run(group: pa.Table) -> pa.Table:
+        encoded = group.filter(group.column("codes").is_valid())
+        row = {c: encoded.column(c)[0].as_py() for c in ("train", "sizes", "words", "codes")}
+        ids = encoded.column("ids").combine_chunks().flatten() if encoded.column("ids").num_chunks != 1 else encoded.column("ids").chunk(0).flatten()
+        texts, _ = _read(row)
+        answers = group.filter(group.column("counts").is_valid())
+        found = [unpacked(x) for _, x in sorted(zip(answers.column("part").to_pylist(), answers.column("counts").to_pylist()))]
+        sizes = [len(distinct(k, np.zeros(len(k), bool))[0]) for k in texts.keys()]
+        counts = np.split(np.concatenate(found), np.cumsum(sizes)[:-1])
+        model = Slice(texts, counts, n_tokens + n_types + 1.0, strength)
+        known, base = (np.add.reduceat(x[texts.codes], texts.first) for x in ((counts[0] > 0).astype(np.int64), model.base))
+        return pa.table([ids.cast(kind), pa.array(texts.sizes), pa.array(known), pa.array(np.full(len(ids), n_tokens, np.int64)), pa.array(base), pa.array(model.read(texts))], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def _looked_up(shared) -> Callable:
-    def run(group: pa.Table) -> pa.Table:
-        names = ["doc_id", "row", "n_tokens", "n_head", "base", "model", "kind", "code"]
-        if group.column("part")[0].as_py() < 0:
-            return pa.table([*(group.column(k) for k in names[:6]), pa.array(np.full(len(group), DOCUMENT, np.int32)), pa.nulls(len(group), pa.int64())], names=names)
-        model = shared.value
-        pairs, asks = group.filter(group.column("n").is_valid()), group.filter(group.column("n").is_null())
-        ph, pw, pn = (unpacked(pairs.column(k)) for k in ("h", "w", "n"))
-        h, w, row = (unpacked(asks.column(k)) for k in ("h", "w", "rows"))
-        keys = pair_keys(ph, pw)
-        order = np.argsort(keys)
-        at = Lookup(keys[order])(pair_keys(h, w))
-        seen = at >= 0
-        times = np.where(seen, pn[order][at], 0) if len(pn) else np.zeros(len(h), np.int64)
-        head_h, head_w = h >= 0, w >= 0
-        numerator = np.zeros(len(h))
-        numerator[head_w] = model.unigram[w[head_w]]
-        value = np.where(seen, np.log10(np.maximum(times, 1) - DISCOUNT) - numerator + model.total, 0.0)
-        value[head_h & seen] -= np.log10(np.rint(10 ** model.unigram[h[head_h & seen]]) - 1)
-        value[head_h & ~seen] += model.failure[h[head_h & ~seen] + 1]
-        kinds, place = np.unique(row, return_inverse=True)
-        asked = [(WORD_UNSEEN, ~head_w & ~seen, w), (WORD_SEEN, ~head_w & seen, w), (HISTORY_SEEN, ~head_h & seen, h), (HISTORY_UNSEEN, ~head_h & ~seen, h)]
-        rows = np.concatenate([kinds, *(row[m] for _, m, _ in asked)])
-        kind = np.concatenate([np.full(len(kinds), SUM), *(np.full(m.sum(), k) for k, m, _ in asked)]).astype(np.int32)
-        code = np.concatenate([np.zeros(len(kinds), np.int64), *(x[m] for _, m, x in asked)])
-        sums = np.append(np.bincount(place, value, len(kinds)), np.zeros(len(rows) - len(kinds)))
-        none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.float64())]
-        return pa.table([pa.nulls(len(rows), group.schema.field("doc_id").type), pa.array(rows), *none, pa.array(sums), pa.array(kind), pa.array(code)], names=names)
-
-    return run
+def score(documents: DataFrame, keep: Column, strength: float = STRENGTH) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document, learned from those that pass ``keep``."""
+    with scratch(documents.sparkSession) as hold:
+        return hold(written(_scored(documents, keep, strength), "scores"))
 
 
-def score(documents: DataFrame, model: Automaton, rare: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def _scored(documents: DataFrame, keep: Column, strength: float) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
-    sums = f"doc_id {kind}, row long, n_tokens long, n_head long, base double, model double"
-    rows = documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    rows = rows.mapInArrow(_scorer(shared), f"part int, {sums}, h binary, w binary, rows binary")
-    found = rows.unionByName(rare.pairs, allowMissingColumns=True).groupBy("part").applyInArrow(_looked_up(shared), f"{sums}, kind int, code long")
-    found = written(found, "found")
-    k, gain = F.col("kind"), F.log10(F.col("n") + 1.0)
-    asks = found.filter(k > SUM).select("row", "kind", "code").join(rare, "code").select(
-        "row", F.when(k <= WORD_SEEN, 1).otherwise(0).cast("long").alias("n_head"), F.when(k <= WORD_SEEN, gain).alias("base"),
-        F.when(k == WORD_UNSEEN, gain).when(k == HISTORY_SEEN, -F.log10("n")).when(k == HISTORY_UNSEEN, F.col("failure")).alias("model"),
-    )
-    out = found.filter(k <= SUM).drop("kind", "code").unionByName(asks, allowMissingColumns=True)
-    out = out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_head", "base", "model")))
-    return out.select("doc_id", "n_tokens", F.col("n_head").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))
+    train = F.coalesce(keep, F.lit(False)) & F.col("doc_id").isNotNull()
+    texts = documents.select("doc_id", "text", train.alias("train"))
+    encoded = written(texts.mapInArrow(_encoder, f"ids array<{kind}>, {_BLOCK}"), "encoded")
+    n_train, n_tokens = encoded.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    parts = 4 + n_tokens // PART_TOKENS
+    asked = encoded.drop("ids", "n_train", "n_tokens").mapInArrow(_asker(parts), "part int, block long, keys binary, counts binary")
+    answers = written(asked.groupBy("part").applyInArrow(_answerer(parts), "block long, part int, counts binary, kinds long"), "answers")
+    n_types = answers.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    both = encoded.drop("n_train", "n_tokens").unionByName(answers.drop("kinds"), allowMissingColumns=True)
+    schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return both.groupBy("block").applyInArrow(_reader(int(n_train), int(n_types), strength, _arrow_type(documents)), schema)
+
+
+def _arrow_type(documents: DataFrame) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(documents.schema["doc_id"].dataType)

@@ -47,8 +47,7 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    model, counts = lm_score.train(documents, ~is_fold(F.col("doc_id"), 7, 2))
-    scored = lm_score.score(documents, model, counts)
+    scored = lm_score.score(documents, ~is_fold(F.col("doc_id"), 7, 2))
     return scored.select("doc_id", is_fold(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -151,72 +151,100 @@ def test_vote_model_finds_the_bad_class():
     assert ((p >= 0.5) == good).mean() > 0.97 and abs(model["prior"] - 0.85) < 0.03
 
 
+def plain_scores(rows, learn, strength):
+    """Scores by smoothing over plain counters of words, pairs and triples."""
+    from collections import Counter
+
+    texts = {i: [None, *words((t or "").translate(ASCII_LOWER)), None] for i, t in rows}
+    trained = [t for i, t in texts.items() if learn(i)]
+    one = Counter(w for t in trained for w in t[1:])
+    two = Counter(p for t in trained for p in zip(t, t[1:]))
+    three = Counter(p for t in trained for p in zip(t, t[1:], t[2:]))
+    room = sum(one.values()) + len(one) + 1
+    p1 = lambda w: (one[w] + 1) / room
+    p2 = lambda v, w: (two[v, w] + strength * p1(w)) / (one[v] + strength)
+    p3 = lambda u, v, w: (three[u, v, w] + strength * p2(v, w)) / (two[u, v] + strength)
+    out = {}
+    for i, t in texts.items():
+        model = math.log10(p2(t[0], t[1])) + sum(math.log10(p3(*x)) for x in zip(t, t[1:], t[2:]))
+        out[i] = (len(t) - 1, sum(w in one for w in t[1:]), sum(one.values()), sum(math.log10(p1(w)) for w in t[1:]), model)
+    return out
+
+
+def same_scores(got, wanted):
+    assert len(got) == len(wanted)
+    for i, row in wanted.items():
+        assert got[i][:3] == row[:3] and all(abs(a - b) < 1e-6 for a, b in zip(got[i][3:], row[3:]))
+
+
 def test_lm_scores(spark):
-    rows, df = random_documents(spark, 6)
     from pyspark.sql import functions as F
 
     from basketloom.llm.holdout import is_fold
 
-    lm_score.HEAD, head = 64, lm_score.HEAD  # most words are then rare, and joined
-    try:
-        model, counts = lm_score.train(df, ~is_fold(F.col("doc_id"), 7, 2))
-        got = {r.doc_id: tuple(r)[1:] for r in lm_score.score(df, model, counts).collect()}
-    finally:
-        lm_score.HEAD = head
-    held = {i: words(t.translate(ASCII_LOWER)) + [None] for i, t in rows}
-    from collections import Counter
-
-    c = Counter(w for i, t in held.items() if fold(i, 7) != 2 for w in t)
-    n, v = sum(c.values()), len(c)
-    for i, t in held.items():
-        n_tokens, n_known, train, base, score = got[i]
-        assert (n_tokens, n_known, train) == (len(t), sum(w in c for w in t), n)
-        assert abs(base - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) < 1e-6
-        assert score < 0
+    rows, df = random_documents(spark, 6)
+    got = {r.doc_id: tuple(r)[1:] for r in lm_score.score(df, ~is_fold(F.col("doc_id"), 7, 2)).collect()}
+    same_scores(got, plain_scores(rows, lambda i: fold(i, 7) != 2, lm_score.STRENGTH))
 
 
-@pytest.mark.parametrize("head, arcs", [(1 << 20, 1 << 20), (1 << 20, 8), (12, 1 << 20), (12, 3), (0, 0)])
-def test_lm_scores_use_every_pair(spark, monkeypatch, head, arcs):
-    """Scores against backoff over plain counters of all words and pairs, whatever is broadcast."""
-    from collections import Counter
-
+@pytest.mark.parametrize("block, part, piece", [(700_000, 2_000_000, 192), (30, 50, 4), (1, 7, 1), (200, 10, 3)])
+def test_lm_scores_use_every_count(spark, monkeypatch, block, part, piece):
+    """Whatever texts share a block, however counts are dealt, and wherever texts are cut."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(lm_score, "HEAD", head)
-    monkeypatch.setattr(lm_score, "ARCS", arcs)
-    monkeypatch.setattr(lm_score, "PART_TOKENS", 100)
+    monkeypatch.setattr(lm_score, "PART_TOKENS", part)
+    monkeypatch.setattr(lm_score, "PIECE", piece)
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", block)
     rng = random.Random(11)
     rows = [(k, " ".join(f"v{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randint(0, 40)))) for k in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    model, rare = lm_score.train(df, F.col("doc_id") % 4 != 0)
-    got = {r.doc_id: r.score for r in lm_score.score(df, model, rare).collect()}
-    held = {i: [None, *t.split(), None] for i, t in rows}
-    c = Counter(w for i, t in held.items() if i % 4 for w in t[1:])
-    pairs = Counter(p for i, t in held.items() if i % 4 for p in zip(t, t[1:]))
-    room = sum(c.values()) + len(c) + 1
-    after = {}
-    for h, w in pairs:
-        after.setdefault(h, []).append(w)
-    failure = {h: 0.75 * len(ws) / c[h] / (1 - sum(c[w] + 1 for w in ws) / room) for h, ws in after.items()}
-    for i, t in held.items():
-        wanted = sum(math.log10((pairs[h, w] - 0.75) / c[h] if (h, w) in pairs else failure.get(h, 1) * (c[w] + 1) / room) for h, w in zip(t, t[1:]))
-        assert abs(got[i] - wanted) < 1e-6
-    assert len(got) == 80 and min(pairs.values()) == 1
-
-
-def test_automaton_sums_to_one(spark):
-    """From every state the arcs and the failure arc share out all probability."""
-    text = "the cat sat on the mat the cat ran the dog sat on the cat"
-    df = spark.createDataFrame([(k, text) for k in range(9)], "doc_id long, text string")
-    from pyspark.sql import functions as F
-
-    model, _ = lm_score.train(df, F.lit(True))
-    unigram = 10 ** (model.unigram - model.total)
-    assert model.state.max() > 3 and abs(unigram.sum() + 10**-model.total - 1) < 1e-9
-    for state in range(1, model.state.max() + 1):
-        mine = model.arcs >> 32 == state
-        total = (10 ** model.weights[mine]).sum() + 10 ** model.failure[state] * (1 - unigram[model.arcs[mine] & 0xFFFFFFFF].sum())
-        assert abs(total - 1) < 1e-9
+    got = {r.doc_id: tuple(r)[1:] for r in lm_score.score(df, F.col("doc_id") % 4 != 0, 1.5).collect()}
+    same_scores(got, plain_scores(rows, lambda i: i % 4 != 0, 1.5))
+
+
+def slice_of(texts, learned):
+    """The automaton slice of ``texts`` with the counts of ``learned``, and the texts encoded."""
+    made = []
+    for group in (texts + learned, learned):
+        (_, _, b), *_ = textblocks.blocks(pa.array(group))
+        tokens = lm_score.tokens(b)
+        made.append((tokens, b.n_words + 1))
+    words, codes = np.unique(made[0][0], return_inverse=True)
+    both = lm_score.Encoded(words, codes, made[0][1])
+    learn = np.arange(len(texts + learned)) >= len(texts)
+    counts = [c for _, c in both.grams(learn)]
+    return lm_score.Slice(both, counts, float(len(made[1][0]) + len(np.unique(made[1][0])) + 1)), both
+
+
+def test_automaton_sums_to_one():
+    """From every state the arcs and the failure arc share out all probability; states carry two words."""
+    model, texts = slice_of([], ["the cat sat on the mat the cat ran the dog sat on the cat", "a cat", ""])
+    rest = 1 - (10**model.base).sum()  # of all words never seen
+    states = np.unique(np.append(model.reached, model.back))
+    assert states.max() > model.words and 0 < rest < 0.1
+    for state in states:
+        gain, to = model.step(np.full(model.words, state), np.arange(model.words))
+        lost, at = 0.0, state
+        while at:
+            lost, at = lost + model.failure[at], model.back[at]
+        assert abs((10**gain).sum() + 10**lost * rest - 1) < 1e-9
+        seen = np.isin(state * model.words + np.arange(model.words), model.arcs) & (np.arange(model.words) != texts.end)
+        assert (to[seen] > model.words).all() and to[texts.end] == model.after[texts.end]
+
+
+def test_automaton_carries_its_state():
+    """Each text read token by token, one state after the other, against the pieces read side by side."""
+    rng = random.Random(3)
+    group = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 500))) for _ in range(12)]
+    model, texts = slice_of(group[:6], group[6:])
+    whole = model.read(texts)
+    for k in range(len(group)):
+        state, total = model.after[texts.end], 0.0
+        for t in range(texts.offs[k], texts.offs[k + 1]):
+            gain, to = model.step(np.array([state]), texts.codes[t : t + 1])
+            state, total = int(to[0]), total + gain[0]
+            assert state == model.reached[t]
+        assert abs(total - whole[k]) < 1e-6
 
 
 def test_mixing(spark):
@@ -261,8 +289,7 @@ def test_awkward_documents(spark):
     assert mixing.mix(df).count() == len(rows)
     from pyspark.sql import functions as F
 
-    model, counts = lm_score.train(df, F.lit(True))
-    scored = lm_score.score(df, model, counts).collect()
+    scored = lm_score.score(df, F.lit(True)).collect()
     assert sorted(r.n_tokens for r in scored) == sorted(len(words(t)) + 1 for _, t in rows) and all(r.n_known <= r.n_tokens for r in scored)
     kept = shingle_join.one_of_each(df)
     assert kept.columns == df.columns and kept.filter("text is null or trim(text) = ''").count() >= 2
@@ -275,8 +302,7 @@ def test_empty_tables(spark):
 
     assert shingle_join.component_ids(df).count() == 0 and shingle_join.one_of_each(df).count() == 0
     assert substring_dedup.digest(df).count() == 0 and quality_rules.rate(df).count() == 0 and mixing.mix(df).count() == 0
-    model, counts = lm_score.train(df, F.lit(True))
-    assert lm_score.score(df, model, counts).count() == 0
-    scored = lm_score.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model, counts).first()
+    assert lm_score.score(df, F.lit(True)).count() == 0
+    scored = lm_score.score(spark.createDataFrame([("1", "a b")], "doc_id string, text string"), F.lit(False)).first()
     assert (scored.n_tokens, scored.n_known, scored.train_tokens, scored.base_score, scored.score) == (3, 0, 0, 0.0, 0.0)
     assert shingles("") == frozenset()
