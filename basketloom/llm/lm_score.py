@@ -21,8 +21,9 @@ costs one entry for each block; nothing is broadcast but two numbers.
 
 Nulls, empty tables and odd rows: a null text counts as empty, which is scored as its end alone.  Rows without
 id are scored, never learned from.  Without training texts N and V are 0 and every token has log10 probability
-0.  Repeated rows are counted and scored each.  Words are told apart by 63-bit hashes, longer n-grams by 56-bit
-ones.  Other columns are not looked at.
+0.  Repeated rows are counted and scored each.  Words are told apart by 63-bit hashes, longer n-grams by hashes of
+``SPARE`` bits more than the number of tokens has (a chance below one in a million for each to share another's
+count).  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -40,13 +41,13 @@ from .store import scratch, written
 from .textblocks import Block, U64, blocks, column_of, mix
 
 #: Tokens whose weight the estimate after the shorter history has.
-STRENGTH = 4.0
+STRENGTH = 16.0
 #: Tokens of a block (a longer text is a block of its own), and tokens for each part of the key range.
 BLOCK_TOKENS, PART_TOKENS = 700_000, 2_000_000
 #: Tokens that are read one after the other; a text is cut into pieces of so many.
 PIECE = 192
-#: Bits of the keys of one, two and three tokens.
-BITS = (63, 56, 56)
+#: Bits of the keys of two and three tokens beyond those of the number of tokens; keys of one token have ``WORD`` bits.
+SPARE, WORD = 20, 63
 END = mix(np.array([0xE0F], np.uint64))[0]
 
 _ZSTD = pa.Codec("zstd", 1)
@@ -82,10 +83,19 @@ def distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return kinds[first], np.add.reduceat(ranked & U64(1), first) if len(first) else kinds
 
 
+def ranks(keys: np.ndarray) -> np.ndarray:
+    """Place of each key among the sorted distinct ones."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    out = np.zeros(len(keys), np.int64)
+    out[order[1:]] = np.cumsum(ranked[1:] != ranked[:-1])
+    return out
+
+
 class Encoded:
     """Texts of a block as places of their tokens in ``words``; ``sizes`` counts each text's tokens."""
 
-    def __init__(self, words: np.ndarray, codes: np.ndarray, sizes: np.ndarray):
+    def __init__(self, words: np.ndarray, codes: np.ndarray, sizes: np.ndarray, bits: int = WORD):
         self.words, self.codes, self.sizes = words, codes, sizes
         self.offs = np.append(0, np.cumsum(sizes))
         self.first = self.offs[:-1]
@@ -93,27 +103,25 @@ class Encoded:
         self.before = np.empty_like(codes)
         self.before[1:] = codes[:-1]
         self.before[self.first] = self.end
+        inner = np.ones(len(codes), bool)
+        inner[self.first] = False
         #: Tokens with two tokens before them, the end of the text before counted as one.
-        self.inner = np.ones(len(codes), bool)
-        self.inner[self.first] = False
-        self.inner = np.flatnonzero(self.inner)
-
-    def keys(self) -> list[np.ndarray]:
-        """Keys of the n-grams that end at each token (the longest: at each of ``inner``)."""
-        one = self.words[self.codes]
-        two = mix(mix(self.words[self.before] + U64(1)) * U64(0x9E3779B97F4A7C15) + one)
+        self.inner = np.flatnonzero(inner)
+        one = words[codes]
+        two = mix(mix(words[self.before] + U64(1)) * U64(0x9E3779B97F4A7C15) + one)
         three = mix(mix(two[self.inner - 1] + U64(2)) * U64(0xC2B2AE3D27D4EB4F) + one[self.inner])
-        return [one, two >> U64(64 - BITS[1]), three >> U64(64 - BITS[2])]
+        #: Keys of the n-grams that end at each token (the longest: at each of ``inner``).
+        self.keys = [one, two >> U64(64 - bits), three >> U64(64 - bits)]
 
     def grams(self, train: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Distinct keys and training counts of each order; ``train`` marks the texts to learn from."""
         learn = np.repeat(train, self.sizes)
-        for k, keys in enumerate(self.keys()):
+        for k, keys in enumerate(self.keys):
             yield distinct(keys, learn[self.inner] if k == 2 else learn)
 
 
-def bounds(order: int, parts: int) -> np.ndarray:
-    return np.array([(p << BITS[order]) // parts for p in range(parts + 1)], np.uint64)
+def bounds(bits: int, parts: int) -> np.ndarray:
+    return np.array([(p << bits) // parts for p in range(parts + 1)], np.uint64)
 
 
 _BLOCK = "block long, train binary, sizes binary, words binary, codes binary, n_train long, n_tokens long"
@@ -126,7 +134,10 @@ def _encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def taken() -> pa.RecordBatch:
         ids, train, sizes, hashes = zip(*held)
         train, sizes = np.concatenate(train), np.concatenate(sizes)
-        words, codes = np.unique(np.concatenate(hashes), return_inverse=True)
+        hashes = np.concatenate(hashes)
+        codes = ranks(hashes)
+        words = np.zeros(int(codes.max()) + 1, np.uint64)
+        words[codes] = hashes
         ids = pa.concat_arrays(ids)
         ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
         binary = [pa.array([x], pa.binary()) for x in (packed(train), packed(sizes), packed(np.diff(words, prepend=U64(0))), packed(codes))]
@@ -146,22 +157,21 @@ def _encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield taken()
 
 
-def _read(row: dict) -> tuple[Encoded, np.ndarray]:
+def _read(row: dict, bits: int) -> Encoded:
     words = np.cumsum(unpacked(row["words"]), dtype=np.uint64)
-    return Encoded(words, unpacked(row["codes"]).astype(np.int64), unpacked(row["sizes"]).astype(np.int64)), unpacked(row["train"]).astype(bool)
+    return Encoded(words, unpacked(row["codes"]).astype(np.int64), unpacked(row["sizes"]).astype(np.int64), bits)
 
 
-def _asker(parts: int) -> Callable:
+def _asker(parts: int, bits: int) -> Callable:
     """Of each block the n-grams of each part, with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = [bounds(k, parts) for k in range(3)]
+        edges = [bounds(k, parts) for k in (WORD, bits, bits)]
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: column_of(batch, c)[k].as_py() for c in ("block", "train", "sizes", "words", "codes")}
-                texts, train = _read(row)
                 out = []
-                for order, (keys, counts) in enumerate(texts.grams(train)):
+                for order, (keys, counts) in enumerate(_read(row, bits).grams(unpacked(row["train"]).astype(bool))):
                     cuts = np.searchsorted(keys, edges[order])
                     for p in np.flatnonzero(cuts[1:] > cuts[:-1]):
                         mine = slice(cuts[p], cuts[p + 1])
@@ -172,13 +182,13 @@ def _asker(parts: int) -> Callable:
     return run
 
 
-def _answerer(parts: int) -> Callable:
+def _answerer(parts: int, bits: int) -> Callable:
     """Of each part the summed counts that each block asks for, in its order; ``kinds`` counts the words that were learned."""
 
     def run(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
         order, p = divmod(part, parts)
-        low = (p << BITS[order]) // parts
+        low = (p << (bits if order else WORD)) // parts
         keys = [U64(low) + np.cumsum(unpacked(x), dtype=np.uint64) for x in group.column("keys").to_pylist()]
         sizes = [len(x) for x in keys]
         keys, counts = np.concatenate(keys), np.concatenate([unpacked(x) for x in group.column("counts").to_pylist()])
@@ -205,10 +215,8 @@ class Slice:
 
     def __init__(self, texts: Encoded, counts: list[np.ndarray], room: float, strength: float = STRENGTH):
         one, two, three = (c.astype(np.float64) for c in counts)
-        keys = texts.keys()
         d = len(texts.words)
-        pair = np.searchsorted(distinct(keys[1], np.zeros(len(keys[1]), bool))[0], keys[1])
-        triple = np.searchsorted(distinct(keys[2], np.zeros(len(keys[2]), bool))[0], keys[2])
+        pair, triple = map(ranks, texts.keys[1:])
         older, newer = np.zeros(len(two), np.int64), np.zeros(len(two), np.int64)
         older[pair], newer[pair] = texts.before, texts.codes
         history, last = np.zeros(len(three), np.int64), np.zeros(len(three), np.int64)
@@ -276,16 +284,17 @@ class Slice:
         return np.bincount(text[order], sums, len(n))
 
 
-def _reader(n_tokens: int, n_types: int, strength: float, kind: pa.DataType) -> Callable:
+def _reader(n_tokens: int, n_types: int, n_parts: int, bits: int, strength: float, kind: pa.DataType) -> Callable:
     def run(group: pa.Table) -> pa.Table:
         encoded = group.filter(group.column("codes").is_valid())
-        row = {c: encoded.column(c)[0].as_py() for c in ("train", "sizes", "words", "codes")}
+        row = {c: encoded.column(c)[0].as_py() for c in ("sizes", "words", "codes")}
         ids = encoded.column("ids").combine_chunks().flatten() if encoded.column("ids").num_chunks != 1 else encoded.column("ids").chunk(0).flatten()
-        texts, _ = _read(row)
+        texts = _read(row, bits)
         answers = group.filter(group.column("counts").is_valid())
-        found = [unpacked(x) for _, x in sorted(zip(answers.column("part").to_pylist(), answers.column("counts").to_pylist()))]
-        sizes = [len(distinct(k, np.zeros(len(k), bool))[0]) for k in texts.keys()]
-        counts = np.split(np.concatenate(found), np.cumsum(sizes)[:-1])
+        parts = answers.column("part").to_numpy()
+        order = np.argsort(parts)
+        found = [unpacked(x) for x in answers.column("counts").take(pa.array(order)).to_pylist()]
+        counts = [np.concatenate([x for x, p in zip(found, parts[order] // n_parts) if p == k] or [np.zeros(0, np.uint64)]) for k in range(3)]
         model = Slice(texts, counts, n_tokens + n_types + 1.0, strength)
         known, base = (np.add.reduceat(x[texts.codes], texts.first) for x in ((counts[0] > 0).astype(np.int64), model.base))
         return pa.table([ids.cast(kind), pa.array(texts.sizes), pa.array(known), pa.array(np.full(len(ids), n_tokens, np.int64)), pa.array(base), pa.array(model.read(texts))], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -305,13 +314,13 @@ def _scored(documents: DataFrame, keep: Column, strength: float) -> DataFrame:
     texts = documents.select("doc_id", "text", train.alias("train"))
     encoded = written(texts.mapInArrow(_encoder, f"ids array<{kind}>, {_BLOCK}"), "encoded")
     n_train, n_tokens = encoded.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    parts = 4 + n_tokens // PART_TOKENS
-    asked = encoded.drop("ids", "n_train", "n_tokens").mapInArrow(_asker(parts), "part int, block long, keys binary, counts binary")
-    answers = written(asked.groupBy("part").applyInArrow(_answerer(parts), "block long, part int, counts binary, kinds long"), "answers")
+    parts, bits = 4 + int(n_tokens) // PART_TOKENS, min(WORD, SPARE + int(n_tokens).bit_length())
+    asked = encoded.drop("ids", "n_train", "n_tokens").mapInArrow(_asker(parts, bits), "part int, block long, keys binary, counts binary")
+    answers = written(asked.groupBy("part").applyInArrow(_answerer(parts, bits), "block long, part int, counts binary, kinds long"), "answers")
     n_types = answers.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     both = encoded.drop("n_train", "n_tokens").unionByName(answers.drop("kinds"), allowMissingColumns=True)
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.groupBy("block").applyInArrow(_reader(int(n_train), int(n_types), strength, _arrow_type(documents)), schema)
+    return both.groupBy("block").applyInArrow(_reader(int(n_train), int(n_types), parts, bits, strength, _arrow_type(documents)), schema)
 
 
 def _arrow_type(documents: DataFrame) -> pa.DataType:
