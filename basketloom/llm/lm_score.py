@@ -113,11 +113,10 @@ class Encoded:
         #: Keys of the n-grams that end at each token (the longest: at each of ``inner``).
         self.keys = [one, two >> U64(64 - bits), three >> U64(64 - bits)]
 
-    def grams(self, train: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Distinct keys and training counts of each order; ``train`` marks the texts to learn from."""
+    def grams(self, train: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys and training counts of the n-grams of ``order + 1`` tokens; ``train`` marks the texts to learn from."""
         learn = np.repeat(train, self.sizes)
-        for k, keys in enumerate(self.keys):
-            yield distinct(keys, learn[self.inner] if k == 2 else learn)
+        return distinct(self.keys[order], learn[self.inner] if order == 2 else learn)
 
 
 def bounds(bits: int, parts: int) -> np.ndarray:
@@ -162,7 +161,7 @@ def _read(row: dict, bits: int) -> Encoded:
     return Encoded(words, unpacked(row["codes"]).astype(np.int64), unpacked(row["sizes"]).astype(np.int64), bits)
 
 
-def _asker(parts: int, bits: int) -> Callable:
+def _asker(parts: int, bits: int, orders: tuple[int, ...]) -> Callable:
     """Of each block the n-grams of each part, with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,13 +169,14 @@ def _asker(parts: int, bits: int) -> Callable:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: column_of(batch, c)[k].as_py() for c in ("block", "train", "sizes", "words", "codes")}
-                out = []
-                for order, (keys, counts) in enumerate(_read(row, bits).grams(unpacked(row["train"]).astype(bool))):
+                out, texts, train = [], _read(row, bits), unpacked(row["train"]).astype(bool)
+                for order in orders:
+                    keys, counts = texts.grams(train, order)
                     cuts = np.searchsorted(keys, edges[order])
                     for p in np.flatnonzero(cuts[1:] > cuts[:-1]):
                         mine = slice(cuts[p], cuts[p + 1])
                         out.append((order * parts + int(p), packed(np.diff(keys[mine], prepend=edges[order][p])), packed(counts[mine])))
-                part, keys, counts = zip(*out)
+                part, keys, counts = zip(*out) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([row["block"]] * len(out), pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["part", "block", "keys", "counts"])
 
     return run
@@ -315,8 +315,12 @@ def _scored(documents: DataFrame, keep: Column, strength: float) -> DataFrame:
     encoded = written(texts.mapInArrow(_encoder, f"ids array<{kind}>, {_BLOCK}"), "encoded")
     n_train, n_tokens = encoded.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     parts, bits = 4 + int(n_tokens) // PART_TOKENS, min(WORD, SPARE + int(n_tokens).bit_length())
-    asked = encoded.drop("ids", "n_train", "n_tokens").mapInArrow(_asker(parts, bits), "part int, block long, keys binary, counts binary")
-    answers = written(asked.groupBy("part").applyInArrow(_answerer(parts, bits), "block long, part int, counts binary, kinds long"), "answers")
+    rows = encoded.drop("ids", "n_train", "n_tokens")
+    found = []
+    for orders in ((0, 1), (2,)):  # one after the other, so that only one's shuffle is on disk
+        asked = rows.mapInArrow(_asker(parts, bits, orders), "part int, block long, keys binary, counts binary")
+        found.append(written(asked.groupBy("part").applyInArrow(_answerer(parts, bits), "block long, part int, counts binary, kinds long"), "answers"))
+    answers = found[0].unionByName(found[1])
     n_types = answers.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     both = encoded.drop("n_train", "n_tokens").unionByName(answers.drop("kinds"), allowMissingColumns=True)
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL = "file:///tmp/basketloom-shared"
 #: Seconds between two requests to free what no plan needs any more.
-TIDY_EVERY = 4.0
+TIDY_EVERY = 6.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,7 +64,9 @@ _session = _Session()
 def tidy(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files and broadcasts of plans that are done; it learns of them when the driver collects garbage."""
     if time.monotonic() - _session.tidied > TIDY_EVERY:
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first round frees what still points to shuffles
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
         _session.tidied = time.monotonic()
 
 

@@ -212,7 +212,7 @@ def slice_of(texts, learned):
     words, codes = np.unique(made[0][0], return_inverse=True)
     both = lm_score.Encoded(words, codes, made[0][1])
     learn = np.arange(len(texts + learned)) >= len(texts)
-    counts = [c for _, c in both.grams(learn)]
+    counts = [both.grams(learn, k)[1] for k in range(3)]
     return lm_score.Slice(both, counts, float(len(made[1][0]) + len(np.unique(made[1][0])) + 1)), both
 
 
