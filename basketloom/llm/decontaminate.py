@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import free_name
 from .textblocks import LOWER, Block, blocks, column_of, gram_fits, gram_hashes, mix
 
 EDIT_SHARE = 0.2
@@ -266,7 +267,11 @@ def matches(documents: DataFrame, benchmark: DataFrame, per_pass: int = ITEMS_PE
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a match, all columns as they were.  Works by text, so ids may repeat or be null."""
-    keyed = documents.withColumn("_text_key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    hits = matches(keyed.select(F.col("_text_key").alias("doc_id"), "text"), benchmark)
-    return keyed.join(hits.select(F.col("doc_id").alias("_text_key")).distinct(), "_text_key", "left_anti").drop("_text_key")
+    """The documents without a match, all columns as they were.  Works by text, so ids may repeat or be null.
+
+    Columns may bear any name.
+    """
+    key = free_name(documents.columns, "text_key")
+    keyed = documents.withColumn(key, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    hits = matches(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark)
+    return keyed.join(hits.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").drop(key)

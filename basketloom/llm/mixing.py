@@ -6,6 +6,9 @@ partial pass: documents whose hash lies below a threshold.  The threshold is fou
 summed by source and by the leading bits of the hash, the bucket in which the budget runs out is refined by
 the following bits, and so on until single hashes remain.  Only that bucket's rows are looked at again.
 
+Sources are levelled in one task, a narrow row for each; sources that number in the tens of millions (host names,
+say) still fit one sort.
+
 Nulls, empty tables and odd rows: a null source is a source of its own, last in order; a null or empty text has
 size 0.  Rows alike in id and text share a hash and are taken together or not at all.  A source without words
 has target 0.  Other columns are not looked at.
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import scratch, written
+from .store import free_name, numbered, scratch, written
 
 #: Hexadecimal digits of the hash that one round of refinement resolves, and the rounds.
 DIGITS, ROUNDS = 3, 5
@@ -110,6 +113,24 @@ def mixed(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return out.select("d.*", "p.source_size", "p.target", (F.col("p.passes") + (F.col("d.h") < F.col("p.edge")).cast("long")).alias("repeats"))
 
 
+def mixture(documents: DataFrame, most: float = 3.0) -> DataFrame:
+    """The documents that the mix takes, all columns as they were, with size, source_size, target, repeats and taken.
+
+    Where ``documents`` has a column of such a name, the mix's column gets underscores after it.
+    """
+    names = documents.columns
+    where = {c.lower(): f"c{k}" for k, c in enumerate(names)}
+    inner = numbered(documents)
+    rows = inner.select(*inner.columns, *(F.col(where[c]).alias(c) for c in ("doc_id", "source", "text")))
+    budgets = plan(written(sized(rows), "sized"), most)
+    taken = mixed(sized(rows, *inner.columns), budgets).filter("repeats > 0").withColumn("taken", F.col("size") * F.col("repeats"))
+    added, bear = [], list(names)
+    for c in ("size", "source_size", "target", "repeats", "taken"):
+        bear.append(free_name(bear, c))
+        added.append(F.col(c).alias(bear[-1]))
+    return taken.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)), *added)
+
+
 def mix(documents: DataFrame, most: float = 3.0) -> DataFrame:
     """doc_id, source, size, source_size, target, repeats and taken words of every document."""
     rows = written(sized(documents), "sized")

@@ -453,8 +453,9 @@ class Join:
     def groups(self) -> DataFrame:
         """The signatures with ``comp``, a label of the group (null without n-grams)."""
         labels = self.labels()
-        rows = self.signatures.join(labels.select(F.col("node").alias("cid"), "comp"), "cid", "left")
-        return written(rows.withColumn("comp", F.coalesce("comp", "cid")), "groups")
+        rows = self.signatures.filter("cid is not null").join(labels.select(F.col("node").alias("cid"), "comp"), "cid", "left")
+        none = self.signatures.filter("cid is null").withColumn("comp", F.lit(None).cast("long"))  # not to one task of the join
+        return written(rows.withColumn("comp", F.coalesce("comp", "cid")).unionByName(none), "groups")
 
 
 def _groups(documents: DataFrame) -> DataFrame:
@@ -466,7 +467,7 @@ def component_ids(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     rows = _groups(documents)
     least = written(rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
-    out = rows.join(least, "comp", "left")
+    out = rows.filter("comp is not null").join(least, "comp").unionByName(rows.filter("comp is null").withColumn("least", F.lit(None).cast(rows.schema["doc_id"].dataType)))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 

@@ -50,6 +50,11 @@ def free_name(columns: Iterable[str], name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns as c0, c1, ..., so that whatever names they bear can't clash with an operator's own."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 class _Session(threading.local):
     """Of each thread: paths of the tables written within each open ``scratch``, the innermost last; and when it last tidied."""
 
@@ -84,7 +89,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     """Deletes, at its end, the tables written meanwhile in this thread, but for those that the given function was called with.
 
     Kept tables belong to the scratch around this one, if there is any; the tables that a returned plan reads stay
@@ -92,8 +97,8 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """
     kept: list[str] = []
 
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(df.table_path)
+    def keep(df: DataFrame, path: str | None = None) -> DataFrame:
+        kept.append(path or df.table_path)
         return df
 
     _session.open.append([])

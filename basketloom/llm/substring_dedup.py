@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import sieve
 from .sieve import Sieve
-from .store import scratch, written
+from .store import numbered, scratch, written
 from .textblocks import Block, U64, blocks, column_of, gram_fits, gram_hashes, mix, powers
 
 WINDOW, SEED = 35, 8
@@ -198,28 +198,58 @@ def _finisher(kept: list[str], with_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cuts = column_of(batch, "cuts")
-            for lo, hi, b in blocks(column_of(batch, "text")):
-                gone = np.zeros(len(b.ws), bool)
-                for i in np.flatnonzero(np.asarray(cuts.slice(lo, hi - lo).is_valid())):
-                    gone[b.wo[i] : b.wo[i + 1]] = covered(int(b.wo[i + 1] - b.wo[i]), cuts[lo + int(i)].as_py())
-                removed = b.per_text_words(gone)
-                out = [column_of(batch, k).slice(lo, hi - lo) for k in kept]
-                names = [*kept, "n_words", "n_removed"]
-                out += [pa.array(b.n_words.astype(np.int64)), pa.array(removed)]
-                if with_text:
-                    originals = column_of(batch, "text").slice(lo, hi - lo).to_pylist()
-                    out.append(pa.array([t if not r else _cut(b, i, gone) for i, (t, r) in enumerate(zip(originals, removed))], pa.string()))
-                    names.append("kept_text")
-                else:
-                    data, offs = _kept_words(b, gone)
-                    raw = data.tobytes()
-                    out.append(pa.array([hashlib.sha256(raw[x:y].removesuffix(b" ")).hexdigest() for x, y in zip(offs[:-1], offs[1:])], pa.string()))
-                    names.append("kept_sha256")
-                yield pa.RecordBatch.from_arrays(out, names=names)
+            yield from _finished(batch, cuts, kept, with_text)
 
     return run
 
 
+def _uncut(cut: Sieve, kept: list[str], with_text: bool) -> Callable:
+    """Finishes the texts that certainly hold no repeated window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = cut.load()
+        for batch in batches:
+            sure = ~sieve.may_hold(keys, column_of(batch, "key").to_numpy(zero_copy_only=False))
+            batch = batch.filter(pa.array(sure))
+            yield from _finished(batch, pa.nulls(batch.num_rows), kept, with_text)
+
+    return run
+
+
+def _perhaps_cut(cut: Sieve) -> Callable:
+    """The rows of all other texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = cut.load()
+        for batch in batches:
+            yield batch.filter(pa.array(sieve.may_hold(keys, column_of(batch, "key").to_numpy(zero_copy_only=False))))
+
+    return run
+
+
+def _finished(batch: pa.RecordBatch, cuts: pa.Array, kept: list[str], with_text: bool) -> Iterator[pa.RecordBatch]:
+    for lo, hi, b in blocks(column_of(batch, "text")):
+        gone = np.zeros(len(b.ws), bool)
+        for i in np.flatnonzero(np.asarray(cuts.slice(lo, hi - lo).is_valid())):
+            gone[b.wo[i] : b.wo[i + 1]] = covered(int(b.wo[i + 1] - b.wo[i]), cuts[lo + int(i)].as_py())
+        removed = b.per_text_words(gone)
+        out = [column_of(batch, k).slice(lo, hi - lo) for k in kept]
+        names = [*kept, "n_words", "n_removed"]
+        out += [pa.array(b.n_words.astype(np.int64)), pa.array(removed)]
+        if with_text:
+            originals = column_of(batch, "text").slice(lo, hi - lo)
+            if removed.any():
+                originals = pa.array([t if not r else _cut(b, i, gone) for i, (t, r) in enumerate(zip(originals.to_pylist(), removed))], pa.string())
+            out.append(originals)
+            names.append("kept_text")
+        else:
+            data, offs = _kept_words(b, gone)
+            raw = data.tobytes()
+            out.append(pa.array([hashlib.sha256(raw[x:y].removesuffix(b" ")).hexdigest() for x, y in zip(offs[:-1], offs[1:])], pa.string()))
+            names.append("kept_sha256")
+        yield pa.RecordBatch.from_arrays(out, names=names)
+
+
 def _cut(b: Block, i: int, gone: np.ndarray) -> str:
     """Text ``i`` without its removed words and the white space after each of them."""
     words = np.arange(b.wo[i], b.wo[i + 1])
@@ -231,18 +261,42 @@ def _cut(b: Block, i: int, gone: np.ndarray) -> str:
     return np.concatenate(out).tobytes().decode()
 
 
-def _joined(documents: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    rows = documents.select(*dict.fromkeys([*columns, "text"])).withColumn("text_key", text_key(F.col("text")))
-    return rows.join(found, "text_key", "left")
+def _applied(rows: DataFrame, kept: list[str], result: str) -> DataFrame:
+    """``kept`` columns and results of all ``rows`` (with ``text``).
+
+    Only the texts that a bounded sieve of those with repeated windows lets through are shuffled to meet their cuts.
+    """
+    with scratch(rows.sparkSession) as keep:
+        found = keep(written(_repeats(rows.select("text")).withColumn("key", F.xxhash64("text_key")), "found"))
+        cut = sieve.build(found, "key", found.count())
+        keep(found, cut.path)
+    rows = rows.select(*dict.fromkeys([*kept, "text"]), F.xxhash64(text_key(F.col("text"))).alias("key"))
+    fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in kept)
+    schema = ", ".join([fields, "n_words long, n_removed long", result])
+    with_text = result.startswith("kept_text")
+    through = rows.mapInArrow(_perhaps_cut(cut), rows.schema).withColumn("text_key", text_key(F.col("text")))
+    met = through.join(found.drop("key"), "text_key", "left").mapInArrow(_finisher(kept, with_text), schema)
+    return rows.mapInArrow(_uncut(cut, kept, with_text), schema).unionByName(met)
 
 
 def digest(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return _joined(documents, repeats(documents), ["doc_id"]).mapInArrow(_finisher(["doc_id"], False), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _applied(documents.select("doc_id", "text"), ["doc_id"], "kept_sha256 string")
 
 
-def removed(documents: DataFrame, *columns: str) -> DataFrame:
-    """``columns``, n_words, n_removed and ``kept_text``: the text without its repeated words."""
-    fields = ", ".join(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in columns)
-    return _joined(documents, repeats(documents), list(columns)).mapInArrow(_finisher(list(columns), True), f"{fields}, n_words long, n_removed long, kept_text string")
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """The documents, all columns as they were but for ``text`` and (where there is one) ``n_chars``, its length.
+
+    A text loses its repeated words and the white space after each; a document that loses all its words goes.
+    Columns may bear any name.
+    """
+    place = [c.lower() for c in documents.columns].index("text")
+    kept = [f"c{k}" for k in range(len(documents.columns)) if k != place]
+    rows = _applied(numbered(documents).withColumnRenamed(f"c{place}", "text"), kept, "kept_text string").filter("n_removed = 0 OR n_removed < n_words")
+    out = []
+    for k, name in enumerate(documents.columns):
+        value = F.col("kept_text" if k == place else f"c{k}")
+        if name.lower() == "n_chars":
+            value = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(documents.schema[name].dataType)).otherwise(value)
+        out.append(value.alias(name))
+    return rows.select(out)

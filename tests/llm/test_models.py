@@ -287,12 +287,30 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_pipeline_of_awkward_documents(spark, tmp_path):
+    """Each stage alone on null, empty, long and repeated rows, with extra columns of the operators' own inner names."""
     import corpus_pipeline
 
-    awkward(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    names = "tag score _score wordless size h text_key _text_key cuts key cid comp n n_words n_removed kept_text target taken repeats source_size c0 c3 row part y".split()
+    docs = awkward(spark).select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(f"x{k}").alias(c) for k, c in enumerate(names)))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels(spark, [(1, 1, 0, 0.0), (12, 0, 0, 0.0)]).write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "one")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).count()
-        stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0), str(tmp_path)).count()
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    before = docs.collect()
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns
+        got[name] = out.collect()
+        assert all(r[c] == f"x{k}" for r in got[name] for k, c in enumerate(names))
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.columns == out.columns and empty.count() == 0
+    rows = lambda rs: sorted((str(r.doc_id), str(r.text)) for r in rs)
+    once = rows(r for r in before if r.doc_id not in (5, 6, 8)) + [("5", rows(r for r in before if r.doc_id == 5)[0][1])]
+    assert rows(got["near_duplicates"]) == sorted(once)  # 6 is near 5, which stands twice; 8 is 7 in capitals
+    cut = {str(r.doc_id): r for r in got["substring_dedup"]}
+    assert cut["6"].text == "tail" and cut["6"].n_chars == 4 and not {"5", "9", "10"} & cut.keys() and len(got["substring_dedup"]) == len(before) - 4
+    assert rows(got["decontamination"]) == rows(r for r in before if r.doc_id not in (7, 8))
+    assert all(r.repeats_ >= 1 and r.taken_ == r.size_ * r.repeats_ and r.source_size_ >= r.size_ for r in got["mixing"])
+    assert set(rows(got["mixing"])) <= set(rows(before)) and set(rows(got["quality_classifier"])) <= set(rows(before))
     corpus_pipeline.run(spark, str(tmp_path)).count()
