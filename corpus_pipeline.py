@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 the next stage's docs.  All but the last return the columns of ``documents``; the last adds what the mix says
 about each document and leaves out those that it does not take.
 
+All stages: columns beyond doc_id, text and source are carried along, whatever they are called; an empty table
+stays empty; null ids are ids like others.  Each stage says what it does with null and empty texts and ties.
+
 No stage can be said in SQL as a whole (boosted trees, hashed joins over n-grams, edit distances), so there is
 no ORACLE_SQL; the tests hold each stage against brute force.
 """
@@ -16,40 +19,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketloom.llm import decontaminate, mixing, quality_model, shingle_join, substring_dedup
-from basketloom.llm.store import remove, scratch, table, written
+from basketloom.llm.store import free_name, remove, scratch, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject.  It is fitted on a bounded sample of all labels."""
+    """Documents that the quality classifier does not reject.  It is fitted on a bounded sample of all labels.
+
+    Null texts are judged as empty ones; rows alike are judged alike; a score of just 0.5 is kept.
+    """
     model = quality_model.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return quality_model.score(docs, model, *docs.columns, name="_score").filter("_score >= 0.5").select(docs.columns)
+    score = free_name(docs.columns, "score")
+    return quality_model.score(docs, model, *docs.columns, name=score).filter(F.col(score) >= 0.5).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id."""
+    """One document of each group of near duplicates: that with the smallest id.
+
+    Null and wordless texts are no one's duplicates and all stay; of rows alike in id and text one stays; a group
+    without any id keeps one of its documents.
+    """
     return shingle_join.one_of_each(docs).select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of windows that stand elsewhere too; a document that loses all its words goes."""
-    kept = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = substring_dedup.removed(docs, *kept, "n_chars").filter("n_removed = 0 OR n_removed < n_words")
-    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", n_chars).withColumnRenamed("kept_text", "text").select(docs.columns)
+    """Texts without the words of windows that stand elsewhere too; a document that loses all its words goes.
+
+    Null, empty and short texts stay as they are; rows alike are each other's duplicates.
+    """
+    return substring_dedup.without_repeats(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.  Null and empty texts hold none; rows alike go or stay together."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target, repeats and taken."""
-    budgets = mixing.plan(written(mixing.sized(docs), "sized"))
-    rows = mixing.mixed(mixing.sized(docs, *(c for c in docs.columns if c not in ("doc_id", "source"))), budgets)
-    return rows.drop("h").withColumn("taken", F.col("size") * F.col("repeats")).filter("repeats > 0")
+    """The documents that the mix takes, with size, source_size, target, repeats and taken.
+
+    A null source is a source of its own; rows alike in id and text are taken together or not at all; where docs
+    has a column of one of those names, the mix's gets an underscore after it.
+    """
+    return mixing.mixture(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
