@@ -4,15 +4,19 @@ Texts and benchmark items are sequences of normalised words (ASCII lower-cased,
 dropped).  An item contaminates a document if some window of the item's number of words lies within
 ``max_edits(words)`` word edits of it.
 
-1.  Windows.  Cut into ``edits + 1`` pieces, an item within reach leaves one piece unchanged, so only windows
-    that hold a run of ``q`` item words (the piece length) at its place can qualify; all others are ruled out
-    by that bound.  A window as long as the item is laid around each such run.
+0.  Parts.  An item of more than ``PART_WORDS`` words is cut into parts of about equal length.  However its edits
+    fall, some part has no more than its share of them, so the search is for parts within their share.
+1.  Windows.  Cut into ``edits + 1`` pieces, a part within reach leaves one piece unchanged, so only windows
+    that hold a run of ``q`` of its words (the piece length) at its place can qualify; all others are ruled out
+    by that bound.  A window as long as the part is laid around each such run, once however many parts hold it.
 2.  CGK embedding.  A random walk over the window, its steps decided by hashes of (walk position, word), maps
     edit distance to Hamming distance.
 3.  Bit-sampling LSH.  In each of ``REPEATS`` independent embeddings, ``SAMPLED`` positions form a key;
-    a window and an item of its length that share a key are a candidate pair.  ``REPEATS`` is set for a recall
-    of ``RECALL`` at the largest distance counted (see ``expected_recall``).
-4.  Exact verification by banded word edit distance over the window, free to start or end ``edits`` words off.
+    a window and a part of its length that share a key are a candidate pair.  ``REPEATS`` is set for a recall
+    of ``RECALL`` at the largest distance counted in a part of ``PART_WORDS`` (see ``expected_recall``).
+4.  Pairs are dropped where more words of the part are missing from the window and its surroundings than edits
+    could take away.  The others are verified exactly: the word edit distance of the whole item, over the stretch of
+    the text where its candidate windows place it, free to start or end ``edits`` words off.
 
 Nulls, empty tables and odd rows: null or empty texts match nothing; null or wordless items are ignored; items
 of fewer than ``LEAST_WORDS`` words must appear unchanged.  Rows without doc_id are searched too, their matches
@@ -36,7 +40,9 @@ EDIT_SHARE = 0.2
 LEAST_WORDS = 8
 REPEATS, SAMPLED, RECALL = 24, 3, 0.95
 #: Items that are searched for in one pass over the documents, at most; further ones take further passes.
-ITEMS_PER_PASS = 20_000
+ITEMS_PER_PASS, BYTES_PER_PASS = 20_000, 8 << 20
+#: Words of a part, at most; windows that are walked at once, candidate pairs that are looked at at once, and words of those compared.
+PART_WORDS, WINDOWS, PAIRS, COMPARED = 60, 4096, 1 << 20, 1 << 24
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -49,17 +55,9 @@ def max_edits(words: int) -> int:
 
 def words_of(b: Block) -> np.ndarray:
     """Hashes of the normalised words of a block."""
-    start, end = b.ws.copy(), b.we.copy()
-    while True:
-        at = np.flatnonzero((start < end) & _PUNCT[b.data[np.minimum(start, len(b.data) - 1)]]) if len(b.data) else start[:0]
-        if not len(at):
-            break
-        start[at] += 1
-    while True:
-        at = np.flatnonzero((start < end) & _PUNCT[b.data[end - 1]])
-        if not len(at):
-            break
-        end[at] -= 1
+    solid = np.append(np.flatnonzero(~_PUNCT[b.data]), len(b.data) + 1)
+    start = np.minimum(solid[np.searchsorted(solid, b.ws)], b.we)  # a word of nothing else ends where it starts
+    end = np.maximum(np.append(-1, solid)[np.searchsorted(solid, b.we)] + 1, start)
     return b.span_hash(start, end, data=LOWER[b.data])
 
 
@@ -117,6 +115,7 @@ def distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, i
     Any stretch may be taken, so the first row is free and the best cell of the last row counts.
     """
     m = len(text)
+    place = np.arange(m + 1)
     cost, begin = np.zeros(m + 1, np.int64), np.arange(m + 1)
     for i, w in enumerate(item, 1):
         new, start = np.empty_like(cost), np.empty_like(begin)
@@ -124,10 +123,11 @@ def distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, i
         swap, drop = cost[:-1] + (text != w), cost[1:] + 1
         use = swap <= drop
         new[1:], start[1:] = np.where(use, swap, drop), np.where(use, begin[:-1], begin[1:])
-        for j in range(1, m + 1):  # insertions run along the row
-            if new[j - 1] + 1 < new[j]:
-                new[j], start[j] = new[j - 1] + 1, start[j - 1]
-        cost, begin = new, start
+        # Insertions run along the row: each cell takes the cheapest one to its left, of equals the nearest.
+        run = new - place
+        least = np.minimum.accumulate(run)
+        origin = np.maximum.accumulate(np.where(run == least, place, 0))
+        cost, begin = least + place, start[origin]
         if cost.min() > most:
             return most + 1, 0, 0
     # Of equal distances the stretch nearest to the item's length counts, then the first.
@@ -136,14 +136,24 @@ def distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, i
     return int(cost[best]), int(begin[best]), best
 
 
+def cut(words: int) -> list[tuple[int, int]]:
+    """(offset, length) of the parts of an item."""
+    n = max(1, -(-words // PART_WORDS))
+    edges = [words * k // n for k in range(n + 1)]
+    return [(a, z - a) for a, z in zip(edges, edges[1:])]
+
+
 @dataclass
 class Index:
-    """Items by number; runs by length; LSH keys by item length."""
+    """Items and their parts by number; runs by length; LSH keys by part length."""
 
     ids: list[int]
     words: list[np.ndarray]
-    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # q -> hashes, items, offsets
-    tables: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # length -> keys, items
+    item: np.ndarray  # of each part
+    offset: np.ndarray
+    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # q -> hashes, places in the part, part lengths
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # part length -> keys, rows of ``texts``
+    texts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # part length -> parts, their words, their edits
     sieve: dict[int, np.ndarray] = field(default_factory=dict)  # q -> bitmap over the last 20 bits of a run hash
 
 
@@ -155,24 +165,31 @@ def build(items: list[tuple[int, str]]) -> Index:
             if len(w):
                 ids.append(item_id)
                 words.append(w)
-    out = Index(ids, words)
+    parts = [(k, offset, size) for k, w in enumerate(words) for offset, size in cut(len(w))]
+    out = Index(ids, words, np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64))
     runs: dict[int, list] = {}
     lengths: dict[int, list[int]] = {}
-    for k, w in enumerate(words):
-        q = max(1, len(w) // (max_edits(len(w)) + 1))
-        g = gram_hashes(w, q)
-        runs.setdefault(q, []).append((g, np.full(len(g), k), np.arange(len(g))))
-        lengths.setdefault(len(w), []).append(k)
-    for q, parts in runs.items():
-        g, item, off = (np.concatenate(p) for p in zip(*parts))
-        order = np.argsort(g, kind="stable")
-        out.runs[q] = g[order], item[order], off[order]
+    for number, (k, offset, size) in enumerate(parts):
+        whole = len(words[k])
+        q = max(1, size // (max_edits(whole) // len(cut(whole)) + 1))
+        g = gram_hashes(words[k][offset : offset + size], q)
+        runs.setdefault(q, []).append((g, np.arange(len(g)), np.full(len(g), size)))
+        lengths.setdefault(size, []).append(number)
+    for q, group in runs.items():
+        g, off, size = (np.concatenate(p) for p in zip(*group))
+        order = np.lexsort((size, off, g))
+        g, off, size = g[order], off[order], size[order]
+        new = np.append(True, (g[1:] != g[:-1]) | (off[1:] != off[:-1]) | (size[1:] != size[:-1]))
+        out.runs[q] = g[new], off[new], size[new]
         out.sieve[q] = np.zeros(1 << 20, bool)
         out.sieve[q][(g & U64((1 << 20) - 1)).astype(np.int64)] = True
     for size, group in lengths.items():
-        h = keys(np.stack([words[k] for k in group]))
-        order = np.argsort(h.ravel(), kind="stable")
-        out.tables[size] = h.ravel()[order], np.repeat(group, REPEATS)[order]
+        texts = np.stack([words[k][offset : offset + size] for k, offset, _ in (parts[n] for n in group)])
+        h = np.concatenate([keys(texts[lo : lo + WINDOWS]) for lo in range(0, len(texts), WINDOWS)]).ravel()
+        order = np.argsort(h, kind="stable")
+        out.tables[size] = h[order], np.repeat(np.arange(len(group)), REPEATS)[order]
+        whole = np.array([len(words[parts[n][0]]) for n in group])
+        out.texts[size] = np.array(group), texts, np.array([max_edits(m) // len(cut(m)) for m in whole.tolist()])
     return out
 
 
@@ -183,47 +200,91 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
 
 
-def search(b: Block, index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(text, item number, edits, first word, word after the last) of all matches in a block."""
-    if not len(b.ws) or not index.words:
-        return []
-    w = words_of(b)
+def _windows(b: Block, w: np.ndarray, index: Index) -> dict[int, np.ndarray]:
+    """First words of the windows of each length that hold a run of some part."""
     starts: dict[int, list[np.ndarray]] = {}
-    item_size = np.array([len(x) for x in index.words])
-    for q, (h, item, off) in index.runs.items():
+    for q, (h, off, size) in index.runs.items():
         g = gram_hashes(w, q)
         at = np.flatnonzero(index.sieve[q][(g & U64((1 << 20) - 1)).astype(np.int64)])
         at = at[gram_fits(b, q)[at]]
         row, pos = _expand(np.searchsorted(h, g[at], "left"), np.searchsorted(h, g[at], "right"))
-        first = at[row] - off[pos]
-        size = item_size[item[pos]]
         doc = np.searchsorted(b.wo, at[row], side="right") - 1
-        first = np.minimum(np.maximum(first, b.wo[doc]), np.maximum(b.wo[doc + 1] - size, b.wo[doc]))
-        for s in np.unique(size):
-            starts.setdefault(int(s), []).append(first[size == s])
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    limit = np.append(w, np.zeros(int(item_size.max()), np.uint64))
-    for size, parts in starts.items():
-        first = np.unique(np.concatenate(parts))
+        first = np.minimum(np.maximum(at[row] - off[pos], b.wo[doc]), np.maximum(b.wo[doc + 1] - size[pos], b.wo[doc]))
+        for s in np.unique(size[pos]):
+            starts.setdefault(int(s), []).append(np.unique(first[size[pos] == s]))
+    return {s: np.unique(np.concatenate(p)) for s, p in starts.items()}
+
+
+def search(b: Block, index: Index) -> list[tuple[int, int, int, int, int]]:
+    """(text, item number, edits, first word, word after the last) of all matches in a block."""
+    if not len(b.ws) or not index.words:
+        return []
+    w = words_of(b)
+    #: Of each text and item the stretches where candidate windows place it.
+    places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for size, first in _windows(b, w, index).items():
         doc = np.searchsorted(b.wo, first, side="right") - 1
-        end = np.minimum(first + size, b.wo[doc + 1])
-        table, items = index.tables[size]
-        for lo in range(0, len(first), 4096):
-            part, stop = first[lo : lo + 4096], end[lo : lo + 4096]
-            window = limit[part[:, None] + np.arange(size)]
-            window[np.arange(size) >= (stop - part)[:, None]] = 0
-            h = keys(window).ravel()
-            row, pos = _expand(np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right"))
-            if not len(row):
-                continue
-            for r, k in np.unique(np.stack([row // REPEATS, items[pos]]), axis=1).T:
-                d, most = int(doc[lo + r]), max_edits(size)
-                a, z = max(int(b.wo[d]), int(part[r]) - most), min(int(b.wo[d + 1]), int(part[r]) + size + most)
-                edits, x, y = distance(index.words[k], w[a:z], most)
-                if edits <= most:
-                    new = (edits, a + x - int(b.wo[d]), a + y - int(b.wo[d]))
-                    found[d, int(k)] = min(new, found.get((d, int(k)), new))
-    return [(d, k, *rest) for (d, k), rest in sorted(found.items())]
+        for lo in range(0, len(first), WINDOWS):
+            own, at = doc[lo : lo + WINDOWS], first[lo : lo + WINDOWS]
+            for r, p in _candidates(b, w, index, size, own, at):
+                k, d = int(index.item[p]), int(own[r])
+                start, most = int(at[r] - index.offset[p]), max_edits(len(index.words[k]))
+                places.setdefault((d, k), []).append((max(int(b.wo[d]), start - most), min(int(b.wo[d + 1]), start + len(index.words[k]) + most)))
+    out = []
+    for (d, k), stretches in sorted(places.items()):
+        item, best = index.words[k], None
+        most = max_edits(len(item))
+        for a, z in joined(stretches):
+            if int(np.isin(item, w[a:z]).sum()) < len(item) - most:
+                continue  # more words than that are missing
+            edits, x, y = distance(item, w[a:z], most)
+            if edits <= most:
+                new = (edits, a + x - int(b.wo[d]), a + y - int(b.wo[d]))
+                best = new if best is None else min(best, new)
+        if best is not None:
+            out.append((d, k, *best))
+    return out
+
+
+def _around(b: Block, w: np.ndarray, doc: np.ndarray, first: np.ndarray, size: int, off: int) -> np.ndarray:
+    """Words of each window and ``off`` words on both sides, 0 where its text has none."""
+    at = first[:, None] + np.arange(-off, size + off)
+    inside = (at >= b.wo[doc][:, None]) & (at < b.wo[doc + 1][:, None])
+    return np.where(inside, w[np.where(inside, at, 0)], U64(0))
+
+
+def _candidates(b: Block, w: np.ndarray, index: Index, size: int, doc: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(window, part) of the windows and parts of ``size`` words that share a key and words enough."""
+    table, rows = index.tables[size]
+    parts, texts, edits = index.texts[size]
+    h = keys(_around(b, w, doc, first, size, 0))
+    left, right = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
+    upto = np.cumsum((right - left).sum(1))
+    lo = 0
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, side="right")))
+        row, pos = _expand(left[lo:hi].ravel(), right[lo:hi].ravel())
+        pair = np.unique((row // REPEATS + lo) * len(parts) + rows[pos])
+        lo = hi
+        r, p = pair // len(parts), pair % len(parts)
+        off = int(edits.max())
+        step = max(1, COMPARED // (size * (size + 2 * off)))
+        for k in range(0, len(pair), step):
+            i, j = r[k : k + step], p[k : k + step]
+            there = (texts[j][:, :, None] == _around(b, w, doc[i], first[i], size, off)[:, None, :]).any(2).sum(1)
+            near = np.flatnonzero(there >= size - edits[j])
+            yield from zip(i[near].tolist(), parts[j[near]].tolist())
+
+
+def joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping stretches as one each."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(set(stretches)):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(z, out[-1][1])
+        else:
+            out.append((a, z))
+    return out
 
 
 SCHEMA = "item_id long, edits int, item_words int, first_word int, n_window int"
@@ -250,13 +311,14 @@ def _searcher(shared) -> Callable:
 def matches(documents: DataFrame, benchmark: DataFrame, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """(doc_id, item_id, edits, item_words, first_word, n_window) of every document and item that contaminates it.
 
-    Items are broadcast in passes of at most ``per_pass``, each over all documents, so what is held at once is
-    bounded however long the benchmark.
+    Items are broadcast in passes of about ``per_pass`` items or ``BYTES_PER_PASS`` of text at most, each over all
+    documents, so what is held at once is bounded however long the benchmark.
     """
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    passes = max(1, -(-items.count() // per_pass))
+    count, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes = max(1, -(-count // per_pass), -(-size // BYTES_PER_PASS))
     out = None
     for k in range(passes):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items

@@ -27,6 +27,59 @@ def test_recall_of_the_keys(size):
     assert decontaminate.expected_recall(size, decontaminate.max_edits(size)) >= decontaminate.RECALL - 0.02
 
 
+def test_edit_distance_cell_by_cell():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        item, text = rng.integers(0, 4, rng.integers(1, 12)).astype(np.uint64), rng.integers(0, 4, rng.integers(0, 20)).astype(np.uint64)
+        cost = [0] * (len(text) + 1)
+        for i, w in enumerate(item, 1):
+            new = [i]
+            for j, t in enumerate(text, 1):
+                new.append(min(cost[j - 1] + (t != w), cost[j] + 1, new[j - 1] + 1))
+            cost = new
+        edits, first, last = decontaminate.distance(item, text, 30)
+        assert edits == min(cost)
+        whole = decontaminate.distance(item, text[first:last], 30)  # the stretch itself is that near
+        assert whole[0] == edits
+
+
+@pytest.mark.parametrize("size", [100, 150, 200, 300, 500])
+def test_recall_of_long_items(size):
+    """Items of any length at the largest distance counted, anywhere in a text."""
+    rng = random.Random(size)
+    items = [(k, " ".join(f"i{rng.randrange(10**6)}" for _ in range(size))) for k in range(20)]
+    index, found = decontaminate.build(items), 0
+    for k, text in items:
+        w = text.split()
+        for _ in range(decontaminate.max_edits(size)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], ["new"], [w[at], "more"]])
+        around = [f"x{rng.randrange(10**6)}" for _ in range(80)]
+        (_, _, b), *_ = blocks(pa.array([" ".join(around + w + around)]))
+        found += k in {x[1] for x in decontaminate.search(b, index)}
+    assert found >= 18
+
+
+def test_very_long_item_and_shared_runs():
+    """A 2000-word item stays within 500 MB; runs that thousands of items share make no window each."""
+    import time
+    import tracemalloc
+
+    rng = random.Random(9)
+    long = [f"i{rng.randrange(10**6)}" for _ in range(2000)]
+    shared = [(k, f"which of the following is item {k} of the list of {rng.randrange(10**6)}") for k in range(3000)]
+    tracemalloc.start()
+    index = decontaminate.build([(-1, " ".join(long)), *shared])
+    began = time.time()
+    (_, _, b), *_ = blocks(pa.array([" ".join(long[:700] + ["x"] * 50 + long[700:]) + " which of the following is odd" * 3000]))
+    assert [x[1] for x in decontaminate.search(b, index)] == [0]
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20 and time.time() - began < 60
+    tracemalloc.stop()
+    (_, _, b), *_ = blocks(pa.array(["=" * 20_000 + " " + "word " * 50_000]))
+    began = time.time()
+    assert len(decontaminate.words_of(b)) == 50_001 and time.time() - began < 1
+
+
 def brute_matches(docs, items):
     out = set()
     for d, t in docs:
