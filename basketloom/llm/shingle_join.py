@@ -14,9 +14,10 @@ central document with the others; once their links are joined to components, onl
 several components give pairs, and only pairs across components.  No pair of documents in different components
 stays untested, so no link between groups is lost, and a group of copies costs in proportion to its size.
 
-Products across components are taken block by block.  Columns that share their first document lie in the same
-block, so that the many n-grams which two documents share are summed where they are found and a pair is shuffled
-about once.  A column of more than ``BLOCK_ENTRIES`` is cut by its own length, each two of its cuts in a block.
+Products across components are taken block by block.  Columns that share their largest component lie in the same
+block, so that the n-grams which two documents share are summed where they are found, and pairs that cannot reach
+the threshold even if they share all that they have elsewhere are dropped there.  Where such columns have more than
+``BLOCK_ENTRIES`` entries, their documents are cut, each two cuts in a block.
 
 All n-grams of all classes are counted once, sent as differences of sorted 40-bit hashes.  Bounded sieves of
 those found at least 2, ``OFTEN`` and ``VERY_OFTEN`` times keep entries that no other document has from being
@@ -221,11 +222,12 @@ def _postings(examples: Sieve, counted: list[Sieve]) -> Callable:
                 live = sieve.may_hold(repeated, token >> U64(24))
                 row, place, token = row[live], place[live], token[live]
                 n = np.diff(offs)
-                shared_share = np.bincount(row, minlength=len(n)) * 1000 // np.maximum(prefix_size(n), 1)
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(token), _signed(ids[row]), pa.array(n[row].astype(np.int32)), pa.array((n[row] - place).astype(np.int32)), pa.array(shared_share[row].astype(np.int32)), _signed(ends[row])],
-                    names=["token", "cid", "n", "left", "central", "ends"],
-                )
+                count = np.bincount(row, minlength=len(n))
+                central = count * 1000 // np.maximum(prefix_size(n), 1)
+                reach = np.zeros(len(n), np.int64)
+                np.maximum.at(reach, row, n[row] - place)
+                numbers = (pa.array(x.astype(np.int32)) for x in (n[row], n[row] - place, central[row], count[row], reach[row]))
+                yield pa.RecordBatch.from_arrays([_signed(token), _signed(ids[row]), *numbers, _signed(ends[row])], names=["token", "cid", "n", "left", "central", "live", "reach", "ends"])
 
     return run
 
@@ -246,14 +248,16 @@ def _packed(chosen: Sieve, classes: Sieve) -> Callable:
     return run
 
 
-#: About so many entries of a column make a cut; the columns of a block are spread over tasks by one in so many entries.
-BLOCK_ENTRIES, SPREAD = 2048, 64
+#: About so many entries make a cut of the columns that share their largest component.
+BLOCK_ENTRIES = 100_000
+#: Entries of a block that are held at once; a longer one is taken in stretches.
+BLOCK_HELD = 300_000
 #: Products of entries that are worked out at once, and pairs that a task holds before it passes them on.
 _AT_ONCE, _HELD = 1 << 20, 1 << 20
 
 
 class _Pairs:
-    """Pairs of classes and how many columns of a task they share."""
+    """Pairs of classes and how many columns of a block they share; ``more`` is how many others they may share elsewhere."""
 
     names = ("a", "b", "a_n", "b_n", "a_ends", "b_ends", "shared", "near")
     schema = "a long, b long, a_n int, b_n int, a_ends long, b_ends long, shared long, near boolean"
@@ -262,67 +266,113 @@ class _Pairs:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, columns: tuple[np.ndarray, ...]) -> None:
-        self.parts.append(columns)
-        self.size += len(columns[0])
+    def add(self, block: np.ndarray, a: np.ndarray, b: np.ndarray, more: np.ndarray, *columns: np.ndarray) -> None:
+        self.parts.append((block, a, b, more, *columns))
+        self.size += len(a)
 
     def merge(self) -> None:
         if not self.parts:
             return
-        a, b, *rest, shared, near = (np.concatenate(c) for c in zip(*self.parts))
-        order = np.argsort(mix(a.view(np.uint64)) + b.view(np.uint64))
-        a, b, shared, near = a[order], b[order], shared[order], near[order]
-        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+        block, a, b, *rest, shared, near = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.argsort(mix(mix(a.view(np.uint64)) + b.view(np.uint64)) + block.view(np.uint64))
+        block, a, b, shared, near = block[order], a[order], b[order], shared[order], near[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (block[1:] != block[:-1]))) if len(a) else np.zeros(0, np.int64)
         sums = (np.add.reduceat(shared, first), np.logical_or.reduceat(near, first)) if len(first) else (shared, near)
-        self.parts = [(a[first], b[first], *(c[order[first]] for c in rest), *sums)]
+        self.parts = [(block[first], a[first], b[first], *(c[order[first]] for c in rest), *sums)]
         self.size = len(first)
 
+    def finished(self) -> None:
+        """Drops pairs that fall short even if they share all that is left elsewhere, and forgets the blocks."""
+        self.merge()
+        if self.parts:
+            block, a, b, more, n, m, ends, other, shared, near = self.parts[0]
+            keep = 7 * (shared + more + _rest(n, m, ends, other)) >= 3 * (n + m)
+            self.parts = [tuple(c[keep] for c in (np.zeros_like(block), a, b, np.zeros_like(more), n, m, ends, other, shared, near))]
+            self.size = int(keep.sum())
+
     def taken(self, last: bool) -> Iterator[pa.RecordBatch]:
         if not last and self.size <= _HELD:
             return
         self.merge()
         if self.parts and (last or self.size > _HELD // 2):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in self.parts[0]], names=list(self.names))
+            _, a, b, _, *columns = self.parts[0]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, *columns)], names=list(self.names))
             self.parts, self.size = [], 0
 
 
+def _rest(n: np.ndarray, m: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """At most so many n-grams that two sets share are not in both prefixes: those past the prefix that ends first."""
+    past, beyond = n - prefix_size(n), m - prefix_size(m)
+    return np.where(ends < other, past, np.where(ends > other, beyond, np.maximum(past, beyond)))
+
+
+def _possible(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Size-derived bounds that hold of a pair in every column alike.
+
+    Sizes must be near enough; from the first n-gram that others may have, both must have enough left; and the most
+    that the prefixes can share, with what the one that ends first has past its prefix, must be enough.
+    """
+    n, m = x["n"][i], x["n"][j]
+    rest = _rest(n, m, x["ends"][i], x["ends"][j])
+    most = np.minimum(np.minimum(x["live"][i], x["live"][j]) + rest, np.minimum(x["reach"][i], x["reach"][j]))
+    return (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (7 * most >= 3 * (n + m))
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs across components within the columns of each block; rows come sorted by (block, token)."""
-    names = ("block", "token", "own", "within", "cid", "n", "left", "ends", "comp")
-    held, rest = _Pairs(), None
+    names = ("block", "token", "own", "within", "cid", "n", "left", "live", "reach", "ends", "comp")
+    held, done, rest = _Pairs(), _Pairs(), None
 
-    def products(x: dict[str, np.ndarray], new: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(new):
+    def products(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Of whole columns, best of whole blocks."""
+        count = len(x["cid"])
+        if not count:
             return
-        stop = np.append(new[1:], len(x["cid"]))
-        others = np.repeat(stop, stop - new) - 1 - np.arange(len(x["cid"]))
+        order = np.argsort(mix(x["cid"].view(np.uint64)) + x["block"].view(np.uint64))
+        new = np.append(True, (x["cid"][order[1:]] != x["cid"][order[:-1]]) | (x["block"][order[1:]] != x["block"][order[:-1]]))
+        here = np.empty(count, np.int64)
+        sizes = np.diff(np.append(np.flatnonzero(new), count))
+        here[order] = np.repeat(sizes, sizes)
+        left = x["live"] - here  # entries of the class in other blocks, at most
+        new = np.flatnonzero(np.append(True, (x["token"][1:] != x["token"][:-1]) | (x["block"][1:] != x["block"][:-1])))
+        stop = np.append(new[1:], count)
+        others = np.repeat(stop, stop - new) - 1 - np.arange(count)
         upto = np.cumsum(others)
         lo = 0
-        while lo < len(others):
+        while lo < count:
             hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - others[lo] + _AT_ONCE, side="right")))
             n = others[lo:hi]
             i = np.repeat(np.arange(lo, hi), n)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             lo = hi
-            size, other = x["n"][i], x["n"][j]
-            take = (x["comp"][i] != x["comp"][j]) & (x["within"][i] | (x["own"][i] != x["own"][j])) & (4 * np.minimum(size, other) >= 3 * np.maximum(size, other))
+            take = np.flatnonzero((x["comp"][i] != x["comp"][j]) & (x["within"][i] | (x["own"][i] != x["own"][j])))
+            i, j = i[take], j[take]
+            take = _possible(x, i, j)
             i, j = i[take], j[take]
             i, j = np.where(x["cid"][i] < x["cid"][j], i, j), np.where(x["cid"][i] < x["cid"][j], j, i)
             near = 7 * np.minimum(x["left"][i], x["left"][j]) >= 3 * (x["n"][i] + x["n"][j])
-            held.add((x["cid"][i], x["cid"][j], x["n"][i], x["n"][j], x["ends"][i], x["ends"][j], np.ones(len(i), np.int64), near))
+            held.add(x["block"][i], x["cid"][i], x["cid"][j], np.minimum(left[i], left[j]), x["n"][i], x["n"][j], x["ends"][i], x["ends"][j], np.ones(len(i), np.int64), near)
             yield from held.taken(False)
+        held.finished()
+        for part in held.parts:
+            done.add(*part)
+        held.parts, held.size = [], 0
+        yield from done.taken(False)
 
     for batch in batches:
         x = {c: column_of(batch, c).to_numpy(zero_copy_only=False) for c in names}
         if rest is not None:
             x = {c: np.concatenate([rest[c], x[c]]) for c in names}
-        new = np.flatnonzero(np.append(True, (x["token"][1:] != x["token"][:-1]) | (x["block"][1:] != x["block"][:-1]))) if len(x["token"]) else np.zeros(1, np.int64)
-        whole = new[-1]  # the last column may go on in the next batch
-        yield from products({c: v[:whole] for c, v in x.items()}, new[:-1])
+        ends = np.flatnonzero(x["block"][1:] != x["block"][:-1])
+        whole = int(ends[-1]) + 1 if len(ends) else 0  # the last block may go on in the next batch
+        if len(x["cid"]) - whole > BLOCK_HELD:  # any whole columns will do, only fewer pairs are dropped here
+            ends = np.flatnonzero(x["token"][1:] != x["token"][:-1])
+            whole = int(ends[-1]) + 1 if len(ends) else 0
+        yield from products({c: v[:whole] for c, v in x.items()})
         rest = {c: v[whole:] for c, v in x.items()}
-    if rest is not None and len(rest["cid"]):
-        yield from products(rest, np.zeros(1, np.int64))
-    yield from held.taken(True)
+    if rest is not None:
+        yield from products(rest)
+    yield from done.taken(True)
 
 
 def reaches(x: np.ndarray, y: np.ndarray) -> bool:
@@ -386,10 +436,11 @@ class Join:
         self.example_sieve = sieve.build(self.examples, "tag", self.classes)
 
     def postings(self) -> DataFrame:
-        """Prefix entries that some other document may have too: (token, cid, n, left, central, ends).
+        """Prefix entries that some other document may have too: (token, cid, n, left, central, live, reach, ends).
 
-        ``n`` is the set's size, ``left`` how many n-grams it has from this one on, ``central`` the share of its
-        prefix that others may have, ``ends`` where its prefix ends in the order of columns.
+        ``n`` is the set's size, ``left`` how many n-grams it has from this one on, ``live`` how many of its prefix
+        others may have, ``central`` their share, ``reach`` the ``left`` of the first of them, ``ends`` where its
+        prefix ends in the order of columns.
         """
         parts = max(16, int(self.entries) // PART_ENTRIES)
         entries = self.texts.mapInArrow(_entries(self.example_sieve, parts), "part int, tokens binary")
@@ -398,7 +449,7 @@ class Join:
         for least in (2, OFTEN, VERY_OFTEN):
             rows = again.filter(F.col("n") >= least)
             sieves.append(sieve.build(rows, "token", rows.count()))
-        return written(self.texts.mapInArrow(_postings(self.example_sieve, sieves), "token long, cid long, n int, left int, central int, ends long"), "postings")
+        return written(self.texts.mapInArrow(_postings(self.example_sieve, sieves), "token long, cid long, n int, left int, central int, live int, reach int, ends long"), "postings")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of pairs (a, b) of classes, by their full overlap."""
@@ -430,25 +481,27 @@ class Join:
 
     def _across(self, rows: DataFrame) -> DataFrame:
         """(a, b) of classes in different components whose overlap within their prefixes lets them reach the threshold."""
-        cuts = (1 + F.floor(F.col("m") / BLOCK_ENTRIES)).cast("int")
+        cuts = (1 + F.floor(F.col("entries") / BLOCK_ENTRIES)).cast("int")
         rows = rows.withColumn("cuts", cuts).withColumn("own", F.pmod(F.xxhash64("cid"), "cuts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        spread = F.pmod(F.xxhash64("token"), 1 + F.floor(F.col("m") / SPREAD))
-        block = F.xxhash64("lead", spread, F.least("own", "other"), F.greatest("own", "other"))
-        met = rows.select(block.alias("block"), "token", "own", (F.col("own") == F.col("other")).alias("within"), "cid", "n", "left", "ends", "comp")
+        block = F.xxhash64("lead", F.least("own", "other"), F.greatest("own", "other"))
+        met = rows.select(block.alias("block"), "token", "own", (F.col("own") == F.col("other")).alias("within"), "cid", "n", "left", "live", "reach", "ends", "comp")
         found = met.repartition("block").sortWithinPartitions("block", "token").mapInArrow(_met, _Pairs.schema)
         sums = found.groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("a_n", "b_n", "a_ends", "b_ends", "near")), F.sum("shared").alias("shared"))
         return written(sums.filter("near").filter(_may_reach("shared")).select("a", "b"), "rest")
 
     def _open(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """Entries of the columns that still hold several components, with the component of each, the column's length and first class."""
-        named = rows.select("token", "cid", "n", "left", "ends").join(labels.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        """Entries of the columns that still hold several components: with the component of each, the column's largest one, and the entries of all columns that share it."""
+        sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+        labels = labels.join(sizes, "comp").withColumnRenamed("node", "cid")
+        named = rows.select("token", "cid", "n", "left", "live", "reach", "ends").join(labels, "cid", "left").withColumns({"comp": F.coalesce("comp", "cid"), "size": F.coalesce("size", F.lit(1))})
         named = written(named, "named")
         several = named.groupBy("token").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.min("cid").alias("lead"), F.min("n").alias("least"), F.max("n").alias("most")
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.max(F.struct("size", "comp"))["comp"].alias("lead"), F.min("n").alias("least"), F.max("n").alias("most")
         )
         # Two entries of sizes too far apart have no product.
-        several = several.filter("lo != hi AND (m > 2 OR 4 * least >= 3 * most)").select("token", "m", "lead")
-        return written(named.join(written(several, "several"), "token"), "open")
+        several = written(several.filter("lo != hi AND (m > 2 OR 4 * least >= 3 * most)").select("token", "m", "lead"), "several")
+        several = several.join(several.groupBy("lead").agg(F.sum("m").alias("entries")), "lead").select("token", "lead", "entries")
+        return written(named.drop("size").join(several, "token"), "open")
 
     def groups(self) -> DataFrame:
         """The signatures with ``comp``, a label of the group (null without n-grams)."""

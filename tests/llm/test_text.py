@@ -54,11 +54,10 @@ def test_words_of_blocks():
     assert len(set(h.values())) == 3
 
 
-@pytest.mark.parametrize("seed, block, spread", [(1, 2048, 64), (2, 2048, 64), (3, 3, 2), (4, 5, 1)])
-def test_components(spark, monkeypatch, seed, block, spread):
-    """Whatever length of column is cut, and however columns are spread."""
+@pytest.mark.parametrize("seed, block", [(1, 100_000), (3, 40)])
+def test_components(spark, monkeypatch, seed, block):
+    """Whatever number of entries is cut."""
     monkeypatch.setattr(shingle_join, "BLOCK_ENTRIES", block)
-    monkeypatch.setattr(shingle_join, "SPREAD", spread)
     rows, df = random_documents(spark, seed)
     got = [tuple(r) for r in shingle_join.component_ids(df).collect()]
     assert sorted(got) == sorted(components(rows))
@@ -81,20 +80,28 @@ def test_long_chain_and_large_groups(spark):
 def test_pairs_of_blocks(monkeypatch):
     """Products of the columns of blocks against plain loops, in batches of any size."""
     monkeypatch.setattr(shingle_join, "_AT_ONCE", 20)
-    monkeypatch.setattr(shingle_join, "_HELD", 30)
     rng = random.Random(8)
-    rows = sorted((rng.randint(0, 2), rng.randint(0, 9), rng.randint(0, 2), False, cid, 10 + cid % 5, 4 + cid % 7, cid, cid % 4) for cid in range(60) for _ in range(3))
+    rows = sorted((rng.randint(0, 2), rng.randint(0, 9), rng.randint(0, 2), False, cid, 10 + cid % 5, 4 + cid % 7, 9 + cid % 3, 9 + cid % 4, cid, cid % 4) for cid in range(60) for _ in range(3))
     rows = [(*r[:3], r[0] != 1, *r[4:]) for r in sorted({(r[0], r[1], r[4]): r for r in rows}.values())]
-    names = ["block", "token", "own", "within", "cid", "n", "left", "ends", "comp"]
-    wanted = {}
+    names = ["block", "token", "own", "within", "cid", "n", "left", "live", "reach", "ends", "comp"]
+    past = lambda n: -(-3 * n // 4) - 1
+    wanted, total = {}, {}
     for i, x in enumerate(rows):
         for y in rows[:i]:
-            if x[:2] == y[:2] and x[8] != y[8] and (x[3] or x[2] != y[2]) and 4 * min(x[5], y[5]) >= 3 * max(x[5], y[5]):
+            rest = past(x[5] if x[9] < y[9] else y[5])
+            possible = 4 * min(x[5], y[5]) >= 3 * max(x[5], y[5]) and 7 * min(min(x[7], y[7]) + rest, x[8], y[8]) >= 3 * (x[5] + y[5])
+            if x[:2] == y[:2] and x[10] != y[10] and (x[3] or x[2] != y[2]) and possible:
                 key = min(x[4], y[4]), max(x[4], y[4])
-                shared, near = wanted.get(key, (0, False))
-                wanted[key] = shared + 1, near or 7 * min(x[6], y[6]) >= 3 * (x[5] + y[5])
+                shared, near = total.get((x[0], *key), (0, False))
+                total[x[0], *key] = shared + 1, near or 7 * min(x[6], y[6]) >= 3 * (x[5] + y[5])
+    for (block, a, b), (shared, near) in total.items():
+        x, y = (next(r for r in rows if r[4] == c) for c in (a, b))
+        more = min(r[7] - sum(q[0] == block and q[4] == r[4] for q in rows) for r in (x, y))
+        if 7 * (shared + more + past(x[5] if x[9] < y[9] else y[5])) >= 3 * (x[5] + y[5]):
+            old = wanted.get((a, b), (0, False))
+            wanted[a, b] = old[0] + shared, old[1] or near
     for size in (1, 7, 1000):
-        kinds = [np.int64] * 3 + [bool] + [np.int64] * 5
+        kinds = [np.int64] * 3 + [bool] + [np.int64] * 7
         batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c, k)) for c, k in zip(zip(*rows[lo : lo + size]), kinds)], names=names) for lo in range(0, len(rows), size)]
         got = {}
         for b in shingle_join._met(iter(batches)):
