@@ -1,16 +1,17 @@
 """Language identification by prediction by partial matching.
 
-For each language a tree of byte contexts up to order three is counted over training texts and then frozen.
+For each language a tree of byte contexts up to order ``ORDER`` is counted over training texts and then frozen.
 The probability of a byte in a context is the longest context's estimate where the byte was seen there, else
 the escape probability times the estimate of the next shorter context (escape method C: distinct successors
-over occurrences plus distinct successors).  The code length of a text is the sum over its bytes; the
-language with the shortest code wins.
+over occurrences plus distinct successors); a byte that was never seen takes eight bits beyond the last escape.
+The code length of a text is the sum over its bytes; the language with the shortest code wins.  Only ASCII letters
+are lower-cased and white space made one byte; all other bytes count as they are, so any script has its contexts.
 
-Since the statistics are frozen, the escapes can be followed once for every context and byte, and the trees
-of all languages unfolded into one table of code lengths.  Bytes are first mapped to ``SYMBOLS`` classes
-(ASCII lower-cased, the most frequent bytes of the training texts, one class for the rest), which bounds the
-table: SYMBOLS**4 entries for each language.  Every language named in the training documents is learned; their
-tables are shared and compared in passes of ``LANGUAGES`` at most.
+Since the statistics are frozen, the escapes can be followed once for every context and byte that some language
+has seen, and the trees of several languages unfolded into hash tables: for each order the code lengths of
+every byte string seen under all languages, and the escapes of every context.  A lookup ends at the longest string that any
+language has seen.  Every language named in the training documents is learned; their tables are shared and
+compared in passes of ``LANGUAGES`` at most.
 
 Nulls, empty tables and odd rows: a text that is null or holds no letter gets ``und`` with score 0.  Rows
 without id or language are never learned from.  Without any training text every row is ``und``.  Equal code
@@ -30,90 +31,126 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import scratch, written
-from .textblocks import LOWER, SPACE, blocks, column_of
+from .textblocks import LOWER, SPACE, U64, blocks, column_of, mix
 
-SYMBOLS = 48
+#: Bytes of the longest context.
+ORDER = 4
 #: Training documents of each language, and bytes of them, at most; languages whose tables are held at once, at most.
-PER_LANGUAGE, TRAIN_BYTES, LANGUAGES = 400, 2_000_000, 16
+PER_LANGUAGE, TRAIN_BYTES, LANGUAGES = 400, 2_000_000, 8
 #: Code lengths are kept as 16-bit integers of this many steps to a bit.
 STEPS = 1024
+BLANK = 0x20
+NORMAL = np.where(SPACE, BLANK, LOWER).astype(np.uint8)
+
+
+class Table:
+    """Rows of numbers by key; a key without a row has one of zeros."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray):
+        mixed = mix(keys)
+        order = np.argsort(mixed)
+        self.keys = mixed[order]
+        self.rows = np.concatenate([rows[order], np.zeros((1, rows.shape[1]), rows.dtype)])
+        self.bits = max(4, len(keys).bit_length() + 1)
+        self.starts = np.searchsorted(self.keys, np.arange(1 << self.bits, dtype=np.uint64) << U64(64 - self.bits)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the rows, or -1.  Mixed keys are spread evenly, so a few steps from where their first bits begin find each."""
+        out = np.full(len(keys), -1, np.int32)
+        if not len(self.keys):
+            return out
+        wanted = mix(keys)
+        at = self.starts[(wanted >> U64(64 - self.bits)).astype(np.int64)]
+        todo = np.arange(len(keys))
+        while len(todo):
+            inside = at < len(self.keys)
+            if not inside.all():
+                todo, at, wanted = todo[inside], at[inside], wanted[inside]
+            have = self.keys[at]
+            hit = have == wanted
+            out[todo[hit]] = at[hit]
+            more = have < wanted
+            todo, at, wanted = todo[more], at[more] + 1, wanted[more]
+        return out
 
 
 @dataclass
 class Model:
     languages: list[str]
-    classes: np.ndarray  # byte -> symbol
-    table: np.ndarray  # SYMBOLS**4 x languages, uint16
+    strings: list[Table]  # by order: code lengths of strings of order + 1 bytes
+    escapes: list[Table]  # by order: code lengths of the escapes of contexts of so many bytes
 
 
-def byte_classes(counts: np.ndarray) -> np.ndarray:
-    """Symbols of all bytes: white space first, then lower-cased bytes by frequency, the last one for the rest."""
-    counts = np.bincount(LOWER, counts, 256)
-    counts[SPACE] = 0
-    top = [b for b in np.argsort(-counts, kind="stable")[: SYMBOLS - 2] if counts[b] > 0]
-    out = np.full(256, SYMBOLS - 1, np.uint8)
-    out[SPACE] = 0
-    out[top] = np.arange(1, len(top) + 1)
-    return out[LOWER]
-
-
-def contexts(symbols: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """For each byte its symbol after the three before it, as one number; texts are preceded by white space."""
-    s = symbols.astype(np.int32)
+def strings(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """For each byte of texts the ``ORDER`` bytes before it and itself, as one number; texts are preceded by white space."""
+    s = NORMAL[data].astype(np.uint64)
     out = s.copy()
-    for k, scale in ((1, SYMBOLS), (2, SYMBOLS**2), (3, SYMBOLS**3)):
-        before = np.zeros_like(s)
-        before[k:] = s[:-k] if len(s) > k else 0
+    for k in range(1, ORDER + 1):
+        before = np.full(len(s), BLANK, np.uint64)
+        before[k:] = s[:-k] if len(s) > k else BLANK
         for j in range(k):  # the first bytes of a text do not see the text before
             at = offs[:-1] + j
-            before[at[at < offs[1:]]] = 0
-        out += before * scale
+            before[at[at < offs[1:]]] = BLANK
+        out |= before << U64(8 * k)
     return out
 
 
-def code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Bits of every (context of three, symbol) under frozen counts of the same."""
-    bits = np.full(SYMBOLS, np.log2(SYMBOLS))
-    for order in range(4):
-        c = counts.reshape(SYMBOLS ** (3 - order), -1, SYMBOLS).sum(0).astype(np.float32) if order < 3 else counts.reshape(-1, SYMBOLS).astype(np.float32)
-        n, d = c.sum(-1, keepdims=True), (c > 0).sum(-1, keepdims=True).astype(np.float32)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(n > 0, np.log2((n + d) / d), 0)
-            seen = np.log2((n + d) / c)
-        # The context without its oldest symbol: contexts are numbered with the oldest symbol first.
-        shorter = np.broadcast_to(bits, (SYMBOLS, *bits.shape)).reshape(-1, SYMBOLS) if order else bits[None]
-        bits = np.where(c > 0, seen, escape + shorter).astype(np.float32)
-        bits = bits.reshape(-1, SYMBOLS) if order else bits[0]
-    return bits.reshape(-1)
-
-
-def byte_counts(texts: list[tuple[str, str]]) -> np.ndarray:
-    return np.bincount(np.frombuffer("".join(t for _, t in texts).encode(), np.uint8), minlength=256)
+def last_bytes(x: np.ndarray, n: int) -> np.ndarray:
+    return x & U64((1 << 8 * n) - 1)
 
 
-def fit(texts: list[tuple[str, str]], classes: np.ndarray | None = None) -> Model:
-    """Trees of the languages of (language, text) pairs; languages that are compared must share ``classes``."""
+def fit(texts: list[tuple[str, str]]) -> Model:
+    """Trees of the languages of (language, text) pairs."""
     languages = sorted({lang for lang, _ in texts})
-    raw = {lang: [t.encode() for k, t in texts if k == lang and t] for lang in languages}
-    classes = byte_classes(byte_counts(texts)) if classes is None else classes
-    table = np.zeros((SYMBOLS**4, len(languages)), np.uint16)
-    for k, lang in enumerate(languages):
-        counts = np.zeros(SYMBOLS**4, np.int32)
-        for text in raw[lang]:
-            index = contexts(classes[np.frombuffer(text, np.uint8)], np.array([0, len(text)]))
-            np.add.at(counts, index, 1)
-        table[:, k] = np.minimum(code_lengths(counts) * STEPS, 65535).round()
-    return Model(languages, classes, table)
+    seen = []
+    for lang in languages:
+        raw = [t.encode() for k, t in texts if k == lang and t]
+        seen.append(strings(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(t) for t in raw])).astype(np.int64)))
+    # Of bytes that a language has never seen: eight bits.
+    below, lower = np.arange(256, dtype=np.uint64), np.full((256, len(languages)), 8 * STEPS)
+    model = Model(languages, [], [])
+    for order in range(ORDER + 1):
+        found = [np.unique(last_bytes(x, order + 1), return_counts=True) for x in seen]
+        keys = np.unique(np.concatenate([k for k, _ in found])) if found else np.zeros(0, np.uint64)
+        if not order:
+            keys = below
+        counts = np.zeros((len(keys), len(languages)))
+        for j, (k, n) in enumerate(found):
+            counts[np.searchsorted(keys, k), j] = n
+        contexts, first, place = np.unique(keys >> U64(8), return_index=True, return_inverse=True)
+        n, d = (np.add.reduceat(x, first) if len(first) else x for x in (counts, (counts > 0).astype(float)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            escape = np.where(d > 0, np.log2((n + d) / d) * STEPS, 0).round().astype(np.int64)
+            own = (np.log2((n + d)[place] / np.maximum(counts, 0.5)) * STEPS).round().astype(np.int64)
+        # Whole steps throughout, so that a sum is the same whichever languages share the tables.
+        bits = np.where(counts > 0, own, escape[place] + lower[np.searchsorted(below, last_bytes(keys, max(order, 1)))])
+        model.strings.append(Table(keys, np.minimum(bits, 65535).astype(np.uint16)))
+        model.escapes.append(Table(contexts, escape.astype(np.uint16)))
+        below, lower = keys, bits
+    return model
 
 
 def lengths(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Code length in bits of each text under each language."""
     out = np.zeros((len(offs) - 1, len(model.languages)))
-    if len(data):
-        rows = model.table[contexts(model.classes[data], offs)]
-        full = np.flatnonzero(offs[1:] > offs[:-1])
-        for k in range(rows.shape[1]):
-            out[full, k] = np.add.reduceat(rows[:, k], offs[:-1][full], dtype=np.int64) / STEPS
+    if not len(data):
+        return out
+    x = strings(data, offs)
+    place = model.strings[ORDER].find(x)
+    rows = model.strings[ORDER].rows[place].astype(np.int32)
+    todo = np.flatnonzero(place < 0)
+    for order in range(ORDER, 0, -1):
+        if not len(todo):
+            break
+        rest = x[todo]
+        escapes, shorter = model.escapes[order], model.strings[order - 1]
+        rows[todo] += escapes.rows[escapes.find(last_bytes(rest >> U64(8), order))]
+        place = shorter.find(last_bytes(rest, order))
+        rows[todo] += shorter.rows[place]
+        todo = todo[place < 0]
+    full = np.flatnonzero(offs[1:] > offs[:-1])
+    for k in range(rows.shape[1]):
+        out[full, k] = np.add.reduceat(rows[:, k], offs[:-1][full], dtype=np.int64) / STEPS
     return out
 
 
@@ -146,8 +183,7 @@ def _train(documents: DataFrame, keep: Column, per_language: int, most_bytes: in
         got = picked.filter(F.col("lang").isin(group)).collect()
         return [(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["lang"], r["doc_id"], r["text"]))]
 
-    classes = byte_classes(sum((byte_counts(texts(g)) for g in groups), np.zeros(256, np.int64)))
-    return [documents.sparkSession.sparkContext.broadcast(fit(texts(g), classes)) for g in groups or [[]]]
+    return [documents.sparkSession.sparkContext.broadcast(fit(texts(g))) for g in groups or [[]]]
 
 
 def predict(documents: DataFrame, models: list[Broadcast]) -> DataFrame:
