@@ -35,5 +35,10 @@ def _first(rows: DataFrame, y: int, n: int) -> DataFrame:
 
 
 def attach(documents: DataFrame, sample: DataFrame, *columns: str) -> DataFrame:
-    """Rows of ``documents`` in the bounded ``sample``, with its ``y``; the large side is not shuffled."""
-    return documents.select("doc_id", *columns).join(F.broadcast(sample), "doc_id")
+    """Rows of ``documents`` in the bounded ``sample``, with its ``y``; the large side is not shuffled.
+
+    Of rows that share an id the one with the smallest hash counts, so the result is as bounded as the sample.
+    """
+    rows = documents.select("doc_id", *columns).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64(*columns).alias("h"), *columns)).alias("row"))
+    return rows.select("doc_id", *(F.col("row")[c].alias(c) for c in columns), "y")

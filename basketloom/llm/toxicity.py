@@ -5,12 +5,13 @@ with an Aho-Corasick automaton.  Entries are whole words or stems (a stem matche
 A hit inside an exception phrase does not count.  The summed weights, with and without normalisation by
 length, go through a fitted logistic curve.
 
-The lexicon holds a short list of seeds and what a bounded sample of labelled documents teaches: words and
+The lexicon is what a bounded sample of labelled documents teaches: words (of any length up to ``LONGEST``) and
 stems are added greedily, each for the toxic documents that it explains and no earlier entry does.
 
 Nulls, empty tables and odd rows: a null text counts as empty, and an empty text has no hit; its score is
-that of a text without hits.  Rows without id are scored, never learned from.  Without labelled rows the
-seeds alone are used, with fixed curve parameters.  Other columns are not looked at.
+that of a text without hits.  Rows without id are scored, never learned from; ids may be of any type, and of
+rows that share one a single row is learned from.  Without labelled rows the lexicon is empty and every score
+that of a text without hits, with fixed curve parameters.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,12 +33,10 @@ from .textblocks import column_of
 
 #: Labelled documents of each class that the lexicon and the curve are fitted on, at most.
 PER_CLASS = 3000
-#: Entries that the fitting proposes to the driver, at most.
-CANDIDATES = 20_000
-STEMS = (4, 5, 6)
+#: Letters of the longest word that may be an entry, and of stems.
+LONGEST, STEMS = 64, (4, 5, 6)
 
-#: Mild insults that stand in for a curated lexicon, and phrases that take their sting away.
-SEEDS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "worthless", "pathetic", "disgusting", "clown")
+#: Phrases that take the sting away from words that may be entries.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "trash bag", "taking out the trash", "circus clown")
 
 WORD = re.compile(r"[^\W_]+")
@@ -122,8 +121,9 @@ def signals(text: str, automaton: ahocorasick.Automaton) -> tuple[float, float,
 
 def tokens(text: str) -> set[str]:
     """Folded words of a text and the stems of its words."""
-    words = {w for w in WORD.findall(fold(text)) if 3 < len(w) <= 24}
-    return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
+    found = set(WORD.findall(fold(text)))
+    words = {w for w in found if len(w) <= LONGEST}
+    return words | {w[:k] + "*" for w in found for k in STEMS if len(w) > k}
 
 
 def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +141,7 @@ def _incidence(candidates: set[str]) -> Callable:
         for batch in batches:
             texts = column_of(batch, "text").to_pylist()
             found = [sorted(tokens(t or "") & candidates) for t in texts]
-            yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id").cast(pa.int64()), column_of(batch, "y").cast(pa.int32()), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "y", "tokens"])
+            yield pa.RecordBatch.from_arrays([column_of(batch, "y").cast(pa.int32()), pa.array(found, pa.list_(pa.string()))], names=["y", "tokens"])
 
     return run
 
@@ -207,12 +207,11 @@ def train(documents: DataFrame, labels: DataFrame, keep: Column, per_class: int
 def _train(documents: DataFrame, labels: DataFrame, keep: Column, per_class: int) -> Lexicon:
     sample = written(attach(documents, labelled_sample(labels, "toxic", keep, per_class), "text"), "sample")
     counts = sample.select("y", "text").mapInArrow(_proposals, "token string, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    proposed = counts.filter((F.col("n1") >= 3) & (F.col("n1") > 8 * F.col("n0"))).orderBy((F.col("n1") - 8 * F.col("n0")).desc(), "token").limit(CANDIDATES)
-    candidates = {r["token"] for r in proposed.collect()}
-    rows = sample.mapInArrow(_incidence(candidates), "doc_id long, y int, tokens array<string>").collect() if candidates else []
-    rows.sort(key=lambda r: (r["doc_id"], r["y"], r["tokens"]))
-    weights = {s: 4.0 for s in SEEDS} | choose((r["y"], r["tokens"]) for r in rows)
-    lexicon = Lexicon(weights)
+    proposed = counts.filter((F.col("n1") >= 3) & (F.col("n1") > 8 * F.col("n0")))  # bounded, as the sample is
+    candidates = {r["token"] for r in proposed.select("token").collect()}
+    rows = sample.select("y", "text").mapInArrow(_incidence(candidates), "y int, tokens array<string>").collect() if candidates else []
+    rows.sort(key=lambda r: (r["y"], r["tokens"]))
+    lexicon = Lexicon(choose((r["y"], r["tokens"]) for r in rows))
     seen = sample.select("y", "text").mapInArrow(_signals(lexicon.automaton, ["y"]), "y int, total double, largest double, density double").toPandas()
     if seen["y"].nunique() == 2:
         seen = seen.sort_values(list(seen.columns), kind="stable")

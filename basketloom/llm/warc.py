@@ -12,9 +12,10 @@ largest page_id is the response and the others are revisits of it; smaller ones
 
 Nulls, empty tables and odd rows: a null html is an empty payload.  A null page_id is written as an empty
 header, never outranks another id, and reads back as null; if all of a group are null or several rows share the
-largest id, one of them (by URL, then any) is the response and the rest revisit it.  A null URL is written
-as an empty header and reads back as null.  An empty table gives an empty index and no file.  Line breaks
-in URLs are percent-encoded.  Other columns are not looked at.
+largest id, one of them (by URL, then any) is the response and the rest revisit it, rows alike in all three
+included.  A null URL is written without a header and reads back as null, an empty one as an empty header.  An
+empty table gives an empty index and no file.  Line breaks in URLs are percent-encoded.  Other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .textblocks import column_of
 LEAST_BYTES = 1000
 #: A read joins ranges with at most this gap, up to this length; a task is dealt this much of a file.
 GAP, SPAN, STRETCH = 64 << 10, 8 << 20, 32 << 20
+#: Digests that occur again are broadcast up to this number (a row takes some hundred bytes); beyond it, large payloads are shuffled to meet them.
+BROADCAST_DIGESTS = 100_000
 
 INDEX = "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
@@ -44,20 +47,20 @@ def _uri(page_id: int | None, url: str | None) -> str:
     return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url}"))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, is_revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, is_revisit: bool) -> bytes:
     """One record, uncompressed.  Revisits keep the digest and length of their payload, not the payload."""
-    http = _HTTP % len(payload)
+    http = _HTTP % size
     block = http if is_revisit else http + payload
-    safe = (url or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    safe = None if url is None else url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if is_revisit else 'response'}",
         f"WARC-Record-ID: <urn:uuid:{_uri(page_id, url)}>",
         "WARC-Date: 2000-01-01T00:00:00Z",
-        f"WARC-Target-URI: {safe}",
+        *([] if safe is None else [f"WARC-Target-URI: {safe}"]),
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Page-ID: {'' if page_id is None else page_id}",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Payload-Length: {size}",
     ]
     if is_revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
@@ -75,10 +78,10 @@ def parse(raw: bytes) -> dict:
     if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
     number = lambda k: int(fields[k]) if fields.get(k) else None
-    url = fields["WARC-Target-URI"].replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
+    url = fields.get("WARC-Target-URI")
     return {
         "page_id": number("X-Page-ID"),
-        "url": url or None,
+        "url": None if url is None else url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%"),
         "payload_bytes": int(fields["X-Payload-Length"]),
         "payload_digest": digest,
         "record_type": fields["WARC-Type"],
@@ -95,15 +98,15 @@ def _writer(folder: str) -> Callable:
         try:
             for batch in batches:
                 rows = []
-                for page_id, url, html, digest, refers_to, is_revisit in zip(*(column_of(batch, k).to_pylist() for k in ("page_id", "url", "html", "digest", "refers_to", "is_revisit"))):
+                for page_id, url, html, size, digest, refers_to, is_revisit in zip(*(column_of(batch, k).to_pylist() for k in ("page_id", "url", "html", "size", "digest", "refers_to", "is_revisit"))):
                     if out is None:
                         files.create_dir(base, recursive=True)
                         out = files.open_output_stream(f"{base}/{name}", compression=None)  # members are gzipped already
                     payload = (html or "").encode()
                     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    raw = packer.compress(record(page_id, url, payload, digest, refers_to, is_revisit)) + packer.flush()
+                    raw = packer.compress(record(page_id, url, payload, size, digest, refers_to, is_revisit)) + packer.flush()
                     out.write(raw)
-                    rows.append((page_id, url, digest, len(payload), "revisit" if is_revisit else "response", refers_to, name, at, len(raw)))
+                    rows.append((page_id, url, digest, size, "revisit" if is_revisit else "response", refers_to, name, at, len(raw)))
                     at += len(raw)
                 if rows:
                     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
@@ -119,18 +122,29 @@ def write(pages: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
     """(folder, index) of the archives of ``pages`` (page_id, url, html)."""
     folder = folder or new_path(pages.sparkSession, "warc")
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("digest", F.sha1(html.cast("binary")))
-    large = F.octet_length(html) >= LEAST_BYTES
-    # Only digests that occur again matter; the table of them is narrow and joins by whichever way its size allows.
-    best = F.max(F.struct(F.col("page_id"), F.col("url")))
-    groups = written(rows.filter(large).groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
-    joined = rows.join(groups, "digest", "left")
-    is_best = F.col("page_id").eqNullSafe(F.col("best.page_id")) & F.col("url").eqNullSafe(F.col("best.url"))
-    index = joined.select(
-        "page_id", "url", "html", "digest",
-        F.when(F.col("n").isNotNull() & ~is_best, F.col("best.page_id")).alias("refers_to"),
-        (F.col("n").isNotNull() & ~is_best).alias("is_revisit"),
-    ).mapInArrow(_writer(folder), INDEX)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumns({"digest": F.sha1(html.cast("binary")), "size": F.octet_length(html).cast("long")})
+    large = F.col("size") >= LEAST_BYTES
+    # Only digests that occur again matter: ``best`` is the response among them, and how many rows are alike in all that it holds.
+    alike = rows.filter(large).groupBy("digest", "size", "page_id", "url").agg(F.count(F.lit(1)).alias("twins"))
+    groups = alike.groupBy("digest", "size").agg(F.max(F.struct("page_id", "url", "twins")).alias("best"), F.sum("twins").alias("n"))
+    groups = written(groups.filter("n > 1").select("digest", "size", "best"), "groups")
+    with_best = groups.drop("size")
+    if groups.count() <= BROADCAST_DIGESTS:
+        joined = rows.join(F.broadcast(with_best), "digest", "left")
+    else:
+        joined = rows.filter(large).join(with_best, "digest", "left").unionByName(rows.filter(~large), allowMissingColumns=True)
+    repeated = F.col("best").isNotNull()
+    is_best = repeated & F.col("page_id").eqNullSafe(F.col("best.page_id")) & F.col("url").eqNullSafe(F.col("best.url"))
+    is_twin = is_best & (F.col("best.twins") > 1)
+    revisit = repeated & ~is_best
+    single = joined.filter(~is_twin).select(
+        "page_id", "url", "size", "digest", F.when(~revisit, F.col("html")).alias("html"), F.when(revisit, F.col("best.page_id")).alias("refers_to"), revisit.alias("is_revisit")
+    )
+    # Of rows alike one is the response; a revisit needs no payload, so the others are made from their number.
+    first = joined.filter(is_twin).groupBy("digest", "size", "page_id", "url").agg(F.max("html").alias("html")).withColumns({"refers_to": F.lit(None).cast("long"), "is_revisit": F.lit(False)})
+    others = groups.filter("best.twins > 1").withColumn("k", F.explode(F.sequence(F.lit(2).cast("long"), F.col("best.twins"))))
+    others = others.select("digest", "size", "best.page_id", "best.url", F.lit(None).cast("string").alias("html"), F.col("best.page_id").alias("refers_to"), F.lit(True).alias("is_revisit"))
+    index = single.unionByName(first).unionByName(others).mapInArrow(_writer(folder), INDEX)
     return folder, written(index, "index")
 
 
@@ -169,6 +183,9 @@ def _reader(folder: str) -> Callable:
 
 def read(folder: str, selected: DataFrame) -> DataFrame:
     """The records of the ``selected`` index rows, read by coalesced ranges."""
-    stretch = F.floor(F.col("offset") / STRETCH)
-    dealt = selected.select("file", "offset", "length").repartition(F.col("file"), stretch).sortWithinPartitions("file", "offset")
+    size = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    # By bytes of the archives, which the small index says nothing of; small archives are shared out too.
+    tasks = max(1, -(-size // STRETCH), min(selected.sparkSession.sparkContext.defaultParallelism, -(-size // (1 << 20))))
+    step = min(STRETCH, max(1 << 20, size // tasks))
+    dealt = selected.select("file", "offset", "length").repartition(tasks, F.col("file"), F.floor(F.col("offset") / step)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(_reader(folder), RECORD)

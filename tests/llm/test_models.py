@@ -161,6 +161,69 @@ def test_toxicity_learns(spark):
     assert len(got) == 900 and all(0 <= s <= 1 for s in got.values())
 
 
+def test_toxicity_against_plain_loops(spark):
+    """Learning, curve and scores against loops over a small fixture, with ids that are text."""
+    import re
+
+    df, marks, truth = labelled(spark, 8, 240)
+    df, marks = df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), marks.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    lexicon = toxicity.train(df, marks, F.lit(True))
+    texts = {r.doc_id: r.text for r in df.collect()}
+    pieces = {}
+    for k, (_, _, toxic, _) in truth.items():
+        whole = set(re.findall(r"[^\W_]+", toxicity.fold(texts[f"d{k}"])))
+        pieces[k] = toxic, whole | {w[:n] + "*" for w in whole for n in (4, 5, 6) if len(w) > n}
+    weights, open_docs = {}, {k for k, (t, _) in pieces.items() if t}
+    n1 = len(open_docs)
+    while True:  # the entry that explains most of what is left, each clean document against it counting eight
+        gain = {}
+        for k, (t, p) in pieces.items():
+            for w in p - weights.keys():
+                gain[w] = gain.get(w, 0) + ((k in open_docs) if t else -8)
+        best = max(gain, key=lambda w: (gain[w], len(w), w))
+        if gain[best] < 3:
+            break
+        holds = {k for k, (_, p) in pieces.items() if best in p}
+        bad = sum(pieces[k][0] for k in holds)
+        weights[best] = np.log((bad + 0.5) / n1) - np.log((len(holds) - bad + 0.5) / (len(pieces) - n1))
+        open_docs -= holds
+    assert lexicon.weights.keys() == weights.keys() and all(abs(lexicon.weights[w] - weights[w]) < 1e-9 for w in weights)
+    for r in toxicity.score(df, lexicon).collect():
+        hits = []
+        for m in re.finditer(r"[^\W_]+", toxicity.fold(texts[r.doc_id])):
+            here = [x for w, x in weights.items() if (m.group().startswith(w[:-1]) if w.endswith("*") else m.group() == w)]
+            hits += [max(here)] if here else []
+        total = sum(hits)
+        a = lexicon.curve
+        margin = a[0] + a[1] * np.log1p(total) + a[2] * max(hits, default=0) + a[3] * total / (1 + toxicity.fold(texts[r.doc_id]).count(" ")) ** 0.5
+        assert abs(r.score - 1 / (1 + np.exp(-margin))) < 1e-9
+
+
+def test_trees_node_by_node():
+    """Scores against a walk row by row, and the first split against a search of all cuts."""
+    rng = np.random.default_rng(7)
+    x, y = rng.random((300, 4)).astype(np.float32), (rng.random(300) < 0.4).astype(float)
+    y[x[:, 2] > 0.6] = 1
+    model = quality_model.fit_trees(x, y, trees=5, depth=3, bins=400)
+    for row, got in zip(x[:50], model.margin(x[:50])):
+        total = model.base
+        for feature, cut, value in zip(model.feature, model.cut, model.value):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            total += value[node - len(feature)]
+        assert abs(total - got) < 1e-9
+    share = (y.sum() + 0.5) / 301
+    best = (0, None, None)
+    for j in range(4):
+        for c in np.unique(x[:, j])[:-1]:
+            low = x[:, j] <= c
+            if min(low.sum(), (~low).sum()) * share * (1 - share) >= 3:
+                gain = sum((y[s] - share).sum() ** 2 / (s.sum() * share * (1 - share) + 1) for s in (low, ~low))
+                best = max(best, (gain, j, float(c)))
+    assert (model.feature[0, 0], round(float(model.cut[0, 0]), 6)) == (best[1], round(best[2], 6))
+
+
 def test_classifier_learns(spark):
     df, marks, truth = labelled(spark)
     model = quality_model.train(df, marks, F.col("doc_id") % 5 != 0)
@@ -284,9 +347,9 @@ def test_awkward_languages(spark):
     assert {r.lang_pred for r in language.predict(df, none).collect()} == {"und"} and language.predict(nothing(spark), none).count() == 0
 
 
-def test_archives(spark):
+def test_archives(spark, monkeypatch):
     big, other = "<p>é" + "x" * 1200, "y" * 999
-    rows = [(1, "http://a/1", big), (2, "http://a/2", big), (9, "http://a/9%\r\n", big), (3, "u", other), (4, "u", other), (5, None, None), (6, "u", ""), (None, "http://n", "z" * 2000), (7, "\r", "q" * 1000), (8, "w", "q" * 1000)]
+    rows = [(1, "http://a/1", big), (2, "http://a/2", big), (9, "http://a/9%\r\n", big), (3, "u", other), (4, "u", other), (5, None, None), (6, "", ""), (None, "http://n", "z" * 2000), (7, "\r", "q" * 1000), (8, "w", "q" * 1000)]
     df = spark.createDataFrame([(*r, "k", 1) for r in rows], "page_id long, url string, html string, digest string, n int").repartition(3)
     folder, index = warc.write(df)
     got = {r.page_id: r for r in warc.read(folder, index).collect()}
@@ -301,6 +364,11 @@ def test_archives(spark):
     twice = spark.createDataFrame([(1, "a", big), (1, "a", big), (1, "b", big), (None, None, big)], "page_id long, url string, html string")
     kinds = sorted((r.record_type, r.refers_to or 0) for r in warc.read(*warc.write(twice)).collect())
     assert kinds == [("response", 0), ("revisit", 1), ("revisit", 1), ("revisit", 1)]
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)  # then large payloads are shuffled
+    alike = spark.createDataFrame([(2, "a", big), (2, "a", big), (2, "a", big), (1, "b", big), (3, "c", other), (3, "c", other)], "page_id long, url string, html string").repartition(3)
+    read = warc.read(*warc.write(alike)).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to or 0) for r in read) == [(1, "revisit", 2), (2, "response", 0), (2, "revisit", 2), (2, "revisit", 2), (3, "response", 0), (3, "response", 0)]
+    assert sorted(r.payload for r in read if r.payload) == sorted([big, other, other]) and all(r.payload_bytes == len((big if r.page_id < 3 else other).encode()) for r in read)
     folder, index = warc.write(df.limit(0))
     assert index.count() == 0 and warc.read(folder, index).count() == 0
 
