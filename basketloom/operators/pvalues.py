@@ -5,14 +5,15 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import interactions
-from .lineage import run_offsets, sorted_runs
+from .lineage import cut, run_offsets, sorted_runs
 
-#: Up to this many places tails are exact rationals; beyond, sums of positive terms from log-gamma.
+#: Up to this many places tails are exact rationals; beyond, sums of positive terms, each from products of ratios.
 EXACT = 50_000
 
 
@@ -23,28 +24,58 @@ def binomial(n: int, k: int) -> int:
     return math.comb(n, k) if n >= 0 else (-1) ** k * math.comb(k - n - 1, k)
 
 
-def _log_binomial(n: int, k: int) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) if 0 <= k <= n else -math.inf
+def _sum(f, n: int) -> float:
+    """Sum of ``f(i)`` for i below n, whole arrays of i at a time."""
+    return math.fsum(float(f(np.arange(lo, min(n, lo + (1 << 20)), dtype=float)).sum()) for lo in range(0, n, 1 << 20))
 
 
-def _logs(n0: int, n1: int, total_b: int, total: int):
-    """log P(d) of d out of ``n1`` places and the rest out of ``n0``."""
-    base = _log_binomial(total, total_b)
-    return lambda d: _log_binomial(n1, d) + _log_binomial(n0, total_b - d) - base
+def _log_choose(n: int, k: int) -> float:
+    k = min(k, n - k)
+    return _sum(lambda i: np.log((n - i) / (i + 1)), k)
 
 
-def _upper(log_p, first: int, last: int) -> float:
-    """Sum of P(d) for d from ``first`` on; terms that no longer matter are left out once they fall."""
-    total, before = 0.0, -math.inf
-    for d in range(first, last + 1):
-        x = log_p(d)
-        total += math.exp(x)
-        if x < before and x < math.log(total or 1e-300) - 42:
+def _log_share(n0: int, d: int, total_b: int, total: int) -> float:
+    """log of C(n0, total_b - d) / C(total, total_b), as a product of as few factors as can be."""
+    held, other = total_b - d, total - n0 - d
+    if held <= other:
+        return _sum(lambda i: np.log1p((n0 - total) / (total - i)), held) + _sum(lambda i: np.log((total_b - i) / (total - held - i)), d)
+    return _sum(lambda i: np.log1p(-total_b / (total - i)), other) + _sum(lambda i: np.log((total_b - i) / (total - other - i)), d)
+
+
+def _rising(first: float, place: int, step, last: int) -> float:
+    """Sum of terms from ``place`` to ``last``: the first one's log, then by the ratios ``step(d)`` of term d + 1 to term d."""
+    total, log, d = 0.0, first, place
+    while d <= last:
+        at = np.arange(d, min(last + 1, d + 1024), dtype=float)
+        ratio = step(at)
+        with np.errstate(divide="ignore"):
+            logs = log + np.append(0.0, np.cumsum(np.log(np.maximum(ratio, 0.0))))
+        terms = np.exp(logs[:-1])
+        total += float(terms.sum())
+        log, d = float(logs[-1]), d + len(at)
+        if ratio[-1] < 1 and terms[-1] <= total * 1e-19:
             break
-        before = x
     return total
 
 
+def _upper(near: int, rest: int, first: int, total_b: int, total: int, factor: float = 0.0, shift: int = 0) -> float:
+    """Sum over d from ``first`` on of C(near, d) C(rest, total_b - shift - d) / C(total, total_b), times exp(factor)."""
+    first = max(first, total_b - shift - rest)
+    last = min(near, total_b - shift)
+    if first > last:
+        return 0.0
+    log = factor + _log_choose(near, first) + _log_share(rest, first + shift, total_b, total)
+    return _rising(log, first, lambda d: (near - d) * (total_b - shift - d) / ((d + 1) * (rest - total_b + shift + d + 1)), last)
+
+
+def _any(n: int, total_b: int, total: int) -> float:
+    """Probability that at least one of ``n`` places holds B."""
+    if n * total_b > 800 * total:
+        return 1.0
+    k, other = min(n, total_b), max(n, total_b)
+    return 1.0 if other + k > total else -math.expm1(_sum(lambda i: np.log1p(-other / (total - i)), k))
+
+
 @lru_cache(maxsize=200_000)
 def tail(n0: int, n1: int, n2: int, b1: int, b2: int, total_b: int, total: int) -> float:
     """Probability of at least the observed interactions of B with A.
@@ -61,22 +92,18 @@ def tail(n0: int, n1: int, n2: int, b1: int, b2: int, total_b: int, total: int)
         near, seen = (n1, b1) if b2 == 0 else (n2, b2)
         if exact:
             return (whole - sum(binomial(n0, total_b - d) * binomial(near, d) for d in range(seen))) / whole
-        # As in the exact sum, places of the other kind hold no B here, so the terms may sum to less than one.
-        log_p = _logs(n0, near, total_b, total)
-        if n1 == 0 or n2 == 0:
-            return min(1.0, _upper(log_p, seen, min(near, total_b)))
-        return 1.0 - math.fsum(math.exp(log_p(d)) for d in range(seen))
+        # All but fewer of this kind and none of the other: any of the other, or none of it and enough of this.
+        return min(1.0, _any(n1 + n2 - near, total_b, total) + _upper(near, n0, seen, total_b, total))
     if exact:
         less = sum(binomial(n0, total_b - d1 - d2) * binomial(n1, d1) * binomial(n2, d2) for d1 in range(b1 + 1) for d2 in range(b2 + 1) if (d1, d2) != (b1, b2))
         return (whole - less) / whole
     # More of the first kind, or no more of it but more of the second, or just what was seen.
-    more = _upper(_logs(total - n1, n1, total_b, total), b1 + 1, min(n1, total_b))
-    base = _log_binomial(total, total_b)
-    for d1 in range(b1 + 1):
-        first = _log_binomial(n1, d1) - base
-        more += _upper(lambda d2: first + _log_binomial(n2, d2) + _log_binomial(n0, total_b - d1 - d2), b2 + 1, min(n2, total_b - d1))
-    seen = math.exp(_log_binomial(n1, b1) + _log_binomial(n2, b2) + _log_binomial(n0, total_b - b1 - b2) - base)
-    return min(1.0, more + seen)
+    more = _upper(n1, total - n1, b1 + 1, total_b, total)
+    for d1 in range(min(b1, n1, total_b) + 1):
+        more += _upper(n2, n0, b2 + 1, total_b, total, _log_choose(n1, d1), d1)
+    if b1 <= n1 and b2 <= n2 and 0 <= total_b - b1 - b2 <= n0:
+        more += math.exp(_log_choose(n1, b1) + _log_choose(n2, b2) + _log_share(n0, b1 + b2, total_b, total))
+    return min(1.0, more)
 
 
 _PARAMETERS = ["n0", "n1", "n2", "b1", "b2", "total_b", "total"]
@@ -152,5 +179,6 @@ def combined(*kinds: DataFrame) -> DataFrame:
 
 
 def interaction_edges(clusters: DataFrame) -> DataFrame:
-    """(g1, g2, pval) of all pairs of genes, g1 < g2, from adjacency and co-location."""
+    """(g1, g2, pval) of all pairs of genes, g1 < g2, from adjacency and co-location; the baskets are worked out once."""
+    clusters = cut(clusters.select("bgc_id", "genes"))
     return combined(both_directions(adjusted(adjacency_pvalues(clusters))), both_directions(adjusted(colocation_pvalues(clusters))))

@@ -154,7 +154,7 @@ tc AS (SELECT topic, coalesce(class, 'None') AS class, count(*) AS n, count_if(l
 """
 _KNOWN = _MATCH + """,
 members AS (
-  SELECT 'k' || (p_partkey // 40) AS grp, replace(p_name, ' ', ';') AS gene, count(*) AS times FROM part WHERE p_partkey % 10 = 0 GROUP BY 1, 2),
+  SELECT 'k' || (p_partkey // 4) AS grp, replace(p_name, ' ', ';') AS gene, count(*) AS times FROM part GROUP BY 1, 2),
 sizes AS (SELECT grp, sum(times) AS size FROM members GROUP BY 1 HAVING sum(times) > 1),
 met AS (
   SELECT m.grp, s.size, k.bgc_id, k.topic, sum(1 + CASE WHEN times > 1 AND round_even(p, 0) >= times THEN times - 1 ELSE 0 END) AS n_overlap
@@ -214,6 +214,28 @@ ORACLES: dict[str, str] = {
     "detected_module_ids": _TRI + """, ids AS (SELECT *, row_number() OVER (ORDER BY w, a || ',' || b || ',' || c) AS id FROM modules),
         found AS (SELECT h.bgc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS module_ids FROM held h JOIN ids i ON i.a = h.a AND i.b = h.b AND i.c = h.c GROUP BY 1)
         SELECT b.bgc_id, coalesce(module_ids, '') AS module_ids FROM baskets b LEFT JOIN found USING (bgc_id)""",
+    "detected_blocks": _TRI + """, ids AS (SELECT *, row_number() OVER (ORDER BY w, a || ',' || b || ',' || c) AS id FROM modules),
+        found AS (SELECT h.bgc_id, string_agg(id || chr(9) || h.a || ',' || h.b || ',' || h.c, chr(10) ORDER BY id) AS lines FROM held h JOIN ids i ON i.a = h.a AND i.b = h.b AND i.c = h.c GROUP BY 1)
+        SELECT b.bgc_id, '>' || b.bgc_id || coalesce(chr(10) || lines, '') AS value FROM baskets b LEFT JOIN found USING (bgc_id)""",
+    "selected_modules": "SELECT p_partkey, p_brand FROM part WHERE p_brand IN ('Brand#2', 'Brand#17')",
+    "lines_file": "SELECT row_number() OVER (ORDER BY event_id) AS line_no, event_type || ' ' || user_id AS line FROM events",
+    "clusters_file_last": "SELECT CAST(user_id AS VARCHAR) AS bgc_id, arg_max(event_type, event_id) || ',' || max(event_id) AS genes FROM events GROUP BY user_id",
+    "clusters_file_first": "SELECT CAST(user_id AS VARCHAR) AS bgc_id, arg_min(event_type, event_id) || ',' || min(event_id) AS genes FROM events GROUP BY user_id",
+    "modules_file": """SELECT CAST(p_partkey AS VARCHAR) AS module_id, replace(p_name, ' ', ';') || ',' || p_brand AS genes, p_size / 64.0::DOUBLE AS strictest_pval, CAST(p_size AS BIGINT) AS occurences,
+        2 AS n_genes, CAST(len(string_split(p_name, ' ')) + 1 AS INTEGER) AS n_domains FROM part""",
+    "module_sizes": "SELECT p_brand, CAST(count(*) AS INTEGER) AS n_genes, CAST(sum(len(string_split(p_name, ' '))) AS INTEGER) AS n_domains FROM (SELECT DISTINCT p_brand, p_name FROM part) GROUP BY 1",
+    "edges_file": "SELECT CAST(s_suppkey AS VARCHAR) AS bgc1, CAST(s_nationkey AS VARCHAR) AS bgc2, s_nationkey / 32.0::DOUBLE AS ai, s_suppkey % 2 = 0 AS contained FROM supplier",
+    "dictionary_file": "SELECT CAST(c_nationkey AS VARCHAR) AS key, arg_max(c_mktsegment, c_custkey) || ';' || max(c_custkey) AS values FROM customer GROUP BY c_nationkey",
+    "known_groups_file": "SELECT CAST(p_partkey AS VARCHAR) AS bgc, p_brand || ';' || p_type AS info, replace(p_name, ' ', ',') AS genes FROM part",
+    "products_file": """SELECT CAST(s_suppkey AS VARCHAR) AS np_id, n_name AS genus, 'sp ' || s_name AS species, s_name || ';' || s_nationkey || ';' || n_regionkey AS info,
+        CASE WHEN s_suppkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS has_mibig FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    "taxonomy_file": "SELECT CAST(c_custkey % 100 AS VARCHAR) AS bgc, arg_max(c_mktsegment || ' ' || c_name, c_custkey) AS taxonomy FROM customer GROUP BY 1",
+    "hits_file": _HITS + "SELECT cluster_id || '_' || ord AS bgc, '0;9;+' AS location, CAST(orf_num AS INTEGER) AS orf_num, 7 AS tot_orf, domain, q_start, q_end, bitscore FROM hits",
+    "colours_file": "SELECT n_name AS name, CAST(n_nationkey AS INTEGER) AS r, 7 AS g, CAST(n_regionkey * 50 AS INTEGER) AS b FROM nation",
+    "categories_file": "SELECT 'd' || p_partkey AS domain, p_brand AS category FROM part",
+    "representatives_file": "SELECT CAST(s_nationkey AS VARCHAR) AS rep, CAST(s_suppkey AS VARCHAR) AS member FROM supplier",
+    "topic_matches_file": "SELECT CAST(s_suppkey AS VARCHAR) AS bgc, CAST(s_nationkey AS VARCHAR) AS topic, s_nationkey / 32.0::DOUBLE AS prob, 0.25::DOUBLE AS overlap, 'g' || s_suppkey || ',h' AS genes, 'kind' AS class FROM supplier WHERE s_nationkey IN (3, 5)",
+    "module_blocks_file": "SELECT n_name AS bgc, s_suppkey || ';i' AS info, 'a,g' || s_suppkey AS genes FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "feature_selection": _TERMS + "SELECT * FROM features",
     "topic_table": _TERMS + "SELECT topic, '-' AS number_ldavis, CAST(count_if(selected) AS INTEGER) AS topic_length, string_agg(gene, ',' ORDER BY rank) AS genes FROM features GROUP BY topic",
     "overlap_scores": _MATCH + "SELECT l.bgc_id, l.topic, round(1.0::DOUBLE / (l.topic + 1), 6) AS prob, CAST(count(*) AS INTEGER) AS n_feats, round(coalesce(sum(f.score), 0.0), 6) AS overlap_score FROM links l LEFT JOIN features f ON f.topic = l.topic AND f.gene = l.gene GROUP BY 1, 2",

@@ -9,9 +9,17 @@ from basketloom.functions.genes import EMPTY, genes_text, n_nonempty
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, line) with white space at the ends removed; ``ord`` follows the files and lines."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.col("value"))
-    return rows.select("ord", F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
+    """(ord, line) with white space at the ends removed; ``ord`` follows the files by path, then their lines.
+
+    Spark packs pieces of files into partitions by size, so the pieces are numbered by path and offset.  There is a
+    narrow row for each piece; ``ord`` has its number above bit 33 and counts lines below.
+    """
+    piece = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = spark.read.text(path).select(*piece, F.monotonically_increasing_id().alias("_id"), "value")
+    pieces = rows.groupBy("_file", "_start").agg(F.min("_id").alias("_first"))
+    pieces = pieces.withColumn("_piece", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_file", "_start")) - 1)
+    ord_ = F.shiftleft(F.col("_piece").cast("long"), 33) + F.col("_id") - F.col("_first")
+    return rows.join(pieces, ["_file", "_start"]).select(ord_.alias("ord"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
 
 
 def parse_line(line: Column) -> tuple[Column, Column]:

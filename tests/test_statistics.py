@@ -5,6 +5,8 @@ from collections import Counter
 from fractions import Fraction
 from itertools import combinations
 
+import pytest
+
 from basketloom.operators import interactions, modules, pvalues
 from basketloom.operators.pvalues import binomial, tail
 
@@ -166,3 +168,23 @@ def test_detection(spark):
     assert {(r.bgc_id, r.module_id) for r in found.collect()} == {("x", 1), ("z", 1), ("z", 2)}
     assert {r.bgc_id: r.module_ids for r in modules.detected_ids(baskets, found).collect()} == {"x": "1", "y": "", "z": "1,2"}
     assert {r.bgc_id: r.value for r in modules.detected_blocks(baskets, found).collect()} == {"x": ">x\n1\tA,B,C", "y": ">y", "z": ">z\n1\tA,B,C\n2\tB,C,D"}
+
+
+@pytest.mark.parametrize("total", [10**6, 10**8, 10**9, 10**10])
+def test_tails_of_many_places(total, monkeypatch):
+    """Sums of positive terms against exact rationals: never below 0, right to nine digits."""
+    import random
+    from fractions import Fraction
+
+    rng = random.Random(total)
+    for _ in range(50):
+        n1, n2, total_b = rng.choice([0, 1, 40, 2000, 30_000]), rng.choice([0, 1, 5, 300]), rng.choice([1, 9, 30, 500, 1500])
+        b1 = rng.randint(0, min(n1, total_b, 4))
+        b2, n0, whole = rng.randint(0, min(n2, total_b - b1, 3)), total - n1 - n2, pvalues.binomial(total, total_b)
+        if b1 == 0 or b2 == 0:
+            near, seen = (n1, b1) if b2 == 0 else (n2, b2)
+            less = sum(pvalues.binomial(n0, total_b - d) * pvalues.binomial(near, d) for d in range(seen))
+        else:
+            less = sum(pvalues.binomial(n0, total_b - x - y) * pvalues.binomial(n1, x) * pvalues.binomial(n2, y) for x in range(b1 + 1) for y in range(b2 + 1) if (x, y) != (b1, b2))
+        wanted, got = float(Fraction(whole - less, whole)), pvalues.tail(n0, n1, n2, b1, b2, total_b, total)
+        assert got >= 0 and abs(got - wanted) <= 1e-9 * wanted

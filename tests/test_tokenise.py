@@ -1,5 +1,7 @@
 """GenBank and domain tables to baskets."""
 
+import pytest
+
 from basketloom.sources import domtable, genbank, tables
 
 QUERY = "BGC1_gid:_pid:P{k}.1_loc:308;1040;-_{k}/5"
@@ -113,3 +115,31 @@ def test_tables(spark, tmp_path):
     assert [(r.bgc, r.info, r.genes) for r in tables.read_module_blocks(spark, str(tmp_path / "b")).collect()] == [("x", ["3", "0.5", "0.2"], ["A", "B"])]
     (tmp_path / "s").write_text(">x\n7\tA,B,C\n")
     assert [(r.bgc, r.info, r.genes) for r in tables.read_module_blocks(spark, str(tmp_path / "s"), "stat").collect()] == [("x", ["7"], ["A", "B", "C"])]
+
+
+@pytest.mark.parametrize("sizes", [(1, 400), (400, 1), (3, 50, 1, 200)])
+def test_lines_follow_the_files(spark, tmp_path, sizes):
+    """Spark packs files by size; lines keep the order of their paths all the same."""
+    from basketloom.sources.clusters import carried_header, read_clusters, read_lines
+
+    lines = []
+    for k, n in enumerate(sizes):
+        mine = [f"{'#' if j == 0 and k % 2 == 0 else ''}id{j % 5},f{k},{j}" for j in range(n)]
+        (tmp_path / f"part-{k:05}").write_text("\n".join(mine) + "\n")
+        lines += mine
+    found = read_lines(spark, str(tmp_path))
+    assert [r.line for r in found.orderBy("ord").collect()] == lines
+    last, first = {}, {}
+    for x in lines:
+        i, _, genes = x.partition(",")
+        last[i] = genes
+        first.setdefault(i, genes)
+    for kind, wanted in (("last", last), ("first", first)):
+        assert {r.bgc_id: ",".join(r.genes) for r in read_clusters(spark, str(tmp_path), kind).collect()} == wanted
+    heads, now = [], None
+    for x in lines:
+        now = x if x.startswith("#") else now
+        heads.append(now)
+    from pyspark.sql import functions as F
+
+    assert [r.header for r in carried_header(found, F.col("line").startswith("#")).orderBy("ord").collect()] == heads
