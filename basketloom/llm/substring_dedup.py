@@ -1,4 +1,7 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by phrases looked up in indexed reference blocks.
+
+This stands in for a greedy relative Lempel-Ziv parse of every document against every reference block, whose cost
+grows with the square of the corpus (README has figures); the repeated windows found are the same.
 
 A window is ``WINDOW`` consecutive words of one document.  Every word covered by a window whose word sequence
 also starts anywhere else goes.
