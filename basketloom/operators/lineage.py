@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the session shares, or, on a local master without one, in the temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/basketloom-files/{uuid.uuid4().hex}/{name}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what ``new_path`` gave a path for, with the folder made for it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` from a checkpoint in the session's shared folder; cached where the session names none."""
     if df.sparkSession.conf.get("spark.checkpoint.dir", None):

@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketloom.functions.genes import genes_text
 from basketloom.operators import filters, modules
-from basketloom.operators.lineage import numbered
+from basketloom.operators.lineage import new_path, numbered
 from basketloom.sources import clusters, tables
 
 from .adapters import line_hits, order_baskets, table
 from .queries import _known_modules, query
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session shares, or, on a local master without one, in the temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/basketloom-files/{uuid.uuid4().hex}/{name}"
-
-
 def text_file(lines: DataFrame, *order: str) -> str:
     """Path of a file (in parts) with the column ``line``, in the given order."""
     path = new_path(lines.sparkSession, "lines")
