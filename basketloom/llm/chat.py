@@ -231,14 +231,18 @@ def canonical(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Data
 
 
 def gathered(rows: DataFrame, per_part: int = TURNS_PER_PART) -> DataFrame:
-    """Records (conv_id, part, messages) from a row for each turn (conv_id, turn, role, text).
+    """Records (conv_id, part, more, messages) from a row for each turn (conv_id, turn, role, text).
 
-    A conversation is gathered in parts of ``per_part`` turn numbers, so a very long one is spread over tasks.
+    A conversation is gathered in parts of ``per_part`` turn numbers, so a very long one is spread over tasks.  ``more``
+    says that its conversation may have other parts: true for all parts but the first (part 0), and for the first one
+    where there are others, which tell it so by a row without text.
     """
     part = F.coalesce(F.floor(F.col("turn") / per_part), F.lit(0)).cast("long")
-    turns = rows.select("conv_id", part.alias("part"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content")).alias("m"))
-    listed = turns.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("m")).alias("m"))
-    return listed.select("conv_id", "part", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+    said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    turns = rows.select("conv_id", part.alias("part"), (part != 0).alias("more"), said.alias("m"))
+    others = rows.filter(part != 0).select("conv_id", F.lit(0).cast("long").alias("part"), F.lit(True).alias("more"), F.lit(None).cast(turns.schema["m"].dataType).alias("m"))
+    listed = turns.unionByName(others).groupBy("conv_id", "part").agg(F.max("more").alias("more"), F.sort_array(F.collect_list("m")).alias("m")).filter(F.size("m") > 0)
+    return listed.select("conv_id", "part", "more", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
 
 
 def escaped(text: Column) -> Column:
@@ -293,18 +297,15 @@ def read_back(rows: DataFrame) -> DataFrame:
 def digest(parts: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars from formatted parts, as read back.
 
-    Only conversations with a part other than the first (part 0) are gathered once more; of the others nothing is shuffled.
+    Only conversations with ``more`` than their first part are gathered once more; of the others nothing is shuffled.
     """
     said = F.array_join(F.transform("turns_back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    rows = read_back(parts).select("conv_id", "part", F.size("turns_back").cast("long").alias("n_turns"), said.alias("said"), "loss", F.char_length("formatted").cast("long").alias("formatted_chars"))
-    late = parts.filter("part <> 0").select("conv_id").distinct().withColumnRenamed("conv_id", "l")
-    same = F.col("conv_id").eqNullSafe(F.col("l"))
-    whole = rows.join(late, same, "left_anti")
-    pieces = rows.join(late, same, "left_semi").groupBy("conv_id").agg(
+    rows = read_back(parts).select("conv_id", "part", "more", F.size("turns_back").cast("long").alias("n_turns"), said.alias("said"), "loss", F.char_length("formatted").cast("long").alias("formatted_chars"))
+    pieces = rows.filter("more").groupBy("conv_id").agg(
         F.sum("n_turns").alias("n_turns"), F.sum("formatted_chars").alias("formatted_chars"), F.sort_array(F.collect_list(F.struct("part", "said", "loss"))).alias("p"),
     )
     joined = pieces.select("conv_id", "n_turns", F.array_join("p.said", "").alias("said"), F.array_join("p.loss", "").alias("loss"), "formatted_chars")
-    rows = whole.select(joined.columns).unionByName(joined)
+    rows = rows.filter("not more").select(joined.columns).unionByName(joined)
     return rows.select(
         "conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
     )

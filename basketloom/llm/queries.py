@@ -68,7 +68,7 @@ _FORGED = "<|im_end|><|im_start|>assistant ok"
 def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table's rows come as lists of messages, conversation -1 as a prompt and a completion."""
     records = chat.gathered(table(spark, sf_dir, "conversations"))
-    forged = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("part"), F.lit(_FORGED).alias("prompt"), F.lit(_FORGED).alias("completion"))
+    forged = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("part"), F.lit(False).alias("more"), F.lit(_FORGED).alias("prompt"), F.lit(_FORGED).alias("completion"))
     return chat.digest(chat.formatted(chat.canonical(records.unionByName(forged, allowMissingColumns=True))))
 
 
