@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from .store import scratch, written
 from .textblocks import Block, blocks, column_of
 
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text in a block (or one text).
 BLOCK_TEXT = 1 << 18
 #: Blocks scored for each query to get a threshold.
@@ -97,12 +96,12 @@ def pack_block(b: Block, documents: int, terms: int) -> dict[str, np.ndarray]:
     }
 
 
-def _builder(documents: int, terms: int) -> Callable:
+def _builder(documents: int, terms: int, block_text: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = column_of(batch, "doc_id")
-            for lo, hi, b in blocks(terms_only(column_of(batch, "text")), BLOCK_TEXT):
+            for lo, hi, b in blocks(terms_only(column_of(batch, "text")), block_text):
                 arrays = pack_block(b, documents, terms)
                 docs = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), pa.concat_arrays([ids.slice(lo, hi - lo)]))
                 yield pa.RecordBatch.from_arrays([docs, pa.array([number], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in arrays.values())], names=["docs", "block", *arrays])
@@ -111,12 +110,28 @@ def _builder(documents: int, terms: int) -> Callable:
     return run
 
 
-def build(documents: DataFrame) -> Index:
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(documents with terms, their terms) of a task."""
+    documents = terms = 0
+    for batch in batches:
+        column = terms_only(column_of(batch, "text"))
+        _, offs, data = column.buffers()
+        offs, solid = np.frombuffer(offs, np.int64)[column.offset :][: len(column) + 1], np.frombuffer(data, np.uint8) != 0x20
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        starts = offs[:-1][np.diff(offs) > 0]
+        first[starts] = solid[starts]  # a term at the start of a text follows nothing
+        held = np.diff(np.searchsorted(np.flatnonzero(first), offs))
+        documents, terms = documents + int((held > 0).sum()), terms + int(held.sum())
+    yield pa.RecordBatch.from_arrays([pa.array([documents]), pa.array([terms])], names=["documents", "terms"])
+
+
+def build(documents: DataFrame, block_text: int = BLOCK_TEXT) -> Index:
     """The index of all documents; its table belongs to the ``scratch`` around the call."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(TERM)).cast("long")
-    n, total = documents.agg(F.count_if(size > 0), F.coalesce(F.sum(size), F.lit(0))).first()
-    made = documents.select("doc_id", "text").mapInArrow(_builder(n, total), f"docs array<{kind}>, {_TABLE}")
+    sizes = documents.select("text").mapInArrow(_count_terms, "documents long, terms long")
+    n, total = sizes.agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
+    made = documents.select("doc_id", "text").mapInArrow(_builder(n, total, block_text), f"docs array<{kind}>, {_TABLE}")
     return Index(written(made, "blocks"), n, total)
 
 
@@ -344,7 +359,7 @@ def search(index: Index, items: DataFrame, k: int = 10) -> DataFrame:
     return out
 
 
-def ranked(documents: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+def ranked(documents: DataFrame, items: DataFrame, k: int = 10, block_text: int = BLOCK_TEXT) -> DataFrame:
     """``search`` on an index that is built for it and deleted afterwards."""
     with scratch(documents.sparkSession) as keep:
-        return keep(written(search(build(documents), items, k), "ranks"))
+        return keep(written(search(build(documents, block_text), items, k), "ranks"))
