@@ -5,8 +5,11 @@ with an Aho-Corasick automaton.  Entries are whole words or stems (a stem matche
 A hit inside an exception phrase does not count.  The summed weights, with and without normalisation by
 length, go through a fitted logistic curve.
 
-The lexicon is what a bounded sample of labelled documents teaches: words (of any length up to ``LONGEST``) and
-stems are added greedily, each for the toxic documents that it explains and no earlier entry does.
+The lexicon is what a bounded sample of labelled documents teaches: every word (of any length up to ``LONGEST``) and
+stem that stands in ``LEAST`` toxic documents or more, with the logarithm of how much more often it stands in toxic
+documents than in clean ones, each counted as a share of its class, as its weight; weights of ``LIGHTEST`` or less are
+left out.  Phrases of an entry and the word before or after it that are at home in clean documents become exceptions.
+The curve is fitted to signals of documents under lexicons that were learned without them.
 
 Nulls, empty tables and odd rows: a null text counts as empty, and an empty text has no hit; its score is
 that of a text without hits.  Rows without id are scored, never learned from; ids may be of any type, and of
@@ -17,8 +20,7 @@ that of a text without hits, with fixed curve parameters.  Other columns are not
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -34,9 +36,15 @@ from .textblocks import column_of
 #: Labelled documents of each class that the lexicon and the curve are fitted on, at most.
 PER_CLASS = 3000
 #: Letters of the longest word that may be an entry, and of stems.
-LONGEST, STEMS = 64, (4, 5, 6)
-
-#: Phrases that take the sting away from words that may be entries.
+LONGEST, STEMS = 64, (5, 6)
+#: Documents that an entry or exception must stand in, and the weight that an entry must exceed.
+LEAST, LIGHTEST = 4, 1.2
+#: A missed toxic document counts as so many false alarms when the curve is fitted.
+MISSED = 2.0
+#: Parts of the sample that are scored by a lexicon learned from the others.
+FOLDS = 4
+
+#: Phrases that take the sting away from words that may be entries, beside those learned.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "trash bag", "taking out the trash", "circus clown")
 
 WORD = re.compile(r"[^\W_]+")
@@ -90,7 +98,7 @@ class Lexicon:
 
 
 def signals(text: str, automaton: ahocorasick.Automaton) -> tuple[float, float, float]:
-    """(summed weight, largest weight, summed weight over the square root of the words) of one text."""
+    """(summed weight, largest weight, summed weight over the square root of the distinct words) of one text."""
     if not text or not len(automaton):
         return 0.0, 0.0, 0.0
     text = fold(text)
@@ -112,11 +120,12 @@ def signals(text: str, automaton: ahocorasick.Automaton) -> tuple[float, float,
         hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spared)]
     if not hits:
         return 0.0, 0.0, 0.0
-    at: dict[int, float] = {}
-    for first, _, weight in hits:  # a word counts once, with its largest weight
-        at[first] = max(weight, at.get(first, 0.0))
+    at: dict[str, float] = {}
+    for first, _, weight in hits:  # a word counts once, with its largest weight, however often it stands
+        word = WORD.match(text, first).group()
+        at[word] = max(weight, at.get(word, 0.0))
     total = sum(at.values())
-    return total, max(at.values()), total / (1 + text.count(" ")) ** 0.5
+    return total, max(at.values()), total / (1 + len(set(text.split()))) ** 0.5
 
 
 def tokens(text: str) -> set[str]:
@@ -126,73 +135,63 @@ def tokens(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in found for k in STEMS if len(w) > k}
 
 
-def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for batch in batches:
-        for y, text in zip(column_of(batch, "y").to_pylist(), column_of(batch, "text").to_pylist()):
-            counts[y].update(tokens(text or ""))
-    names = list(counts[0].keys() | counts[1].keys())
-    if names:
-        yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([c[t] for t in names], pa.int64()) for c in counts)], names=["token", "n0", "n1"])
+def weight(n0: int, n1: int, clean: int, toxic: int) -> float:
+    """log of how much more often than in clean documents a token stands in toxic ones, each as a share of its class."""
+    return float(np.log((n1 + 0.5) / (toxic + 1)) - np.log((n0 + 0.5) / (clean + 1)))
+
+
+def phrases(text: str, entries: set[str]) -> set[str]:
+    """Folded pairs of words, one space between them, of which one matches an entry."""
+    text = fold(text)
+    words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
+    hit = [w in entries or any(w[:k] + "*" in entries for k in STEMS if len(w) > k) for _, _, w in words]
+    return {f"{a[2]} {b[2]}" for a, b, x, y in zip(words, words[1:], hit, hit[1:]) if (x or y) and text[a[1] : b[0]] == " "}
+
 
+def _counts(found: Callable[[str], set[str]]) -> Callable:
+    """(token, fold, n0, n1): clean and toxic documents of a task that hold a token."""
 
-def _incidence(candidates: set[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, int], list[int]] = {}
         for batch in batches:
-            texts = column_of(batch, "text").to_pylist()
-            found = [sorted(tokens(t or "") & candidates) for t in texts]
-            yield pa.RecordBatch.from_arrays([column_of(batch, "y").cast(pa.int32()), pa.array(found, pa.list_(pa.string()))], names=["y", "tokens"])
+            for y, k, text in zip(*(column_of(batch, c).to_pylist() for c in ("y", "fold", "text"))):
+                for token in found(text or ""):
+                    counts.setdefault((token, k), [0, 0])[y] += 1
+        if counts:
+            tokens_, folds = zip(*counts)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens_), pa.array(folds, pa.int32()), *(pa.array([c[y] for c in counts.values()], pa.int64()) for y in (0, 1))], names=["token", "fold", "n0", "n1"])
 
     return run
 
 
-def choose(rows: Iterable[tuple[int, list[str]]], least: int = 3, penalty: float = 8.0) -> dict[str, float]:
-    """Greedy choice of entries: each must explain ``least`` toxic documents that no earlier entry does."""
-    rows = list(rows)
-    good, bad = Counter(), {}
-    for k, (y, found) in enumerate(rows):
-        for token in found:
-            if y:
-                bad.setdefault(token, set()).add(k)
-            else:
-                good[token] += 1
-    n1 = max(1, sum(y for y, _ in rows))
-    n0 = max(1, len(rows) - n1)
-    weights: dict[str, float] = {}
-    open_docs = {k for k, (y, _) in enumerate(rows) if y}
-    gain = {t: len(s) - penalty * good[t] for t, s in bad.items()}
-    while gain:
-        token = max(gain, key=lambda t: (gain[t], len(t), t))
-        if gain[token] < least:
-            break
-        fresh = len(bad[token] & open_docs) - penalty * good[token]
-        if fresh < gain[token]:  # documents explained meanwhile
-            gain[token] = fresh
-            continue
-        open_docs -= bad[token]
-        weights[token] = float(np.log((len(bad[token]) + 0.5) / n1) - np.log((good[token] + 0.5) / n0))
-        del gain[token]
-    return {t: w for t, w in weights.items() if w > 0}
+def learned(counts: dict[str, np.ndarray], sizes: np.ndarray) -> dict[str, float]:
+    """Entries and weights from (clean, toxic) documents by token, and of all."""
+    found = {t: weight(*n, *sizes) for t, n in counts.items() if n[1] >= LEAST}
+    return {t: w for t, w in found.items() if w > LIGHTEST}
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float, float]:
-    """Logistic regression by Newton steps."""
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, missed: float = MISSED) -> tuple[float, float, float, float]:
+    """Logistic regression by Newton steps; rows of class 1 count ``missed`` times."""
     a = np.column_stack([np.ones(len(x)), np.log1p(x[:, 0]), x[:, 1], x[:, 2]])
-    w, keep = np.zeros(4), np.diag([1e-3, ridge, ridge, ridge])
+    w, keep, times = np.zeros(4), np.diag([1e-3, ridge, ridge, ridge]), np.where(y > 0, missed, 1.0)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + keep, a.T @ (y - p) - keep @ w)
+        step = np.linalg.solve(a.T @ (a * (times * p * (1 - p))[:, None]) + keep, a.T @ (times * (y - p)) - keep @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return tuple(map(float, w))
 
 
-def _signals(automaton_of: Callable[[], ahocorasick.Automaton], kept: list[str]) -> Callable:
+def _signals(automata_of: Callable[[], list[ahocorasick.Automaton]], kept: list[str], by: str | None = None) -> Callable:
+    """The signals of each text under the only automaton, or under that which column ``by`` numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = automaton_of()
+        made = automata_of()
         for batch in batches:
-            found = np.array([signals(t, made) for t in map(str, column_of(batch, "text").fill_null("").to_pylist())]).reshape(-1, 3)
+            texts = map(str, column_of(batch, "text").fill_null("").to_pylist())
+            which = column_of(batch, by).to_pylist() if by else [0] * batch.num_rows
+            found = np.array([signals(t, made[k]) for t, k in zip(texts, which)]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*(column_of(batch, k) for k in kept), *map(pa.array, found.T)], names=[*kept, "total", "largest", "density"])
 
     return run
@@ -205,25 +204,47 @@ def train(documents: DataFrame, labels: DataFrame, keep: Column, per_class: int
 
 
 def _train(documents: DataFrame, labels: DataFrame, keep: Column, per_class: int) -> Lexicon:
-    sample = written(attach(documents, labelled_sample(labels, "toxic", keep, per_class), "text"), "sample")
-    counts = sample.select("y", "text").mapInArrow(_proposals, "token string, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    proposed = counts.filter((F.col("n1") >= 3) & (F.col("n1") > 8 * F.col("n0")))  # bounded, as the sample is
-    candidates = {r["token"] for r in proposed.select("token").collect()}
-    rows = sample.select("y", "text").mapInArrow(_incidence(candidates), "y int, tokens array<string>").collect() if candidates else []
-    rows.sort(key=lambda r: (r["y"], r["tokens"]))
-    lexicon = Lexicon(choose((r["y"], r["tokens"]) for r in rows))
-    seen = sample.select("y", "text").mapInArrow(_signals(lexicon.automaton, ["y"]), "y int, total double, largest double, density double").toPandas()
+    rows = attach(documents, labelled_sample(labels, "toxic", keep, per_class), "text")
+    sample = written(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")).select("y", "fold", "text"), "sample")
+    # What is collected is bounded, as the sample is.
+    sizes = np.zeros((FOLDS, 2), int)
+    for r in sample.groupBy("fold", "y").count().collect():
+        sizes[r["fold"], r["y"]] = r["count"]
+
+    def counted(found: Callable[[str], set[str]], side: str) -> dict[str, np.ndarray]:
+        """Documents by fold and class of the tokens that ``LEAST`` documents of a class hold."""
+        rows = sample.mapInArrow(_counts(found), "token string, fold int, n0 long, n1 long").groupBy("token", "fold").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        rows = rows.groupBy("token").agg(F.sum(side).alias("n"), F.collect_list(F.struct("fold", "n0", "n1")).alias("x")).filter(F.col("n") >= LEAST)
+        out: dict[str, np.ndarray] = {}
+        for r in rows.orderBy("token").collect():
+            out[r["token"]] = np.zeros((FOLDS, 2), int)
+            for x in r["x"]:
+                out[r["token"]][x["fold"]] = x["n0"], x["n1"]
+        return out
+
+    def lexicon(used: list[int]) -> Lexicon:
+        of = lambda counts: {t: n[used].sum(0) for t, n in counts.items()}
+        clean, toxic = sizes[used].sum(0)
+        at_home = [p for p, n in of(around).items() if n[0] >= LEAST and weight(*n, clean, toxic) <= 0]
+        return Lexicon(learned(of(counts), (clean, toxic)), EXCEPTIONS + tuple(at_home))
+
+    counts, folds = counted(tokens, "n1"), list(range(FOLDS))
+    entries = {t for used in (folds, *([j for j in folds if j != k] for k in folds)) for t in learned({t: n[used].sum(0) for t, n in counts.items()}, sizes[used].sum(0))}
+    around = counted(lambda text: phrases(text, entries), "n0") if entries else {}
+    made, parts = lexicon(folds), [lexicon([j for j in folds if j != k]) for k in folds]
+    automata = lambda: [p.automaton() for p in parts]
+    seen = sample.mapInArrow(_signals(automata, ["y"], "fold"), "y int, total double, largest double, density double").toPandas()
     if seen["y"].nunique() == 2:
         seen = seen.sort_values(list(seen.columns), kind="stable")
-        lexicon.curve = fit_curve(seen[["total", "largest", "density"]].to_numpy(), seen["y"].to_numpy(float))
-    return lexicon
+        made.curve = fit_curve(seen[["total", "largest", "density"]].to_numpy(), seen["y"].to_numpy(float))
+    return made
 
 
 def score(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, the three signals and ``score`` of every document."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     shared = documents.sparkSession.sparkContext.broadcast(lexicon)
-    out = documents.select("doc_id", "text").mapInArrow(_signals(lambda: shared.value.automaton(), ["doc_id"]), f"doc_id {kind}, total double, largest double, density double")
+    out = documents.select("doc_id", "text").mapInArrow(_signals(lambda: [shared.value.automaton()], ["doc_id"]), f"doc_id {kind}, total double, largest double, density double")
     c = lexicon.curve
     margin = c[0] + c[1] * F.log1p("total") + c[2] * F.col("largest") + c[3] * F.col("density")
     return out.withColumn("score", 1 / (1 + F.exp(-margin)))

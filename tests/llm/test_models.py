@@ -172,33 +172,51 @@ def test_toxicity_against_plain_loops(spark):
     pieces = {}
     for k, (_, _, toxic, _) in truth.items():
         whole = set(re.findall(r"[^\W_]+", toxicity.fold(texts[f"d{k}"])))
-        pieces[k] = toxic, whole | {w[:n] + "*" for w in whole for n in (4, 5, 6) if len(w) > n}
-    weights, open_docs = {}, {k for k, (t, _) in pieces.items() if t}
-    n1 = len(open_docs)
-    while True:  # the entry that explains most of what is left, each clean document against it counting eight
-        gain = {}
-        for k, (t, p) in pieces.items():
-            for w in p - weights.keys():
-                gain[w] = gain.get(w, 0) + ((k in open_docs) if t else -8)
-        best = max(gain, key=lambda w: (gain[w], len(w), w))
-        if gain[best] < 3:
-            break
-        holds = {k for k, (_, p) in pieces.items() if best in p}
-        bad = sum(pieces[k][0] for k in holds)
-        weights[best] = np.log((bad + 0.5) / n1) - np.log((len(holds) - bad + 0.5) / (len(pieces) - n1))
-        open_docs -= holds
+        pieces[k] = toxic, whole | {w[:n] + "*" for w in whole for n in (5, 6) if len(w) > n}
+    weights = {}
+    n1 = sum(t for t, _ in pieces.values())
+    for w in set().union(*(p for _, p in pieces.values())):
+        holds = [t for t, p in pieces.values() if w in p]
+        share1, share0 = (sum(holds) + 0.5) / (n1 + 1), (len(holds) - sum(holds) + 0.5) / (len(pieces) - n1 + 1)
+        if sum(holds) >= 4 and np.log(share1 / share0) > 1.2:
+            weights[w] = np.log(share1 / share0)
     assert lexicon.weights.keys() == weights.keys() and all(abs(lexicon.weights[w] - weights[w]) < 1e-9 for w in weights)
     for r in toxicity.score(df, lexicon).collect():
-        hits = []
-        for m in re.finditer(r"[^\W_]+", toxicity.fold(texts[r.doc_id])):
-            here = [x for w, x in weights.items() if (m.group().startswith(w[:-1]) if w.endswith("*") else m.group() == w)]
-            hits += [max(here)] if here else []
-        total = sum(hits)
+        hits, folded = {}, toxicity.fold(texts[r.doc_id])
+        for w in set(re.findall(r"[^\W_]+", folded)):
+            here = [x for t, x in weights.items() if (w.startswith(t[:-1]) if t.endswith("*") else w == t)]
+            if here:
+                hits[w] = max(here)
+        total = sum(hits.values())
         a = lexicon.curve
-        margin = a[0] + a[1] * np.log1p(total) + a[2] * max(hits, default=0) + a[3] * total / (1 + toxicity.fold(texts[r.doc_id]).count(" ")) ** 0.5
+        margin = a[0] + a[1] * np.log1p(total) + a[2] * max(hits.values(), default=0) + a[3] * total / (1 + len(set(folded.split()))) ** 0.5
         assert abs(r.score - 1 / (1 + np.exp(-margin))) < 1e-9
 
 
+def test_common_and_rare_toxic_words_alike(spark):
+    """Words of a small language with clean documents against them, and phrases at home in clean documents."""
+    rng = random.Random(2)
+    rows, marks = [], []
+    for k in range(1200):
+        small, toxic = rng.random() < 0.15, rng.random() < 0.12
+        w = [f"{'q' if small else 'e'}{rng.randint(0, 150)}" for _ in range(40)]
+        if toxic:
+            w[::7] = [f"{'bad' if not small else 'mal'}{rng.randint(0, 3)}" for _ in w[::7]]
+        elif rng.random() < 0.1:  # clean documents hold such words too
+            w[5] = rng.choice(["bad1", "mal1"])
+        if not toxic and rng.random() < 0.1:
+            w[9:11] = ["bad2", "company"]
+        rows.append((k, " ".join(w), small, toxic))
+        marks.append((k, 1, int(toxic), 0.0))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    lexicon = toxicity.train(df, labels(spark, marks), F.col("doc_id") % 5 != 0)
+    assert "bad2 company" in lexicon.exceptions and {"badi", "malo", "mali"} <= lexicon.weights.keys()
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(df, lexicon).collect()}
+    for kind in (True, False):
+        held = [(got[k], toxic) for k, _, small, toxic in rows if k % 5 == 0 and small == kind]
+        assert sum(g for g, t in held if t) >= 0.8 * sum(t for _, t in held) and sum(g for g, t in held if not t) <= 0.03 * len(held)
+
+
 def test_trees_node_by_node():
     """Scores against a walk row by row, and the first split against a search of all cuts."""
     rng = np.random.default_rng(7)
