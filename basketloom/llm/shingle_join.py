@@ -334,18 +334,24 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(np.flatnonzero(new), count))
         here[order] = np.repeat(sizes, sizes)
         left = x["live"] - here  # entries of the class in other blocks, at most
-        new = np.flatnonzero(np.append(True, (x["token"][1:] != x["token"][:-1]) | (x["block"][1:] != x["block"][:-1])))
-        stop = np.append(new[1:], count)
-        others = np.repeat(stop, stop - new) - 1 - np.arange(count)
+        # A column's entries by component: each meets those of the components after its own, and none of its own.
+        new = np.append(True, (x["token"][1:] != x["token"][:-1]) | (x["block"][1:] != x["block"][:-1]))
+        column = np.cumsum(new)
+        order = np.lexsort((x["comp"], column))
+        x, left = {c: v[order] for c, v in x.items()}, left[order]
+        stop = np.searchsorted(column, column, side="right")
+        run = np.flatnonzero(np.append(True, (column[1:] != column[:-1]) | (x["comp"][1:] != x["comp"][:-1])))
+        past = np.repeat(np.append(run[1:], count), np.diff(np.append(run, count)))
+        others = stop - past
         upto = np.cumsum(others)
         lo = 0
         while lo < count:
             hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - others[lo] + _AT_ONCE, side="right")))
             n = others[lo:hi]
             i = np.repeat(np.arange(lo, hi), n)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            j = past[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             lo = hi
-            take = np.flatnonzero((x["comp"][i] != x["comp"][j]) & (x["within"][i] | (x["own"][i] != x["own"][j])))
+            take = np.flatnonzero(x["within"][i] | (x["own"][i] != x["own"][j]))
             i, j = i[take], j[take]
             take = _possible(x, i, j)
             i, j = i[take], j[take]

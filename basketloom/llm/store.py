@@ -9,7 +9,6 @@ A written table cuts the lineage: when executors are lost, later stages read it
 from __future__ import annotations
 
 import threading
-import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -18,8 +17,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL = "file:///tmp/basketloom-shared"
-#: Seconds between two requests to free what no plan needs any more.
-TIDY_EVERY = 6.0
+#: Spark's setting that has an execution's shuffle files deleted when it ends.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,35 +55,29 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 class _Session(threading.local):
-    """Of each thread: paths of the tables written within each open ``scratch``, the innermost last; and when it last tidied."""
+    """Of each thread: paths of the tables written within each open ``scratch``, the innermost last."""
 
     def __init__(self):
         self.open: list[list[str]] = []
-        self.tidied = 0.0
 
 
 _session = _Session()
 
 
-def tidy(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files and broadcasts of plans that are done; it learns of them when the driver collects garbage."""
-    if time.monotonic() - _session.tidied > TIDY_EVERY:
-        for _ in range(2):  # the first round frees what still points to shuffles
-            spark.sparkContext._jvm.System.gc()
-            time.sleep(0.2)
-        _session.tidied = time.monotonic()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as a fresh scan."""
+    """Write ``df`` to the shared folder and return it as a fresh scan; Spark deletes the write's shuffle files when it ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
     if _session.open:
         _session.open[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
-    tidy(spark)
     return out
 
 

@@ -210,7 +210,7 @@ def test_common_and_rare_toxic_words_alike(spark):
         marks.append((k, 1, int(toxic), 0.0))
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
     lexicon = toxicity.train(df, labels(spark, marks), F.col("doc_id") % 5 != 0)
-    assert "bad2 company" in lexicon.exceptions and {"badi", "malo", "mali"} <= lexicon.weights.keys()
+    assert "bad2 company" in lexicon.exceptions and {"badi", "malo"} <= lexicon.weights.keys()
     got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(df, lexicon).collect()}
     for kind in (True, False):
         held = [(got[k], toxic) for k, _, small, toxic in rows if k % 5 == 0 and small == kind]

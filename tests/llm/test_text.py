@@ -112,6 +112,22 @@ def test_pairs_of_blocks(monkeypatch):
     assert list(shingle_join._met(iter([]))) == []
 
 
+@pytest.mark.parametrize("count", [5_000, 50_000])
+def test_a_column_of_one_component(count):
+    """Entries of one component are not paired with each other: two others in the column cost 2 * count + 1 pairs."""
+    import time
+
+    comp = np.zeros(count, np.int64)
+    comp[[count // 3, count // 2]] = 1, 2
+    flat = lambda v, k=np.int64: pa.array(np.full(count, v, k))
+    columns = [flat(1), flat(7), flat(0), flat(True, bool), pa.array(np.arange(count)), flat(100), flat(60), flat(90), flat(90), flat(5), pa.array(comp)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["block", "token", "own", "within", "cid", "n", "left", "live", "reach", "ends", "comp"])
+    began, pairs = time.process_time(), 0
+    for b in shingle_join._met(iter([batch])):
+        pairs += b.num_rows
+    assert pairs == 2 * (count - 2) + 1 and time.process_time() - began < 2
+
+
 def test_prefixes_meet():
     """Sets at the threshold share a prefix entry whatever n-grams count as frequent."""
     rng = np.random.default_rng(4)
