@@ -5,6 +5,13 @@ is the largest p-value within it: there it is a clique for the first time, and i
 cut-off does not make it so.  Hence the modules are found edge by edge: with w the edge's p-value, the maximal
 cliques among the common neighbours by edges up to w, together with the edge, are the modules whose strictest
 cut-off is w.  No cut-off is swept, and every edge is a task of its own.
+
+A large graph is worked on through its triangles.  Edges point from the gene of lower degree to that of higher, so
+that a hub with many neighbours has few edges going out (no gene more than the root of twice the number of edges); a
+triangle is found once, from its lowest gene, and handed to its weakest edges.  An edge's group then holds the
+common neighbours that may form a module with it, never a hub's whole neighbourhood.
+
+No edge gives no module; an edge from a gene to itself is left out, and of repeated edges the smallest p-value counts.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from basketloom.sources.tables import module_sizes
 from .cliques import maximal_cliques
 from .lineage import cut, numbered
 
-#: A graph of at most this many edges is broadcast; a larger one is worked on by neighbourhoods.
+#: A graph of at most this many edges is broadcast; a larger one is worked on by triangles.
 BROADCAST_EDGES = 500_000
 
 FOUND = "genes array<string>, strictest_pval double"
@@ -52,8 +59,9 @@ def find_modules(edges: DataFrame, digits: int | None = None) -> DataFrame:
 
     ``digits`` rounds p-values to significant digits first, which merges near cut-offs.
     """
-    edges = cut(edges.select("g1", "g2", (round_significant(F.col("pval"), digits) if digits else F.col("pval")).alias("pval")))
-    found = _broadcast(edges) if edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES else _by_neighbourhood(edges)
+    pval = round_significant(F.col("pval"), digits) if digits else F.col("pval")
+    edges = cut(edges.filter("g1 <> g2").groupBy(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).agg(F.min(pval).alias("pval")))
+    found = _broadcast(edges) if edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES else _by_triangles(edges)
     return found.distinct()
 
 
@@ -70,20 +78,40 @@ def _broadcast(edges: DataFrame) -> DataFrame:
     return edges.repartition(edges.sparkSession.sparkContext.defaultParallelism * 4, F.xxhash64("g1", "g2")).mapInPandas(work, FOUND)
 
 
-def _by_neighbourhood(edges: DataFrame) -> DataFrame:
-    """The same from each gene's own neighbourhood: the edges from it, and those that close a triangle with it."""
-    both = cut(edges.select(F.col("g1").alias("u"), F.col("g2").alias("x"), "pval").union(edges.select("g2", "g1", "pval")))
-    ends = both.select("u", "x")
-    closing = edges.join(ends.select(F.col("x").alias("g1"), "u"), "g1").join(ends.select("u", F.col("x").alias("g2")), ["u", "g2"])
-    rows = both.select("u", F.col("u").alias("g1"), F.col("x").alias("g2"), "pval").unionByName(closing.select("u", "g1", "g2", "pval"))
+def directed(edges: DataFrame) -> DataFrame:
+    """(u, v, pval): the edges from the gene of lower degree to that of higher, names deciding ties."""
+    ends = edges.select(F.col("g1").alias("g")).union(edges.select("g2"))
+    degree = ends.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    rows = edges.join(degree.select(F.col("g").alias("g1"), F.col("n").alias("n1")), "g1").join(degree.select(F.col("g").alias("g2"), F.col("n").alias("n2")), "g2")
+    low, high = (f(F.struct(F.col("n1").alias("n"), F.col("g1").alias("g")), F.struct(F.col("n2").alias("n"), F.col("g2").alias("g")))["g"] for f in (F.least, F.greatest))
+    return rows.select(low.alias("u"), high.alias("v"), "pval")
+
+
+def common_neighbours(edges: DataFrame, out: DataFrame) -> DataFrame:
+    """(g1, g2, w, x): for each edge the genes that both ends are linked to by edges no weaker than it."""
+    wedges = out.select("u", F.col("v").alias("g1"), F.col("pval").alias("p1")).join(out.select("u", F.col("v").alias("g2"), F.col("pval").alias("p2")), "u").filter("g1 < g2")
+    triangles = wedges.join(edges.withColumnRenamed("pval", "p"), ["g1", "g2"])
+    side = lambda a, b, p, x: F.struct(F.least(a, b).alias("g1"), F.greatest(a, b).alias("g2"), F.col(p).alias("w"), F.col(x).alias("x"))
+    sides = F.array(side("g1", "g2", "p", "u"), side("u", "g1", "p1", "g2"), side("u", "g2", "p2", "g1"))
+    weakest = F.filter(sides, lambda s: s["w"] == F.greatest("p", "p1", "p2"))
+    return triangles.select(F.explode(weakest).alias("s")).select("s.*")
+
+
+def _by_triangles(edges: DataFrame) -> DataFrame:
+    """The same from each edge's common neighbours and the edges among them."""
+    out = cut(directed(edges))
+    third = cut(common_neighbours(edges, out))
+    inner = third.join(out.select(F.col("u").alias("x"), F.col("v").alias("y"), "pval"), "x").filter("pval <= w")
+    inner = inner.join(third.select("g1", "g2", F.col("x").alias("y")), ["g1", "g2", "y"], "left_semi")
+    rows = third.withColumn("y", F.lit(None).cast("string")).unionByName(inner.select("g1", "g2", "w", "x", "y"))
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
-        u = part["u"].iloc[0]
-        near = _graph(list(zip(part["g1"], part["g2"], part["pval"])))
-        out = [(genes, w) for v, w in near[u].items() if u < v for genes in through_edge(u, v, w, near)]
-        return pd.DataFrame(out, columns=["genes", "strictest_pval"])
+        u, v, w = part["g1"].iloc[0], part["g2"].iloc[0], part["w"].iloc[0]
+        lone = part["y"].isna()
+        cliques = maximal_cliques(zip(part["x"][~lone], part["y"][~lone]), part["x"][lone])
+        return pd.DataFrame([(sorted({u, v} | c), w) for c in cliques], columns=["genes", "strictest_pval"])
 
-    return rows.groupBy("u").applyInPandas(work, FOUND)
+    return rows.groupBy("g1", "g2").applyInPandas(work, FOUND)
 
 
 def with_ids(modules: DataFrame) -> DataFrame:

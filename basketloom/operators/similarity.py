@@ -1,24 +1,37 @@
 """Similar baskets and their representatives.
 
 Two baskets are linked if their adjacency index exceeds the cut-off or the domains of one contain those of the
-other.  Both are read off shared-element counts, which come from equi-joins on an inverted index of domains and
-of adjacent domain pairs; no two baskets without a shared element are ever compared.
+other.  Baskets with the same domains and the same adjacent pairs are one class; links are sought between classes,
+so copies cost no pairs.
+
+* Containment: a set and those that contain it meet at its rarest domain.
+* Adjacency index: with elements in order of rarity, two sets whose index exceeds the cut-off share an element among
+  the first few of each (all but the share of the cut-off); sizes and places bound what they can share.
+
+Pairs that meet are compared by 64-bit signatures and these bounds where they meet; only what passes is joined with
+the whole sets.  The class without any domain is contained in every other one: a row for each class.
+
+Nulls, empty tables and odd rows: empty baskets are the class just named; no basket gives no rows; repeated ids are one.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketloom.functions.genes import adjacent_pairs, domain_set
+from basketloom.functions.genes import adjacency_index, adjacent_pairs, contains_either, domain_set
 
 from .cliques import maximal_cliques
 from .lineage import cut
 
-SALTS = 16
+#: Index rows of an element that one task may hold, and tasks that it is dealt to at most.
+PER_SALT, SALTS = 50_000, 64
+#: Slack for sizes times a cut-off in doubles; it can only let more pairs through to the exact comparison.
+SLACK = 1e-9
 
 
 def features(clusters: DataFrame) -> DataFrame:
@@ -26,40 +39,126 @@ def features(clusters: DataFrame) -> DataFrame:
     return clusters.select("bgc_id", domain_set(F.col("genes")).alias("domains"), adjacent_pairs(F.col("genes")).alias("pairs"))
 
 
-def shared_counts(sets: DataFrame, column: str, name: str, salts: int = SALTS) -> DataFrame:
-    """(a, b, name): how many elements the sets of a < b share, for pairs that share any.
+def _salted(rows: DataFrame, index: DataFrame, element: str, copied: bool) -> DataFrame:
+    """Adds ``salt``: elements with many rows in the index are dealt to several tasks, and repeated for each on the other side."""
+    counts = index.groupBy(element).agg(F.least(F.lit(SALTS), F.ceil(F.count(F.lit(1)) / PER_SALT)).cast("int").alias("salts")).filter("salts > 1")
+    rows = rows.join(F.broadcast(counts), element, "left")  # an element has PER_SALT rows to be here
+    salts = F.coalesce("salts", F.lit(1))
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)) if copied else F.pmod(F.xxhash64("class_id"), salts).cast("int")).drop("salts")
+
+
+def _ranked(sets: DataFrame, column: str) -> DataFrame:
+    """(class_id, e, n, place): the elements of each set with its size, rarest first; places from 0."""
+    index = sets.select("class_id", F.explode(column).alias("e"))
+    counts = index.groupBy("e").agg(F.count(F.lit(1)).alias("held"))
+    by_set = index.join(counts, "e").groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("held", "e"))).alias("es"))
+    return by_set.select("class_id", F.size("es").alias("n"), F.posexplode("es.e").alias("place", "e"))
+
+
+def _signature(column: str) -> Column:
+    """A bit for each element; a set within another has no bit that the other lacks."""
+    return F.aggregate(column, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+
 
-    One side of the index is salted and the other repeated for each salt, so that the pairs of a frequent element
-    are made in ``salts`` tasks.
+def contained_candidates(sets: DataFrame) -> DataFrame:
+    """(a, b), a < b: classes of which one may hold the other's domains, met at the rarest domain of the smaller."""
+    sized = sets.filter(F.size("domains") > 0).select("class_id", F.size("domains").alias("n"), _signature("domains").alias("bits"))
+    index = sets.select("class_id", F.explode("domains").alias("e"))
+    rarest = _ranked(sets, "domains").filter("place = 0").select("class_id", "e")
+    small = _salted(rarest.join(sized, "class_id"), index, "e", True).select("e", "salt", *(F.col(c).alias(f"a_{c}") for c in sized.columns))
+    large = _salted(index.join(sized, "class_id"), index, "e", False).select("e", "salt", *(F.col(c).alias(f"b_{c}") for c in sized.columns))
+    smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_class_id") < F.col("b_class_id")))
+    met = small.join(large, ["e", "salt"]).filter(smaller & (F.col("a_bits").bitwiseAND(F.bitwise_not(F.col("b_bits"))) == 0))
+    return met.select(F.least("a_class_id", "b_class_id").alias("a"), F.greatest("a_class_id", "b_class_id").alias("b"))
+
+
+def adjacent_candidates(sets: DataFrame, cutoff: float) -> DataFrame:
+    """(a, b), a < b: classes whose adjacency index may exceed the cut-off, met within the prefixes of their pairs."""
+    prefix = _ranked(sets, "pairs").filter(F.col("place") < F.col("n") - F.floor(F.col("n") * cutoff - SLACK))
+    one = _salted(prefix, prefix, "e", False).select("e", "salt", *(F.col(c).alias(f"a_{c}") for c in ("class_id", "n", "place")))
+    two = _salted(prefix, prefix, "e", True).select("e", "salt", *(F.col(c).alias(f"b_{c}") for c in ("class_id", "n", "place")))
+    near = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * cutoff - SLACK
+    # From the first shared element on, no more is left to share.
+    most = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    enough = most >= (F.col("a_n") + F.col("b_n")) * (cutoff / (1 + cutoff)) - SLACK
+    met = one.join(two, ["e", "salt"]).filter((F.col("a_class_id") < F.col("b_class_id")) & near & enough)
+    return met.select(F.col("a_class_id").alias("a"), F.col("b_class_id").alias("b")).distinct()
+
+
+def _measured(sets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(a, b, ai, contained) of pairs of classes, from their whole sets."""
+    side = lambda k: sets.select(*(F.col(c).alias(n) for c, n in (("class_id", k), ("domains", f"{k}_d"), ("pairs", f"{k}_p"))))
+    rows = candidates.join(side("a"), "a").join(side("b"), "b")
+    return rows.select("a", "b", adjacency_index(F.col("a_p"), F.col("b_p")).alias("ai"), contains_either(F.col("a_d"), F.col("b_d")).alias("contained"))
+
+
+@dataclass(frozen=True)
+class Links:
+    """Classes of baskets and the links between them.
+
+    ``members`` is (bgc_id, class_id), the class named by its smallest id; ``classes`` (class_id, size, ai, contained):
+    its baskets and how any two of them compare; ``edges`` (a, b, ai, contained) between classes, a < b.
     """
-    index = sets.select("bgc_id", F.explode(column).alias("e"))
-    a = index.select(F.col("bgc_id").alias("a"), "e", F.pmod(F.xxhash64("bgc_id"), F.lit(salts)).alias("salt"))
-    b = index.select(F.col("bgc_id").alias("b"), "e", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    return a.join(b, ["e", "salt"]).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias(name))
+
+    members: DataFrame
+    classes: DataFrame
+    edges: DataFrame
+
+    def pairs(self) -> DataFrame:
+        """(bgc1, bgc2, ai, contained) of all linked baskets, bgc1 < bgc2: as many rows as there are such pairs."""
+        one, two = self.members.select(F.col("bgc_id").alias("x"), F.col("class_id").alias("a")), self.members.select(F.col("bgc_id").alias("y"), F.col("class_id").alias("b"))
+        across = self.edges.join(one, "a").join(two, "b")
+        within = self.classes.filter("size > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), "ai", "contained").join(one, "a").join(two, "b").filter("x < y")
+        return across.unionByName(within).select(F.least("x", "y").alias("bgc1"), F.greatest("x", "y").alias("bgc2"), "ai", "contained")
+
+    def linked_classes(self) -> DataFrame:
+        """(class_id): classes with a link or of several linked baskets."""
+        alone = self.classes.filter("size > 1 AND contained").select("class_id")
+        return self.edges.select(F.col("a").alias("class_id")).union(self.edges.select("b")).union(alone).distinct()
+
+    def unlinked(self) -> DataFrame:
+        """(bgc_id) of the baskets without a link."""
+        return self.members.join(self.linked_classes(), "class_id", "left_anti").select("bgc_id")
+
+    def components(self) -> DataFrame:
+        """(bgc_id, component) of linked baskets: the smallest id that each reaches."""
+        rows = self.members.join(self.linked_classes(), "class_id")
+        found = connected(self.edges, "a", "b").withColumnRenamed("bgc_id", "class_id")
+        return rows.join(found, "class_id", "left").select("bgc_id", F.coalesce("component", "class_id").alias("component"))
+
+
+def links(clusters: DataFrame, cutoff: float | None = 0.95, contained: bool = True) -> Links:
+    """Links of baskets; no cut-off leaves the adjacency index out, ``contained`` false leaves containment out."""
+    key = lambda c: F.md5(F.array_join(F.sort_array(c), "\x1f"))
+    rows = features(clusters).withColumn("key", F.concat(key("domains"), key("pairs")))
+    sets = rows.groupBy("key").agg(F.min("bgc_id").alias("class_id"), F.count_distinct("bgc_id").alias("size"), F.first("domains").alias("domains"), F.first("pairs").alias("pairs"))
+    sets = cut(sets)
+    members = rows.select("bgc_id", "key").distinct().join(sets.select("key", "class_id"), "key").select("bgc_id", "class_id")
+    candidates = [contained_candidates(sets)] if contained else []
+    if cutoff is not None:
+        candidates.append(adjacent_candidates(sets, cutoff))
+    found = candidates[0] if len(candidates) == 1 else candidates[0].union(candidates[1]).distinct()
+    by_index = F.col("ai") > (2.0 if cutoff is None else cutoff)
+    edges = _measured(sets, found).filter((F.col("contained") & F.lit(contained)) | by_index)
+    if contained:
+        none = sets.filter(F.size("domains") == 0).select(F.col("class_id").alias("x"))  # one row at most
+        every = sets.filter(F.size("domains") > 0).select(F.col("class_id").alias("y")).join(F.broadcast(none))
+        edges = edges.unionByName(every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(0.0).alias("ai"), F.lit(True).alias("contained")))
+    alike = F.when(F.size("pairs") > 0, F.lit(1.0)).otherwise(0.0).alias("ai")
+    classes = sets.select("class_id", "size", alike, F.lit(contained).alias("contained"))
+    if not contained:
+        classes = classes.withColumn("size", F.when(F.col("ai") > cutoff, F.col("size")).otherwise(1)).withColumn("contained", F.lit(True))
+    return Links(cut(members), classes, cut(edges))
 
 
 def pair_measures(clusters: DataFrame) -> DataFrame:
-    """(bgc1, bgc2, ai, contained) of all pairs that share a domain, and of baskets without any with all others."""
-    sets = features(clusters)
-    sizes = sets.select("bgc_id", F.size("domains").alias("n"), F.size("pairs").alias("m"))
-    counts = shared_counts(sets, "domains", "n12").join(shared_counts(sets, "pairs", "m12"), ["a", "b"], "left")
-    one, two = sizes.select(F.col("bgc_id").alias("a"), F.col("n").alias("n1"), F.col("m").alias("m1")), sizes.select(F.col("bgc_id").alias("b"), F.col("n").alias("n2"), F.col("m").alias("m2"))
-    m12 = F.coalesce("m12", F.lit(0))
-    rows = counts.join(one, "a").join(two, "b").select(
-        F.col("a").alias("bgc1"), F.col("b").alias("bgc2"),
-        F.when(m12 == 0, F.lit(0.0)).otherwise(m12 / F.greatest(F.col("m1") + F.col("m2") - m12, F.lit(1))).alias("ai"),
-        (F.col("n12") == F.least("n1", "n2")).alias("contained"),
-    )
-    # A basket without domains is contained in every other one: such baskets are a stated set against all rows.
-    none, every = sizes.filter("n = 0").select(F.col("bgc_id").alias("x")), sizes.select(F.col("bgc_id").alias("y"), "n")
-    extra = every.join(none, (F.col("x") != F.col("y")) & ((F.col("n") > 0) | (F.col("x") < F.col("y"))))
-    extra = extra.select(F.least("x", "y").alias("bgc1"), F.greatest("x", "y").alias("bgc2"), F.lit(0.0).alias("ai"), F.lit(True).alias("contained"))
-    return rows.unionByName(extra)
+    """(bgc1, bgc2, ai, contained) of all pairs that share an adjacent pair, or of which one contains the other."""
+    return links(clusters, 0.0).pairs()
 
 
 def similarity_edges(clusters: DataFrame, cutoff: float = 0.95) -> DataFrame:
     """(bgc1, bgc2, ai, contained) of linked baskets, bgc1 < bgc2."""
-    return pair_measures(clusters).filter(F.col("contained") | (F.col("ai") > cutoff))
+    return links(clusters, cutoff).pairs()
 
 
 def unlinked(clusters: DataFrame, edges: DataFrame) -> DataFrame:

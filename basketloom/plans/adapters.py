@@ -56,3 +56,10 @@ def nation_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bgc_id, class): suppliers and the names of their nations."""
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("class"))
     return table(spark, sf_dir, "supplier").join(nation, "s_nationkey").select(F.col("s_suppkey").cast("string").alias("bgc_id"), "class")
+
+
+def word_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(bgc_id, genes): one basket for each document, short words of a few first letters in the order in which they first stand."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    kept = F.array_distinct(F.filter(words, lambda w: w.rlike("^[dlu][a-z]{2}$")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("bgc_id"), kept.alias("genes"))

@@ -268,3 +268,41 @@ ORACLES["interaction_edges"] = (
     + _by("co_p", "byc") + _by("ad_p", "bya")
     + f"SELECT g1, g2, round(min(pval), 6) AS pval FROM (SELECT * FROM ({_max2('byc', 'adj')}) UNION ALL SELECT * FROM ({_max2('bya', 'adj')})) GROUP BY 1, 2"
 )
+
+# All cliques of a graph e (g1 < g2, pval), grown gene by gene, and those that are maximal at their weakest edge.
+_CLIQUES = """,
+s AS (SELECT g1 AS a, g2 AS b, pval FROM e UNION ALL SELECT g2, g1, pval FROM e),
+c AS (
+  SELECT [g1, g2] AS l, pval AS w FROM e
+  UNION ALL
+  SELECT list_append(l, b), max(greatest(w, pval)) FROM c JOIN s ON list_contains(l, s.a) AND s.b > l[-1] GROUP BY l, w, b HAVING count(*) = len(l)),
+grown AS (SELECT DISTINCT l, w, b FROM c JOIN s ON list_contains(l, s.a) AND s.pval <= w AND NOT list_contains(l, s.b) WHERE len(l) >= 3 GROUP BY l, w, b HAVING count(*) = len(l)),
+found AS (SELECT l, w FROM c WHERE len(l) >= 3 AND NOT EXISTS (SELECT 1 FROM grown WHERE grown.l = c.l))
+"""
+ORACLES["modules_maximal"] = _WEAK.replace("WITH genes", "WITH RECURSIVE genes").rstrip() + _CLIQUES + "SELECT array_to_string(l, ',') AS genes, round(w, 6) AS strictest_pval FROM found"
+
+_WORDS = r"""
+WITH RECURSIVE texts AS (SELECT CAST(doc_id AS VARCHAR) AS bgc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+said AS (SELECT bgc_id, unnest(ws) AS gene, unnest(range(len(ws))) AS i FROM texts),
+firsts AS (SELECT bgc_id, gene, min(i) AS i FROM said WHERE regexp_matches(gene, '^[dlu][a-z]{2}$') GROUP BY 1, 2),
+often AS (SELECT gene FROM firsts GROUP BY gene HAVING count(*) >= 3),
+masked AS (
+  SELECT bgc_id, CAST(row_number() OVER (PARTITION BY bgc_id ORDER BY i) - 1 AS INTEGER) AS pos, CASE WHEN often.gene IS NULL THEN '-' ELSE firsts.gene END AS gene
+  FROM firsts LEFT JOIN often USING (gene)),
+genes AS (SELECT * FROM masked WHERE bgc_id IN (SELECT bgc_id FROM masked WHERE gene <> '-' GROUP BY 1 HAVING count(*) >= 2)),
+baskets AS (SELECT bgc_id, list(gene ORDER BY pos) AS genes FROM genes GROUP BY bgc_id)
+"""
+# No word stands twice in a basket, so none lies between two of the same: adjacency has the tail of one kind of neighbour.
+ORACLES["built_modules"] = (
+    _WORDS.rstrip() + _COP[len(ORDERS):].rstrip() + _NEAR[len(ORDERS):].rstrip()
+    + _COP[len(_COLOC):].rstrip().replace("par AS", "par2 AS").replace("FROM par)", "FROM par2)").replace("co_p AS", "ad_p AS").replace("co_pair", "adj_pair").replace("co_node", "adj_node").replace("(SELECT sum(len2) AS n FROM lens)", "(SELECT count(*) AS n FROM genes)")
+    + _by("co_p", "byc") + _by("ad_p", "bya").rstrip()
+    + f""",
+e AS (SELECT g1, g2, min(pval) AS pval FROM (SELECT * FROM ({_max2('byc', 'adj')}) UNION ALL SELECT * FROM ({_max2('bya', 'adj')})) GROUP BY 1, 2 HAVING min(pval) <= 0.01)"""
+    + _CLIQUES.rstrip()
+    + """,
+sets AS (SELECT bgc_id, list(gene) AS g FROM u GROUP BY 1)
+SELECT row_number() OVER (ORDER BY w, array_to_string(l, ',')) AS module_id, array_to_string(l, ',') AS genes, round(w, 6) AS strictest_pval,
+       (SELECT count(*) FROM sets WHERE list_has_all(g, l)) AS occurences, CAST(len(l) AS INTEGER) AS n_genes, CAST(len(l) AS INTEGER) AS n_domains
+FROM found"""
+)

@@ -146,12 +146,12 @@ def _real_parts(spark, sf_dir):
 
 @query
 def adjacency_index_pairs(spark, sf_dir):
-    return rounded(similarity.pair_measures(_real_parts(spark, sf_dir)).filter("ai > 0").select("bgc1", "bgc2", "ai"), "ai")
+    return rounded(similarity.links(_real_parts(spark, sf_dir), 0.0, contained=False).pairs().select("bgc1", "bgc2", "ai"), "ai")
 
 
 @query
 def containment_pairs(spark, sf_dir):
-    return similarity.pair_measures(_real_parts(spark, sf_dir)).filter("contained").select("bgc1", "bgc2")
+    return similarity.links(_real_parts(spark, sf_dir), None).pairs().select("bgc1", "bgc2")
 
 
 @query
@@ -161,23 +161,22 @@ def similarity_edges(spark, sf_dir):
 
 @query
 def unique_baskets(spark, sf_dir):
-    baskets = _real_parts(spark, sf_dir)
-    return similarity.unlinked(baskets, similarity.similarity_edges(baskets, 0.3)).select("bgc_id")
+    return similarity.links(_real_parts(spark, sf_dir), 0.3).unlinked()
 
 
-def _sparse_edges(spark, sf_dir):
-    return similarity.pair_measures(filters.with_min_genes(part_baskets(spark, sf_dir), 3)).filter("contained or ai > 0.2")
+def _sparse_links(spark, sf_dir):
+    return similarity.links(filters.with_min_genes(part_baskets(spark, sf_dir), 3), 0.2)
 
 
 @query
 def connected_components(spark, sf_dir):
-    return similarity.connected(_sparse_edges(spark, sf_dir))
+    return _sparse_links(spark, sf_dir).components()
 
 
 @query
 def representatives(spark, sf_dir):
     baskets = filters.with_min_genes(part_baskets(spark, sf_dir), 3)
-    return similarity.representatives(baskets, _sparse_edges(spark, sf_dir))
+    return similarity.representatives(baskets, _sparse_links(spark, sf_dir).pairs())
 
 
 @query
@@ -284,9 +283,9 @@ def detected_module_ids(spark, sf_dir):
 
 @query
 def built_modules(spark, sf_dir):
-    """The whole statistical branch over masked baskets, with a generous cut-off."""
-    masked = clusters.collected(filters.mask_infrequent(clusters.exploded(order_baskets(spark, sf_dir)), 2, 3))
-    return rounded(_text(modules.build_modules(masked, 0.999999), "genes"), "strictest_pval")
+    """The whole statistical branch over masked baskets: words that go together in documents."""
+    masked = clusters.collected(filters.mask_infrequent(clusters.exploded(adapters.word_baskets(spark, sf_dir)), 2, 3))
+    return rounded(_text(modules.build_modules(masked, 0.01), "genes"), "strictest_pval")
 
 
 def _terms(spark, sf_dir):
