@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import free_name
+from .store import free_name, written
 from .textblocks import LOWER, Block, blocks, column_of, gram_fits, gram_hashes, mix
 
 EDIT_SHARE = 0.2
@@ -312,7 +312,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, per_pass: int = ITEMS_PE
     """(doc_id, item_id, edits, item_words, first_word, n_window) of every document and item that contaminates it.
 
     Items are broadcast in passes of about ``per_pass`` items or ``BYTES_PER_PASS`` of text at most, each over all
-    documents, so what is held at once is bounded however long the benchmark.
+    documents, so what is held at once is bounded however long the benchmark.  With several passes the matches of each
+    are written (the tables stay until the scratch around the call ends, or the user removes them).
     """
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -323,7 +324,11 @@ def matches(documents: DataFrame, benchmark: DataFrame, per_pass: int = ITEMS_PE
     for k in range(passes):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
         index = build(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-        found = documents.select("doc_id", "text").mapInArrow(_searcher(spark.sparkContext.broadcast(index)), f"doc_id {kind}, {SCHEMA}")
+        shared = spark.sparkContext.broadcast(index)
+        found = documents.select("doc_id", "text").mapInArrow(_searcher(shared), f"doc_id {kind}, {SCHEMA}")
+        if passes > 1:  # no two passes' items are held at once
+            found = written(found, f"matches{k}")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
