@@ -253,7 +253,7 @@ BLOCK_ENTRIES = 100_000
 #: Entries of a block that are held at once; a longer one is taken in stretches.
 BLOCK_HELD = 300_000
 #: Products of entries that are worked out at once, and pairs that a task holds before it passes them on.
-_AT_ONCE, _HELD = 1 << 20, 1 << 20
+_AT_ONCE, _HELD = 1 << 18, 1 << 20
 
 
 class _Pairs:
