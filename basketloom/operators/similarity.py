@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +38,12 @@ def features(clusters: DataFrame) -> DataFrame:
     return clusters.select("bgc_id", domain_set(F.col("genes")).alias("domains"), adjacent_pairs(F.col("genes")).alias("pairs"))
 
 
-def _salted(rows: DataFrame, index: DataFrame, element: str, copied: bool) -> DataFrame:
+def salted(rows: DataFrame, index: DataFrame, element: str, copied: bool, key: str = "class_id") -> DataFrame:
     """Adds ``salt``: elements with many rows in the index are dealt to several tasks, and repeated for each on the other side."""
     counts = index.groupBy(element).agg(F.least(F.lit(SALTS), F.ceil(F.count(F.lit(1)) / PER_SALT)).cast("int").alias("salts")).filter("salts > 1")
     rows = rows.join(F.broadcast(counts), element, "left")  # an element has PER_SALT rows to be here
     salts = F.coalesce("salts", F.lit(1))
-    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)) if copied else F.pmod(F.xxhash64("class_id"), salts).cast("int")).drop("salts")
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)) if copied else F.pmod(F.xxhash64(key), salts).cast("int")).drop("salts")
 
 
 def _ranked(sets: DataFrame, column: str) -> DataFrame:
@@ -65,8 +64,8 @@ def contained_candidates(sets: DataFrame) -> DataFrame:
     sized = sets.filter(F.size("domains") > 0).select("class_id", F.size("domains").alias("n"), _signature("domains").alias("bits"))
     index = sets.select("class_id", F.explode("domains").alias("e"))
     rarest = _ranked(sets, "domains").filter("place = 0").select("class_id", "e")
-    small = _salted(rarest.join(sized, "class_id"), index, "e", True).select("e", "salt", *(F.col(c).alias(f"a_{c}") for c in sized.columns))
-    large = _salted(index.join(sized, "class_id"), index, "e", False).select("e", "salt", *(F.col(c).alias(f"b_{c}") for c in sized.columns))
+    small = salted(rarest.join(sized, "class_id"), index, "e", True).select("e", "salt", *(F.col(c).alias(f"a_{c}") for c in sized.columns))
+    large = salted(index.join(sized, "class_id"), index, "e", False).select("e", "salt", *(F.col(c).alias(f"b_{c}") for c in sized.columns))
     smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_class_id") < F.col("b_class_id")))
     met = small.join(large, ["e", "salt"]).filter(smaller & (F.col("a_bits").bitwiseAND(F.bitwise_not(F.col("b_bits"))) == 0))
     return met.select(F.least("a_class_id", "b_class_id").alias("a"), F.greatest("a_class_id", "b_class_id").alias("b"))
@@ -75,8 +74,8 @@ def contained_candidates(sets: DataFrame) -> DataFrame:
 def adjacent_candidates(sets: DataFrame, cutoff: float) -> DataFrame:
     """(a, b), a < b: classes whose adjacency index may exceed the cut-off, met within the prefixes of their pairs."""
     prefix = _ranked(sets, "pairs").filter(F.col("place") < F.col("n") - F.floor(F.col("n") * cutoff - SLACK))
-    one = _salted(prefix, prefix, "e", False).select("e", "salt", *(F.col(c).alias(f"a_{c}") for c in ("class_id", "n", "place")))
-    two = _salted(prefix, prefix, "e", True).select("e", "salt", *(F.col(c).alias(f"b_{c}") for c in ("class_id", "n", "place")))
+    one = salted(prefix, prefix, "e", False).select("e", "salt", *(F.col(c).alias(f"a_{c}") for c in ("class_id", "n", "place")))
+    two = salted(prefix, prefix, "e", True).select("e", "salt", *(F.col(c).alias(f"b_{c}") for c in ("class_id", "n", "place")))
     near = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * cutoff - SLACK
     # From the first shared element on, no more is left to share.
     most = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
@@ -220,31 +219,26 @@ def representatives_of(edges: list[tuple[str, str]], sizes: dict[str, int]) -> d
     return total
 
 
-def representatives(clusters: DataFrame, edges: DataFrame) -> DataFrame:
-    """(rep, member): baskets that stand for others (and themselves); baskets without an edge stand for themselves.
-
-    Components are independent; each is worked out by itself.
-    """
+def representatives(clusters: DataFrame, links: Links) -> DataFrame:
+    """(rep, member): baskets that stand for others (and themselves); baskets without a link stand for themselves."""
     from .filters import domains_per_basket
+    from .representatives import of_graph
     from basketloom.sources.clusters import exploded
 
-    sizes = domains_per_basket(exploded(clusters))
-    comp = connected(edges)
-    links = edges.join(comp, F.col("bgc1") == F.col("bgc_id")).select("component", "bgc1", "bgc2")
-    named = links.join(sizes.select(F.col("bgc_id").alias("bgc1"), F.col("n_domains").alias("n1")), "bgc1").join(sizes.select(F.col("bgc_id").alias("bgc2"), F.col("n_domains").alias("n2")), "bgc2")
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        size = dict(zip(part["bgc1"], part["n1"])) | dict(zip(part["bgc2"], part["n2"]))
-        found = representatives_of(sorted(set(zip(part["bgc1"], part["bgc2"]))), size)
-        rows = [(rep, m) for rep, members in found.items() for m in sorted(members)]
-        return pd.DataFrame(rows, columns=["rep", "member"])
-
-    linked = named.groupBy("component").applyInPandas(work, "rep string, member string")
-    alone = unlinked(clusters, edges).select(F.col("bgc_id").alias("rep"), F.col("bgc_id").alias("member"))
-    return linked.unionByName(alone)
+    sizes = domains_per_basket(exploded(clusters)).groupBy("bgc_id").agg(F.max("n_domains").alias("n"))
+    known = links.members.join(sizes, "bgc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    best = known.groupBy("class_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "bgc_id", "n")).alias("best"), F.count(F.lit(1)).alias("weight"))
+    nodes = cut(best.select(F.col("class_id").alias("node"), F.col("best.bgc_id").alias("rep"), F.col("best.n").alias("n"), "weight"))
+    edges = links.edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = of_graph(nodes, edges, connected(links.edges, "a", "b").select(F.col("bgc_id").alias("node"), "component"))
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    alone = nodes.join(ends, "node", "left_anti").select("rep", F.lit(None).cast("string").alias("member"), F.col("node").alias("class_id"))
+    found = found.unionByName(alone)
+    classes = found.filter("member is null").select("rep", "class_id").join(links.members, "class_id").select("rep", F.col("bgc_id").alias("member"))
+    return found.filter("member is not null").select("rep", "member").union(classes).distinct()
 
 
 def filter_similar(clusters: DataFrame, cutoff: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """(representative baskets, (rep, member) table)."""
-    members = representatives(clusters, similarity_edges(clusters, cutoff))
+    members = representatives(clusters, links(clusters, cutoff))
     return clusters.join(members.select(F.col("rep").alias("bgc_id")).distinct(), "bgc_id", "left_semi"), members

@@ -176,7 +176,7 @@ def connected_components(spark, sf_dir):
 @query
 def representatives(spark, sf_dir):
     baskets = filters.with_min_genes(part_baskets(spark, sf_dir), 3)
-    return similarity.representatives(baskets, _sparse_links(spark, sf_dir).pairs())
+    return similarity.representatives(baskets, _sparse_links(spark, sf_dir))
 
 
 @query
