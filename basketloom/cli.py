@@ -41,6 +41,10 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--classes")
     run.add_argument("--known")
     run.add_argument("--topic_model", help="folder of a saved topic model")
+    run.add_argument("--resume_topics", type=int, default=0, help="train the saved model on with its own baskets, so many chunks")
+    run.add_argument("--update_topics", type=int, default=0, help="train the saved model on with these new baskets, so many chunks")
+    run.add_argument("--round_digits", type=int, help="round p-values to so many digits, which merges near cut-offs")
+    run.add_argument("--text", action="store_true", help="write the tables as text files, too")
     run.add_argument("--no_reuse", dest="reuse", action="store_false")
 
     link = kinds.add_parser("link", help="link products to baskets with chosen motifs")
@@ -56,6 +60,11 @@ def parser() -> argparse.ArgumentParser:
     draw.add_argument("--colours")
     draw.add_argument("--modules", help="file of matches with >bgc headers; their genes are filled")
     draw.add_argument("--kind", choices=["topic", "stat"], default="topic")
+    draw.add_argument("--each", action="store_true", help="one more drawing for each module, instead of one with all of them filled")
+    draw.add_argument("--topics", nargs="+", help="only these topics")
+    draw.add_argument("--stat_modules", nargs="+", help="only these modules")
+    draw.add_argument("--families", nargs="+", help="only modules of these families")
+    draw.add_argument("--clans", nargs="+", help="only modules of these clans")
     return top
 
 
@@ -66,23 +75,26 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if command == "run":
         from basketloom.plans.pipeline import Config, Run
 
-        for name, rows in Run(spark, Config(**args)).run().items():
+        run = Run(spark, Config(**args))
+        for name, rows in run.run().items():
             print(name, rows.count())
+        for name, counts in run.tallies.items():
+            print(name, *(f"{status}: {n}" for status, n in counts.items()))
     elif command == "link":
         from basketloom.plans.pipeline import link_products
 
         print("links", link_products(spark, **args).count())
     else:
-        from pyspark.sql import functions as F
-
-        from basketloom.operators.render import render
+        from basketloom.operators import render
         from basketloom.sources import tables
 
         colours = {r["name"]: (r["r"], r["g"], r["b"]) for r in tables.read_colours(spark, args["colours"]).collect()} if args["colours"] else None
-        marked = None
+        hits, marked = tables.read_hits(spark, args["hits"]), None
         if args["modules"]:
-            marked = tables.read_module_blocks(spark, args["modules"], args["kind"]).groupBy("bgc").agg(F.array_distinct(F.flatten(F.collect_list("genes"))).alias("genes"))
-        render(tables.read_hits(spark, args["hits"]), marked, colours).write.mode("overwrite").parquet(args["out"])
+            blocks = tables.read_module_blocks(spark, args["modules"], args["kind"])
+            marked = render.chosen_modules(blocks, args["kind"], args["topics"], args["stat_modules"], args["families"], args["clans"])
+        drawn = render.render_modules(hits, marked, colours) if args["each"] and marked is not None else render.render(hits, render.all_genes(marked), colours)
+        drawn.write.mode("overwrite").parquet(args["out"])
 
 
 if __name__ == "__main__":

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html import escape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALING, HEIGHT, MARGIN = 30, 30, 3
@@ -78,21 +78,69 @@ def svg(genes: list, marked: set[str] | None = None, colours: dict[str, tuple[in
     return "\n".join([*parts, "</svg>"])
 
 
-def render(hits: DataFrame, marked: DataFrame | None = None, colours: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
-    """(bgc, svg) of every basket with hits.  ``marked`` (bgc, genes) names the genes to fill."""
+#: Places of family and clan among the columns of a module that do not hold its genes.
+FAMILY, CLAN = 5, 6
+
+
+def chosen_modules(blocks: DataFrame, kind: str, topics: list[str] | None = None, modules: list[str] | None = None, families: list[str] | None = None, clans: list[str] | None = None) -> DataFrame:
+    """(bgc, place, module, genes) of the blocks (ord, bgc, info, genes) with one of the given values each; None is any.
+
+    Modules of a basket with a clan are in the order of clan and family, those with a family only in that of the
+    family, both as numbers, and others as they stand; places count from 1.  A module without the asked column is left out.
+    """
+    at = lambda k: F.get("info", F.lit(k))
+    asked = [(at(0), topics)] if kind == "topic" else [(at(0), modules), (at(FAMILY), families), (at(CLAN), clans)]
+    rows = blocks
+    for column, wanted in asked:
+        if wanted is not None:
+            rows = rows.filter(F.coalesce(column.isin(list(wanted)), F.lit(False)))
+    number = lambda k: at(k).try_cast("long")
+    order = [] if kind == "topic" else [number(CLAN), number(FAMILY)]
+    place = F.row_number().over(Window.partitionBy("bgc").orderBy(*order, "ord"))
+    return rows.select("bgc", place.alias("place"), at(0).alias("module"), "genes")
+
+
+def all_genes(marked: DataFrame | None) -> DataFrame | None:
+    """(bgc, genes): the genes of all modules of a basket."""
+    return None if marked is None else marked.groupBy("bgc").agg(F.array_distinct(F.flatten(F.collect_list("genes"))).alias("genes"))
+
+
+def _drawable(hits: DataFrame) -> DataFrame:
+    """(bgc, genes): the genes of each basket with their places and domains."""
     place = F.split(F.regexp_replace("location", "[<>]", ""), ";")
     drawn = hit_geometry(hits.withColumn("_all", F.struct(*hits.columns)), keep=("_all",)).select("_all.*", "gene_key", F.struct("domain", "start", "width", "height").alias("d"))
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("q_start", "domain"))), lambda x: x["domain"]), ";")
     genes = drawn.groupBy("bgc", "gene_key", "location").agg(names.alias("gene"), F.collect_list("d").alias("domains"))
     one = F.struct("gene_key", "gene", "domains", place[0].cast("double").alias("start"), place[1].cast("double").alias("end"), place[2].alias("strand"))
-    rows = genes.groupBy("bgc").agg(F.collect_list(one).alias("genes"))
-    rows = rows.join(marked.select("bgc", F.col("genes").alias("marked")), "bgc", "left") if marked is not None else rows.withColumn("marked", F.lit(None).cast("array<string>"))
-    only_marked = marked is not None
+    return genes.groupBy("bgc").agg(F.collect_list(one).alias("genes"))
+
+
+def _drawn(rows: DataFrame, keep: tuple[str, ...], colours: dict[str, tuple[int, int, int]] | None) -> DataFrame:
+    """The kept columns with ``svg`` of rows (genes, marked); null ``marked`` fills all genes."""
+    kinds = {c: rows.schema[c].dataType for c in keep}
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             r = batch.to_pydict()
-            texts = [svg(g, set(m or ()) if only_marked else None, colours) for g, m in zip(r["genes"], r["marked"])]
-            yield pa.RecordBatch.from_arrays([pa.array(r["bgc"], pa.string()), pa.array(texts, pa.string())], names=["bgc", "svg"])
+            texts = [svg(g, None if m is None else set(m), colours) for g, m in zip(r["genes"], r["marked"])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "svg"])
 
-    return rows.mapInArrow(draw, "bgc string, svg string")
+    return rows.select(*keep, "genes", "marked").mapInArrow(draw, ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()) + ", svg string")
+
+
+def render(hits: DataFrame, marked: DataFrame | None = None, colours: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
+    """(bgc, svg) of every basket with hits.  ``marked`` (bgc, genes) names the genes to fill."""
+    rows = _drawable(hits)
+    if marked is None:
+        rows = rows.withColumn("marked", F.lit(None).cast("array<string>"))
+    else:
+        rows = rows.join(marked.select("bgc", F.col("genes").alias("marked")), "bgc", "left").withColumn("marked", F.coalesce("marked", F.array().cast("array<string>")))
+    return _drawn(rows, ("bgc",), colours)
+
+
+def render_modules(hits: DataFrame, chosen: DataFrame, colours: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
+    """(bgc, place, module, svg): each basket as a whole (place 0), then once for each of its modules with its genes filled."""
+    rows = _drawable(hits)
+    whole = rows.select("bgc", F.lit(0).alias("place"), F.lit(None).cast("string").alias("module"), "genes", F.lit(None).cast("array<string>").alias("marked"))
+    each = rows.join(chosen.withColumnRenamed("genes", "marked"), "bgc").select("bgc", "place", "module", "genes", "marked")
+    return _drawn(whole.unionByName(each), ("bgc", "place", "module"), colours)

@@ -133,28 +133,35 @@ def write_fasta(found: DataFrame, path: str, mode: str = "errorifexists") -> Non
     fasta_lines(found).write.mode(mode).partitionBy("bgc").text(path)
 
 
+#: What may have become of a file, and of a search.
+STATUSES, SEARCHES = ("converted", "excluded", "filtered", "failed", "existed"), ("done", "failed")
+
+
 def numbered(found: DataFrame) -> DataFrame:
     """Adds i and n: the place of each record and how many its file has."""
     return found.withColumn("i", F.row_number().over(Window.partitionBy("bgc").orderBy("n"))).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("bgc")))
 
 
-def search_profiles(found: DataFrame, profiles: str, program: str = "hmmscan") -> DataFrame:
-    """(cluster_id, ord, line) of an external profile search over the records of each file.
+def searches(found: DataFrame, profiles: str, program: str = "hmmscan") -> DataFrame:
+    """(cluster_id, ord, line, status): the lines of an external profile search over the records of each file.
 
-    The program must be installed on the executors, and ``profiles`` must be readable there.
+    The first row of each file has no line but a status: done, or failed, after which no lines follow.  The program
+    must be installed on the executors, and ``profiles`` must be readable there; without the program the job fails.
     """
     texts = found.filter("header is not null").groupBy("bgc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "header", "sequence"))), lambda r: F.concat(r["header"], F.lit("\n"), r["sequence"])), "\n").alias("fasta"))
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for bgc, fasta in zip(part["bgc"], part["fasta"]):
+                lines: list[str] = []
                 with tempfile.TemporaryDirectory() as folder:
                     source, out = os.path.join(folder, "in.fasta"), os.path.join(folder, "out.domtable")
                     with open(source, "w") as handle:
                         handle.write(fasta + "\n")
-                    subprocess.run([program, "-o", os.devnull, "--cpu", "0", "--domtblout", out, "--cut_tc", profiles, source], check=True)
-                    with open(out) as handle:
-                        lines = [line.strip() for line in handle]
-                yield pd.DataFrame({"cluster_id": bgc, "ord": range(len(lines)), "line": lines})
+                    done = subprocess.run([program, "-o", os.devnull, "--cpu", "0", "--domtblout", out, "--cut_tc", profiles, source], check=False).returncode == 0
+                    if done:
+                        with open(out) as handle:
+                            lines = [line.strip() for line in handle]
+                yield pd.DataFrame({"cluster_id": bgc, "ord": range(-1, len(lines)), "line": [None, *lines], "status": ["done" if done else "failed"] + [None] * len(lines)})
 
-    return texts.mapInPandas(scan, "cluster_id string, ord long, line string")
+    return texts.mapInPandas(scan, "cluster_id string, ord long, line string, status string")
