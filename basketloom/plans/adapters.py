@@ -63,3 +63,20 @@ def word_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), 0)
     kept = F.array_distinct(F.filter(words, lambda w: w.rlike("^[dlu][a-z]{2}$")))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("bgc_id"), kept.alias("genes"))
+
+
+def supplier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(bgc, content): a GenBank file for each supplier."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.translate("p_name", " ", "_").alias("name"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", *(c for c in _ORDER if c != "l_suppkey")).join(part, "l_partkey")
+    keys = ("l_orderkey", *(c for c in _ORDER if c != "l_suppkey"))
+    place = F.concat_ws("..", F.col("l_partkey").cast("string"), (F.col("l_partkey") + 3 * F.col("l_quantity").cast("long")).cast("string"))
+    place = F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("complement("), place, F.lit(")"))).otherwise(place)
+    qualifier = lambda name, value: F.concat(F.lit(" " * 21 + f'/{name}="'), value, F.lit('"\n'))
+    text = F.concat(F.lit("     CDS             "), place, F.lit("\n"), qualifier("gene", F.col("name")), qualifier("protein_id", F.concat(F.lit("P_"), F.col("l_partkey").cast("string"))), qualifier("translation", F.lit("MK")))
+    texts = rows.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct(*keys, "name", text.alias("text")))).alias("x"))
+    edge = F.when(F.col("l_suppkey") % 7 == 0, F.lit("True")).otherwise(F.lit("False"))
+    head = F.concat(F.lit("LOCUS       X 900 bp DNA\nFEATURES             Location/Qualifiers\n     protocluster    1..900\n" + " " * 21 + '/contig_edge="'), edge, F.lit('"\n'))
+    whole = F.concat(head, F.array_join(F.transform("x", lambda r: r["text"]), ""), F.lit("ORIGIN\n//\n"))
+    name = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.when(F.col("l_suppkey") % 9 == 0, F.lit("_final")).otherwise(F.lit("")))
+    return texts.select(name.alias("bgc"), F.when(F.col("l_suppkey") % 11 == 3, F.lit("nothing\n")).otherwise(whole).cast("binary").alias("content"))

@@ -306,3 +306,20 @@ SELECT row_number() OVER (ORDER BY w, array_to_string(l, ',')) AS module_id, arr
        (SELECT count(*) FROM sets WHERE list_has_all(g, l)) AS occurences, CAST(len(l) AS INTEGER) AS n_genes, CAST(len(l) AS INTEGER) AS n_domains
 FROM found"""
 )
+
+ORACLES["unreadable_tables"] = (
+    "SELECT cluster_id, count(*) AS hits FROM (" + ORACLES["domain_hits"] + ") WHERE CAST(cluster_id AS BIGINT) % 50 NOT IN (7, 8) GROUP BY 1"
+)
+ORACLES["genbank_records"] = """
+WITH l AS (
+  SELECT l_suppkey AS s, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_shipdate, replace(p_name, ' ', '_')) AS n,
+         count(*) OVER (PARTITION BY l_suppkey) AS total, l_partkey, l_linenumber, CAST(trunc(l_quantity) AS BIGINT) AS q, replace(p_name, ' ', '-') AS gene
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+f AS (
+  SELECT DISTINCT s, 's' || s || CASE WHEN s % 9 = 0 THEN '_final' ELSE '' END AS bgc,
+         CASE WHEN s % 9 = 0 THEN 'excluded' WHEN s % 11 = 3 THEN 'failed' WHEN s % 7 = 0 THEN 'filtered' ELSE 'converted' END AS status FROM l)
+SELECT bgc, status, CAST(n AS INTEGER) AS n,
+       '>' || bgc || '_gid:' || gene || '_pid:P-' || l_partkey || '_loc:' || (l_partkey - 1) || ';' || (l_partkey + 3 * q) || ';' || CASE WHEN l_linenumber % 2 = 1 THEN '-' ELSE '+' END || '_' || n || '/' || total AS header, 'MK' AS sequence
+FROM f JOIN l USING (s) WHERE status = 'converted'
+UNION ALL SELECT bgc, status, 0, '', '' FROM f WHERE status <> 'converted'
+"""

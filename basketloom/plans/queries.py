@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from basketloom.functions.genes import adjacent_pairs, base_name, genes_text, n_nonempty
 from basketloom.operators import filters, interactions, link, modules, overlap, pvalues, render, similarity, topics
-from basketloom.sources import clusters, domtable
+from basketloom.sources import clusters, domtable, genbank
 from basketloom.streaming.detect import gene_counts_by_window
 
 from . import adapters
@@ -125,6 +125,25 @@ def domain_hits(spark, sf_dir):
     return domtable.hits(rows, 0.1).select("cluster_id", "ord", "bgc", "g_id", "p_id", "location", "orf_num", "tot_orf", "domain", "q_start", "q_end", "bitscore")
 
 
+@query
+def unreadable_tables(spark, sf_dir):
+    """One line that cannot be read, or that is cut off, drops its whole table; no other."""
+    h = adapters.line_hits(spark, sf_dir)
+    head = F.concat("cluster_id", F.lit("_gid:_pid:P_loc:0;9;+_"), F.col("orf_num").cast("string"), F.lit("/7"))
+    bad = (F.col("cluster_id").cast("long") % 50 == 7) & (F.col("ord") == 0)
+    score = F.when(bad, F.lit("-")).otherwise(F.format_string("%.2f", "bitscore"))
+    line = F.concat_ws(" ", "domain", F.lit("- 1"), head, F.lit("- 1 0 0 0 1 1 0 0"), score, F.lit("0 1 1"), (F.col("q_start") + 1).cast("string"), F.col("q_end").cast("string"), F.lit("1 1 0.9 -"))
+    remark = h.filter("ord = 0").select("cluster_id", F.lit(-1).cast("long").alias("ord"), F.when(F.col("cluster_id").cast("long") % 50 == 8, F.lit("cut off")).otherwise(F.lit("# a remark")).alias("line"))
+    rows = domtable.parse_rows(h.select("cluster_id", "ord", line.alias("line")).unionByName(remark))
+    return domtable.hits(rows, 0.1).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query
+def genbank_records(spark, sf_dir):
+    """Suppliers as GenBank files with a coding sequence for each delivery; some are excluded, cut off by a contig's edge, or no such files."""
+    return genbank.parse_files(adapters.supplier_files(spark, sf_dir)).fillna({"n": 0, "header": "", "sequence": ""})
+
+
 @query
 def gap_fill(spark, sf_dir):
     return domtable.clusters(adapters.line_hits(spark, sf_dir).withColumn("tot_orf", F.lit(7)))

@@ -29,7 +29,7 @@ def parse_rows(rows: DataFrame) -> DataFrame:
     """The same from (cluster_id, ord, line)."""
     rows = rows.filter(~F.col("line").startswith("#") & (F.col("line") != ""))
     parts = F.split("line", r"\s+", 23)
-    rows = rows.select("cluster_id", "ord", *(parts[k].try_cast(kind).alias(name) for name, k, kind in COLUMNS))
+    rows = rows.select("cluster_id", "ord", *(F.get(parts, F.lit(k)).try_cast(kind).alias(name) for name, k, kind in COLUMNS))
     return rows.select("cluster_id", "ord", "domain", "query", "bitscore", (F.col("ali_from") - 1).alias("q_start"), F.col("ali_to").alias("q_end"))
 
 

@@ -93,6 +93,20 @@ def records(name: str, text: str, include_edge: bool = False, exclude: tuple[str
     return "converted", [(f">{head}/{len(found)}", sequence) for head, sequence in found]
 
 
+def parse_files(rows: DataFrame, include_edge: bool = False, exclude: tuple[str, ...] = ("final",)) -> DataFrame:
+    """(bgc, status, n, header, sequence) of files (bgc, content): a row for each protein, or one without."""
+
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for bgc, content in zip(part["bgc"], part["content"]):
+                status, found = records(bgc, bytes(content).decode("utf-8", "replace").replace("\r\n", "\n"), include_edge, tuple(exclude))
+                out += [(bgc, status, k, h, s) for k, (h, s) in enumerate(found, 1)] or [(bgc, status, None, None, None)]
+            yield pd.DataFrame(out, columns=["bgc", "status", "n", "header", "sequence"]).astype({"n": "Int32"})
+
+    return rows.select("bgc", "content").mapInPandas(parse, RECORDS)
+
+
 def read_genbank(spark: SparkSession, path: str, include_edge: bool = False, exclude: tuple[str, ...] = ("final",), existing: DataFrame | None = None) -> DataFrame:
     """(bgc, status, n, header, sequence) of all ``*.gbk`` files of a folder: a row for each protein, or one without.
 
@@ -110,15 +124,7 @@ def read_genbank(spark: SparkSession, path: str, include_edge: bool = False, exc
         done = rows.filter(~excluded).select("bgc").join(known, "bgc", "left_semi").select("bgc", F.lit("existed").alias("status"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("header"), F.lit(None).cast("string").alias("sequence"))
         rows = rows.filter(excluded).unionByName(rows.filter(~excluded).join(known, "bgc", "left_anti"))
 
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for bgc, content in zip(part["bgc"], part["content"]):
-                status, found = records(bgc, bytes(content).decode("utf-8", "replace").replace("\r\n", "\n"), include_edge, tuple(exclude))
-                out += [(bgc, status, k, h, s) for k, (h, s) in enumerate(found, 1)] or [(bgc, status, None, None, None)]
-            yield pd.DataFrame(out, columns=["bgc", "status", "n", "header", "sequence"]).astype({"n": "Int32"})
-
-    parsed = rows.mapInPandas(parse, RECORDS)
+    parsed = parse_files(rows, include_edge, exclude)
     return parsed if done is None else parsed.unionByName(done)
 
 
