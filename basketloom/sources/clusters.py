@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketloom.functions.genes import EMPTY, genes_text, n_nonempty
+from basketloom.operators.filters import sized
+from basketloom.operators.lineage import cut
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -19,7 +21,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     pieces = rows.groupBy("_file", "_start").agg(F.min("_id").alias("_first"))
     pieces = pieces.withColumn("_piece", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_file", "_start")) - 1)
     ord_ = F.shiftleft(F.col("_piece").cast("long"), 33) + F.col("_id") - F.col("_first")
-    return rows.join(pieces, ["_file", "_start"]).select(ord_.alias("ord"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
+    return rows.join(sized(cut(pieces)), ["_file", "_start"]).select(ord_.alias("ord"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
 
 
 def parse_line(line: Column) -> tuple[Column, Column]:

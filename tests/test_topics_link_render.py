@@ -79,6 +79,18 @@ def test_links(spark):
 HITS = "bgc string, location string, orf_num int, domain string, q_start int, q_end int"
 
 
+def test_links_of_short_names(spark):
+    """Genera of any length against plain containment: shorter than the grams that meet, empty, and null."""
+    genera = ["a", "Ba", "bac", "Baci", "bacill", "", None, "x", "  "]
+    texts = ["Bacillus sp", "abc", "", "X", "a  b", "ba"]
+    products = spark.createDataFrame([(f"n{k}", g, "sp.") for k, g in enumerate(genera)], "np_id string, genus string, species string")
+    taxonomy = spark.createDataFrame([(f"g{k}", t) for k, t in enumerate(texts)], "bgc string, taxonomy string")
+    wanted = {(f"n{i}", f"g{j}") for i, g in enumerate(genera) for j, t in enumerate(texts) if g is not None and g.lower() in t.lower()}
+    rows = link.link_products(products, taxonomy)
+    assert {(r.np_id, r.bgc) for r in rows.collect()} == wanted
+    assert "NestedLoop" not in rows._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_geometry_and_drawing(spark):
     hits = spark.createDataFrame([("b", "<0;900;+", 1, "A", 10, 110), ("b", "1000;1900;-", 2, "B", 10, 110)], HITS)
     rows = {r.gene_key: (r.start, r.width, r.height) for r in render.hit_geometry(hits).collect()}
