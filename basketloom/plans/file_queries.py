@@ -2,16 +2,55 @@
 
 from __future__ import annotations
 
+import threading
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketloom.functions.genes import genes_text
-from basketloom.operators import filters, modules
-from basketloom.operators.lineage import new_path, numbered
+from basketloom.operators import filters, lineage, modules, render
+from basketloom.operators.lineage import numbered
 from basketloom.sources import clusters, tables
 
 from .adapters import line_hits, order_baskets, table
-from .queries import _known_modules, query
+from .queries import _known_modules
+from .queries import query as registered
+
+
+class _Files(threading.local):
+    """Files that the running query of this thread wrote."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_files = _Files()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    _files.paths.append(lineage.new_path(spark, name))
+    return _files.paths[-1]
+
+
+def query(f):
+    """Registers a query that writes files; its result is read from a checkpoint and the files are deleted.
+
+    Where the session names no folder for checkpoints the result still reads the files, which stay.
+    """
+
+    @registered
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _files.paths = []
+        out = f(spark, sf_dir)
+        if _files.paths and spark.conf.get("spark.checkpoint.dir", None):
+            out = lineage.cut(out)
+            for path in _files.paths:
+                lineage.remove(spark, path)
+        return out
+
+    return run
 
 
 def text_file(lines: DataFrame, *order: str) -> str:
@@ -171,3 +210,14 @@ def detected_blocks(spark, sf_dir):
 def selected_modules(spark, sf_dir):
     """Rows of chosen names; what is chosen is the operator's own parameter."""
     return filters.selected(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), p_brand=["Brand#2", "Brand#17"])
+
+
+@query
+def drawn_modules(spark, sf_dir):
+    """Which modules of a file are drawn for each basket, and in what order: of some families, by clan and family."""
+    part = table(spark, sf_dir, "part").select(F.translate("p_brand", "#", "_").alias("brand"), "p_partkey", "p_size", "p_name")
+    row = tabbed(F.col("p_partkey").cast("string"), F.lit("2\t2\t0.1\t3"), F.translate("p_name", " ", ","), F.col("p_size").cast("string"), (F.col("p_partkey") % 3).cast("string"))
+    head = part.select("brand").distinct().select("brand", F.lit(-1).cast("long").alias("p_partkey"), F.concat(F.lit(">"), "brand").alias("line"))
+    blocks = tables.read_module_blocks(spark, text_file(part.select("brand", "p_partkey", row).unionByName(head), "brand", "p_partkey"), "stat")
+    chosen = render.chosen_modules(blocks, "stat", families=[str(k) for k in range(5, 30)])
+    return chosen.select("bgc", "place", "module", genes_text(F.col("genes")).alias("genes"))

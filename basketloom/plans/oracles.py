@@ -323,3 +323,8 @@ SELECT bgc, status, CAST(n AS INTEGER) AS n,
 FROM f JOIN l USING (s) WHERE status = 'converted'
 UNION ALL SELECT bgc, status, 0, '', '' FROM f WHERE status <> 'converted'
 """
+ORACLES["drawn_modules"] = """
+SELECT replace(p_brand, '#', '_') AS bgc, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 3, p_size, p_partkey) AS INTEGER) AS place,
+       CAST(p_partkey AS VARCHAR) AS module, replace(p_name, ' ', ',') AS genes
+FROM part WHERE p_size BETWEEN 5 AND 29
+"""
