@@ -5,16 +5,17 @@ from __future__ import annotations
 import threading
 from functools import wraps
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketloom.functions.genes import genes_text
-from basketloom.operators import filters, lineage, modules, render
+from basketloom.operators import filters, lineage, modules, render, topic_training, topics
 from basketloom.operators.lineage import numbered
 from basketloom.sources import clusters, tables
 
 from .adapters import line_hits, order_baskets, table
-from .queries import _known_modules
+from .queries import _known_modules, rounded
 from .queries import query as registered
 
 
@@ -221,3 +222,36 @@ def drawn_modules(spark, sf_dir):
     blocks = tables.read_module_blocks(spark, text_file(part.select("brand", "p_partkey", row).unionByName(head), "brand", "p_partkey"), "stat")
     chosen = render.chosen_modules(blocks, "stat", families=[str(k) for k in range(5, 30)])
     return chosen.select("bgc", "place", "module", genes_text(F.col("genes")).alias("genes"))
+
+
+def _table_model(spark: SparkSession, sf_dir: str) -> topics.TopicModel:
+    """A topic for each brand, its terms the names of its parts, saved and loaded again."""
+    brand = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
+    counts = table(spark, sf_dir, "part").groupBy(brand.alias("brand"), F.translate("p_name", " ", ";").alias("gene")).count().collect()  # brands times names
+    brands, genes = sorted({r["brand"] for r in counts}), sorted({r["gene"] for r in counts})
+    weight = np.zeros((len(brands), len(genes)))
+    for r in counts:
+        weight[brands.index(r["brand"]), genes.index(r["gene"])] = r["count"]
+    path = new_path(spark, "model")
+    alpha, eta = topic_training.priors(len(brands), None, None)
+    topics.TopicModel(topic_training.State(genes, weight, alpha, eta, 1, 1)).save(path)
+    return topics.TopicModel.load(path)
+
+
+@query
+def term_topics(spark, sf_dir):
+    """Terms with their chances in the topics of a loaded model."""
+    return rounded(_table_model(spark, sf_dir).term_topics(spark), "prob")
+
+
+@query
+def top_terms(spark, sf_dir):
+    """The ten best terms of each topic of a loaded model."""
+    return _table_model(spark, sf_dir).terms(spark, 10).select("topic", "rank", "gene")
+
+
+@query
+def topic_vocabulary(spark, sf_dir):
+    """Genes that a model of the orders would know: neither rare nor in more than a share of the baskets, most frequent first."""
+    words = topic_training.vocabulary_of(order_baskets(spark, sf_dir), 5, 0.07, 100_000)
+    return spark.createDataFrame(list(enumerate(words)), "place int, gene string")

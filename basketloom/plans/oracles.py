@@ -328,3 +328,15 @@ SELECT replace(p_brand, '#', '_') AS bgc, CAST(row_number() OVER (PARTITION BY p
        CAST(p_partkey AS VARCHAR) AS module, replace(p_name, ' ', ',') AS genes
 FROM part WHERE p_size BETWEEN 5 AND 29
 """
+_BRANDS = """
+WITH n AS (SELECT CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) AS brand, replace(p_name, ' ', ';') AS gene, count(*) AS n FROM part GROUP BY 1, 2),
+t AS (SELECT CAST(dense_rank() OVER (ORDER BY brand) - 1 AS INTEGER) AS topic, gene, n, n * 1.0::DOUBLE / sum(n) OVER (PARTITION BY brand) AS prob FROM n)
+"""
+ORACLES["term_topics"] = _BRANDS + "SELECT gene, topic, round(prob, 6) AS prob FROM t WHERE prob >= 0.001"
+ORACLES["top_terms"] = _BRANDS.rstrip() + """,
+every AS (SELECT topic, gene, coalesce(t.prob, 0) AS prob FROM (SELECT DISTINCT topic FROM t) CROSS JOIN (SELECT DISTINCT gene FROM t) LEFT JOIN t USING (topic, gene)),
+r AS (SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY prob DESC, gene) - 1 AS INTEGER) AS rank, gene FROM every)
+SELECT * FROM r WHERE rank < 10"""
+ORACLES["topic_vocabulary"] = ORDERS.rstrip() + """,
+v AS (SELECT gene, count(DISTINCT bgc_id) AS n FROM genes GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY n DESC, gene) - 1 AS INTEGER) AS place, gene FROM v WHERE n >= 5 AND n <= 0.07 * (SELECT count(*) FROM baskets)"""
