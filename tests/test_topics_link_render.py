@@ -44,6 +44,15 @@ def test_known_overlap(spark):
     assert [r.found for r in topics.known_by_threshold(topics.known_overlap(found, known), known).orderBy("threshold").collect()] == [1, 1, 1, 0, 0, 0, 0]
 
 
+def test_sums_at_a_cutoff(spark):
+    """0.001 + 0.008 is 0.009 and not above it, whatever doubles make of it; so is ten times 0.005 in any order."""
+    features = spark.createDataFrame([(1, "A", 0.001), (1, "B", 0.008), (2, "A", 0.001), (2, "B", 0.0081)], "topic int, gene string, score double")
+    found = spark.createDataFrame([("x", t, 0.5, [("A", 1.0), ("B", 1.0)], 0.0) for t in (1, 2)], SCHEMA)
+    assert [(r.topic, r.overlap_score) for r in topics.filter_matches(found, features, 0.3, 1.1, 0.009).collect()] == [(2, 0.0091)]
+    features = spark.createDataFrame([(1, f"g{k}", x) for k, x in enumerate((0.006, 0.004) * 5)], "topic int, gene string, score double")
+    found = spark.createDataFrame([(str(b), 1, 0.5, [(f"g{k}", 1.0) for k in sorted(range(10), key=lambda k: (k * (b + 3) % 11, k))], 0.0) for b in range(8)], SCHEMA)
+    assert topics.filter_matches(found, features, 0.3, 1.1, 0.05).isEmpty()
+
 def test_topic_model(spark, tmp_path):
     rows = [(f"b{k}", ["A", "B", "C"] if k % 2 else ["X", "Y", "Z"]) for k in range(40)]
     baskets = spark.createDataFrame(rows, "bgc_id string, genes array<string>")
