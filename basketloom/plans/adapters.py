@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketloom.functions.genes import EMPTY
@@ -44,11 +44,11 @@ def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain hits from order lines: intervals and scores from their numbers."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.translate("p_name", " ", "_").alias("domain"))
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *_ORDER).join(part, "l_partkey")
-    rows = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*_ORDER, "domain"))).alias("x")).select("l_orderkey", F.posexplode("x").alias("ord", "x"))
-    start = (F.col("x.l_partkey") % 100).cast("int")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER, "domain"))
+    start = (F.col("l_partkey") % 100).cast("int")
     return rows.select(
-        F.col("l_orderkey").cast("string").alias("cluster_id"), F.col("ord").cast("long").alias("ord"), F.col("x.domain").alias("domain"), F.col("x.l_linenumber").alias("orf_num"),
-        start.alias("q_start"), (start + F.col("x.l_quantity").cast("int")).alias("q_end"), F.col("x.l_extendedprice").alias("bitscore"),
+        F.col("l_orderkey").cast("string").alias("cluster_id"), (place - 1).cast("long").alias("ord"), "domain", F.col("l_linenumber").alias("orf_num"),
+        start.alias("q_start"), (start + F.col("l_quantity").cast("int")).alias("q_end"), F.col("l_extendedprice").alias("bitscore"),
     )
 
 

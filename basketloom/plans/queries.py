@@ -133,8 +133,10 @@ def unreadable_tables(spark, sf_dir):
     bad = (F.col("cluster_id").cast("long") % 50 == 7) & (F.col("ord") == 0)
     score = F.when(bad, F.lit("-")).otherwise(F.format_string("%.2f", "bitscore"))
     line = F.concat_ws(" ", "domain", F.lit("- 1"), head, F.lit("- 1 0 0 0 1 1 0 0"), score, F.lit("0 1 1"), (F.col("q_start") + 1).cast("string"), F.col("q_end").cast("string"), F.lit("1 1 0.9 -"))
-    remark = h.filter("ord = 0").select("cluster_id", F.lit(-1).cast("long").alias("ord"), F.when(F.col("cluster_id").cast("long") % 50 == 8, F.lit("cut off")).otherwise(F.lit("# a remark")).alias("line"))
-    rows = domtable.parse_rows(h.select("cluster_id", "ord", line.alias("line")).unionByName(remark))
+    remark = F.when(F.col("cluster_id").cast("long") % 50 == 8, F.lit("cut off")).otherwise(F.lit("# a remark"))
+    one = F.struct("ord", line.alias("line"))
+    lines = F.when(F.col("ord") == 0, F.array(F.struct(F.lit(-1).cast("long").alias("ord"), remark.alias("line")), one)).otherwise(F.array(one))
+    rows = domtable.parse_rows(h.select("cluster_id", F.inline(lines)))
     return domtable.hits(rows, 0.1).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("hits"))
 
 

@@ -6,7 +6,7 @@ query names a gene: ``<bgc>_gid:<gene>_pid:<protein>_loc:<start>;<end>;<strand>_
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketloom.functions.genes import EMPTY
@@ -14,7 +14,8 @@ from basketloom.operators.overlap import survivors
 
 #: Columns of a line by position: name, place, type.
 COLUMNS = (("domain", 0, "string"), ("query", 3, "string"), ("bitscore", 13, "double"), ("ali_from", 17, "int"), ("ali_to", 18, "int"))
-_QUERY = r"^(.*?)_gid(.*)_([0-9]+)/([0-9]+)$"
+#: How a query ends: the gene's number and how many the table has.
+_PLACE = "^[0-9]+/[0-9]+$"
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -33,20 +34,19 @@ def parse_rows(rows: DataFrame) -> DataFrame:
     return rows.select("cluster_id", "ord", "domain", "query", "bitscore", (F.col("ali_from") - 1).alias("q_start"), F.col("ali_to").alias("q_end"))
 
 
-def _field(part: Column) -> Column:
-    """What follows the last colon."""
-    return F.element_at(F.split(part, ":"), -1)
-
-
 def with_gene(rows: DataFrame) -> DataFrame:
-    """Adds bgc, g_id, p_id, location, orf_num, tot_orf; all null if the query cannot be read."""
-    group = lambda k: F.nullif(F.regexp_extract("query", _QUERY, k), F.lit(""))
+    """Adds bgc, g_id, p_id, location, orf_num, tot_orf; the numbers and bgc are null if the query cannot be read."""
     # A name with "_gid" in it more than once cannot be taken apart for certain.
-    sure = F.size(F.split("query", "_gid")) == 2
-    info = F.split(F.regexp_extract("query", _QUERY, 2), "_")
-    out = rows.withColumn("orf_num", F.when(sure, group(3).cast("int"))).withColumn("tot_orf", F.when(sure, group(4).cast("int")))
-    out = out.withColumn("bgc", F.when(F.col("orf_num").isNotNull(), F.regexp_extract("query", _QUERY, 1)))
-    return out.withColumns({name: F.coalesce(_field(F.get(info, F.lit(k))), F.lit("")) for k, name in enumerate(("g_id", "p_id", "location"))})
+    before, after = F.substring_index("query", "_gid", 1), F.substring_index("query", "_gid", -1)
+    info = F.split(after, "_")
+    place = F.when(F.length(before) + F.length(after) + 4 == F.length("query"), F.substring_index(after, "_", -1))
+    place = F.when(place.rlike(_PLACE) & (F.size(info) > 1), place)
+    # What follows the last colon of each of the first fields; the last field is the place.
+    field = lambda k: F.when(F.size(info) > k + 1, F.substring_index(F.get(info, F.lit(k)), ":", -1))
+    return rows.withColumns({
+        "orf_num": F.substring_index(place, "/", 1).try_cast("int"), "tot_orf": F.substring_index(place, "/", -1).try_cast("int"),
+        "bgc": F.when(place.isNotNull(), before), **{name: F.coalesce(field(k), F.lit("")) for k, name in enumerate(("g_id", "p_id", "location"))},
+    })
 
 
 def hits(rows: DataFrame, max_overlap: float = 0.1) -> DataFrame:
@@ -55,13 +55,14 @@ def hits(rows: DataFrame, max_overlap: float = 0.1) -> DataFrame:
     Of each gene and domain only the first line counts.  Columns: cluster_id, ord, bgc, g_id, p_id, location,
     orf_num, tot_orf, domain, q_start, q_end, bitscore.
     """
-    rows = with_gene(rows)
-    broken = rows.filter("orf_num is null or bitscore is null or q_start is null or q_end is null").select("cluster_id").distinct()
-    rows = rows.join(broken, "cluster_id", "left_anti")
-    keys = ["cluster_id", "query", "domain"]
-    others = [c for c in rows.columns if c not in keys]
-    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), "ord").alias("r")).select(*keys, "r.*")
-    kept = survivors(first, ["cluster_id", "query"], "ord", max_overlap)
+    unread = F.col("orf_num").isNull() | F.col("bitscore").isNull() | F.col("q_start").isNull() | F.col("q_end").isNull()
+    rows = with_gene(rows).select(*rows.columns, unread.alias("_unread"))
+    # One shuffle and one sort serve both windows and the lists of genes; a query is taken apart again where it is left.
+    lines = Window.partitionBy("cluster_id").orderBy("query", "domain", "ord")
+    broken = F.max("_unread").over(lines.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("_broken", broken).withColumn("_nth", F.row_number().over(Window.partitionBy("cluster_id", "query", "domain").orderBy("ord")))
+    first = rows.filter("not _broken and _nth = 1").drop("_unread", "_broken", "_nth")
+    kept = with_gene(survivors(first, ["cluster_id", "query"], "ord", max_overlap))
     return kept.select("cluster_id", "ord", "bgc", "g_id", "p_id", "location", "orf_num", "tot_orf", "domain", "q_start", "q_end", "bitscore")
 
 

@@ -42,6 +42,32 @@ def test_losers_still_beat_others(spark):
     assert sorted(r.ord for r in survivors(rows, ["k"], "ord", 0.1).collect()) == [1, 3]
 
 
+def test_survivors_of_large_groups(spark):
+    """A group of many intervals is compared in parts, against plain pairs; each group is one list, read once."""
+    import random
+
+    from basketloom.operators import overlap
+
+    draw = random.Random(5)
+    rows = [("c" if k < 600 else None, k, a, a + draw.randrange(-1, 30), draw.choice([1.0, 2.0, 3.0, None])) for k, a in ((k, draw.randrange(2000)) for k in range(620))]
+    beaten = set()
+    for i, (_, _, a, b, x) in enumerate(rows[:600]):
+        for j, (_, _, c, d, y) in enumerate(rows[i + 1 : 600], i + 1):
+            if min(b, d) - max(a, c) > min(b - a, d - c) * 0.1:
+                beaten.add(j if x is not None and y is not None and x >= y else i)
+    frame = spark.createDataFrame(rows, "k string, ord int, q_start int, q_end int, bitscore double")
+    found = overlap.survivors(frame, ["k"], "ord", 0.1)
+    assert sorted(r.ord for r in found.collect()) == [k for k in range(620) if k not in beaten] and 0 < len(beaten) < 600
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hits_read_their_lines_once(spark):
+    rows = spark.createDataFrame([("c", k, f"D - 1 c_gid:g_pid:p_loc:1;9;+_{n} - 1 0 0 0 1 1 0 0 5 0 1 1 2 9 1 1 0.9 -") for k, n in enumerate(("1/2", "2/2"))] + [("d", 0, "D - 1 d_gid:_pid:_loc:_99999999999/2 - 1 0 0 0 1 1 0 0 5 0 1 1 2 9 1 1 0.9 -")], "cluster_id string, ord long, line string")
+    found = domtable.hits(domtable.parse_rows(rows))
+    assert sorted(tuple(r) for r in found.collect()) == [("c", k, "c", "g", "p", "1;9;+", k + 1, 2, "D", 1, 9, 5.0) for k in range(2)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 GBK = """LOCUS       TEST 100 bp DNA linear
 FEATURES             Location/Qualifiers
      protocluster    1..100
