@@ -80,7 +80,7 @@ def of_classes(edges: list[tuple[str, str]], nodes: dict[str, Node]) -> dict[str
 
 def clique_members(edges: DataFrame) -> DataFrame:
     """(members): the maximal cliques of edges (u, v), u < v, as sorted arrays."""
-    from .similarity import salted
+    from .similarity import salted, with_held
 
     weighted = edges.select(F.col("u").alias("g1"), F.col("v").alias("g2"), F.lit(0.0).alias("pval"))
     out = cut(directed(weighted).select("u", "v"))
@@ -94,11 +94,10 @@ def clique_members(edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"members": [sorted({u} | c) for c in found]})
 
     found = cut(rows.groupBy("u").applyInPandas(work, "members array<string>"))
-    index = found.select("members", F.explode("members").alias("e"))
-    counts = index.groupBy("e").agg(F.count(F.lit(1)).alias("n"))
-    rarest = index.join(counts, "e").groupBy("members").agg(F.min(F.struct("n", "e"))["e"].alias("e"))
-    small = salted(rarest, index, "e", True, "members").select("e", "salt", "members")
-    large = salted(index, index, "e", False, "members").select("e", "salt", F.col("members").alias("of"))
+    index = with_held(found.select("members", F.explode("members").alias("e")))
+    rarest = index.groupBy("members").agg(F.min(F.struct("held", "e")).alias("x")).select("members", "x.e", "x.held")
+    small = salted(rarest, True, "members").select("e", "salt", "members")
+    large = salted(index, False, "members").select("e", "salt", F.col("members").alias("of"))
     within = small.join(large, ["e", "salt"]).filter((F.size("of") > F.size("members")) & (F.size(F.array_except("members", "of")) == 0))
     return found.join(within.select("members").distinct(), "members", "left_anti")
 

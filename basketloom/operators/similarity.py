@@ -38,20 +38,22 @@ def features(clusters: DataFrame) -> DataFrame:
     return clusters.select("bgc_id", domain_set(F.col("genes")).alias("domains"), adjacent_pairs(F.col("genes")).alias("pairs"))
 
 
-def salted(rows: DataFrame, index: DataFrame, element: str, copied: bool, key: str = "class_id") -> DataFrame:
-    """Adds ``salt``: elements with many rows in the index are dealt to several tasks, and repeated for each on the other side."""
-    counts = index.groupBy(element).agg(F.least(F.lit(SALTS), F.ceil(F.count(F.lit(1)) / PER_SALT)).cast("int").alias("salts")).filter("salts > 1")
-    rows = rows.join(F.broadcast(counts), element, "left")  # an element has PER_SALT rows to be here
-    salts = F.coalesce("salts", F.lit(1))
-    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)) if copied else F.pmod(F.xxhash64(key), salts).cast("int")).drop("salts")
+def salted(rows: DataFrame, copied: bool, key: str = "class_id") -> DataFrame:
+    """Adds ``salt``: elements held by many rows are dealt to several tasks, and repeated for each on the other side."""
+    salts = F.least(F.lit(SALTS), F.ceil(F.col("held") / PER_SALT)).cast("int")
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)) if copied else F.pmod(F.xxhash64(key), salts).cast("int"))
+
+
+def with_held(index: DataFrame) -> DataFrame:
+    """Adds ``held``: how many rows of the index hold the element."""
+    return index.join(index.groupBy("e").agg(F.count(F.lit(1)).alias("held")), "e")
 
 
 def _ranked(sets: DataFrame, column: str) -> DataFrame:
-    """(class_id, e, n, place): the elements of each set with its size, rarest first; places from 0."""
-    index = sets.select("class_id", F.explode(column).alias("e"))
-    counts = index.groupBy("e").agg(F.count(F.lit(1)).alias("held"))
-    by_set = index.join(counts, "e").groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("held", "e"))).alias("es"))
-    return by_set.select("class_id", F.size("es").alias("n"), F.posexplode("es.e").alias("place", "e"))
+    """(class_id, e, held, n, place): the elements of each set with its size, rarest first; places from 0."""
+    index = with_held(sets.select("class_id", F.explode(column).alias("e")))
+    by_set = index.groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("held", "e"))).alias("es"))
+    return by_set.select("class_id", F.size("es").alias("n"), F.posexplode("es").alias("place", "x")).select("class_id", "x.e", "x.held", "n", "place")
 
 
 def _signature(column: str) -> Column:
@@ -61,11 +63,11 @@ def _signature(column: str) -> Column:
 
 def contained_candidates(sets: DataFrame) -> DataFrame:
     """(a, b), a < b: classes of which one may hold the other's domains, met at the rarest domain of the smaller."""
-    sized = sets.filter(F.size("domains") > 0).select("class_id", F.size("domains").alias("n"), _signature("domains").alias("bits"))
-    index = sets.select("class_id", F.explode("domains").alias("e"))
-    rarest = _ranked(sets, "domains").filter("place = 0").select("class_id", "e")
-    small = salted(rarest.join(sized, "class_id"), index, "e", True).select("e", "salt", *(F.col(c).alias(f"a_{c}") for c in sized.columns))
-    large = salted(index.join(sized, "class_id"), index, "e", False).select("e", "salt", *(F.col(c).alias(f"b_{c}") for c in sized.columns))
+    sized = ("class_id", "n", "bits")
+    index = with_held(sets.select("class_id", F.size("domains").alias("n"), _signature("domains").alias("bits"), F.explode("domains").alias("e")))
+    rarest = index.groupBy(*sized).agg(F.min(F.struct("held", "e")).alias("x")).select(*sized, "x.e", "x.held")
+    small = salted(rarest, True).select("e", "salt", *(F.col(c).alias(f"a_{c}") for c in sized))
+    large = salted(index, False).select("e", "salt", *(F.col(c).alias(f"b_{c}") for c in sized))
     smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_class_id") < F.col("b_class_id")))
     met = small.join(large, ["e", "salt"]).filter(smaller & (F.col("a_bits").bitwiseAND(F.bitwise_not(F.col("b_bits"))) == 0))
     return met.select(F.least("a_class_id", "b_class_id").alias("a"), F.greatest("a_class_id", "b_class_id").alias("b"))
@@ -74,8 +76,8 @@ def contained_candidates(sets: DataFrame) -> DataFrame:
 def adjacent_candidates(sets: DataFrame, cutoff: float) -> DataFrame:
     """(a, b), a < b: classes whose adjacency index may exceed the cut-off, met within the prefixes of their pairs."""
     prefix = _ranked(sets, "pairs").filter(F.col("place") < F.col("n") - F.floor(F.col("n") * cutoff - SLACK))
-    one = salted(prefix, prefix, "e", False).select("e", "salt", *(F.col(c).alias(f"a_{c}") for c in ("class_id", "n", "place")))
-    two = salted(prefix, prefix, "e", True).select("e", "salt", *(F.col(c).alias(f"b_{c}") for c in ("class_id", "n", "place")))
+    one = salted(prefix, False).select("e", "salt", *(F.col(c).alias(f"a_{c}") for c in ("class_id", "n", "place")))
+    two = salted(prefix, True).select("e", "salt", *(F.col(c).alias(f"b_{c}") for c in ("class_id", "n", "place")))
     near = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * cutoff - SLACK
     # From the first shared element on, no more is left to share.
     most = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))

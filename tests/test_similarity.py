@@ -85,3 +85,13 @@ def test_components(spark):
         parent[max(root(a), root(b))] = min(root(a), root(b))
     rows = similarity.connected(spark.createDataFrame(edges, "bgc1 string, bgc2 string")).collect()
     assert {r.bgc_id: r.component for r in rows} == {x: root(x) for x in parent}
+
+
+def test_index_is_counted_once(spark):
+    """What meets at an element is dealt by the count that ranked it; sets are read for index and counts only."""
+    from basketloom.operators import similarity
+
+    sets = spark.createDataFrame([("a", ["x"]), ("b", ["x", "y"]), ("c", ["y", "z"])], "class_id string, domains array<string>")
+    found = similarity.contained_candidates(sets)
+    assert [tuple(r) for r in found.collect()] == [("a", "b")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 4
