@@ -49,11 +49,16 @@ def with_held(index: DataFrame) -> DataFrame:
     return index.join(index.groupBy("e").agg(F.count(F.lit(1)).alias("held")), "e")
 
 
-def _ranked(sets: DataFrame, column: str) -> DataFrame:
-    """(class_id, e, held, n, place): the elements of each set with its size, rarest first; places from 0."""
-    index = with_held(sets.select("class_id", F.explode(column).alias("e")))
-    by_set = index.groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("held", "e"))).alias("es"))
-    return by_set.select("class_id", F.size("es").alias("n"), F.posexplode("es").alias("place", "x")).select("class_id", "x.e", "x.held", "n", "place")
+def _shared(sets: DataFrame, column: str) -> DataFrame:
+    """(class_id, e, held, n, place): those elements of each set that other sets hold too, with its size, rarest first.
+
+    Places count from 0 over all elements; those of one set alone come first.
+    """
+    index = sets.select("class_id", F.size(column).alias("n"), F.explode(F.transform(column, lambda x: F.xxhash64(x))).alias("e"))
+    often = index.groupBy("e").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    by_set = index.join(often, "e").groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("held", "e"))).alias("es"))
+    rows = by_set.select("class_id", "n", (F.col("n") - F.size("es")).alias("own"), F.posexplode("es").alias("k", "x"))
+    return rows.select("class_id", "x.e", "x.held", "n", (F.col("own") + F.col("k")).alias("place"))
 
 
 def _signature(column: str) -> Column:
@@ -64,7 +69,8 @@ def _signature(column: str) -> Column:
 def contained_candidates(sets: DataFrame) -> DataFrame:
     """(a, b), a < b: classes of which one may hold the other's domains, met at the rarest domain of the smaller."""
     sized = ("class_id", "n", "bits")
-    index = with_held(sets.select("class_id", F.size("domains").alias("n"), _signature("domains").alias("bits"), F.explode("domains").alias("e")))
+    hashed = sets.select("class_id", F.transform("domains", lambda x: F.xxhash64(x)).alias("domains"))
+    index = with_held(hashed.select("class_id", F.size("domains").alias("n"), _signature("domains").alias("bits"), F.explode("domains").alias("e")))
     rarest = index.groupBy(*sized).agg(F.min(F.struct("held", "e")).alias("x")).select(*sized, "x.e", "x.held")
     small = salted(rarest, True).select("e", "salt", *(F.col(c).alias(f"a_{c}") for c in sized))
     large = salted(index, False).select("e", "salt", *(F.col(c).alias(f"b_{c}") for c in sized))
@@ -75,7 +81,7 @@ def contained_candidates(sets: DataFrame) -> DataFrame:
 
 def adjacent_candidates(sets: DataFrame, cutoff: float) -> DataFrame:
     """(a, b), a < b: classes whose adjacency index may exceed the cut-off, met within the prefixes of their pairs."""
-    prefix = _ranked(sets, "pairs").filter(F.col("place") < F.col("n") - F.floor(F.col("n") * cutoff - SLACK))
+    prefix = _shared(sets, "pairs").filter(F.col("place") < F.col("n") - F.floor(F.col("n") * cutoff - SLACK))
     one = salted(prefix, False).select("e", "salt", *(F.col(c).alias(f"a_{c}") for c in ("class_id", "n", "place")))
     two = salted(prefix, True).select("e", "salt", *(F.col(c).alias(f"b_{c}") for c in ("class_id", "n", "place")))
     near = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * cutoff - SLACK
@@ -131,10 +137,9 @@ class Links:
 def links(clusters: DataFrame, cutoff: float | None = 0.95, contained: bool = True) -> Links:
     """Links of baskets; no cut-off leaves the adjacency index out, ``contained`` false leaves containment out."""
     key = lambda c: F.md5(F.array_join(F.sort_array(c), "\x1f"))
-    rows = features(clusters).withColumn("key", F.concat(key("domains"), key("pairs")))
-    sets = rows.groupBy("key").agg(F.min("bgc_id").alias("class_id"), F.count_distinct("bgc_id").alias("size"), F.first("domains").alias("domains"), F.first("pairs").alias("pairs"))
-    sets = cut(sets)
-    members = rows.select("bgc_id", "key").distinct().join(sets.select("key", "class_id"), "key").select("bgc_id", "class_id")
+    rows = cut(features(clusters).withColumn("key", F.concat(key("domains"), key("pairs"))))
+    sets = cut(rows.groupBy("key").agg(F.min("bgc_id").alias("class_id"), F.first("domains").alias("domains"), F.first("pairs").alias("pairs")))
+    members = cut(rows.select("bgc_id", "key").distinct().join(sets.select("key", "class_id"), "key").select("bgc_id", "class_id"))
     candidates = [contained_candidates(sets)] if contained else []
     if cutoff is not None:
         candidates.append(adjacent_candidates(sets, cutoff))
@@ -146,10 +151,11 @@ def links(clusters: DataFrame, cutoff: float | None = 0.95, contained: bool = Tr
         every = sets.filter(F.size("domains") > 0).select(F.col("class_id").alias("y")).join(F.broadcast(none))
         edges = edges.unionByName(every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(0.0).alias("ai"), F.lit(True).alias("contained")))
     alike = F.when(F.size("pairs") > 0, F.lit(1.0)).otherwise(0.0).alias("ai")
-    classes = sets.select("class_id", "size", alike, F.lit(contained).alias("contained"))
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))
+    classes = sizes.join(sets.select("class_id", alike), "class_id").select("class_id", "size", "ai", F.lit(contained).alias("contained"))
     if not contained:
         classes = classes.withColumn("size", F.when(F.col("ai") > cutoff, F.col("size")).otherwise(1)).withColumn("contained", F.lit(True))
-    return Links(cut(members), classes, cut(edges))
+    return Links(members, classes, cut(edges))
 
 
 def pair_measures(clusters: DataFrame) -> DataFrame:

@@ -95,3 +95,23 @@ def test_index_is_counted_once(spark):
     found = similarity.contained_candidates(sets)
     assert [tuple(r) for r in found.collect()] == [("a", "b")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 4
+
+
+def test_baskets_are_worked_out_once(spark):
+    """Sets and members come from one evaluation; pairs that no other set holds are in no index."""
+    from basketloom.operators import similarity
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    baskets = frame(spark, {"a": ["A", "B", "C"], "b": ["A", "B"], "c": ["Q"], "d": ["A", "B"], "e": ["-"]})
+    found = similarity.links(baskets.mapInPandas(count, baskets.schema), 0.3)
+    assert sorted((r.bgc1, r.bgc2) for r in found.pairs().collect() if "e" not in (r.bgc1, r.bgc2)) == [("a", "b"), ("a", "d"), ("b", "d")]
+    assert {r.class_id: r["size"] for r in found.classes.collect()} == {"a": 1, "b": 2, "c": 1, "e": 1}
+    assert seen.value == 5
+    sets = spark.createDataFrame([("a", ["p", "q", "r"]), ("b", ["r", "s"]), ("c", ["t"])], "class_id string, pairs array<string>")
+    assert sorted((r.class_id, r.n, r.held, r.place) for r in similarity._shared(sets, "pairs").collect()) == [("a", 3, 2, 2), ("b", 2, 2, 1)]
