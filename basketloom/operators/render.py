@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import colorsys
 from collections.abc import Iterator
+from functools import lru_cache
 from html import escape
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,14 +48,21 @@ def contour_of(rgb: tuple[int, int, int]) -> tuple[int, int, int]:
     return tuple(int(c * 255) for c in colorsys.hsv_to_rgb(h, s, 0.8 * v))
 
 
+@lru_cache(maxsize=1 << 10)
+def _heights(y: float, height: float) -> tuple[str, ...]:
+    """An arrow's heights: of its shaft, of its head, and of its tip."""
+    return tuple(f"{v:.1f}" for v in (y, y + height, y - height / 4, y + height + height / 4, y + height / 2))
+
+
 def arrow(x: float, y: float, width: float, height: float, strand: str, fill: str, line: str, title: str) -> str:
     """An arrow of a gene; short genes are all head."""
     head = min(width, height / 2)
-    right = strand == "+"
-    base, tip = (x + width - head, x + width) if right else (x + head, x)
-    back = x if right else x + width
-    corners = [(back, y), (base, y), (base, y - height / 4), (tip, y + height / 2), (base, y + height + height / 4), (base, y + height), (back, y + height)]
-    points = " ".join(f"{a:.1f},{b:.1f}" for a, b in corners)
+    if strand == "+":
+        back, base, tip = f"{x:.1f}", f"{x + width - head:.1f}", f"{x + width:.1f}"
+    else:
+        back, base, tip = f"{x + width:.1f}", f"{x + head:.1f}", f"{x:.1f}"
+    top, bottom, above, below, middle = _heights(y, height)
+    points = f"{back},{top} {base},{top} {base},{above} {tip},{middle} {base},{below} {base},{bottom} {back},{bottom}"
     return f'<polygon points="{points}" fill="{fill}" stroke="{line}"><title>{escape(title)}</title></polygon>'
 
 
@@ -60,22 +70,56 @@ def _rgb(c: tuple[int, int, int]) -> str:
     return f"rgb({c[0]},{c[1]},{c[2]})"
 
 
+@lru_cache(maxsize=1 << 16)
+def _look(domain: str, rgb: tuple[int, int, int] | None) -> str:
+    """Colours and title of a domain; by its name without a colour of its own."""
+    rgb = rgb or colour_of(domain)
+    return f'fill="{_rgb(rgb)}" stroke="{_rgb(contour_of(rgb))}"><title>{escape(domain)}</title></rect>'
+
+
+_FIRST_TWO = itemgetter(0, 1)
+
+
+def _svg(genes: list[tuple], marked: set[str] | None, colours: dict[str, tuple[int, int, int]]) -> str:
+    """``svg`` of genes (start, gene_key, end, strand, gene, domains) with domains (start, domain, width, height)."""
+    left, right = min((g[0] for g in genes), default=0), max((g[2] for g in genes), default=0)
+    width = (right - left) / SCALING
+    parts = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width + 2 * MARGIN:.0f}" height="{2 * HEIGHT}">', f'<line x1="0" y1="{HEIGHT}" x2="{width:.1f}" y2="{HEIGHT}" stroke="black"/>']
+    for start, key, end, strand, gene, domains in sorted(genes, key=_FIRST_TWO):
+        x, shown = (start - left) / SCALING, marked is None or gene in marked
+        parts.append(arrow(x, HEIGHT / 2, (end - start) / SCALING, HEIGHT, strand, "rgb(220,220,220)" if shown else "white", "black", f"{key} {gene}"))
+        for at, domain, wide, high in sorted(domains, key=_FIRST_TWO) if shown else ():
+            parts.append(f'<rect x="{x + at:.1f}" y="{HEIGHT / 2 + MARGIN}" width="{wide}" height="{high}" {_look(domain, colours.get(domain))}')
+    return "\n".join([*parts, "</svg>"])
+
+
 def svg(genes: list, marked: set[str] | None = None, colours: dict[str, tuple[int, int, int]] | None = None) -> str:
     """SVG text of one basket; only genes in ``marked`` (gene strings) are filled, all if None.
 
     A gene has start, end, strand, gene_key, gene and ``domains`` (start, width, height, domain).
     """
-    colours = colours or {}
-    left, right = min((g["start"] for g in genes), default=0), max((g["end"] for g in genes), default=0)
-    width = (right - left) / SCALING
-    parts = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width + 2 * MARGIN:.0f}" height="{2 * HEIGHT}">', f'<line x1="0" y1="{HEIGHT}" x2="{width:.1f}" y2="{HEIGHT}" stroke="black"/>']
-    for g in sorted(genes, key=lambda g: (g["start"], g["gene_key"])):
-        x, shown = (g["start"] - left) / SCALING, marked is None or g["gene"] in marked
-        parts.append(arrow(x, HEIGHT / 2, (g["end"] - g["start"]) / SCALING, HEIGHT, g["strand"], "rgb(220,220,220)" if shown else "white", "black", f"{g['gene_key']} {g['gene']}"))
-        for d in sorted(g["domains"], key=lambda d: (d["start"], d["domain"])) if shown else ():
-            fill = colours.get(d["domain"]) or colour_of(d["domain"])
-            parts.append(f'<rect x="{x + d["start"]:.1f}" y="{HEIGHT / 2 + MARGIN}" width="{d["width"]}" height="{d["height"]}" fill="{_rgb(fill)}" stroke="{_rgb(contour_of(fill))}"><title>{escape(d["domain"])}</title></rect>')
-    return "\n".join([*parts, "</svg>"])
+    rows = [(g["start"], g["gene_key"], g["end"], g["strand"], g["gene"], [(d["start"], d["domain"], d["width"], d["height"]) for d in g["domains"]]) for g in genes]
+    return _svg(rows, marked, colours or {})
+
+
+def _lists(column: pa.Array, rows: list) -> list[list]:
+    """Values of a list column, given those of its flat array."""
+    ends = np.asarray(column.offsets) - column.offsets[0].as_py()
+    return [rows[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _tuples(structs: pa.Array, names: tuple[str, ...], **known: list) -> list[tuple]:
+    """The named fields of structs, one tuple each."""
+    fields = dict(zip((f.name for f in structs.type), structs.flatten()))
+    return list(zip(*(known.get(n) or fields[n].to_pylist() for n in names)))
+
+
+def genes_of(column: pa.Array) -> list[list[tuple]]:
+    """Lists of genes, as ``_svg`` takes them, of a column of lists of structs without nulls; read field by field."""
+    flat = column.flatten()
+    domains = dict(zip((f.name for f in flat.type), flat.flatten()))["domains"]
+    held = _lists(domains, _tuples(domains.flatten(), ("start", "domain", "width", "height")))
+    return _lists(column, _tuples(flat, ("start", "gene_key", "end", "strand", "gene", "domains"), domains=held))
 
 
 #: Places of family and clan among the columns of a module that do not hold its genes.
@@ -110,7 +154,8 @@ def _drawable(hits: DataFrame) -> DataFrame:
     place = F.split(F.regexp_replace("location", "[<>]", ""), ";")
     drawn = hit_geometry(hits.withColumn("_all", F.struct(*hits.columns)), keep=("_all",)).select("_all.*", "gene_key", F.struct("domain", "start", "width", "height").alias("d"))
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("q_start", "domain"))), lambda x: x["domain"]), ";")
-    genes = drawn.groupBy("bgc", "gene_key", "location").agg(names.alias("gene"), F.collect_list("d").alias("domains"))
+    # Genes and baskets are gathered where a basket's hits are.
+    genes = drawn.repartition("bgc").groupBy("bgc", "gene_key", "location").agg(names.alias("gene"), F.collect_list("d").alias("domains"))
     one = F.struct("gene_key", "gene", "domains", place[0].cast("double").alias("start"), place[1].cast("double").alias("end"), place[2].alias("strand"))
     return genes.groupBy("bgc").agg(F.collect_list(one).alias("genes"))
 
@@ -121,8 +166,8 @@ def _drawn(rows: DataFrame, keep: tuple[str, ...], colours: dict[str, tuple[int,
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r = batch.to_pydict()
-            texts = [svg(g, None if m is None else set(m), colours) for g, m in zip(r["genes"], r["marked"])]
+            marked = batch.column("marked").to_pylist()
+            texts = [_svg(g, None if m is None else set(m), colours or {}) for g, m in zip(genes_of(batch.column("genes")), marked)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "svg"])
 
     return rows.select(*keep, "genes", "marked").mapInArrow(draw, ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()) + ", svg string")

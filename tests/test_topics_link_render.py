@@ -144,3 +144,12 @@ def test_pipeline_and_command_line(spark, tmp_path):
         pass
     else:
         raise AssertionError("a run without input must be refused")
+
+
+def test_hits_are_gathered_once(spark):
+    """Genes and baskets from one shuffle; columns of genes are read like lists of genes."""
+    hits = spark.createDataFrame([("b", k, f"{k * 1000};{k * 1000 + 900};{'+-'[k % 2]}", d, 3 * k, 3 * k + 9) for k in range(5) for d in ("x", "y<")], "bgc string, orf_num int, location string, domain string, q_start int, q_end int")
+    drawn = render.render(hits)
+    assert drawn._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    genes = [{"gene_key": f"b_{k}", "gene": "x;y<", "start": k * 1000.0, "end": k * 1000 + 900.0, "strand": "+-"[k % 2], "domains": [{"domain": d, "start": int((3 * 3 * k if k % 2 == 0 else 900 - 9 * k - 27) / 30), "width": 0, "height": 24} for d in ("x", "y<")]} for k in range(5)]
+    assert [r.svg for r in drawn.collect()] == [render.svg(genes)]
