@@ -19,8 +19,18 @@ from pyspark.sql import functions as F
 RECORDS = "bgc string, status string, n int, header string, sequence string"
 
 
+#: A location of one part without open ends.
+_PLAIN = re.compile(r"(\d+)\.\.(\d+)|complement\((\d+)\.\.(\d+)\)")
+_UNINDENTED = re.compile(r"^\S", re.M)
+_NOT_IN_HEADERS = str.maketrans("", "", "<> ")
+
+
 def parse_location(text: str) -> tuple[str, str, str]:
     """(start, end, strand): 0-based start, exclusive end; strand ``+`` only if every part lies on it."""
+    plain = _PLAIN.fullmatch(text)
+    if plain:
+        first, last, back_first, back_last = plain.groups()
+        return (str(int(first) - 1), str(int(last)), "+") if first else (str(int(back_first) - 1), str(int(back_last)), "-")
     text = re.sub(r"\s+", "", text)
     ends, strands = [], []
     for at in re.finditer(r"([<>]?\d+)(?:(?:\.\.|\^)([<>]?\d+))?", re.sub(r"[\w.]+:", "", text)):
@@ -48,28 +58,32 @@ def parse_features(text: str) -> list[tuple[str, str, dict[str, str]]]:
     record = text.split("\n//", 1)[0]
     if not record.lstrip().startswith("LOCUS"):
         raise ValueError("not a GenBank record")
-    table = re.search(r"^FEATURES.*?\n(.*?)(?=^\S|\Z)", record, re.M | re.S)
+    head = re.search(r"^FEATURES[^\n]*\n", record, re.M)
+    end = head and _UNINDENTED.search(record, head.end())
+    table = record[head.end() : end.start() if end else len(record)] if head else ""
     out: list[tuple[str, str, dict[str, str]]] = []
-    for part in re.split(r"\n(?=     \S)", "\n" + (table[1] if table else ""))[1:]:
-        lines = part.split("\n")
-        kind, _, rest = lines[0].strip().partition(" ")
-        body = [rest.strip(), *(line.strip() for line in lines[1:] if line.strip())]
-        at = next((k for k, line in enumerate(body) if line.startswith("/")), len(body))
+    for part in re.split(r"\n(?=     \S)", "\n" + table)[1:]:
+        lines = [line.strip() for line in part.split("\n")]
+        kind, _, rest = lines[0].partition(" ")
+        body = [rest.strip(), *filter(None, lines[1:])]
+        at = 0
+        while at < len(body) and body[at][:1] != "/":
+            at += 1
         values: dict[str, str] = {}
-        name, held = "", []
-        def close() -> None:
-            if name:
-                joined = ("" if name == "translation" else " ").join(held)
-                values.setdefault(name, joined[1:-1].replace('""', '"') if joined[:1] == '"' else joined)
+        found: list[tuple[str, list[str]]] = []
+        quoted = False  # and not closed yet
         for line in body[at:]:
-            quoted = held and held[0][:1] == '"' and not (held[-1].endswith('"') and (len(held) > 1 or len(held[0]) > 1))
-            if line.startswith("/") and not quoted:
-                close()
+            if line[0] == "/" and not quoted:
                 name, _, value = line[1:].partition("=")
-                held = [value]
+                found.append((name, [value]))
+                quoted = value[:1] == '"' and (len(value) == 1 or value[-1] != '"')
             else:
-                held.append(line)
-        close()
+                found[-1][1].append(line)
+                quoted = found[-1][1][0][:1] == '"' and line[-1] != '"'
+        for name, held in found:
+            if name and name not in values:
+                joined = held[0] if len(held) == 1 else ("" if name == "translation" else " ").join(held)
+                values[name] = joined[1:-1].replace('""', '"') if joined[:1] == '"' else joined
         out.append((kind, "".join(body[:at]), values))
     return out
 
@@ -85,9 +99,9 @@ def records(name: str, text: str, include_edge: bool = False, exclude: tuple[str
             if kind == "protocluster" and not include_edge and values.get("contig_edge") == "True":
                 return "filtered", []
             if kind == "CDS":
-                gene, protein = (values.get(k, "").replace("_", "-") for k in ("gene", "protein_id"))
+                gene, protein = values.get("gene", "").replace("_", "-"), values.get("protein_id", "").replace("_", "-")
                 head = f"{name}_gid:{gene}_pid:{protein}_loc:{';'.join(parse_location(location))}_{len(found) + 1}"
-                found.append((re.sub(r"[<> ]", "", head), values.get("translation", "")))
+                found.append((head.translate(_NOT_IN_HEADERS), values.get("translation", "")))
     except ValueError:
         return "failed", []
     return "converted", [(f">{head}/{len(found)}", sequence) for head, sequence in found]

@@ -169,3 +169,14 @@ def test_lines_follow_the_files(spark, tmp_path, sizes):
     from pyspark.sql import functions as F
 
     assert [r.header for r in carried_header(found, F.col("line").startswith("#")).orderBy("ord").collect()] == heads
+
+
+def test_plain_locations_and_features():
+    """Locations of one part take a short way, with the result of the long one; values go on over lines until their quote."""
+    from basketloom.sources import genbank
+
+    for text in ("3..9", "complement(3..9)"):
+        assert genbank._PLAIN.fullmatch(text) and genbank.parse_location(text) == genbank.parse_location(text + " ") == ("2", "9", "-" if "c" in text else "+")
+    assert not any(genbank._PLAIN.fullmatch(t) for t in ("<3..9", "join(1..2,4..9)", "complement(3..9", "3^4", "7"))
+    text = "LOCUS x\nFEATURES  q\n     CDS             complement(3..9)\n" + "".join(" " * 21 + q + "\n" for q in ('/note="a', "/b", 'c""d"', "/translation=\"MK", 'LL"', "/pseudo", '/note="second"')) + "ORIGIN\n     CDS  1..2\n//\n"
+    assert genbank.parse_features(text) == [("CDS", "complement(3..9)", {"note": 'a /b c"d', "translation": "MKLL", "pseudo": ""})]
