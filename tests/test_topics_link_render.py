@@ -100,6 +100,21 @@ def test_links_of_short_names(spark):
     assert "NestedLoop" not in rows._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_links_of_one_text_are_dealt(spark, monkeypatch):
+    """Products and baskets of a single text are the work of several tasks; nulls and repeated rows stay."""
+    from collections import Counter
+
+    for name, most in (("BLOCK", 8), ("PRODUCTS", 10), ("BLOCKS", 2)):
+        monkeypatch.setattr(link, name, most, raising=False)
+    products = [(f"n{k}", "Strepto", "albus") for k in range(60)] + [("n0", "Strepto", "albus"), (None, "Strepto", "x"), ("other", "Bacillus", "x"), ("empty", "Strepto", ""), ("null", "Strepto", None)]
+    baskets = [(f"g{k}", "Strepto albus") for k in range(150)] + [("g0", "Strepto albus"), (None, "Strepto albus"), ("h", None), ("i", "Nothing")]
+    rows = link.link_products(spark.createDataFrame(products, "np_id string, genus string, species string"), spark.createDataFrame(baskets, "bgc string, taxonomy string"))
+    wanted = Counter((n, b, "genus" if s == "x" else "exact") for n, g, s in products for b, t in baskets if g in (t or ""))
+    assert Counter((r.np_id, r.bgc, r.level) for r in rows.collect()) == wanted
+    sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(sizes) == sum(wanted.values()) and max(sizes) < sum(sizes) / 3
+
+
 def test_geometry_and_drawing(spark):
     hits = spark.createDataFrame([("b", "<0;900;+", 1, "A", 10, 110), ("b", "1000;1900;-", 2, "B", 10, 110)], HITS)
     rows = {r.gene_key: (r.start, r.width, r.height) for r in render.hit_geometry(hits).collect()}
