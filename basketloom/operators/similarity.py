@@ -93,10 +93,12 @@ def adjacent_candidates(sets: DataFrame, cutoff: float) -> DataFrame:
 
 
 def _measured(sets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(a, b, ai, contained) of pairs of classes, from their whole sets."""
-    side = lambda k: sets.select(*(F.col(c).alias(n) for c, n in (("class_id", k), ("domains", f"{k}_d"), ("pairs", f"{k}_p"))))
+    """(a, b, ai, contained) of pairs of classes, from their whole sets; without pairs ``ai`` is null."""
+    known = [c for c in (("class_id", ""), ("domains", "_d"), ("pairs", "_p")) if c[0] in sets.columns]
+    side = lambda k: sets.select(*(F.col(c).alias(k + n) for c, n in known))
     rows = candidates.join(side("a"), "a").join(side("b"), "b")
-    return rows.select("a", "b", adjacency_index(F.col("a_p"), F.col("b_p")).alias("ai"), contains_either(F.col("a_d"), F.col("b_d")).alias("contained"))
+    ai = adjacency_index(F.col("a_p"), F.col("b_p")) if "pairs" in sets.columns else F.lit(None).cast("double")
+    return rows.select("a", "b", ai.alias("ai"), contains_either(F.col("a_d"), F.col("b_d")).alias("contained"))
 
 
 @dataclass(frozen=True)
@@ -135,10 +137,14 @@ class Links:
 
 
 def links(clusters: DataFrame, cutoff: float | None = 0.95, contained: bool = True) -> Links:
-    """Links of baskets; no cut-off leaves the adjacency index out, ``contained`` false leaves containment out."""
+    """Links of baskets; no cut-off leaves the adjacency index out, ``contained`` false leaves containment out.
+
+    Without the index, classes are of baskets with the same domains, no pair is worked out, and ``ai`` is null.
+    """
+    of = ("domains",) if cutoff is None else ("domains", "pairs")
     key = lambda c: F.md5(F.array_join(F.sort_array(c), "\x1f"))
-    rows = cut(features(clusters).withColumn("key", F.concat(key("domains"), key("pairs"))))
-    sets = cut(rows.groupBy("key").agg(F.min("bgc_id").alias("class_id"), F.first("domains").alias("domains"), F.first("pairs").alias("pairs")))
+    rows = cut(features(clusters).select("bgc_id", *of, F.concat(*map(key, of)).alias("key")))
+    sets = cut(rows.groupBy("key").agg(F.min("bgc_id").alias("class_id"), *(F.first(c).alias(c) for c in of)))
     members = cut(rows.select("bgc_id", "key").distinct().join(sets.select("key", "class_id"), "key").select("bgc_id", "class_id"))
     candidates = [contained_candidates(sets)] if contained else []
     if cutoff is not None:
@@ -149,10 +155,10 @@ def links(clusters: DataFrame, cutoff: float | None = 0.95, contained: bool = Tr
     if contained:
         none = sets.filter(F.size("domains") == 0).select(F.col("class_id").alias("x"))  # one row at most
         every = sets.filter(F.size("domains") > 0).select(F.col("class_id").alias("y")).join(F.broadcast(none))
-        edges = edges.unionByName(every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(0.0).alias("ai"), F.lit(True).alias("contained")))
-    alike = F.when(F.size("pairs") > 0, F.lit(1.0)).otherwise(0.0).alias("ai")
+        edges = edges.unionByName(every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(None if cutoff is None else 0.0).cast("double").alias("ai"), F.lit(True).alias("contained")))
+    alike = F.lit(None).cast("double") if cutoff is None else F.when(F.size("pairs") > 0, F.lit(1.0)).otherwise(0.0)
     sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))
-    classes = sizes.join(sets.select("class_id", alike), "class_id").select("class_id", "size", "ai", F.lit(contained).alias("contained"))
+    classes = sizes.join(sets.select("class_id", alike.alias("ai")), "class_id").select("class_id", "size", "ai", F.lit(contained).alias("contained"))
     if not contained:
         classes = classes.withColumn("size", F.when(F.col("ai") > cutoff, F.col("size")).otherwise(1)).withColumn("contained", F.lit(True))
     return Links(members, classes, cut(edges))

@@ -115,3 +115,12 @@ def test_baskets_are_worked_out_once(spark):
     assert seen.value == 5
     sets = spark.createDataFrame([("a", ["p", "q", "r"]), ("b", ["r", "s"]), ("c", ["t"])], "class_id string, pairs array<string>")
     assert sorted((r.class_id, r.n, r.held, r.place) for r in similarity._shared(sets, "pairs").collect()) == [("a", 3, 2, 2), ("b", 2, 2, 1)]
+
+
+def test_containment_alone_works_out_no_pairs(spark):
+    """Without a cut-off, baskets of the same domains are one class in whatever order, and the index is null."""
+    baskets = {"a": ["A", "B", "C"], "b": ["B", "A", "C"], "c": ["A;B"], "d": ["C", "X"], "e": ["-"], "f": ["Q"]}
+    found = similarity.links(frame(spark, baskets), None)
+    assert {r.class_id: r["size"] for r in found.classes.collect()} == {"a": 2, "c": 1, "d": 1, "e": 1, "f": 1}
+    wanted = {pair for pair, (_, contained) in brute(baskets).items() if contained}
+    assert {(r.bgc1, r.bgc2, r.ai, r.contained) for r in found.pairs().collect()} == {(*pair, None, True) for pair in wanted}
