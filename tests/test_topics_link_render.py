@@ -44,6 +44,23 @@ def test_known_overlap(spark):
     assert [r.found for r in topics.known_by_threshold(topics.known_overlap(found, known), known).orderBy("threshold").collect()] == [1, 1, 1, 0, 0, 0, 0]
 
 
+def test_known_groups_one_by_one(spark):
+    """Groups of one name are compared each by itself; copies of groups and matches meet as one; the best overlaps need no rows of matches."""
+    found = spark.createDataFrame([("x", 1, 0.9, [("A", 1.0), ("C", 2.0)], 0.8), ("y", 2, 0.2, [("B", 1.0)], 0.5)], SCHEMA)
+    known = spark.createDataFrame([("k", ["A", "B"]), ("k", ["C", "D"]), ("m", ["C", "C", "Z"])], "group string, genes array<string>")
+    rows = sorted((r.group, r.bgc_id, r.overlap, r.n_overlap, r.genes, r.other_genes) for r in topics.known_overlap(found, known).collect())
+    assert rows == [("k", "x", 0.5, 1, "A:1.00", "C:2.00"), ("k", "x", 0.5, 1, "C:2.00", "A:1.00"), ("k", "y", 0.5, 1, "B:1.00", ""), ("m", "x", 0.667, 2, "C:2.00", "A:1.00")]
+    many = spark.createDataFrame([(f"x{k}", k, 0.9, [("A", 1.0), ("B", 1.0)], 0.8) for k in range(300)], SCHEMA)
+    alike = spark.createDataFrame([(f"k{k}", ["B", "A", "-"]) for k in range(300)], "group string, genes array<string>")
+    assert topics.known_overlap(many, alike).groupBy("overlap", "n_overlap").count().collect() == [(1.0, 2, 90_000)]
+    one = topics._in_blocks(many.select("bgc_id", "feats"), "feats").withColumnRenamed("held", "matches")
+    two = topics._in_blocks(topics._groups(alike), "members", "size").withColumnRenamed("held", "groups")
+    assert topics._met(two, one, 0.4).count() <= 16
+    best = {(r.group, r.overlap) for r in topics.best_overlaps(found, known).collect()}
+    assert best == {("k", 0.5), ("m", 0.667)}
+    assert {tuple(r) for r in topics.known_by_threshold(topics.best_overlaps(many, alike), alike).collect()} == {(t, 300) for t in (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)}
+
+
 def test_sums_at_a_cutoff(spark):
     """0.001 + 0.008 is 0.009 and not above it, whatever doubles make of it; so is ten times 0.005 in any order."""
     features = spark.createDataFrame([(1, "A", 0.001), (1, "B", 0.008), (2, "A", 0.001), (2, "B", 0.0081)], "topic int, gene string, score double")
