@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from basketloom.functions.genes import adjacency_index, adjacent_pairs, contains_either, domain_set
 
 from .cliques import maximal_cliques
-from .lineage import cut
+from .lineage import cut, drop
 
 #: Index rows of an element that one task may hold, and tasks that it is dealt to at most.
 PER_SALT, SALTS = 50_000, 64
@@ -142,13 +142,16 @@ def links(clusters: DataFrame, cutoff: float | None = 0.95, contained: bool = Tr
     Without the index, classes are of baskets with the same domains, no pair is worked out, and ``ai`` is null.
     """
     of = ("domains",) if cutoff is None else ("domains", "pairs")
-    key = lambda c: F.md5(F.array_join(F.sort_array(c), "\x1f"))
-    rows = cut(features(clusters).select("bgc_id", *of, F.concat(*map(key, of)).alias("key")))
-    sets = cut(rows.groupBy("key").agg(F.min("bgc_id").alias("class_id"), *(F.first(c).alias(c) for c in of)))
-    members = cut(rows.select("bgc_id", "key").distinct().join(sets.select("key", "class_id"), "key").select("bgc_id", "class_id"))
-    candidates = [contained_candidates(sets)] if contained else []
+    key = F.md5(F.concat(*(F.md5(F.array_join(F.sort_array(c), "\x1f")) for c in of)))
+    rows = cut(features(clusters).select("bgc_id", *of, F.unhex(key).alias("key")))
+    # Each step is a table of its own, whose shuffle files are gone before the next begins.
+    keyed = cut(rows.groupBy("key").agg(F.min("bgc_id").alias("class_id"), *(F.first(c).alias(c) for c in of)))
+    members = cut(rows.select("key", "bgc_id").join(keyed.select("key", "class_id"), "key").select("key", "bgc_id", "class_id").distinct().select("bgc_id", "class_id"))
+    drop(rows)
+    sets = keyed.drop("key")
+    candidates = [cut(contained_candidates(sets))] if contained else []
     if cutoff is not None:
-        candidates.append(adjacent_candidates(sets, cutoff))
+        candidates.append(cut(adjacent_candidates(sets, cutoff)))
     found = candidates[0] if len(candidates) == 1 else candidates[0].union(candidates[1]).distinct()
     by_index = F.col("ai") > (2.0 if cutoff is None else cutoff)
     edges = _measured(sets, found).filter((F.col("contained") & F.lit(contained)) | by_index)
@@ -161,7 +164,10 @@ def links(clusters: DataFrame, cutoff: float | None = 0.95, contained: bool = Tr
     classes = sizes.join(sets.select("class_id", alike.alias("ai")), "class_id").select("class_id", "size", "ai", F.lit(contained).alias("contained"))
     if not contained:
         classes = classes.withColumn("size", F.when(F.col("ai") > cutoff, F.col("size")).otherwise(1)).withColumn("contained", F.lit(True))
-    return Links(members, classes, cut(edges))
+    edges = cut(edges)
+    for table in candidates:
+        drop(table)
+    return Links(members, classes, edges)
 
 
 def pair_measures(clusters: DataFrame) -> DataFrame:

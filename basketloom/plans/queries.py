@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketloom.functions.genes import adjacent_pairs, base_name, genes_text, n_nonempty
-from basketloom.operators import filters, interactions, link, modules, overlap, pvalues, render, similarity, topics
+from basketloom.operators import filters, interactions, lineage, link, modules, overlap, pvalues, render, similarity, topics
 from basketloom.sources import clusters, domtable, genbank
 from basketloom.streaming.detect import gene_counts_by_window
 
@@ -196,8 +196,10 @@ def connected_components(spark, sf_dir):
 
 @query
 def representatives(spark, sf_dir):
-    baskets = filters.with_min_genes(part_baskets(spark, sf_dir), 3)
-    return similarity.representatives(baskets, _sparse_links(spark, sf_dir))
+    baskets = lineage.cut(filters.with_min_genes(part_baskets(spark, sf_dir), 3))
+    found = similarity.representatives(baskets, similarity.links(baskets, 0.2))
+    lineage.drop(baskets)
+    return found
 
 
 @query

@@ -124,3 +124,22 @@ def test_containment_alone_works_out_no_pairs(spark):
     assert {r.class_id: r["size"] for r in found.classes.collect()} == {"a": 2, "c": 1, "d": 1, "e": 1, "f": 1}
     wanted = {pair for pair, (_, contained) in brute(baskets).items() if contained}
     assert {(r.bgc1, r.bgc2, r.ai, r.contained) for r in found.pairs().collect()} == {(*pair, None, True) for pair in wanted}
+
+
+def test_steps_leave_little_on_disk(spark):
+    """What links() leaves are three tables, compressed, of classes, members and edges; no step keeps its shuffle files."""
+    import time
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "basketloom-files"
+    tables = lambda: set(shared.glob("*/table"))
+    shuffles = lambda: {str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before, kept = tables(), shuffles()
+    links = similarity.links(frame(spark, {f"b{k}": [f"{k}", f"{k + 1}", "x"] for k in range(50)} | {"s": ["1", "x"]}), 0.5)
+    new = tables() - before
+    assert len(new) == 3 and all(list(t.glob("*.zstd.parquet")) for t in new)
+    end = time.time() + 20
+    while shuffles() - kept and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - kept
+    assert {(r.bgc1, r.bgc2) for r in links.pairs().collect()} >= {("b0", "s"), ("b1", "s")}
